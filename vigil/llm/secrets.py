@@ -166,11 +166,12 @@ def redact(df: DataFrame, text: str = "text", secrets: str = "secrets", by: str
     return plain.mapInArrow(run, plain.schema)
 
 
-def joined(secrets: str, kinds: tuple[str, ...] | None = None):
+def of_kinds(secrets: str, *kinds: str):
+    return F.filter(secrets, lambda x: x["kind"].isin(*kinds))
+
+
+def joined(spans):
     """kind:start:end of the spans, comma-joined."""
-    spans = F.col(secrets)
-    if kinds:
-        spans = F.filter(spans, lambda x: x["kind"].isin(*kinds))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
@@ -180,7 +181,7 @@ def report(docs: DataFrame) -> DataFrame:
     kinds = tuple(r.kind for r in BASE)
     return found.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        *[F.size(F.filter("secrets", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds],
-        F.sha2(joined("secrets", kinds), 256).alias("base_sha256"),
+        *[F.size(of_kinds("secrets", k)).cast("long").alias(f"n_{k}") for k in kinds],
+        F.sha2(joined(of_kinds("secrets", *kinds)), 256).alias("base_sha256"),
         joined("secrets").alias("spans"),
     )
