@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, secrets
+from . import byte_bpe, secrets, token_files
 from .common import table
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -19,7 +23,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_token_files, op5_secret_scan, op9_byte_bpe)}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLE: dict[str, str] = {}
