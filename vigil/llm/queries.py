@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language, quality, secrets, token_files
+from . import byte_bpe, decontaminate, embeddings, language, quality, secrets, token_files
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.pages_report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_files, op3_language_id, op5_secret_scan, op7_quality, op8_decontaminate, op9_byte_bpe, language_id_pages,
+    op2_token_files, op3_language_id, op5_secret_scan, op7_quality, op8_decontaminate, op9_byte_bpe, op10_embedding_dedup,
+    language_id_pages,
 )}
 
 #: DuckDB SQL for the queries that SQL can express on whole tables.
