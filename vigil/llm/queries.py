@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, embeddings, language, quality, secrets, token_files
+from . import byte_bpe, decontaminate, embeddings, jaccard_join, language, quality, secrets, token_files
 from .common import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,7 +48,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_files, op3_language_id, op5_secret_scan, op7_quality, op8_decontaminate, op9_byte_bpe, op10_embedding_dedup,
+    op1_jaccard_join, op2_token_files, op3_language_id, op5_secret_scan, op7_quality, op8_decontaminate, op9_byte_bpe, op10_embedding_dedup,
     language_id_pages,
 )}
 
