@@ -18,6 +18,8 @@ separate, ordered by their ids' bytes; documents with a null doc_id come first.
 
 from __future__ import annotations
 
+import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import delete, saved, scratch, texts
 
-CACHED = 400_000  # words that a worker remembers
+CACHED = 800_000  # words that a worker remembers
 NO_ID = -(2**63)  # in the files, of a document whose doc_id is null
 BLOCKS = "part long, block long, ahead long, n_ids long, doc_ids binary, sizes binary, control binary, data binary"
 BLOCK = 1 << 18  # ids in a block of documents; a longer document has a block of its own
@@ -36,6 +38,7 @@ _seen: dict[str, dict[str, bytes]] = {}
 
 @lru_cache(2)
 def tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -46,14 +49,15 @@ def tokenizer(path: str):
 def encode_texts(values: list[str], path: str, end: int) -> list[bytes]:
     """Ids of each text and the end id, as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and treats what lies between two spaces on its
-    own, so it is given each distinct run between spaces once per worker."""
+    The tokenizer lower-cases, drops white space and treats each word, number and run
+    of signs on its own, so it is given each distinct run between spaces once per
+    worker; commas and full stops after letters and digits are set apart first."""
     t, seen = tokenizer(path), _seen.setdefault(path, {})
     tail, out = end.to_bytes(4, "little"), []
     for lo in range(0, len(values), 512):
         if len(seen) > CACHED:
             seen.clear()
-        runs = [v.split(" ") for v in values[lo : lo + 512]]
+        runs = [cut(v) for v in values[lo : lo + 512]]
         new = [x for x in set().union(*runs) if x not in seen]
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
@@ -64,6 +68,16 @@ def encode_texts(values: list[str], path: str, end: int) -> list[bytes]:
     return out
 
 
+_SIGNS = re.compile(r"[\W_][.,]")
+
+
+def cut(text: str) -> list[str]:
+    text = text.encode().lower().decode()  # A to Z only
+    if _SIGNS.search(text) is None:
+        text = text.replace(",", " ,").replace(".", " .")
+    return text.replace("\n", " ").split(" ")
+
+
 def tokenize(docs: DataFrame, path: str, end: int) -> DataFrame:
     """(doc_id, ids): the ids of each text, with the end id, in binary."""
 
@@ -84,8 +98,8 @@ def counted(tokens: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                n = np.bincount(np.frombuffer(x.as_py(), "<u4"))
+            for _, ids, _ in runs(batch.column(0)):
+                n = np.bincount(ids)
                 if len(n) > len(total):
                     total, n = n, total
                 total[: len(n)] += n
@@ -95,16 +109,32 @@ def counted(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of unsigned 32-bit values."""
-    values = values.astype("<u4")
+def runs(column: pa.Array, most: int = 1 << 20):
+    """(first row, ids, offsets of the rows' ids) of runs of rows with about ``most`` ids."""
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int32, n + 1, column.offset * 4).astype(np.int64) // 4
+    lo = 0
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1))
+        ids = np.frombuffer(column.buffers()[2] or b"", "<u4", int(offsets[hi] - offsets[lo]), int(offsets[lo]) * 4)
+        yield lo, ids, offsets[lo : hi + 1] - offsets[lo]
+        lo = hi
+
+
+def pack(values: np.ndarray, offsets: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """(control bytes, data bytes) of each row of unsigned 32-bit values."""
+    values = np.ascontiguousarray(values, "<u4")
     size = 1 + (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    bytes_ = values.view(np.uint8).reshape(-1, 4)
-    data = bytes_[np.arange(4) < size[:, None]]
-    code = np.zeros(-(-len(size) // 4) * 4, np.uint8)
-    code[: len(size)] = size - 1
+    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
+    count = np.diff(offsets)
+    controls = np.concatenate([[0], np.cumsum(-(-count // 4))])
+    code = np.zeros(int(controls[-1]) * 4, np.uint8)
+    code[np.arange(len(values)) + np.repeat(controls[:-1] * 4 - offsets[:-1], count)] = size - 1
     code = code.reshape(-1, 4)
-    return (code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6).astype(np.uint8).tobytes(), data.tobytes()
+    code = (code[:, 0] | code[:, 1] << 2 | code[:, 2] << 4 | code[:, 3] << 6).astype(np.uint8).tobytes()
+    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[offsets].tolist()
+    controls = controls.tolist()
+    return [(code[c:d], data[x:y]) for c, d, x, y in zip(controls, controls[1:], at, at[1:])]
 
 
 #: Byte counts of the four values of each control byte.
@@ -112,12 +142,15 @@ SIZES = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)],
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
-def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The values that ``pack`` has coded: sizes by table lookup, then one gather of four bytes each."""
-    size = SIZES[np.frombuffer(control, np.uint8)].ravel()[:n]
+def unpack(control: bytes, data: bytes, count: np.ndarray) -> np.ndarray:
+    """The values of rows of ``count`` values that ``pack`` has coded, one row after
+    the other: sizes by table lookup, then one gather of four bytes each."""
+    size = SIZES[np.frombuffer(control, np.uint8)].ravel()
+    controls = np.cumsum(-(-count // 4)) * 4  # the last control byte of a row is filled up
+    size = size[np.arange(int(count.sum())) + np.repeat(controls - (-(-count // 4)) * 4 - np.cumsum(count) + count, count)]
     at = np.cumsum(size) - size
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    four = raw[at[:, None] + np.arange(4)].view("<u4").ravel() if n else np.zeros(0, np.uint32)
+    four = raw[at[:, None] + np.arange(4)].view("<u4").ravel() if len(at) else np.zeros(0, np.uint32)
     return four & MASKS[size]
 
 
@@ -135,12 +168,13 @@ def write(docs: DataFrame, path: str, to: str, end: int = 2) -> None:
 
     def code(batches):
         for batch in batches:
-            coded = [pack(rank_of.value[np.frombuffer(x.as_py(), "<u4")]) for x in batch.column(1)]
-            sizes = [len(x.as_py()) // 4 for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                names=["doc_id", "size", "control", "data"],
-            )
+            for lo, ids, offsets in runs(batch.column(1)):
+                coded = pack(rank_of.value[ids], offsets)
+                sizes = np.diff(offsets)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, len(sizes)), pa.array(sizes), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                    names=["doc_id", "size", "control", "data"],
+                )
 
     def block(batches):
         from pyspark import TaskContext
@@ -189,12 +223,9 @@ def read(spark, path: str) -> DataFrame:
         for batch in batches:
             for first, docs, sizes, control, data in zip(*(c.to_pylist() for c in batch.columns)):
                 docs, sizes = np.frombuffer(docs, "<i8"), np.frombuffer(sizes, "<i8")
-                lengths, c, d, out = SIZES[np.frombuffer(control, np.uint8)], 0, 0, []
-                for n in sizes.tolist():
-                    k = -(-n // 4)
-                    width = int(lengths[c : c + k].sum()) - (4 * k - n)  # values that fill up the last control byte take a byte in the table
-                    out.append(id_of.value[unpack(control[c : c + k], data[d : d + width], n)].tobytes())
-                    c, d = c + k, d + width
+                ids = id_of.value[unpack(control, data, sizes)].tobytes()
+                end = (np.cumsum(sizes) * 4).tolist()
+                out = [ids[x:y] for x, y in zip([0, *end], end)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs, mask=docs == NO_ID), pa.array(first + np.cumsum(sizes) - sizes), pa.array(sizes), pa.array(out, pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"],
