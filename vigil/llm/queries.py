@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, embeddings, jaccard_join, language, quality, secrets, substring_dedup, token_files
+from . import byte_bpe, decontaminate, embeddings, html_extract, jaccard_join, language, quality, secrets, substring_dedup, token_files
 from .common import table
 
 
@@ -29,6 +29,10 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.pages_report(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_jaccard_join, op2_token_files, op3_language_id, op5_secret_scan, op6_substring_dedup, op7_quality, op8_decontaminate, op9_byte_bpe, op10_embedding_dedup,
+    op1_jaccard_join, op2_token_files, op3_language_id, op4_html_extract, op5_secret_scan, op6_substring_dedup, op7_quality, op8_decontaminate, op9_byte_bpe, op10_embedding_dedup,
     language_id_pages,
 )}
 
