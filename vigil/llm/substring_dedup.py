@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, id_column, saved, slices
+from .common import Words, delete, id_column, saved, slices
 
 WINDOW, PHRASE = 20, 8
 MOST_BITS = 1 << 28  # of the filter: 32 MB
@@ -183,7 +183,9 @@ def removed(docs: DataFrame, text: str = "kept", shown: bool = True) -> DataFram
     """(doc_id, n_words, n_removed, kept): the words that are left of each text."""
     bits = bit_filter(saved(recurring(docs), "phrases"))
     found = saved(windows(docs, bits), "windows")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_column(docs, "text")).join(later(found), "doc_id", "left")
+    marked = saved(later(found), "later")
+    delete(found)  # before the texts are shuffled
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_column(docs, "text")).join(marked, "doc_id", "left")
     kind = "string" if shown else "binary"
 
     def run(batches):
