@@ -3,19 +3,36 @@
 Each stage takes (spark, docs, sf_dir), returns a DataFrame, and is written as
 Parquet and read again before the next one.  All but the last return the columns
 of ``documents``.  The stages' methods can't be expressed in SQL, so ORACLE_SQL is
-None and the tests compare them with brute force.
+None and the tests compare each stage with brute force.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import byte_bpe, secrets
+from vigil.llm import byte_bpe, decontaminate, jaccard_join, language, secrets
 from vigil.llm.common import saved, table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is likely enough stay."""
+    return language.keep_accepted(docs)
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five words to a shingle, similarity 0.8 or more."""
+    return jaccard_join.one_of_each(docs, 5, Fraction(8, 10))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item stay."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret in the texts; no document goes."""
     clean = secrets.redact(secrets.scan(docs, to="_secrets"), secrets="_secrets")
@@ -24,16 +41,21 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, kept only with the proof that they decode to it."""
+    """Token ids of each text, and whether they decode to it."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
     return coded.select(
-        "doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        (F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")) == F.col("decoded")).alias("round_trip"),
+        "doc_id",
+        "ids",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        (F.encode(F.coalesce("text", F.lit("")), "UTF-8") == F.col("decoded")).alias("round_trip"),
     )
 
 
 STAGES = [
+    ("language ID", identify_language),
+    ("n-gram Jaccard join", join_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
     ("secret scans", scan_secrets),
     ("byte-level BPE", encode_ids),
 ]
