@@ -1,0 +1,79 @@
+"""The four detectors over admitted records, DataFrame to DataFrame.
+
+Every result row has start_ms, detector, target, status, reason, value, limit.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vigil.functions import kernels as K
+from vigil.functions.params import DEFAULT, Params
+
+from . import windows as W
+
+
+def _rows(df: DataFrame, detector: str, target, d: str = "d") -> DataFrame:
+    return df.select("start_ms", F.lit(detector).alias("detector"), target.cast("string").alias("target"), f"{d}.status", f"{d}.reason", f"{d}.value", f"{d}.limit")
+
+
+def spend_windows(obs: DataFrame, windows: DataFrame, covered: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Windows with their sum, coverage and history; covered: start_ms, covered."""
+    rows = windows.join(W.totals(obs, p), "start_ms", "left").join(covered, "start_ms", "left").select(
+        "start_ms", F.when(F.col("n_spend").isNull(), F.lit(0).cast("bigint")).otherwise(F.col("total")).alias("total"),
+        F.coalesce("covered", F.lit(False)).alias("covered"),
+    )
+    return W.history(rows.withColumn("fleet", F.lit(0)), ["fleet"], p)
+
+
+def spend_spike(obs: DataFrame, windows: DataFrame, covered: DataFrame, target: str = "fleet", p: Params = DEFAULT) -> DataFrame:
+    """One row per window.  Coverage, overflow, warm-up and undecidable history come before the threshold."""
+    total, limit = F.col("total"), K.spend_threshold(F.col("history"), p)
+    shown = F.when(limit <= K.U_MAX, limit)
+    d = (
+        F.when(~F.col("covered"), K.decision("UNKNOWN", "COVERAGE_INCOMPLETE", total))
+        .when(total.isNull(), K.decision("UNKNOWN", "ARITHMETIC_OVERFLOW"))
+        .when(F.col("n_history") < p.history, K.decision("UNKNOWN", "BASELINE_WARMUP", total))
+        .when(~F.col("decidable"), K.decision("UNKNOWN", "COVERAGE_INCOMPLETE", total))
+        .when(K.wide(total) >= limit, K.decision("HIT", "SPEND_SPIKE", total, shown))
+        .otherwise(K.decision("CLEAR", "BELOW_THRESHOLD", total, shown))
+    )
+    return _rows(spend_windows(obs, windows, covered, p).withColumn("d", d), "spend_spike/1", F.lit(target))
+
+
+def scope_drift(obs: DataFrame, subjects: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """A row per window and configured subject with scope records.  subjects: subject, policies, scopes."""
+    rows = obs.where("kind = 'scope'").join(F.broadcast(subjects), "subject")  # subjects of a fleet: at most 512
+    d = K.scope(F.col("policies"), F.col("scopes"), F.col("policy"), F.col("scope"), F.col("reported"))
+    best = rows.select(K.window_start(F.col("received_ms"), p).alias("start_ms"), "subject", "idx", d.alias("d"))
+    best = best.groupBy("start_ms", "subject").agg(K.strongest("d", "idx", K.SCOPE_ORDER).alias("d"))
+    return _rows(best, "scope_drift/1", F.col("subject"))
+
+
+def replication_anomaly(obs: DataFrame, subjects: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """A row per window and configured subject with replication records.  subjects: subject, most_processes, most_threads."""
+    rows = obs.where("kind = 'replication'").join(F.broadcast(subjects), "subject")
+    d = K.replication(*[F.col(c) for c in ("processes", "threads", "declared", "most_processes", "most_threads")])
+    best = rows.select(K.window_start(F.col("received_ms"), p).alias("start_ms"), "subject", "idx", d.alias("d"))
+    best = best.groupBy("start_ms", "subject").agg(K.strongest("d", "idx", K.REPLICATION_ORDER).alias("d"))
+    return _rows(best, "replication_anomaly/1", F.col("subject"))
+
+
+def stream_silence(cuts: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """A row per window and enabled source.  cuts: start_ms, end_ms, source, state, revoked, last_ms, activated_ms."""
+    d = F.when(F.col("revoked"), K.decision("UNKNOWN", "COVERAGE_INCOMPLETE")).otherwise(
+        K.silence(F.col("state"), F.coalesce("last_ms", "activated_ms"), F.col("end_ms"), p)
+    )
+    return _rows(cuts.withColumn("d", d), "stream_silence/1", F.col("source"))
+
+
+def results(*parts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def alerts(found: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """An alert for each hit, with the time at which it expires uncorroborated."""
+    return found.where("status = 'HIT'").withColumn("expires_ms", F.col("start_ms") + p.window_ms + p.vote_ttl_ms)

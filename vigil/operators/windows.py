@@ -1,0 +1,62 @@
+"""Receive-time windows: grid, cuts, quality, history."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from vigil.functions.kernels import checked_sum, window_start
+from vigil.functions.params import DEFAULT, Params
+
+
+def grid(bounds: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """(keys, start_ms, end_ms): all windows from ``first_ms`` to ``last_ms`` of each
+    row, empty ones too.  bounds: key columns, first_ms, last_ms."""
+    keys = [c for c in bounds.columns if c not in ("first_ms", "last_ms")]
+    start = F.explode(F.sequence(window_start(F.col("first_ms"), p), window_start(F.col("last_ms"), p), F.lit(p.window_ms).cast("bigint")))
+    return bounds.select(*keys, start.alias("start_ms")).withColumn("end_ms", F.col("start_ms") + p.window_ms)
+
+
+def totals(obs: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Counted spend of each window that has rows: start_ms, total (null on overflow), n."""
+    spend = F.when((F.col("kind") == "spend") & F.col("counted"), F.col("delta"))
+    return obs.groupBy(window_start(F.col("received_ms"), p).alias("start_ms")).agg(
+        checked_sum(spend).alias("total"), F.count(spend).alias("n_spend")
+    )
+
+
+def presence(obs: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Per window and source: whether a record other than a signal came, whether any was late, the last receive time."""
+    live = F.col("kind") != "signal"
+    return obs.groupBy(window_start(F.col("received_ms"), p).alias("start_ms"), "source").agg(
+        F.bool_or(live).alias("live"), F.bool_or(live & F.col("late")).alias("late"),
+        F.max(F.when(live, F.col("received_ms"))).alias("last_ms"), F.count("*").alias("n"),
+    )
+
+
+def cuts(obs: DataFrame, windows: DataFrame, sources: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Per window and source: the last non-signal receive time up to the window's end
+    (null before the first) and what came inside it."""
+    every = windows.crossJoin(F.broadcast(sources.select("source")))  # sources of a fleet: at most 64
+    seen = every.join(presence(obs, p), ["start_ms", "source"], "left")
+    w = Window.partitionBy("source").orderBy("start_ms").rowsBetween(Window.unboundedPreceding, 0)
+    return seen.select(
+        "start_ms", "end_ms", "source", F.coalesce("live", F.lit(False)).alias("live"), F.coalesce("late", F.lit(False)).alias("late"),
+        F.last("last_ms", True).over(w).alias("last_ms"), F.coalesce("n", F.lit(0)).alias("n"),
+    )
+
+
+def quality(degraded: Column, gapped: Column, late: Column) -> Column:
+    """Aggregate over a window's cuts."""
+    return F.when(F.bool_or(degraded), "DEGRADED").when(F.bool_or(gapped | late), "INCOMPLETE").otherwise("COMPLETE")
+
+
+def history(rows: DataFrame, by: list[str], p: Params = DEFAULT) -> DataFrame:
+    """Add of the up to five windows before: history (totals), n_history, prior_covered,
+    and decidable (all five covered, summed and themselves with five before them).
+    rows: by, start_ms, total, covered."""
+    w = Window.partitionBy(*by).orderBy("start_ms")
+    frame = w.rowsBetween(-p.history, -1)
+    rows = rows.withColumn("history", F.collect_list("total").over(frame)).withColumn("n_history", F.count("*").over(frame))
+    fine = F.col("covered") & F.col("total").isNotNull() & (F.col("n_history") >= p.history)
+    return rows.withColumn("decidable", F.coalesce(F.bool_and(fine).over(frame), F.lit(False)))
