@@ -11,6 +11,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 DEPTH, MEMBERS, ELEMENTS, MOST = 24, 256, 4096, 2**53 - 1
 
@@ -56,6 +57,10 @@ def parsed(text: str | None):
         return False, None
 
 
-@F.pandas_udf("valid boolean, canonical string")
-def strict_json(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parsed(x) for x in text], columns=["valid", "canonical"])
+def strict_json(column):
+    """Column: (valid, canonical) of a column of texts."""
+
+    def run(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parsed(x) for x in text], columns=["valid", "canonical"])
+
+    return F.pandas_udf(run, StructType([StructField("valid", BooleanType()), StructField("canonical", StringType())]))(column)

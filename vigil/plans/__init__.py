@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import detect, lifecycle
+from .registry import ORACLE, QUERIES
 
+ENTRY = detect.spend_spike
 
-def ENTRY(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ENTRY", "ORACLE", "QUERIES", "lifecycle"]
