@@ -26,7 +26,7 @@ from .common import id_column, texts
 
 NONE = np.int32(2**31 - 1)
 WIDE = 64  # longer pieces are merged one by one, all pairs of the lowest rank at once
-CACHED = 700_000  # pieces that a worker remembers
+CACHED = 300_000  # pieces that a task remembers
 
 
 class Ranks:
@@ -178,7 +178,6 @@ def ranks(path: str, pattern: str) -> Ranks:
 
 #: Where a cut before a space, comma or full stop could split a match of the pattern.
 _UNCUT = re.compile(r"\s (?=\s|\Z)|[\W_][.,]|\0")
-_seen: dict[tuple[str, str], dict[str, bytes]] = {}
 
 
 def cut(text: str) -> list[str]:
@@ -193,9 +192,10 @@ def cut(text: str) -> list[str]:
     return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
 
 
-def encode_texts(values: list[str], path: str, pattern: str) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
-    r, seen = ranks(path, pattern), _seen.setdefault((path, pattern), {})
+def encode_texts(values: list[str], path: str, pattern: str, seen: dict[str, bytes] | None = None) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit integers.  seen: pieces
+    that are known already; it gets the new ones and never holds many more than ``CACHED``."""
+    r, seen = ranks(path, pattern), {} if seen is None else seen
     out: list[bytes] = []
     for lo in range(0, len(values), 512):
         if len(seen) > CACHED:
@@ -229,12 +229,13 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", to: str =
     schema = df.select(*[id_column(df, c) for c in kept]).schema.add(to, "binary")
 
     def run(batches):
+        seen: dict[str, bytes] = {}
         for batch in batches:
             values = texts(batch.column(kept.index(text))).to_pylist()
-            step = max(1, int(len(values) * 4e6 // (1 + sum(map(len, values)))))
+            step = max(1, int(len(values) * 2e6 // (1 + sum(map(len, values)))))
             for lo in range(0, len(values), step):
                 part = batch.slice(lo, step)
-                new = pa.array(encode_texts(values[lo : lo + step], path, pattern), pa.binary())
+                new = pa.array(encode_texts(values[lo : lo + step], path, pattern, seen), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, new], names=[*part.schema.names, to])
 
     return df.select(*[id_column(df, c) for c in kept]).mapInArrow(run, schema)
