@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, delete, id_column, saved, slices
+from .common import Words, id_column, saved, slices
 
 WINDOW, PHRASE = 20, 8
 MOST_BITS = 1 << 28  # of the filter: 32 MB
@@ -174,7 +174,8 @@ def windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 def later(found: DataFrame) -> DataFrame:
     """(doc_id, starts): the windows of each document that an equal one precedes."""
     here = F.struct("doc_id", "start")
-    first = found.groupBy("h").agg(F.min(here).alias("v"), F.count("*").alias("n")).where("n > 1").select("h", "v")
+    # written, so that both sides of the join are dealt anew and a window with very many occurrences is split
+    first = saved(found.groupBy("h").agg(F.min(here).alias("v"), F.count("*").alias("n")).where("n > 1").select("h", "v"), "first")
     rest = found.join(first, "h").where(here != F.col("v"))
     return rest.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))  # of one document only
 
@@ -182,9 +183,8 @@ def later(found: DataFrame) -> DataFrame:
 def removed(docs: DataFrame, text: str = "kept", shown: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words that are left of each text."""
     bits = bit_filter(saved(recurring(docs), "phrases"))
-    found = saved(windows(docs, bits), "windows")
-    marked = saved(later(found), "later")
-    delete(found)  # before the texts are shuffled
+    # the windows are found twice: that costs less than keeping all of them on disk
+    marked = saved(later(windows(docs, bits)), "later")
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_column(docs, "text")).join(marked, "doc_id", "left")
     kind = "string" if shown else "binary"
 
