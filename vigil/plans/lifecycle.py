@@ -479,3 +479,70 @@ def explode_steps(spark, d):
 def strict_parse(spark, d):
     rows = T.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit(" x"))).otherwise(F.col("props")).alias("raw"))
     return rows.select("event_id", strict_json("raw").alias("p")).select("event_id", "p.valid", "p.canonical")
+
+
+VER = f"""{JRN}, j2 AS (SELECT *, seq * 10 - CASE WHEN (fleet + seq) % 37 = 0 THEN 15 ELSE 0 END AS at_ms FROM jrn),
+x AS (SELECT *, lag(seq) OVER s AS ps, lag(hash) OVER s AS ph, lag(at_ms) OVER s AS pt, lag(state) OVER s AS st FROM j2 WINDOW s AS (PARTITION BY fleet ORDER BY seq)),
+r AS (SELECT fleet, 1 AS k, 'CHAIN_INVALID' AS reason, count(*) AS n FROM x WHERE NOT (ps IS NULL OR (seq = ps + 1 AND coalesce(prev = ph, false))) GROUP BY fleet
+  UNION ALL SELECT fleet, 2, 'TIME_INVALID', count(*) FROM x WHERE at_ms < pt GROUP BY fleet
+  UNION ALL SELECT fleet, 3, 'TRANSITION_INVALID', count(*) FROM x WHERE st IS NOT NULL AND (st, state) NOT IN ({', '.join(map(str, LEGAL))}) GROUP BY fleet)"""
+
+
+def verified(spark, d):
+    from vigil.operators import verify as R
+
+    at = F.col("seq") * 10 - F.when((F.col("fleet") + F.col("seq")) % 37 == 0, 15).otherwise(0)
+    journal = chain(spark, d).withColumn("at_ms", at)
+    return journal, R.reasons(journal, spark.createDataFrame(LEGAL, "prev_state string, state string"))
+
+
+@query("T18_reasons", f"WITH {VER} SELECT fleet, reason, n FROM r")
+def verify_reasons(spark, d):
+    return verified(spark, d)[1]
+
+
+@query("T18_verify", f"WITH {VER} SELECT j.fleet, CASE WHEN q.fleet IS NULL THEN 'VALID' ELSE 'INVALID' END AS verdict, coalesce(reasons, '') AS reasons FROM (SELECT DISTINCT fleet FROM jrn) j LEFT JOIN (SELECT fleet, string_agg(reason, ',' ORDER BY k) AS reasons FROM r GROUP BY fleet) q ON q.fleet = j.fleet")
+def verify(spark, d):
+    from vigil.operators import verify as R
+
+    return R.verdicts(*verified(spark, d))
+
+
+@query("F18_export_complete", "SELECT conv_id, count(*) FILTER (turn = 0) = 1 AND count(*) = max(turn) + 1 AND conv_id % 5 <> 0 AS complete FROM conversations GROUP BY conv_id")
+def export_complete(spark, d):
+    rows = T.table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("turn") == 0).alias("h"), F.count("*").alias("n"), F.max("turn").alias("last"))
+    return rows.select("conv_id", K.export_complete(F.col("h") == 1, F.col("conv_id") % 5 != 0, F.col("last") + 1, F.col("n"))["complete"].alias("complete"))
+
+
+@query("L05_sorted_unique", "SELECT user_id, list_sort(list_distinct(list(event_type ORDER BY event_id))) = list(event_type ORDER BY event_id) AS sorted_unique FROM events GROUP BY user_id")
+def sorted_unique(spark, d):
+    e = T.table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("r"))
+    kinds = F.transform("r", lambda x: x["event_type"])
+    return e.select("user_id", (F.array_sort(F.array_distinct(kinds)) == kinds).alias("sorted_unique"))
+
+
+@query("J06_source_cut", f"WITH {T.OBS}, {T.SOURCES}, p AS (SELECT source, count(*) AS n FROM base WHERE kind = 'scope' AND late GROUP BY source) SELECT source, state, coalesce(n, 0) AS n FROM sources LEFT JOIN p USING (source)")
+def source_cut(spark, d):
+    n = T.base(spark, d).where("kind = 'scope' and late").groupBy("source").agg(F.count("*").alias("n"))
+    return T.sources(spark).join(n, "source", "left").select("source", "state", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("J18_alert_lookup", "SELECT l_orderkey, l_linenumber, o_orderstatus, CASE WHEN c_custkey IS NULL THEN 'AUDIT_UNAVAILABLE' ELSE c_mktsegment END AS segment FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) c ON c_custkey = o_custkey WHERE l_quantity >= 49")
+def alert_lookup(spark, d):
+    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus")
+    c = T.table(spark, d, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    rows = T.table(spark, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_linenumber").join(o, "l_orderkey", "left").join(c, "o_custkey", "left")
+    return rows.select("l_orderkey", "l_linenumber", "o_orderstatus", F.coalesce("c_mktsegment", F.lit("AUDIT_UNAVAILABLE")).alias("segment"))
+
+
+ROLES = [("source.append", "producer"), ("subscription.read", "watcher"), ("vote.submit", "watcher"), ("alert.act", "operator"), ("fleet.get", "reader")]
+
+
+@query("F15_role_matrix", f"WITH m(method, role) AS (VALUES {', '.join(map(str, ROLES))}), e AS (SELECT event_id, (list_value('source.append', 'subscription.read', 'vote.submit', 'alert.act', 'fleet.get'))[event_id % 5 + 1] AS method, (list_value('producer', 'watcher', 'operator', 'reader'))[user_id % 4 + 1] AS role FROM events) SELECT event_id, m.role IS NOT NULL AS allowed FROM e LEFT JOIN m ON m.method = e.method AND m.role = e.role")
+def role_matrix(spark, d):
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i + 1).cast("int"))
+    e = T.table(spark, d, "events").select(
+        "event_id", pick([m for m, _ in ROLES], F.col("event_id") % 5).alias("method"), pick(["producer", "watcher", "operator", "reader"], F.col("user_id") % 4).alias("role")
+    )
+    m = spark.createDataFrame(ROLES, "method string, role string").withColumn("ok", F.lit(True))
+    return e.join(F.broadcast(m), ["method", "role"], "left").select("event_id", F.coalesce("ok", F.lit(False)).alias("allowed"))
