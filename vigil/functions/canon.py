@@ -17,7 +17,7 @@ def digest(tag: str, text: Column) -> Column:
 
 
 def to_base64url(data: Column) -> Column:
-    return F.rtrim(F.translate(F.base64(data), "+/", "-_"), F.lit("="))
+    return F.rtrim(F.translate(F.base64(data), "+/\r\n", "-_"), F.lit("="))
 
 
 def from_base64url(text: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detect, lifecycle
+from . import detect, integrity, lifecycle
 from .registry import ORACLE, QUERIES
 
 ENTRY = detect.spend_spike
 
-__all__ = ["ENTRY", "ORACLE", "QUERIES", "lifecycle"]
+__all__ = ["ENTRY", "ORACLE", "QUERIES", "integrity", "lifecycle"]
