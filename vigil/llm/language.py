@@ -34,8 +34,13 @@ LEAST = 0.5  # posterior to be accepted
 LONGEST_LIST = 200_000  # rejected rows that are sent to all tasks; more are joined by shuffling
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
 def trigrams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte, hashed trigram) of all trigrams inside a text, lower-cased."""
+    """(first byte, hashed trigram) of all trigrams inside a text whose middle is a
+    letter, lower-cased: numbers and signs tell nothing of a language."""
     if len(data) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     b = _LOWER[data].astype(np.uint32)
@@ -43,7 +48,7 @@ def trigrams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last = np.zeros(len(data) + 1, bool)
     last[starts] = True
     inside = ~(last[1:-2] | last[2:-1])
-    at = np.flatnonzero(inside)
+    at = np.flatnonzero(inside & _LETTER[data[1:-1]])
     return at, (h[at] >> np.uint32(32 - BITS)).astype(np.int64)
 
 
