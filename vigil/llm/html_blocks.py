@@ -8,6 +8,7 @@ text, and from its place on the page.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -108,6 +109,7 @@ def blocks(html: str) -> list[tuple[str, tuple, float]]:
 SIZE = 1 << 13
 
 
+@lru_cache(1 << 16)
 def _slot(name: str) -> int:
     h = 2166136261
     for b in name.encode():
