@@ -8,8 +8,8 @@ equal phrases and only phrases that occur twice can lie in a recurring passage.
 2. What is left is sent to the tasks as a bit filter of bounded size (a phrase
    that passes by chance only costs windows that are found to be single later).
    Each run of texts is a shard: its recurring phrases are compiled into an
-   Aho-Corasick automaton, and the run's texts stream through it, which confirms
-   the phrases word by word and locates every occurrence.
+   Aho-Corasick automaton over words, and the run's texts stream through it, which
+   confirms the phrases word by word and locates every occurrence.
 3. The windows that those phrases represent are grouped by a 64-bit hash of
    their words; the first of each group is found by a partial aggregate, and every
    window that starts after it marks its words.
@@ -108,10 +108,10 @@ def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return found
 
 
-def spaced(w: Words, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(bytes, start, end): the words with one space after each, or a line feed after
-    a text's last word, and where each word lies; ``keep``: only these words."""
-    at = np.arange(len(w.start)) if keep is None else np.flatnonzero(keep)
+def spaced(w: Words, keep: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(bytes, start, end): the words to keep with one space after each, or a line feed
+    after a text's last one, and where each lies."""
+    at = np.flatnonzero(keep)
     size = w.end[at] - w.start[at]
     end = np.cumsum(size + 1) - 1
     start = end - size
@@ -126,25 +126,28 @@ def spaced(w: Words, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray,
 
 def located(w: Words, phrases: np.ndarray) -> np.ndarray:
     """Whether each word begins one of the phrases (given by the first word of an
-    occurrence), found by an automaton of their texts."""
+    occurrence), found by an automaton over words.
+
+    Words are told apart by their 64-bit hash.  Each is two letters of alphabets of
+    their own, so that matches begin and end with words and no node has many children;
+    words of no phrase share the letters of 0."""
     import ahocorasick
 
-    out = np.zeros(len(w.start) + 1, bool)
+    out = np.zeros(len(w.hash), bool)
     if not len(phrases):
         return out
-    data, start, end = spaced(w)
-    text = data.decode("latin-1")  # a character for each byte
+    vocabulary = np.unique(w.hash[(phrases[:, None] + np.arange(PHRASE)).ravel()])
+    at = np.minimum(np.searchsorted(vocabulary, w.hash), len(vocabulary) - 1)
+    number = np.where(vocabulary[at] == w.hash, at + 1, 0)
+    base = int(np.ceil(np.sqrt(len(vocabulary) + 1)))
+    text = np.column_stack([number // base, base + number % base]).astype("<u4").tobytes().decode("utf-32-le")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for a, b in zip(start[phrases].tolist(), end[phrases + PHRASE - 1].tolist()):
-        automaton.add_word(text[a:b])
+    for i in (2 * phrases).tolist():
+        automaton.add_word(text[i : i + 2 * PHRASE])
     automaton.make_automaton()
-    hits = np.array([(e + 1 - n, e + 1) for e, n in automaton.iter(text)], np.int64).reshape(-1, 2)
-    first = np.searchsorted(start, hits[:, 0])
-    first[first == len(start)] = 0
-    last = np.searchsorted(end, hits[:, 1])
-    last[last == len(end)] = 0
-    whole = (start[first] == hits[:, 0]) & (end[last] == hits[:, 1])  # from a word's start to a word's end
-    out[first[whole]] = True
+    ends = np.array([e for e, _ in automaton.iter(text)], np.int64)
+    first = (ends + 1) // 2 - PHRASE
+    out[first[w.doc[first] == w.doc[first + PHRASE - 1]]] = True  # not across two texts
     return out
 
 
