@@ -15,16 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import byte_bpe, decontaminate, jaccard_join, language, secrets
-from vigil.llm.common import saved, table
+from vigil.llm.common import saved, small_batches, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is likely enough stay."""
+    small_batches(spark)
     return language.keep_accepted(docs)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: five words to a shingle, similarity 0.8 or more."""
+    small_batches(spark)
     return jaccard_join.one_of_each(docs, 5, Fraction(8, 10))
 
 
@@ -35,6 +37,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret in the texts; no document goes."""
+    small_batches(spark)
     clean = secrets.redact(secrets.scan(docs, to="_secrets"), secrets="_secrets")
     found = F.size("_secrets") > 0
     return clean.withColumn("n_chars", F.when(found, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -42,6 +45,7 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
     return coded.select(
