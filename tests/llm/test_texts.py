@@ -77,6 +77,30 @@ def test_jaccard_join(docs, k, least):
         assert r.component_id == (None if r.doc_id is None else find(r.doc_id))
 
 
+def test_jaccard_join_between_points_of_two_pivots(spark):
+    # y is closed by one pivot and x by another of the same regions; only the pair x, y connects the two groups of near copies
+    def words(name, n):
+        return [f"{name}{i}" for i in range(n)]
+
+    y = words("y", 1002)
+    x = y + words("x", 80)
+    one, two = x + words("one", 54), y + words("two", 80)
+    texts = [x, y, *[one] * 3, *[two] * 2]
+    texts += [[*c, *words(f"{name}{i}of", 5)] for name, c in (("a", one), ("b", two)) for i in range(60)]
+    sets = [{tuple(w[j : j + 3]) for j in range(len(w) - 2)} for w in texts]
+    near = [[j for j, b in enumerate(sets) if 10 * len(a & b) >= 9 * len(a | b)] for a in sets]
+    assert 1 in near[0] and not any(j in near[i] for i in (2, *range(7, 67)) for j in (1, 5, *range(67, 127)))
+    left, comp = set(range(len(texts))), {}
+    for i in range(len(texts)):
+        todo = [i]
+        while todo:
+            if (j := todo.pop()) in left:
+                left.remove(j), todo.extend(near[j])
+                comp[j] = i
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in jaccard_join.groups(docs).collect()} == comp
+
+
 def test_one_of_each_keeps_columns(docs):
     kept = jaccard_join.one_of_each(docs, 5, Fraction(8, 10))
     assert kept.columns == docs.columns

@@ -17,7 +17,9 @@ metric, and the join divides the space by pivots and joins the regions:
 3. The points left open (not linked to their pivot) are joined to the region's
    points inside the windows: sizes, the overlap that is still possible after the
    shingle that they met at, and the triangle inequality over distances to the
-   pivot.  Regions with many open points take further pivots, recursively, first.
+   pivots.  Regions with many open points take further pivots, recursively, first.
+4. Points of one region that different pivots closed are joined inside the same
+   windows, in blocks, where these pivots aren't connected by then.
 
 Links are found up to connection: every pair within the threshold is in one
 component, and no pair beyond it is linked.
@@ -42,6 +44,7 @@ from .common import Words, components, mix, saved, slices
 HOT_IN_TASK = 4  # documents of one task that a frequent shingle occurs in
 HOTTEST = 1 << 18  # frequent shingles that the order puts last
 OPEN = 32  # open points of a region that are joined without a further pivot
+BLOCK = 1000  # points of a region that meet its other points at a time
 ROUNDS = 4  # pivots of a region, each of which has to close a quarter of its open points, before these are joined directly
 SENT = 1 << 21  # ids that are sent to all tasks; more are joined by shuffling
 
@@ -201,18 +204,19 @@ def links(spark: SparkSession, docs: DataFrame, classes: DataFrame, k: int, leas
         posts.groupBy("s").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sig"))
         .where("m > 1").groupBy("m", "sig").agg(F.min("s").alias("s")).select("s")  # of regions of the same members the first in the order, where a pair among them meets first
     )
-    posts = saved(posts.join(region, "s").withColumn("open", F.lit(True)), "regions")
+    posts = saved(posts.join(region, "s").withColumn("by", F.lit(None).cast("long")), "regions")
     held = saved(sets(docs, posts.select(F.col("rep").alias("doc_id")).distinct(), k), "sets")
     #: both sizes, and what can still be common from the shingle on where two points met, allow the similarity
     window = (
         f"p.n * {b} >= q.n * {a} and q.n * {b} >= p.n * {a} and "
         f"(1 + least(p.n - 1 - p.i, q.n - 1 - q.i)) * {a + b} >= (p.n + q.n) * {a}"
     )
-    posts = posts.withColumn("d", F.lit(None).cast("double")).withColumn("more", F.lit(True))
+    distances = [f"d{i}" for i in range(ROUNDS)]  # to the region's pivots, where the window let them be measured
+    posts = posts.withColumns({d: F.lit(None).cast("double") for d in distances}).withColumn("more", F.lit(True))
     found = None
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         active = posts.where("more")
-        pivot = active.where("open").groupBy("s").agg(F.count("*").alias("m"), F.max(F.struct("copies", (-F.col("rep")).alias("r"), "n", "i")).alias("v"))
+        pivot = active.where("by is null").groupBy("s").agg(F.count("*").alias("m"), F.max(F.struct("copies", (-F.col("rep")).alias("r"), "n", "i")).alias("v"))
         pivot = saved(pivot.select("s", "m", (-F.col("v.r")).alias("rep"), F.col("v.n").alias("n"), F.col("v.i").alias("i")), "pivots")
         met = active.alias("q").join(pivot.alias("p"), "s").select("s", F.col("q.rep").alias("b"), F.col("p.rep").alias("a"), F.expr(window).alias("near"))
         met = saved(met, "met")
@@ -225,21 +229,36 @@ def links(spark: SparkSession, docs: DataFrame, classes: DataFrame, k: int, leas
         )
         judged = active.drop("more").join(state, ["s", "rep"], "left").select(
             "s", "rep", "n", "copies", "i",
-            # closed: the pivot, and what is linked to it
-            (F.col("open") & ~F.coalesce(F.col("hit"), F.lit(False)) & ~F.coalesce(F.col("pivot") == F.col("rep"), F.lit(False))).alias("open"),
-            F.when(F.col("pivot").isNull(), F.col("d")).when(F.col("pivot") == F.col("rep"), 0.0).otherwise(F.col("new")).alias("d"),
+            # closed by the first pivot that it is or is linked to
+            F.coalesce("by", F.when(F.col("hit") | (F.col("pivot") == F.col("rep")), F.col("pivot"))).alias("by"),
+            *(F.when(F.col("pivot") == F.col("rep"), 0.0).otherwise(F.col("new")).alias(d) if i == turn else d for i, d in enumerate(distances)),
         )
-        # another pivot where this one has closed a quarter of many; regions without open points are done
-        left = judged.where("open").groupBy("s").agg(F.count("*").alias("k")).join(pivot.select("s", "m"), "s")
+        # another pivot where this one has closed a quarter of many; regions whose points one pivot has closed are done
+        left = judged.groupBy("s").agg(F.count_if(F.col("by").isNull()).alias("k"), (F.min("by") < F.max("by")).alias("several"))
+        left = left.where("k > 0 or several").join(pivot.select("s", "m"), "s")
         left = left.select("s", ((F.col("k") > OPEN) & ((F.col("m") - F.col("k")) * 4 >= F.col("m"))).alias("more"))
         posts = saved(judged.join(left, "s").unionByName(posts.where("not more")), "open")
         if posts.where("more").isEmpty():
             break
-    p, q = posts.where("open").alias("p"), posts.alias("q")
-    triangle = f"(p.d is null or q.d is null or abs(p.d - q.d) <= {float(1 - least) + 1e-9!r})"
-    rest = p.join(q, F.expr(f"p.s = q.s and p.rep <> q.rep and (not q.open or p.rep < q.rep) and {triangle} and {window}"))
-    rest = rest.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")).distinct()
-    found = found.unionByName(overlaps(rest, held).where(close).select("a", "b"))
+    triangle = " and ".join(f"(p.{d} is null or q.{d} is null or abs(p.{d} - q.{d}) <= {float(1 - least) + 1e-9!r})" for d in distances)
+    p, q = posts.where("by is null").alias("p"), posts.alias("q")
+    rest = p.join(q, F.expr(f"p.s = q.s and p.rep <> q.rep and (q.by is not null or p.rep < q.rep) and {triangle} and {window}"))
+    rest = rest.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b"))
+    # what different pivots of a region closed, unless the links between the points of such regions connect these pivots
+    closed = posts.where("by is not null")
+    several = closed.groupBy("s").agg((F.min("by") < F.max("by")).alias("some")).where("some").select("s")
+    closed = saved(closed.join(several, "s").drop("copies", "more"), "closed")
+    if not closed.isEmpty():
+        nodes = closed.select("rep").distinct()
+        near = found.join(nodes.withColumnRenamed("rep", "a"), "a", "left_semi").join(nodes.withColumnRenamed("rep", "b"), "b", "left_semi")
+        closed = closed.join(components(near).withColumnRenamed("node", "by"), "by", "left").withColumn("side", F.coalesce("component", "by"))
+        apart = closed.groupBy("s").agg(F.count("*").alias("m"), (F.min("side") < F.max("side")).alias("some")).where("some")
+        closed = saved(closed.join(apart.select("s", F.expr(f"(m - 1) div {BLOCK} + 1").alias("blocks")), "s"), "sides")
+        p = closed.withColumn("block", F.expr("pmod(xxhash64(rep), blocks)")).alias("p")
+        q = closed.withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)"))).alias("q")
+        sides = p.join(q, F.expr(f"p.s = q.s and p.block = q.block and p.side < q.side and {triangle} and {window}"))
+        rest = rest.unionByName(sides.select(F.least("p.rep", "q.rep").alias("a"), F.greatest("p.rep", "q.rep").alias("b")))
+    found = found.unionByName(overlaps(rest.distinct(), held).where(close).select("a", "b"))
     return found.distinct()
 
 
