@@ -77,6 +77,18 @@ def test_embeddings(spark):
         assert got[i].n_links == 0 and got[i].component_id == i and got[i].kept
 
 
+def test_embeddings_of_a_large_group(spark):
+    # far more near copies than the windows of all passes hold, with a few vectors around
+    r = np.random.default_rng(5)
+    base = r.normal(size=(1, 32))
+    vectors = np.concatenate([base + 0.07 * r.normal(size=(3000, 32)), r.normal(size=(200, 32))])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").repartition(5)
+    got = {x.vec_id: x for x in embeddings.near_duplicates(df).collect()}
+    true = brute(vectors, np.zeros(len(vectors)), 0.98).sum(1)
+    assert true.max() > 2500 and [got[i].n_links for i in range(len(vectors))] == true.tolist()
+    assert {got[i].component_id for i in range(3000)} == {0}
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000 + i) for i in range(1, 50)] + [(7, 7)]

@@ -11,6 +11,11 @@ whatever share of the rows a label has.  Positions are counted within ranges and
 offset by the sizes of the ranges before, then cut into blocks that overlap by
 the window: results don't depend on how the order was dealt.
 
+Inside each group that the passes connect, all pairs are compared, in blocks of
+rows against rows, so links are counted whole however many vectors crowd a place
+of the orders.  Where a vector of a group still has a hit in the last quarter of its
+window, the other vectors of that window are compared with the whole group too.
+
 Recall: two vectors of cosine c agree in a bit with chance 1 - acos(c)/pi; the
 tests measure recall against brute force.  Pairs below the threshold are never linked.
 
@@ -31,6 +36,7 @@ from .common import components, saved
 
 PASSES, WINDOW, BITS, LEAST = 12, 32, 62, 0.98
 BLOCK = 480
+ROWS = 1000  # vectors of a group that are compared with others at a time
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
@@ -81,7 +87,8 @@ def keyed(classes: DataFrame, passes: int) -> DataFrame:
 
 
 def pairs(classes: DataFrame, passes: int = PASSES, window: int = WINDOW, least: float = LEAST) -> DataFrame:
-    """Distinct (a, b), a < b, of class representatives that some pass has found."""
+    """Distinct (a, b, hit) of class representatives that some pass has compared: those
+    found (a < b), and without a hit those where a's hits reach the end of its window, which holds b."""
     order = ["pass", "label", "dim", "key", "rep"]
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed(classes, passes).repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -112,12 +119,85 @@ def pairs(classes: DataFrame, passes: int = PASSES, window: int = WINDOW, least:
             head = int((same["pos"] < first).sum())
             i, j = np.nonzero(x[:head] @ x.T >= least)
             near = (j > i) & (j - i <= window)
+            i, j = i[near], j[near]
             rep = same["rep"].to_numpy()
-            found.append(np.sort(np.column_stack([rep[i[near]], rep[j[near]]]), 1))
-        out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]}).drop_duplicates()
+            out = np.sort(np.column_stack([rep[i], rep[j]]), 1)
+            found.append(pd.DataFrame({"a": out[:, 0], "b": out[:, 1], "hit": True}))
+            # one vector for all that its hits connect here, as any of the group will do
+            root = np.arange(len(rep))
+            while (root[i] != root[j]).any():
+                low = np.minimum(root[i], root[j])
+                np.minimum.at(root, i, low), np.minimum.at(root, j, low)
+            edge = np.unique(i[j - i > window - max(1, window // 4)])
+            x, y = (z.ravel() for z in np.broadcast_arrays(edge[:, None], edge[:, None] + np.arange(1, window + 1)))
+            x, y = x[y < len(rep)], y[y < len(rep)]
+            apart = root[x] != root[y]
+            found.append(pd.DataFrame({"a": rep[root[x[apart]]], "b": rep[y[apart]], "hit": False}))
+        return pd.concat(found).drop_duplicates()
+
+    return blocks.groupBy("block").applyInPandas(compare, "a long, b long, hit boolean").distinct()
+
+
+def crowded(classes: DataFrame, seen: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between groups and the vectors that only met the end of a window
+    there, one for each block of the group at least."""
+    told = groups.select(F.col("node").alias("rep"), "component")
+    asked = (
+        seen.where("not hit").join(told.select(F.col("rep").alias("a"), "component"), "a")
+        .join(told.select(F.col("rep").alias("b"), F.col("component").alias("own")), "b", "left")
+        .where("own is null or own <> component").select("component", "b").distinct()
+    )
+    asked = saved(asked, "asked")
+    sizes = told.join(asked.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.expr(f"(count(*) - 1) div {ROWS} + 1").alias("blocks"))
+    askers = asked.groupBy("component").agg(F.expr(f"(count(*) - 1) div {ROWS} + 1").alias("turns"))
+    cuts = saved(sizes.join(askers, "component"), "cuts")
+    vecs = classes.select("rep", "vec")
+    inside = told.join(cuts, "component").join(vecs, "rep").select(
+        "component", F.expr("pmod(xxhash64(rep), blocks)").alias("block"), F.explode(F.expr("sequence(0L, turns - 1)")).alias("turn"), "rep", "vec", F.lit(False).alias("asks"))
+    outside = asked.join(cuts, "component").join(vecs, asked["b"] == vecs["rep"]).select(
+        "component", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.expr("pmod(xxhash64(b), turns)").alias("turn"), "rep", "vec", F.lit(True).alias("asks"))
 
-    return blocks.groupBy("block").applyInPandas(compare, "a long, b long").distinct()
+    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+        asks = rows["asks"].to_numpy()
+        rep = rows["rep"].to_numpy()
+        if asks.all() or not asks.any():
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        hit = units(list(rows["vec"][asks])) @ units(list(rows["vec"][~asks])).T >= least
+        some = hit.any(1)
+        return pd.DataFrame({"a": rep[~asks][hit.argmax(1)[some]], "b": rep[asks][some]})
+
+    return inside.unionByName(outside).groupBy("component", "block", "turn").applyInPandas(compare, "a long, b long")
+
+
+def counted(classes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """(rep, others): the rows of other classes of the same group that each class links with."""
+    told = saved(groups.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "n", "vec"), "rep"), "groups")
+    sizes = told.groupBy("component").agg(F.expr(f"(count(*) - 1) div {ROWS} + 1").alias("blocks"))
+    small = max(1, told.count() // ROWS)  # small groups share a task's call
+    placed = told.join(sizes, "component").withColumn("block", F.expr("pmod(xxhash64(rep), blocks)"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
+        "component", "rep", "n", "vec", "block",
+        F.when(F.col("blocks") == 1, F.expr(f"-1 - pmod(xxhash64(component), {small})")).otherwise(F.col("component")).alias("place"),
+        (F.col("blocks") > 1).alias("large"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+    )
+
+    def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
+        _, _, lo, hi = key
+        found = []
+        for _, same in rows.groupby("component", sort=False):
+            n, rep, x = same["n"].to_numpy(), same["rep"].to_numpy(), units(list(same["vec"]))
+            if lo == hi:
+                hit = x @ x.T >= least
+                np.fill_diagonal(hit, False)
+                found.append((rep, hit @ n))
+            else:
+                first = (same["block"] == lo).to_numpy()
+                hit = x[first] @ x[~first].T >= least
+                found += [(rep[first], hit @ n[~first]), (rep[~first], n[first] @ hit)]
+        rep, others = (np.concatenate(z).astype(np.int64) for z in zip(*found))
+        return pd.DataFrame({"rep": rep, "others": others})
+
+    return placed.groupBy("large", "place", "lo", "hi").applyInPandas(compare, "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
 
 
 def near_duplicates(vectors: DataFrame, passes: int = PASSES, window: int = WINDOW, least: float = LEAST) -> DataFrame:
@@ -125,13 +205,15 @@ def near_duplicates(vectors: DataFrame, passes: int = PASSES, window: int = WIND
     ready = saved(prepared(vectors), "vectors")
     usable = "vec is not null and label is not null and vec_id is not null"
     classes = saved(ready.where(usable).groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    found = saved(pairs(classes, passes, window, least), "pairs")
-    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.select("rep", "n")
-    links = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("n").alias("others"))
+    seen = saved(pairs(classes, passes, window, least), "pairs")
+    found = seen.where("hit").select("a", "b")
     groups = components(found)
+    more = saved(crowded(classes, seen, groups, least), "crowded")
+    if not more.isEmpty():
+        groups = components(found.unionByName(more))
+    links = saved(counted(classes, groups, least), "counted")
     known = (
-        classes.join(links.withColumnRenamed("a", "rep"), "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+        classes.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
         .select("label", "vec", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
     linked = ready.where(usable).join(known, ["label", "vec"]).select("vec_id", "n_links", "component_id")
