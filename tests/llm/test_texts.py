@@ -266,6 +266,14 @@ def test_quality_learns_and_holds_out(spark):
     assert {x.score for x in none} == {0.5}
 
 
+def test_quality_learns_both_classes_of_repeated_ids(spark):
+    rows = [(i, f"BUY{i} NOW!! CLICK!! {j}") for i in range(10) for j in range(10)] + [(i, f"a quiet and plain sentence about place {i}.") for i in range(10, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i >= 10)) for i in range(20)], "doc_id long, y int")
+    got = {x.doc_id: x.score for x in quality.score(docs, quality.train(docs, marks, 20)).collect()}
+    assert min(got[i] for i in range(10, 20)) > max(got[i] for i in range(10))
+
+
 def test_language(spark):
     rows, r = [], random.Random(6)
     say = {"de": "der die und nicht schon einmal über straße".split(), "en": "the and of with this that through".split()}

@@ -99,10 +99,11 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float, float
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, float, float]:
-    """Fit a model on at most ``sample`` rows of ``docs`` that ``labels`` (doc_id, y) marks."""
+    """Fit a model on at most ``sample`` rows of ``docs`` that ``labels`` (doc_id, y) marks:
+    of rows that share a doc_id the one whose indicators have the least hash."""
     chosen = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
+    marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text", F.col("doc_id").cast("long").alias("doc_id"))
 
     def run(batches):
         for batch in batches:
@@ -111,10 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
                 row, at = indicators(data, starts)
                 cuts = np.searchsorted(row, np.arange(n + 1))
                 found = [at[a:b].astype("<i4").tobytes() for a, b in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_arrays([y.slice(lo, n).cast(pa.int32()), pa.array(found, pa.binary())], names=["y", "at"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, n), y.slice(lo, n).cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "y", "at"])
 
-    got = sorted((r["y"], bytes(r["at"])) for r in marked.mapInArrow(run, "y int, at binary").toLocalIterator())
-    got = got[: 2 * sample]  # doc_ids that several rows share
+    one = marked.mapInArrow(run, "doc_id long, y int, at binary").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("at").alias("h"), "at", "y")).alias("v"))
+    got = sorted((r["y"], bytes(r["at"])) for r in one.select("v.y", "v.at").toLocalIterator())
     return fit([np.frombuffer(x, "<i4").astype(np.int64) for _, x in got], np.array([y for y, _ in got], float))
 
 
