@@ -8,15 +8,19 @@ Intermediate tables go to the folder that the session names in
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE = 1 << 20  # bytes of text that are hashed at a time
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+SLICE = 1 << 18  # bytes of text that are hashed at a time
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 20}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -34,10 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared checkpoint folder (set only where it is unset)."""
+    """A new path under the shared folder that ``spark.checkpoint.dir`` names.  Where it is
+    unset, a local session gets a folder of its own; a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/vigil-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="vigil-checkpoints-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/vigil/{name}-{uuid.uuid4().hex}"
 
@@ -66,10 +73,29 @@ def id_column(df: DataFrame, name: str):
     return F.col(f"`{name}`")
 
 
+def tidy(run):
+    """A task's function that gives freed memory back to the system when it ends, as
+    Python workers live on between tasks."""
+
+    @wraps(run)
+    def with_end(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return with_end
+
+
 def texts(column: pa.Array) -> pa.Array:
-    """Strings without nulls, with 32-bit offsets where they fit."""
+    """Strings (or binary values) without nulls, with 64-bit offsets."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return column.cast(pa.large_binary()).fill_null(b"")
     return column.cast(pa.large_string()).fill_null("")
 
 
@@ -99,21 +125,20 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: dict[tuple[int, int], np.ndarray] = {}
+_powers: dict[int, np.ndarray] = {}
+KEPT = 1 << 19  # powers of a base that a worker keeps; a longer text gets its own
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    size = 1 << max(10, int(n).bit_length())
-    key = (base, size)
-    if key not in _powers:
-        x = np.full(size, base, np.uint64)
+    """base**0 .. base**(n-1) modulo 2**64, one table per base."""
+    if len(_powers.get(base, ())) < n:
+        x = np.full(max(1 << 10, 1 << int(n - 1).bit_length()) if n <= KEPT else n, base, np.uint64)
         x[0] = 1
-        out = np.multiply.accumulate(x)
-        if size > 1 << 22:
-            return out
-        _powers[key] = out
-    return _powers[key]
+        np.multiply.accumulate(x, out=x)
+        if n > KEPT:
+            return x
+        _powers[base] = x
+    return _powers[base][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -153,7 +178,7 @@ class Words:
         self.first[-1] = len(self.start)
         self.doc = np.repeat(np.arange(rows), np.diff(self.first))
         if n:
-            p = powers(_BASE, n)[:n]
+            p = powers(_BASE, n)
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(_VALUES[bytes_] * p, out=total[1:])
             inverse = powers(pow(_BASE, -1, 2**64), n)
@@ -174,7 +199,7 @@ class Words:
             for j in range(k):
                 h = h * _M(base) + self.hash[at + j]
             return at, mix(h + _M(k))
-        p = powers(base, n)[:n]
+        p = powers(base, n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.hash * p, out=total[1:])
         return at, mix((total[at + k] - total[at]) * powers(pow(base, -1, 2**64), n)[at] + _M(k))
@@ -183,7 +208,7 @@ class Words:
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node that each linked node reaches.
 
-    ``links``: two long columns a and b.  Alternates large-star and small-star
+    ``links``: two long columns a and b; a link with a null joins nothing.  Alternates large-star and small-star
     rounds (each keeps the components and contracts them towards their smallest
     node) until the set of links stays the same.  Each node's smallest
     neighbour is a partial aggregate, so a node with very many links is

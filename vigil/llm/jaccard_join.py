@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, components, mix, saved, slices
+from .common import Words, components, mix, saved, slices, tidy
 
 HOT_IN_TASK = 4  # documents of one task that a frequent shingle occurs in
 HOTTEST = 1 << 18  # frequent shingles that the order puts last
@@ -83,6 +83,7 @@ def frequent(docs: DataFrame, k: int, limit: int = HOTTEST) -> np.ndarray:
     """The shingles that most documents hold, counted over all texts; a shingle
     that few documents of every task hold isn't frequent.  At most ``limit``."""
 
+    @tidy
     def run(batches):
         held: dict = {"h": [], "n": []}
 
@@ -96,7 +97,7 @@ def frequent(docs: DataFrame, k: int, limit: int = HOTTEST) -> np.ndarray:
                 _, h, _ = shingles(data, starts, k)
                 held["h"].append(h), held["n"].append(np.ones(len(h), np.int64))
                 size += len(h)
-                if size > 1_500_000:
+                if size > 600_000:
                     h, n = merge()
                     over = n > 1  # what has come once in so many is let go
                     held["h"], held["n"], size = [h[over]], [n[over]], int(over.sum())
@@ -116,6 +117,7 @@ def points(docs: DataFrame, k: int, least: Fraction, hot: np.ndarray) -> DataFra
     held = docs.sparkSession.sparkContext.broadcast(hot)
     a, b = least.numerator, least.denominator
 
+    @tidy
     def run(batches):
         hot = held.value
         for batch in batches:
@@ -148,6 +150,7 @@ def sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     small = ids.limit(SENT + 1).count() <= SENT
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for lo, rows, data, starts in slices(batch.column(1)):
@@ -167,6 +170,7 @@ def overlaps(pairs: DataFrame, held: DataFrame) -> DataFrame:
     other = held.join(sent(pairs.select(F.col("a").alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias("a"), F.col("set").alias("x"))
     both = one.join(other, "a")
 
+    @tidy
     def run(batches):
         for batch in batches:
             x, y = batch.column(2), batch.column(3)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix, slices
+from .common import Words, mix, slices, tidy
 
 BITS = 16
 SIZE = 2 << BITS  # indicators: byte n-grams, then shape n-grams
@@ -105,6 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text", F.col("doc_id").cast("long").alias("doc_id"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             y = batch.column(0)
@@ -123,6 +124,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float, float], least:
     """(doc_id, score, predicted) of every whole text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches):
         weight, bias, slope, offset = held.value
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .automata import compile_rules
-from .common import id_column, texts
+from .common import id_column, texts, tidy
 
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]))
 
@@ -130,6 +130,7 @@ def scan(df: DataFrame, text: str = "text", to: str = "secrets", rules: tuple[Ru
     schema = StructType([*plain.schema, StructField(to, SPANS)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    @tidy
     def run(batches):
         s = scanner(rules)
         for batch in batches:
@@ -148,6 +149,7 @@ def redact(df: DataFrame, text: str = "text", secrets: str = "secrets", by: str
     """Replace each secret (overlapping ones together) in the text."""
     plain, kept = df, df.columns
 
+    @tidy
     def run(batches):
         for batch in batches:
             values = batch.column(kept.index(text)).to_pylist()

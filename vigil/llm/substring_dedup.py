@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, id_column, saved, slices
+from .common import Words, id_column, saved, slices, tidy
 
 WINDOW, PHRASE = 20, 8
 MOST_BITS = 1 << 28  # of the filter: 32 MB
@@ -59,6 +59,7 @@ def represented(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 def recurring(docs: DataFrame) -> DataFrame:
     """(h): representing phrases that occur more than once in all texts."""
 
+    @tidy
     def run(batches):
         def out(hs, ns):
             h, at = np.unique(np.concatenate(hs), return_inverse=True)
@@ -155,6 +156,7 @@ def windows(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     """(doc_id, start, h): the windows that a recurring phrase represents."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
+    @tidy
     def run(batches):
         for batch in batches:
             doc = batch.column(0)
@@ -191,6 +193,7 @@ def removed(docs: DataFrame, text: str = "kept", shown: bool = True) -> DataFram
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_column(docs, "text")).join(marked, "doc_id", "left")
     kind = "string" if shown else "binary"
 
+    @tidy
     def run(batches):
         for batch in batches:
             marks = batch.column(2).to_pylist()
