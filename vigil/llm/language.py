@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, saved, slices
+from .common import _LOWER, id_column, saved, slices, tidy
 
 BITS = 16
 SAMPLE = 4000  # labelled rows to learn trigrams from at most
@@ -31,7 +31,7 @@ TEMPER, MOST = 0.25, 60.0  # weight of a trigram; trigrams' total weight at most
 TRUST = 0.9  # share of declared languages that are right
 PULL = 20.0  # documents that a prior of the level above counts as
 LEAST = 0.5  # posterior to be accepted
-LONGEST_LIST = 200_000  # rejected rows that are sent to all tasks; more are joined by shuffling
+HOSTS = 200_000  # hosts whose priors are sent to all tasks; more are joined by shuffling
 
 
 _LETTER = np.zeros(256, bool)
@@ -58,6 +58,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     chosen = rows.orderBy("row").limit(sample).distinct()
     marked = docs.select("lang", "text", F.xxhash64(*docs.columns).alias("row")).join(F.broadcast(chosen), "row").select("lang", "text")
 
+    @tidy
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -88,6 +89,7 @@ def likelihoods(docs: DataFrame, model, declared, host, suffix, keep: list | Non
     schema = plain.drop("text").schema.add("grams", "long")
     ddl = schema.fieldNames()
 
+    @tidy
     def run(batches):
         table = held.value
         for batch in batches:
@@ -112,7 +114,7 @@ def priors(scored: DataFrame, langs: list[str]) -> DataFrame:
     """(host, suffix, prior): smoothed log shares of the languages on each host."""
     best = F.expr("array_position(ll, array_max(ll))")
     counts = [F.sum(F.when((best == i + 1) & (F.col("grams") > 0), 1.0).otherwise(0.0)).alias(f"c{i}") for i in range(len(langs))]
-    hosts = scored.groupBy("host", "suffix").agg(*counts)
+    hosts = saved(scored.groupBy("host", "suffix").agg(*counts), "hosts")
     sums = [F.sum(f"c{i}").alias(f"s{i}") for i in range(len(langs))]
     suffixes = hosts.groupBy("suffix").agg(*sums)
     top = hosts.agg(*[F.sum(f"c{i}") for i in range(len(langs))]).first()
@@ -126,12 +128,12 @@ def priors(scored: DataFrame, langs: list[str]) -> DataFrame:
     suffixes = suffixes.select("suffix", *[p.alias(f"p{i}") for i, p in enumerate(pulled("s", [F.lit(x) for x in share]))])
     joined = hosts.alias("h").join(suffixes.alias("u"), F.col("h.suffix").eqNullSafe(F.col("u.suffix")))
     prior = F.array(*[F.log(p) for p in pulled("c", [F.col(f"p{i}") for i in range(len(langs))])])
-    return joined.select(F.col("h.host").alias("host"), F.col("h.suffix").alias("suffix"), prior.alias("prior"))
+    joined = saved(joined.select(F.col("h.host").alias("host"), F.col("h.suffix").alias("suffix"), prior.alias("prior")), "priors")
+    return F.broadcast(joined) if joined.limit(HOSTS + 1).count() <= HOSTS else joined
 
 
-def fused(scored: DataFrame, langs: list[str]) -> DataFrame:
-    """Add lang, posterior and accepted to scored rows."""
-    host = priors(scored, langs)
+def fused(scored: DataFrame, host: DataFrame, langs: list[str]) -> DataFrame:
+    """Add lang, posterior and accepted to scored rows; host: the priors of hosts."""
     joined = scored.alias("d").join(host.alias("h"), F.expr("d.host <=> h.host and d.suffix <=> h.suffix")).select("d.*", "h.prior")
     names = F.array(*[F.lit(x) for x in langs])
     other = float(np.log((1 - TRUST) / max(1, len(langs) - 1)))
@@ -152,25 +154,29 @@ def report(docs: DataFrame) -> DataFrame:
     if not model[0]:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), none.alias("lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     scored = saved(likelihoods(docs, model, F.lower("lang"), F.col("source"), none, [F.col("doc_id").cast("long").alias("doc_id")]), "language")
-    return fused(scored, model[0]).select("doc_id", "lang", "posterior", "accepted")
+    return fused(scored, priors(scored, model[0]), model[0]).select("doc_id", "lang", "posterior", "accepted")
 
 
 def keep_accepted(docs: DataFrame) -> DataFrame:
-    """The accepted documents with all their columns.  Rows are told apart by a
-    hash of all columns; a short list of rejected rows goes to every task."""
+    """The accepted documents with all their columns, whatever these are named.  The texts
+    are read once for the priors and once more to judge each document where it lies."""
     model = train(docs)
     if not model[0]:
         return docs.where("false")
-    row, none = F.xxhash64(*docs.columns), F.lit(None).cast("string")
-    scored = saved(likelihoods(docs, model, F.lower("lang"), F.col("source"), none, [row.alias("_row")]), "language")
-    gone = saved(fused(scored, model[0]).where(~F.col("accepted")).select("_row").distinct(), "rejected")
-    small = gone.limit(LONGEST_LIST + 1).count() <= LONGEST_LIST
-    return docs.withColumn("_row", row).join(F.broadcast(gone) if small else gone, "_row", "left_anti").drop("_row").select(*docs.columns)
+    none = F.lit(None).cast("string")
+    host = priors(likelihoods(docs, model, F.lower("lang"), F.col("source"), none), model[0])
+    whole = F.struct(*[id_column(docs, c) for c in docs.columns]).alias("row")
+    judged = fused(likelihoods(docs, model, F.lower("lang"), F.col("source"), none, [whole]), host, model[0])
+    return judged.where("accepted").select("row.*")
 
 
 def pages_report(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per page: its language from the visible text, the html element's lang, the host and the address suffix."""
+    """Per page: its language from the visible text, the html element's lang, the host and
+    the address suffix.  A null page has no text and no declared language, a null address no
+    host; without a declared document no language is known and every page is rejected."""
     model = train(docs)
+    if not model[0]:
+        return pages.select("page_id", "url", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
@@ -178,6 +184,4 @@ def pages_report(pages: DataFrame, docs: DataFrame) -> DataFrame:
     scored = saved(
         likelihoods(plain, model, F.col("_declared"), F.col("_host"), F.element_at(F.split("_host", r"\."), -1), [F.col("page_id"), F.col("url")]), "language"
     )
-    return fused(scored, model[0]).select("page_id", "url", "lang", "posterior", "accepted")
-
-
+    return fused(scored, priors(scored, model[0]), model[0]).select("page_id", "url", "lang", "posterior", "accepted")
