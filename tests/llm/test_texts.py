@@ -8,6 +8,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -110,7 +111,6 @@ def test_one_of_each_keeps_columns(docs):
 
 def test_token_files(docs):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = token_files.digests(docs, P.path("word_bpe_49k.json")).collect()
     assert len(got) == docs.count()
     texts, start = distinct(docs), 0
@@ -120,6 +120,16 @@ def test_token_files(docs):
         start += len(ids)
 
 
+def test_token_ids_are_the_librarys():
+    t, r = Tokenizer.from_file(P.path("word_bpe_49k.json")), random.Random(5)
+    signs = [*"abcABC .,.,  \n\t'-()!?0129İßéΣς\u0338\u0307ªⅧ中한가\U0001f600\xa0\x1c\x85_", "e\u0301", "h\u0331", "H\u0331", "'s", "'LL", "<|endoftext|>", "<|EndOfText|>", "</w>", "a</w>"]
+    values = ["".join(r.choice(signs) for _ in range(r.randint(0, 25))) for _ in range(20_000)]
+    values += ["Sayı İ. Melih", "ABİ, geldi", "a <|endoftext|> b", "", "x" * 5000, "wort " * 5000]
+    got = token_files.encode_texts(pa.array(values), P.path("word_bpe_49k.json"), 2).to_pylist()
+    want = [np.array([*e.ids, 2], "<u4").tobytes() for e in t.encode_batch_fast(values, add_special_tokens=False)]
+    assert got == want
+
+
 def test_packing_round_trip():
     r = np.random.default_rng(1)
     rows = [r.integers(0, 2 ** int(b), size=int(n), dtype=np.uint64).astype(np.uint32) for b, n in zip(r.integers(1, 33, 60), r.integers(0, 30, 60))]

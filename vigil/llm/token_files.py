@@ -12,82 +12,144 @@ ahead counts the ids of the part's blocks before this one;
 ``parts`` (part, n_ids, before): ids of each part and of all parts before it;
 ``ranks`` (rank, id): the dictionary, at most one row per id of the vocabulary.
 
-Defined cases: a null or empty text has only the end id; repeated doc_ids stay
-separate, ordered by their ids' bytes; documents with a null doc_id come first.
+Parts are cut by quantiles of doc_id, which are found from that column alone, and
+every row carries its part's number.
+
+Defined cases: a null or empty text has only the end id; a very long text has a block
+of its own; repeated doc_ids stay separate, ordered by their coded bytes (equal ones
+can't be told apart); documents with a null doc_id come first; without documents the
+tables are empty; other columns of the documents, whatever their names, play no part.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import delete, saved, scratch, texts
+from .common import delete, saved, scratch, slices, texts, tidy
 
-CACHED = 800_000  # words that a worker remembers
+CACHED = 500_000  # runs of characters that a task remembers
+BYTES = 4 << 20  # of text that is tokenised at a time
 NO_ID = -(2**63)  # in the files, of a document whose doc_id is null
 BLOCKS = "part long, block long, ahead long, n_ids long, doc_ids binary, sizes binary, control binary, data binary"
 BLOCK = 1 << 18  # ids in a block of documents; a longer document has a block of its own
-_seen: dict[str, dict[str, bytes]] = {}
+ENDS = "</w>"  # of the tokens that end a word
+#: Words of letters that stay single letters when the tokenizer composes and lower-cases them.
+LETTERS = "^[a-zA-ZÀ-ÖØ-öø-įı-ɏ]+$"
+TOGETHER = 256  # words of letters that the tokenizer gets in one text
 
 
 @lru_cache(2)
 def tokenizer(path: str):
+    """(tokenizer, the same for lower-cased words between spaces, whether each id ends a
+    word, the strings of added tokens)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
-
-
-def encode_texts(values: list[str], path: str, end: int) -> list[bytes]:
-    """Ids of each text and the end id, as little-endian unsigned 32-bit integers.
-
-    The tokenizer lower-cases, drops white space and treats each word, number and run
-    of signs on its own, so it is given each distinct run between spaces once per
-    worker; commas and full stops after letters and digits are set apart first."""
-    t, seen = tokenizer(path), _seen.setdefault(path, {})
-    tail, out = end.to_bytes(4, "little"), []
-    for lo in range(0, len(values), 512):
-        if len(seen) > CACHED:
-            seen.clear()
-        runs = [cut(v) for v in values[lo : lo + 512]]
-        new = [x for x in set().union(*runs) if x not in seen]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for x, e in zip(some, t.encode_batch_fast(some, add_special_tokens=False)):
-                seen[x] = np.array(e.ids, "<u4").tobytes()
-        get = seen.__getitem__
-        out += [b"".join(map(get, x)) + tail for x in runs]
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    t, words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    words.normalizer = normalizers.Sequence([])
+    words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    vocabulary = t.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for x, i in vocabulary.items() if x.endswith(ENDS)]] = True
+    return t, words, ends, [x.content for x in t.get_added_tokens_decoder().values()]
+
+
+def encode_words(new: list[str], path: str) -> list[bytes]:
+    """Ids of words of letters.  Each is one piece for the tokenizer, so many of them make
+    one text, whose ids are parted after those that end a word."""
+    t, plain, ends, _ = tokenizer(path)
+    groups, out = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)], []
+    for some, e in zip(groups, plain.encode_batch_fast([" ".join(g).lower() for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, "<u4")
+        cuts = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+        if len(cuts) == len(some):
+            ids = ids.tobytes()
+            out += [ids[a:b] for a, b in zip([0, *cuts], cuts)]
+        else:
+            out += encode_others(some, path)
     return out
 
 
-_SIGNS = re.compile(r"[\W_][.,]")
-
-
-def cut(text: str) -> list[str]:
-    text = text.encode().lower().decode()  # A to Z only
-    if _SIGNS.search(text) is None:
-        text = text.replace(",", " ,").replace(".", " .")
-    return text.replace("\n", " ").split(" ")
+def encode_others(new: list[str], path: str) -> list[bytes]:
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer(path)[0].encode_batch_fast(new, add_special_tokens=False)]
+
+
+class Seen:
+    """Ids of the runs that a task has met, at most ``CACHED`` of them and those of one
+    batch: of two halves the older one goes when the newer one is full."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, runs: list[str], encode) -> list[bytes]:
+        if 2 * len(self.new) > CACHED:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        missing = [x for x in runs if x not in new]
+        if old:
+            new.update((x, old[x]) for x in missing if x in old)
+            missing = [x for x in missing if x not in old]
+        new.update(zip(missing, encode(missing)))
+        return [new[x] for x in runs]
+
+
+def encode_texts(column: pa.Array, path: str, end: int, seen: Seen | None = None) -> pa.Array:
+    """Ids of each text and the end id, in binary: little-endian unsigned 32-bit integers.
+
+    The tokenizer drops white space and no piece of a text goes across spaces, nor from a
+    plain letter or digit on to a comma or full stop, so each distinct run between such
+    places is tokenised once.  A text that may hold an added token's string is tokenised
+    whole.  seen: runs that are known already; it gets the new ones."""
+    added, seen = tokenizer(path)[3], seen or Seen()
+    column = texts(column)
+    whole = np.zeros(len(column), bool)
+    for x in added:
+        whole |= np.asarray(pc.match_substring(column, x, ignore_case=True))
+    cut = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), column) if whole.any() else column
+    cut = pc.replace_substring(pc.replace_substring_regex(cut, "([A-Za-z0-9])([.,])", r"\1 \2"), "\n", " ")
+    parts = pc.split_pattern(cut, " ")
+    coded = parts.flatten().dictionary_encode()
+    words, plain = coded.dictionary.to_numpy(zero_copy_only=False), np.asarray(pc.match_substring_regex(coded.dictionary, LETTERS))
+    ids = np.empty(len(words), object)
+    ids[plain] = seen.ids(words[plain].tolist(), lambda new: encode_words(new, path))
+    ids[~plain] = seen.ids(words[~plain].tolist(), lambda new: encode_others(new, path))
+    ids = ids.tolist()
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    index = np.asarray(coded.indices)
+    count = size[index]
+    before = np.concatenate([[0], np.cumsum(count)])
+    start = (np.cumsum(size) - size)[index]
+    every = flat[np.arange(before[-1]) + np.repeat(start - before[:-1], count)]
+    last = before[np.asarray(parts.offsets).astype(np.int64)]  # where each text's ids end, and the first one's begin
+    every = np.insert(every, last[1:], np.uint32(end))
+    cuts = (last - last[0] + np.arange(len(last))) * 4
+    out = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(every.astype("<u4"))])
+    if whole.any():
+        tail = end.to_bytes(4, "little")
+        full = encode_others([column[int(i)].as_py() for i in np.flatnonzero(whole)], path)
+        out = pc.replace_with_mask(out, pa.array(whole), pa.array([x + tail for x in full], pa.large_binary()))
+    return out.cast(pa.binary())
 
 
 def tokenize(docs: DataFrame, path: str, end: int) -> DataFrame:
     """(doc_id, ids): the ids of each text, with the end id, in binary."""
 
+    @tidy
     def run(batches):
+        seen = Seen()
         for batch in batches:
-            values = texts(batch.column(1)).to_pylist()
-            step = max(1, int(len(values) * 4e6 // (1 + sum(map(len, values)))))
-            for lo in range(0, len(values), step):
-                ids = encode_texts(values[lo : lo + step], path, end)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, step), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for lo, n, _, _ in slices(batch.column(1), BYTES):
+                ids = encode_texts(batch.column(1).slice(lo, n), path, end, seen)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), ids], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -95,6 +157,7 @@ def tokenize(docs: DataFrame, path: str, end: int) -> DataFrame:
 def counted(tokens: DataFrame) -> DataFrame:
     """(id, n): how often each id occurs in all documents, summed within batches first."""
 
+    @tidy
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
@@ -157,6 +220,9 @@ def unpack(control: bytes, data: bytes, count: np.ndarray) -> np.ndarray:
 def write(docs: DataFrame, path: str, to: str, end: int = 2) -> None:
     """Tokenise ``docs`` and write the folder ``to``."""
     spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = docs.select(F.col("doc_id").cast("double").alias("doc_id"))
+    bounds = np.unique(known.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else [])
     tokens = saved(tokenize(docs, path, end), "tokens")
     # one row per id of the vocabulary at most, whatever the corpus holds
     ranks = counted(tokens).select((F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).alias("rank"), "id")
@@ -166,20 +232,22 @@ def write(docs: DataFrame, path: str, to: str, end: int = 2) -> None:
     rank[ids] = np.arange(len(ids))
     rank_of = spark.sparkContext.broadcast(rank)
 
+    @tidy
     def code(batches):
         for batch in batches:
             for lo, ids, offsets in runs(batch.column(1)):
                 coded = pack(rank_of.value[ids], offsets)
                 sizes = np.diff(offsets)
+                docs = batch.column(0).slice(lo, len(sizes))
+                part = np.where(np.asarray(docs.is_null()), 0, np.searchsorted(bounds, np.asarray(docs.fill_null(0)).astype(float), "right"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, len(sizes)), pa.array(sizes), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                    names=["doc_id", "size", "control", "data"],
+                    [pa.array(part.astype(np.int32)), docs, pa.array(sizes), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
+                    names=["part", "doc_id", "size", "control", "data"],
                 )
 
+    @tidy
     def block(batches):
-        from pyspark import TaskContext
-
-        part, number, ahead, held, n = TaskContext.get().partitionId(), 0, 0, [], 0
+        part, number, ahead, held, n = None, 0, 0, [], 0
         names = BLOCKS.replace(" long", "").replace(" binary", "").split(", ")
 
         def flush():
@@ -189,7 +257,11 @@ def write(docs: DataFrame, path: str, to: str, end: int = 2) -> None:
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=names)
 
         for batch in batches:
-            for doc, size, control, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for mine, doc, size, control, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if mine != part:
+                    if held:
+                        yield flush()
+                    part, number, ahead, held, n = mine, 0, 0, [], 0
                 held.append(((NO_ID if doc is None else doc).to_bytes(8, "little", signed=True), size, control, data))
                 n += size
                 if n >= BLOCK:
@@ -198,9 +270,8 @@ def write(docs: DataFrame, path: str, to: str, end: int = 2) -> None:
         if held:
             yield flush()
 
-    coded = tokens.mapInArrow(code, "doc_id long, size long, control binary, data binary")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = coded.repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "data")
+    coded = tokens.mapInArrow(code, "part int, doc_id long, size long, control binary, data binary")
+    ordered = coded.repartitionById(n, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "data", "control")
     # each document's values start at a control byte of their own, so blocks are documents' bytes one after the other
     ordered.mapInArrow(block, BLOCKS).write.option("compression", "none").parquet(f"{to}/blocks")
     delete(tokens)
@@ -219,6 +290,7 @@ def read(spark, path: str) -> DataFrame:
     parts = spark.read.parquet(f"{path}/parts")  # a row per part of the files, so it can be sent to all
     blocks = spark.read.parquet(f"{path}/blocks").join(F.broadcast(parts.select("part", "before")), "part")
 
+    @tidy
     def run(batches):
         for batch in batches:
             for first, docs, sizes, control, data in zip(*(c.to_pylist() for c in batch.columns)):
