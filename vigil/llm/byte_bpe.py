@@ -7,8 +7,9 @@ hashed table gives for all pairs at once, and the merged column is compacted
 away.  Ranks are ids, as in rank files.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated
-rows give repeated results; ids that are null decode to no bytes; all other
-columns are kept as they are, and a result column of the same name replaces one.
+rows give repeated results, and there are no ties to break; ids that are null decode
+to no bytes; a very long text is coded whole; an empty table gives an empty one; all
+other columns are kept as they are, and a result column of the same name replaces one.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, texts
+from .common import id_column, slices, texts, tidy
 
 NONE = np.int32(2**31 - 1)
 WIDE = 64  # longer pieces are merged one by one, all pairs of the lowest rank at once
-CACHED = 300_000  # pieces that a task remembers
+CACHED = 100_000  # pieces that a task remembers
+BYTES = 2 << 20  # of text that is coded at a time
 
 
 class Ranks:
@@ -222,45 +224,53 @@ def encode_texts(values: list[str], path: str, pattern: str, seen: dict[str, byt
     return out
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """Add the ids of each text as a binary column of little-endian unsigned
-    32-bit integers.  path: a rank file that every executor can open."""
-    kept = [c for c in df.columns if c != to]
-    schema = df.select(*[id_column(df, c) for c in kept]).schema.add(to, "binary")
+def recoded(df: DataFrame, path: str, pattern: str, text: str | None, ids: str | None, decoded: str | None) -> DataFrame:
+    """Add what is asked for: ids of the texts, bytes of the ids.  Both together take one Python task."""
+    added = [c for c, asked in ((ids, text is not None), (decoded, decoded is not None)) if asked]
+    kept = [c for c in df.columns if c not in added]
+    schema = df.select(*[id_column(df, c) for c in kept]).schema
+    for c in added:
+        schema = schema.add(c, "binary")
+    source = kept.index(ids if text is None else text)
 
+    @tidy
     def run(batches):
         seen: dict[str, bytes] = {}
         for batch in batches:
-            values = texts(batch.column(kept.index(text))).to_pylist()
-            step = max(1, int(len(values) * 2e6 // (1 + sum(map(len, values)))))
-            for lo in range(0, len(values), step):
-                part = batch.slice(lo, step)
-                new = pa.array(encode_texts(values[lo : lo + step], path, pattern, seen), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, new], names=[*part.schema.names, to])
+            for lo, n, _, _ in slices(batch.column(source), BYTES):
+                part, new = batch.slice(lo, n), []
+                if text is None:
+                    coded = [x.as_py() or b"" for x in part.column(source)]
+                else:
+                    coded = encode_texts(texts(part.column(source)).to_pylist(), path, pattern, seen)
+                    new.append(pa.array(coded, pa.binary()))
+                if decoded is not None:
+                    token = ranks(path, pattern).token
+                    new.append(pa.array([b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in coded], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.fieldNames())
 
     return df.select(*[id_column(df, c) for c in kept]).mapInArrow(run, schema)
 
 
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", to: str = "ids") -> DataFrame:
+    """Add the ids of each text as a binary column of little-endian unsigned
+    32-bit integers.  path: a rank file that every executor can open."""
+    return recoded(df, path, pattern, text, to, None)
+
+
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Add the bytes that the ids stand for."""
-    kept = [c for c in df.columns if c != to]
-    schema = df.select(*[id_column(df, c) for c in kept]).schema.add(to, "binary")
+    return recoded(df, path, pattern, None, ids, to)
 
-    def run(batches):
-        for batch in batches:
-            token = ranks(path, pattern).token
-            column, out = batch.column(kept.index(ids)), []
-            for x in column:
-                x = x.as_py() or b""
-                out.append(b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, to])
 
-    return df.select(*[id_column(df, c) for c in kept]).mapInArrow(run, schema)
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """Add the ids of each text and the bytes that these ids stand for."""
+    return recoded(df, path, pattern, text, ids, to)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: the count and SHA-256 of its ids, and the SHA-256 of what they decode to."""
-    coded = decode(encode(docs.select("doc_id", "text"), path, pattern).select("doc_id", "ids"), path, pattern)
+    coded = round_trip(docs.select("doc_id", "text"), path, pattern)
     return coded.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
