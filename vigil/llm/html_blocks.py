@@ -18,6 +18,7 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html iframe legend li main menu nav noframes ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
+AREAS = frozenset("article main nav aside header footer form section".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template title head iframe object textarea select option svg math canvas audio video".split())
 #: Elements that an opening element of the key ends, if they are the innermost block.
@@ -128,13 +129,17 @@ def features(found: list[tuple[str, tuple, float]]) -> list[np.ndarray]:
                 names.add(f"under {depth} {tag}")
             names.update(f"named {t}" for t in tokens)
         words = text.split(" ")
+        if n == 1:
+            names.add("alone")
+        area = next((tag for tag, _ in reversed(above) if tag in AREAS), "none")
+        names |= {f"area {area}", f"area {area} linked {int(4 * linked)}", f"area {area} words {min(8, len(words).bit_length())}", f"area {area} ends {text[-1] in '.!?'}"}
         names.add(f"words {min(8, len(words).bit_length())}")
         names.add(f"linked {int(4 * linked)}")
         names.add("ends" if text[-1] in ".!?\"'»”…:" else "open")
         names.add(f"points {min(3, sum(text.count(c) for c in '.,;!?'))}")
         names.add("sign" if re.search(r"[©®™»›•·]", text) else "plain")
         names.add(f"digits {min(3, 8 * sum(c.isdigit() for c in text) // len(text))}")
-        names.update(f"word {w}" for w in _TOKEN.findall(text.lower()[:200])[:12] if w in TELLING)
+        names.update(f"word {w}" for w in _TOKEN.findall(text.lower()) if w in TELLING)
         out.append(np.array(sorted({_slot(x) for x in names})))
     return out
 

@@ -7,7 +7,9 @@ labelled pages, and the best labels of a page are found by Viterbi's algorithm.
 
 The labelled pages are made by rule (``labelled_pages``): layouts of articles,
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments,
-with invented words, so that their labels are known.
+with invented words, so that their labels are known.  Some have no container around
+the article, containers with invented names, names in other languages, lines parted
+by br, or lists of links that belong to the article.
 
 Defined cases: a null or empty page, or one without visible text, gives an empty
 text; malformed markup is read as far as it goes; repeated rows give repeated
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import texts
 from .html_blocks import SIZE, blocks, features
 
-PAGES, STEPS = 500, 60  # labelled pages; gradient steps
+PAGES, STEPS = 800, 60  # labelled pages; gradient steps
 
 
 def labelled_pages(n: int = PAGES, seed: int = 11) -> list[tuple[str, set[str]]]:
@@ -48,21 +50,24 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[tuple[str, set[str]]]
         return " ".join(sentence() for _ in range(r.randint(1, 6)))
 
     def named(*names):
-        return r.choice(["", "", *(f' class="{x}"' for x in names), *(f' id="{x}"' for x in names)])
+        return r.choice(["", "", f' class="{word()}"', *(f' class="{x}"' for x in names), *(f' id="{x}"' for x in names)])
+
+    def name(*names):
+        return r.choice([*names, *names, word()])
 
     def links(a, b):
         return [f'<a href="/{word()}">{phrase(1, 3)}</a>' for _ in range(r.randint(a, b))]
 
     def menu():
         items = "".join(f"<li>{x}</li>" for x in links(3, 9))
-        return r.choice([f"<nav{named('menu', 'navbar', 'breadcrumb')}><ul>{items}</ul></nav>", f'<div class="{r.choice(["nav", "menu", "top-menu", "navigation"])}"><ul>{items}</ul></div>', f"<nav>{' '.join(links(3, 8))}</nav>"])
+        return r.choice([f"<nav{named('menu', 'navbar', 'breadcrumb')}><ul>{items}</ul></nav>", f'<div class="{name("nav", "menu", "top-menu", "navigation", "hauptmenue", "navigation-principale", "navegacion")}"><ul>{items}</ul></div>', f"<nav>{' '.join(links(3, 8))}</nav>"])
 
     def aside():
         inner = r.choice([f"<h3>{phrase(1, 4)}</h3><ul>{''.join(f'<li>{x}</li>' for x in links(2, 6))}</ul>", f"<h4>{r.choice(['Related', 'Popular', 'Tags', phrase(1, 3)])}</h4><p>{passage()}</p>"])
-        return r.choice([f"<aside{named('sidebar', 'related')}>{inner}</aside>", f'<div class="{r.choice(["sidebar", "widget", "related", "rail", "promo"])}">{inner}</div>'])
+        return r.choice([f"<aside{named('sidebar', 'related')}>{inner}</aside>", f'<div class="{r.choice(["sidebar", "widget", "related", "rail", "promo", "seitenleiste", "barra-lateral", "colonne"])}">{inner}</div>'])
 
     def advert():
-        return f'<{(t := r.choice(["div", "div", "section", "aside"]))} class="{r.choice(["ad", "ads", "advert", "advertisement", "sponsored", "banner", "ad-slot", "promo"])}">{r.choice([sentence(), passage(), phrase(2, 6)])}</{t}>'
+        return f'<{(t := r.choice(["div", "div", "section", "aside"]))} class="{r.choice(["ad", "ads", "advert", "advertisement", "sponsored", "banner", "ad-slot", "promo", "anzeige", "werbung", "publicidad", "publicite"])}">{r.choice([sentence(), passage(), phrase(2, 6)])}</{t}>'
 
     def notice():
         return f'<div {r.choice(["class", "id"])}="{r.choice(["cookie", "cookie-notice", "consent", "notice", "gdpr", "popup", "modal", "alert", "newsletter", "subscribe"])}">{r.choice(["", "<p>"])}{r.choice(["We use cookies. ", "Accept our policy. ", "Subscribe to the newsletter. ", ""])}{passage()}{r.choice(["", "<button>OK</button>"])}</div>'
@@ -71,16 +76,16 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[tuple[str, set[str]]]
         return f"<form{named('search', 'login', 'signup')}><label>{phrase(1, 3)}</label><input name=q><p>{sentence()}</p><button>{phrase(1, 2)}</button></form>"
 
     def comments():
-        kind = r.choice(["comments", "comment-list", "responses", "discussion", "replies", "reader-comments"])
+        kind = r.choice(["comments", "comment-list", "responses", "discussion", "replies", "reader-comments", "kommentare", "commentaires", "comentarios"])
         one = lambda: f'<{(t := r.choice(["div", "li", "article"]))} class="{r.choice(["comment", "reply", "response"])}"><b>{phrase(1, 2)}</b><p>{passage()}</p></{t}>'
         return f'<{(t := r.choice(["section", "div", "ol"]))} {r.choice(["class", "id"])}="{kind}"><h3>{r.choice(["Comments", phrase(1, 2)])}</h3>{"".join(one() for _ in range(r.randint(1, 5)))}</{t}>'
 
     def footer():
         inner = r.choice(["&copy; ", "© ", ""]) + phrase(1, 3) + r.choice([" &middot; ", " | ", " "]) + r.choice([sentence(), passage(), " ".join(links(2, 5))])
-        return r.choice([f"<footer{named('footer', 'site-footer')}>{inner}</footer>", f'<div {r.choice(["class", "id"])}="{r.choice(["footer", "copyright", "bottom", "legal"])}"><p>{inner}</p></div>'])
+        return r.choice([f"<footer{named('footer', 'site-footer')}>{inner}</footer>", f'<div {r.choice(["class", "id"])}="{r.choice(["footer", "copyright", "bottom", "legal", "fusszeile", "pied-de-page", "pie"])}"><p>{inner}</p></div>'])
 
     def header():
-        return r.choice([f"<header{named('site-header', 'masthead')}><div>{phrase(1, 4)}</div><p>{sentence()}</p></header>", f'<div class="{r.choice(["header", "topbar", "masthead"])}"><span>{phrase(1, 4)}</span></div>'])
+        return r.choice([f"<header{named('site-header', 'masthead')}><div>{phrase(1, 4)}</div><p>{sentence()}</p></header>", f'<div class="{r.choice(["header", "topbar", "masthead", "kopfzeile", "entete", "cabecera"])}"><span>{phrase(1, 4)}</span></div>'])
 
     out = []
     for _ in range(n):
@@ -109,19 +114,30 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[tuple[str, set[str]]]
                 body.append(keep(f"<blockquote>{r.choice(['', '<p>'])}{p}</blockquote>"))
             elif kind < 0.93:
                 body.append(keep(f"<pre>{p}</pre>"))
-            elif kind < 0.96:
+            elif kind < 0.95:
                 body.append(keep(f"<div>{p}</div>"))
+            elif kind < 0.965:
+                body.append(keep(f"<{(t := r.choice(['ul', 'ol']))}>{''.join(f'<li>{x}</li>' for x in links(3, 30))}</{t}>"))
             else:
                 body.append(r.choice([advert, aside, notice, form])())
         title = keep(f"<h1{named('title', 'headline')}>{r.choice([phrase(2, 12).capitalize(), sentence()])}</h1>")
         middle = r.choice([title, title, f"<header>{title}</header>"]) + "".join(body)
-        tag, names = r.choice([("article", ("post", "entry")), ("article", ()), ("article", ("story",)), ("main", ("content",)), ("div", ("content", "article-body", "post-content", "main", "entry-content", "story"))])
+        tag, names = r.choice([("article", ("post", "entry")), ("article", ()), ("article", ("story",)), ("main", ("content",)), ("div", ("content", "article-body", "post-content", "main", "entry-content", "story", "inhalt", "beitrag", "contenu", "contenido", word())), ("", ())])
         attr = named(*names) if names and tag != "div" else f' class="{r.choice(names)}"' if names else ""
-        middle = f"<{tag}{attr}>{middle}{comments() if r.random() < 0.1 else ''}</{tag}>"
+        kind = r.random()
+        if kind < 0.06:  # paragraphs alone, or lines in the container
+            middle = keep("".join(f"<p>{passage()}</p>" for _ in range(r.randint(1, 5))))
+        elif kind < 0.14 and tag:
+            line = r.choice([sentence, passage, lambda: phrase(1, 5)])
+            middle = keep(r.choice(["", f"<h2>{phrase(1, 6)}</h2>"]) + "<br>".join(line() for _ in range(r.randint(2, 6))))
+        remarks = comments() if r.random() < 0.1 else ""
+        middle = f"<{tag}{attr}>{middle}{remarks}</{tag}>" if tag else middle
         before = [f() for f in (header, menu, notice, advert, form) if r.random() < 0.45]
         after = [f() for f in (advert, aside, comments, menu, notice, form, footer) if r.random() < 0.4]
         if r.random() < 0.3:
             before.append(aside())
+        if kind < 0.14 and r.random() < 0.4:  # the article is all
+            before, after = [], []
         r.shuffle(before)
         head = f"<head><title>{phrase(2, 6)}</title><style>p{{x:y}}</style><script>var t='</p>';</script></head>"
         out.append((f"<!DOCTYPE html><html>{head}<body>{''.join(before)}{middle}{''.join(after)}{r.choice(['</body></html>', ''])}", main))
