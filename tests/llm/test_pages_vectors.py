@@ -49,6 +49,41 @@ def test_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+#: Layouts written by hand, which the generator of labelled pages doesn't make: (page, main blocks).
+LAYOUTS = [
+    ("<body><p>Uno dos tres cuatro cinco.</p><p>Seis siete ocho nueve diez.</p></body>", ["Uno dos tres cuatro cinco.", "Seis siete ocho nueve diez."]),
+    ("<div class=content>line a<br>line b</div>", ["line a line b"]),
+    ("<nav><a href=/>Home</a> <a href=/a>All</a></nav><main><h1>Sources</h1><p>These are the sources of the text, in order.</p><ul>" + "".join(f"<li><a href=/{i}>Source number {i}</a></li>" for i in range(30)) + "</ul><p>The list ends here, and so does this page.</p></main>",
+     ["Sources", "These are the sources of the text, in order.", *[f"Source number {i}" for i in range(30)], "The list ends here, and so does this page."]),
+    ("<div class='kopfzeile'><span>Die Zeitung</span></div><div class='hauptmenue'><ul><li><a href=/1>Politik</a></li><li><a href=/2>Sport</a></li><li><a href=/3>Kultur</a></li></ul></div><div class='beitrag'><h1>Der Fluss steigt</h1><p>Seit Tagen regnet es, und der Fluss steigt weiter.</p><p>Die Stadt hat die Brücke gesperrt.</p></div><div class='fusszeile'><p>© Die Zeitung | Impressum</p></div>",
+     ["Der Fluss steigt", "Seit Tagen regnet es, und der Fluss steigt weiter.", "Die Stadt hat die Brücke gesperrt."]),
+    ("<div class=zq><h1>A walk</h1><p>We left the house early, before it was light.</p><p>It was cold, and nobody spoke.</p></div><aside class=sidebar><h3>Popular</h3><ul><li><a href=/x>One thing</a></li><li><a href=/y>Another thing</a></li></ul></aside><footer>© 2020 Walks</footer>",
+     ["A walk", "We left the house early, before it was light.", "It was cold, and nobody spoke."]),
+    ("<article><h1>Bread</h1><p>Flour, water and salt are enough.</p><div class=ad>Buy our new oven today.</div><p>Let it rest for a night.</p></article><section class=comments><h3>Comments</h3><div class=comment><b>Ann</b><p>I tried this and it was good.</p></div></section>",
+     ["Bread", "Flour, water and salt are enough.", "Let it rest for a night."]),
+    ("<div id=cookie-notice><p>We use cookies. Accept our policy.</p><button>OK</button></div><article><h2>Short</h2><p>One line only.</p></article>", ["Short", "One line only."]),
+    ("<header><div>The Site</div><nav><ul><li><a href=/>Start</a></li><li><a href=/b>Blog</a></li></ul></nav></header><main><article><header><h1>On rain</h1></header><blockquote><p>It falls on all alike.</p></blockquote><pre>mm = 3</pre></article></main><form class=search><label>Search</label><input name=q></form>",
+     ["On rain", "It falls on all alike.", "mm = 3"]),
+    ("<div class=contenido><h1>El mar</h1><p>El mar estaba en calma aquella mañana, y salimos.</p><ol><li>Remos</li><li>Red</li><li>Pan</li></ol></div><div class=publicidad>Compre ahora.</div><div class=pie><p>© Diario</p></div>",
+     ["El mar", "El mar estaba en calma aquella mañana, y salimos.", "Remos", "Red", "Pan"]),
+    ("<html><head><title>x</title><script>var a='<p>no</p>'</script></head><body><div class=menu><ul><li><a href=/1>A</a></li><li><a href=/2>B</a></li><li><a href=/3>C</a></li></ul></div><div class=story><h1>Glass &amp; sand</h1><p>Sand melts at a heat that few ovens reach.</p></div>",
+     ["Glass & sand", "Sand melts at a heat that few ovens reach."]),
+]
+
+
+def test_pages_of_other_layouts():
+    field = html_extract.model()
+    assert [html_extract.main_text(page, field) for page, _ in LAYOUTS] == ["\n\n".join(main) for _, main in LAYOUTS]
+
+
+def test_long_and_repeated_pages(spark):
+    passages = [f"Absatz {i} ist lang genug, und er hat ein Komma." for i in range(20_000)]
+    page = "<nav><a href=/>Start</a></nav><article><h1>Ein Titel</h1>" + "".join(f"<p>{x}</p>" for x in passages) + "</article><footer>© Haus</footer>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, "u", page)], "page_id long, url string, html string")
+    got = html_extract.extract(df).collect()
+    assert len(got) == 3 and {r.text for r in got} == {"\n\n".join(["Ein Titel", *passages])}
+
+
 def brute(vectors, labels, least):
     x = vectors / np.sqrt((vectors**2).sum(1, keepdims=True))
     near = (x @ x.T >= least) & (labels[:, None] == labels)
@@ -89,6 +124,29 @@ def test_embeddings_of_a_large_group(spark):
     assert {got[i].component_id for i in range(3000)} == {0}
 
 
+def test_embeddings_of_a_group_with_cores_and_outer_vectors(spark):
+    # most vectors lie near the centre, some so far out that they link with a part of the group only; copies count
+    r = np.random.default_rng(8)
+    base = r.normal(size=(1, 24))
+    spread = np.concatenate([np.full(1800, 0.05), np.full(700, 0.16)])[:, None]
+    vectors = base + spread * r.normal(size=(2500, 24))
+    vectors[1700:1800] = vectors[0]
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label string").repartition(5)
+    got = {x.vec_id: x for x in embeddings.near_duplicates(df).collect()}
+    true = brute(vectors, np.zeros(len(vectors)), 0.98).sum(1)
+    found = np.array([got[i].n_links for i in range(len(vectors))])
+    assert 0 < (true < 1500).sum() and (found <= true).all() and found.sum() >= 0.99 * true.sum()
+
+
+def test_embeddings_of_none_and_clashing_names(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert embeddings.near_duplicates(none).count() == 0
+    rows = [(1, [1.0, 0.0], 1.2, 5, b"x"), (2, [1.0, 0.0], 1.4, 5, b"x"), (3, [2.0, 0.0], 1.2, 5, b"x"), (3, [2.0, 0.0], 1.2, 5, b"x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label double, rep long, vec binary")
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in embeddings.near_duplicates(df).collect())
+    assert got == [(1, 2, 1), (2, 0, 2), (3, 2, 1), (3, 2, 1)]
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5000 + i) for i in range(1, 50)] + [(7, 7)]

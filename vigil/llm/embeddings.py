@@ -11,9 +11,11 @@ whatever share of the rows a label has.  Positions are counted within ranges and
 offset by the sizes of the ranges before, then cut into blocks that overlap by
 the window: results don't depend on how the order was dealt.
 
-Inside each group that the passes connect, all pairs are compared, in blocks of
-rows against rows, so links are counted whole however many vectors crowd a place
-of the orders.  Where a vector of a group still has a hit in the last quarter of its
+Inside each group that the passes connect, links are counted whole however many
+vectors crowd a place of the orders: in a large group, vectors within half the
+threshold's angle of the group's centre link with one another for certain and are
+only counted; all others are compared with the whole group, in blocks of rows against
+rows.  Where a vector of a group still has a hit in the last quarter of its
 window, the other vectors of that window are compared with the whole group too.
 
 Recall: two vectors of cosine c agree in a bit with chance 1 - acos(c)/pi; the
@@ -21,7 +23,8 @@ tests measure recall against brute force.  Pairs below the threshold are never l
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors without a label or vec_id, link with nothing; vectors of
-different lengths are never compared; repeated rows count as other vectors.
+different lengths are never compared; repeated rows count as other vectors; labels
+are compared as they are, whatever their type; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from .common import components, saved
 PASSES, WINDOW, BITS, LEAST = 12, 32, 62, 0.98
 BLOCK = 480
 ROWS = 1000  # vectors of a group that are compared with others at a time
+SENT = 10_000  # centres of large groups that are sent to all tasks; more are joined by shuffling
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
@@ -53,8 +57,8 @@ def prepared(vectors: DataFrame) -> DataFrame:
                 out.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
 
-    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return plain.mapInArrow(run, "vec_id long, label long, vec binary")
+    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return plain.mapInArrow(run, "vec_id long, label string, vec binary")
 
 
 def units(buffers: list[bytes]) -> np.ndarray:
@@ -83,7 +87,7 @@ def keyed(classes: DataFrame, passes: int) -> DataFrame:
                 for p in range(passes):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), p)), some[1], pa.array(np.full(len(at), dim)), pa.array(key[:, p]), some[0], some[2]], names=["pass", "label", "dim", "key", "rep", "vec"])
 
-    return classes.select("rep", "label", "vec").mapInArrow(run, "pass long, label long, dim long, key long, rep long, vec binary")
+    return classes.select("rep", "label", "vec").mapInArrow(run, "pass long, label string, dim long, key long, rep long, vec binary")
 
 
 def pairs(classes: DataFrame, passes: int = PASSES, window: int = WINDOW, least: float = LEAST) -> DataFrame:
@@ -102,7 +106,7 @@ def pairs(classes: DataFrame, passes: int = PASSES, window: int = WINDOW, least:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(m, part)), pa.array(np.arange(at, at + m))], names=[*batch.schema.names, "part", "at"])
             at += m
 
-    dealt = saved(dealt.mapInArrow(number, "pass long, label long, dim long, key long, rep long, vec binary, part long, at long"), "passes")
+    dealt = saved(dealt.mapInArrow(number, "pass long, label string, dim long, key long, rep long, vec binary, part long, at long"), "passes")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     sizes = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     placed = dealt.join(F.broadcast(sizes.select("part", "before")), "part").withColumn("pos", F.col("at") + F.col("before"))
@@ -169,16 +173,53 @@ def crowded(classes: DataFrame, seen: DataFrame, groups: DataFrame, least: float
     return inside.unionByName(outside).groupBy("component", "block", "turn").applyInPandas(compare, "a long, b long")
 
 
+def cored(told: DataFrame, least: float) -> DataFrame:
+    """Add core: whether a vector of a large group lies within half the threshold's angle
+    of the group's centre, so that it links with all others that do."""
+    large = told.groupBy("component").agg(F.count("*").alias("m")).where(f"m > {ROWS}").select("component")
+    members = told.join(large, "component", "left_semi").select("component", "vec")
+
+    def summed(batches):
+        for rows in batches:
+            for component, same in rows.groupby("component", sort=False):
+                yield pd.DataFrame({"component": [component], "total": [units(list(same["vec"])).sum(0).tolist()]})
+
+    parts = members.mapInPandas(summed, "component long, total array<double>").select("component", F.posexplode("total").alias("i", "x"))
+    centre = parts.groupBy("component", "i").agg(F.sum("x").alias("x")).groupBy("component").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c"))
+    centre = saved(centre.select("component", F.transform("c", lambda e: e["x"]).alias("centre")), "centres")
+    sent = F.broadcast(centre) if centre.limit(SENT + 1).count() <= SENT else centre
+    near = float(np.cos(np.arccos(least) / 2 - 1e-9))
+
+    def judge(batches):
+        for rows in batches:
+            core = np.zeros(len(rows), bool)
+            known = np.flatnonzero(rows["centre"].notna().to_numpy())
+            for _, at in rows.iloc[known].groupby("component", sort=False).indices.items():
+                at = known[at]
+                c = np.array(rows["centre"].iloc[at[0]])
+                core[at] = units(list(rows["vec"].iloc[at])) @ (c / max(1e-300, float(np.sqrt(c @ c)))) >= near
+            yield rows.drop(columns="centre").assign(core=core)
+
+    joined = told.join(sent, "component", "left").select("component", "rep", "n", "vec", "centre")
+    return joined.mapInPandas(judge, "component long, rep long, n long, vec binary, core boolean")
+
+
 def counted(classes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
     """(rep, others): the rows of other classes of the same group that each class links with."""
     told = saved(groups.select(F.col("node").alias("rep"), "component").join(classes.select("rep", "n", "vec"), "rep"), "groups")
-    sizes = told.groupBy("component").agg(F.expr(f"(count(*) - 1) div {ROWS} + 1").alias("blocks"))
+    told = saved(cored(told, least), "cores")
+    stats = told.groupBy("component").agg(
+        F.expr(f"(count_if(core) + {ROWS - 1}) div {ROWS}").alias("inner"), F.expr(f"(count_if(not core) + {ROWS - 1}) div {ROWS}").alias("outer"),
+        F.coalesce(F.sum(F.when(F.col("core"), F.col("n"))), F.lit(0)).alias("core_n"),
+    )
     small = max(1, told.count() // ROWS)  # small groups share a task's call
-    placed = told.join(sizes, "component").withColumn("block", F.expr("pmod(xxhash64(rep), blocks)"))
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
+    told = told.join(stats, "component")
+    core = told.where("core").select("rep", (F.col("core_n") - F.col("n")).alias("others"))
+    placed = told.withColumn("block", F.expr("if(core, pmod(xxhash64(rep), inner), inner + pmod(xxhash64(rep), outer))"))
+    placed = placed.where("outer > 0").withColumn("other", F.explode(F.expr("sequence(if(core, inner, 0L), inner + outer - 1)"))).select(
         "component", "rep", "n", "vec", "block",
-        F.when(F.col("blocks") == 1, F.expr(f"-1 - pmod(xxhash64(component), {small})")).otherwise(F.col("component")).alias("place"),
-        (F.col("blocks") > 1).alias("large"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        F.when(F.expr("inner + outer = 1"), F.expr(f"-1 - pmod(xxhash64(component), {small})")).otherwise(F.col("component")).alias("place"),
+        F.expr("inner + outer > 1").alias("large"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
     )
 
     def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -197,7 +238,8 @@ def counted(classes: DataFrame, groups: DataFrame, least: float) -> DataFrame:
         rep, others = (np.concatenate(z).astype(np.int64) for z in zip(*found))
         return pd.DataFrame({"rep": rep, "others": others})
 
-    return placed.groupBy("large", "place", "lo", "hi").applyInPandas(compare, "rep long, others long").groupBy("rep").agg(F.sum("others").alias("others"))
+    outer = placed.groupBy("large", "place", "lo", "hi").applyInPandas(compare, "rep long, others long")
+    return outer.unionByName(core).groupBy("rep").agg(F.sum("others").alias("others"))
 
 
 def near_duplicates(vectors: DataFrame, passes: int = PASSES, window: int = WINDOW, least: float = LEAST) -> DataFrame:
