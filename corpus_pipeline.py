@@ -38,8 +38,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def scan_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret in the texts; no document goes."""
     small_batches(spark)
-    clean = secrets.redact(secrets.scan(docs, to="_secrets"), secrets="_secrets")
-    found = F.size("_secrets") > 0
+    to = next(x for i in range(len(docs.columns) + 1) if (x := f"secrets{i}") not in {c.lower() for c in docs.columns})
+    clean = secrets.redact(secrets.scan(docs, to=to), secrets=to)
+    found = F.size(to) > 0
     return clean.withColumn("n_chars", F.when(found, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
@@ -47,7 +48,7 @@ def encode_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
     small_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    coded = byte_bpe.round_trip(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
         "ids",
