@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detect, integrity, lifecycle
+from . import detect, integrity, ledger, lifecycle, runs
 from .registry import ORACLE, QUERIES
 
-ENTRY = detect.spend_spike
+ENTRY = runs.spend_spike
 
-__all__ = ["ENTRY", "ORACLE", "QUERIES", "integrity", "lifecycle"]
+__all__ = ["ENTRY", "ORACLE", "QUERIES", "detect", "integrity", "ledger", "lifecycle", "runs"]

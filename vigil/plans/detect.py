@@ -1,4 +1,4 @@
-"""Windows, kernels and detectors over the events table."""
+"""Kernels over the events table, one record at a time."""
 
 from __future__ import annotations
 
@@ -6,138 +6,19 @@ from pyspark.sql import functions as F
 
 from vigil.functions import kernels as K
 from vigil.functions.canon import digest
-from vigil.operators import detectors as D
-from vigil.operators import windows as W
 
 from . import tables as T
 from .registry import query
 
-P = T.HOUR
 U = 9223372036854775807
 
-
-def shown(df):
-    """Results with bigint values (null beyond 2**63 - 1)."""
-    cast = lambda c: F.expr(f"try_cast(`{c}` as bigint)")
-    return df.select("start_ms", "detector", "target", "status", "reason", cast("value").alias("value"), cast("limit").alias("limit_value"))
-
-
-def windows(obs):
-    bounds = obs.agg(F.min("received_ms").alias("first_ms"), F.max("received_ms").alias("last_ms"))
-    return W.grid(bounds, P)
-
-
-def covered(spark, obs):
-    """Windows in which every enabled meter sent a record other than a signal."""
-    meters = T.sources(spark).where("meter and enabled and not revoked and state not in ('FORKED')").select("source")
-    n = 2  # of the configured meters
-    live = W.presence(obs, P).where("live").join(F.broadcast(meters), "source", "left_semi")
-    return live.groupBy("start_ms").agg((F.count("*") == n).alias("covered"))
-
-
-def spend(spark, d):
-    obs = T.observations(spark, d)
-    return D.spend_spike(obs, windows(obs), covered(spark, obs), p=P)
-
-
-def scope(spark, d):
-    return D.scope_drift(T.base(spark, d), T.subjects(spark), P)
-
-
-def replication(spark, d):
-    return D.replication_anomaly(T.base(spark, d), T.subjects(spark), P)
-
-
-def cut_rows(spark, d):
-    obs = T.base(spark, d)
-    return W.cuts(obs, windows(obs), T.sources(spark), P).join(F.broadcast(T.sources(spark)), "source")
-
-
-def silence(spark, d):
-    return D.stream_silence(cut_rows(spark, d).where("enabled"), P)
-
-
-SPEND = f"""{T.OBS}, {T.SOURCES}, {T.GRID},
-sums AS (SELECT w, sum(delta) FILTER (counted) AS total FROM obs GROUP BY w),
-cov AS (SELECT w, count(DISTINCT source) = 2 AS covered FROM obs WHERE kind <> 'signal' AND source IN (SELECT source FROM sources WHERE meter) GROUP BY w),
-rows_ AS (SELECT start_ms, coalesce(total, 0) AS total, coalesce(covered, false) AS covered FROM grid LEFT JOIN sums ON sums.w = start_ms LEFT JOIN cov ON cov.w = start_ms),
-h AS (SELECT *, list(total) OVER f AS history, count(*) OVER f AS n_history FROM rows_ WINDOW f AS (ORDER BY start_ms ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
-h2 AS (SELECT *, coalesce(bool_and(covered AND n_history >= 5) OVER (ORDER BY start_ms ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), false) AS decidable,
-  greatest(3 * greatest(list_sort(history)[3], 100000), 1000000) AS t FROM h),
-spend AS (SELECT start_ms, 'spend_spike/1' AS detector, 'fleet' AS target,
-  CASE WHEN NOT covered OR n_history < 5 OR NOT decidable THEN 'UNKNOWN' WHEN total >= t THEN 'HIT' ELSE 'CLEAR' END AS status,
-  CASE WHEN NOT covered THEN 'COVERAGE_INCOMPLETE' WHEN n_history < 5 THEN 'BASELINE_WARMUP' WHEN NOT decidable THEN 'COVERAGE_INCOMPLETE' WHEN total >= t THEN 'SPEND_SPIKE' ELSE 'BELOW_THRESHOLD' END AS reason,
-  CAST(total AS BIGINT) AS value, CASE WHEN covered AND n_history >= 5 AND decidable THEN CAST(t AS BIGINT) END AS limit_value FROM h2)"""
-
 SUBJ = """subj AS (SELECT subject, subject % 3 + 5 AS mp, subject * 4 + 30 AS mt FROM range(14) t(subject))"""
-SCOPE = f"""sd AS (SELECT w, subject, idx,
+SCOPE = """sd AS (SELECT idx,
   CASE WHEN reported THEN 'DRIFT_REPORTED' WHEN policy IS NOT NULL AND (policy + subject) % 4 = 0 THEN 'POLICY_DRIFT' WHEN scope IS NOT NULL AND (scope + subject) % 5 = 1 THEN 'SCOPE_DRIFT'
-    WHEN policy IS NOT NULL OR scope IS NOT NULL THEN 'SCOPE_MATCH' ELSE 'EVIDENCE_MISSING' END AS reason
-  FROM obs JOIN subj USING (subject) WHERE kind = 'scope'),
-scope_ AS (SELECT w AS start_ms, 'scope_drift/1' AS detector, CAST(subject AS VARCHAR) AS target,
-  CASE reason WHEN 'SCOPE_MATCH' THEN 'CLEAR' WHEN 'EVIDENCE_MISSING' THEN 'UNKNOWN' ELSE 'HIT' END AS status, reason, CAST(NULL AS BIGINT) AS value, CAST(NULL AS BIGINT) AS limit_value
-  FROM (SELECT w, subject, arg_min(reason, (CASE reason WHEN 'DRIFT_REPORTED' THEN 1 WHEN 'POLICY_DRIFT' THEN 2 WHEN 'SCOPE_DRIFT' THEN 3 WHEN 'EVIDENCE_MISSING' THEN 4 ELSE 5 END, idx)) AS reason FROM sd GROUP BY w, subject))"""
-REPL = f"""rd AS (SELECT w, subject, idx, processes, threads, declared, mp, mt,
+    WHEN policy IS NOT NULL OR scope IS NOT NULL THEN 'SCOPE_MATCH' ELSE 'EVIDENCE_MISSING' END AS reason FROM base JOIN subj USING (subject) WHERE kind = 'scope')"""
+REPL = """rd AS (SELECT idx,
   CASE WHEN processes > mp THEN 'PROCESS_EXCESS' WHEN threads > mt THEN 'THREAD_EXCESS' WHEN declared <> processes THEN 'DECLARED_MISMATCH'
-    WHEN coalesce(processes, threads) IS NULL OR (declared IS NOT NULL AND processes IS NULL) THEN 'EVIDENCE_MISSING' ELSE 'INVENTORY_MATCH' END AS reason
-  FROM obs JOIN subj USING (subject) WHERE kind = 'replication'),
-rd2 AS (SELECT w, subject, arg_min(struct_pack(reason := reason, value := CASE reason WHEN 'PROCESS_EXCESS' THEN processes WHEN 'THREAD_EXCESS' THEN threads WHEN 'DECLARED_MISMATCH' THEN processes WHEN 'INVENTORY_MATCH' THEN coalesce(processes, threads) END,
-    limit_value := CASE reason WHEN 'PROCESS_EXCESS' THEN mp WHEN 'THREAD_EXCESS' THEN mt WHEN 'DECLARED_MISMATCH' THEN declared WHEN 'INVENTORY_MATCH' THEN CASE WHEN processes IS NOT NULL THEN mp ELSE mt END END),
-  (CASE reason WHEN 'PROCESS_EXCESS' THEN 1 WHEN 'THREAD_EXCESS' THEN 2 WHEN 'DECLARED_MISMATCH' THEN 3 WHEN 'EVIDENCE_MISSING' THEN 4 ELSE 5 END, idx)) AS d FROM rd GROUP BY w, subject),
-repl AS (SELECT w AS start_ms, 'replication_anomaly/1' AS detector, CAST(subject AS VARCHAR) AS target,
-  CASE d.reason WHEN 'INVENTORY_MATCH' THEN 'CLEAR' WHEN 'EVIDENCE_MISSING' THEN 'UNKNOWN' ELSE 'HIT' END AS status, d.reason AS reason, CAST(d.value AS BIGINT) AS value, CAST(d.limit_value AS BIGINT) AS limit_value FROM rd2)"""
-CUTS = """pres AS (SELECT w AS start_ms, source, bool_or(kind <> 'signal') AS live, bool_or(kind <> 'signal' AND late) AS late, max(received_ms) FILTER (kind <> 'signal') AS last_ms, count(*) AS n FROM obs GROUP BY ALL),
-cuts AS (SELECT start_ms, start_ms + 3600000 AS end_ms, source, coalesce(live, false) AS live, coalesce(late, false) AS late,
-  max(last_ms) OVER (PARTITION BY source ORDER BY start_ms) AS last_ms, coalesce(n, 0) AS n, meter, enabled, revoked, state, activated_ms
-  FROM (SELECT * FROM grid CROSS JOIN sources) LEFT JOIN pres USING (start_ms, source))"""
-SIL = """sil AS (SELECT start_ms, 'stream_silence/1' AS detector, CAST(source AS VARCHAR) AS target,
-  CASE WHEN revoked OR state = 'FORKED' THEN 'UNKNOWN' WHEN state = 'TERMINAL' THEN 'CLEAR' WHEN age >= 120000 THEN 'HIT' ELSE 'CLEAR' END AS status,
-  CASE WHEN revoked OR state = 'FORKED' THEN 'COVERAGE_INCOMPLETE' WHEN state = 'TERMINAL' THEN 'SOURCE_TERMINAL' WHEN age >= 120000 THEN 'STREAM_SILENT' ELSE 'STREAM_RECENT' END AS reason,
-  CASE WHEN NOT revoked AND state = 'ACTIVE' THEN age END AS value, CASE WHEN NOT revoked AND state = 'ACTIVE' THEN 120000 END AS limit_value
-  FROM (SELECT *, end_ms - coalesce(last_ms, activated_ms) AS age FROM cuts WHERE enabled))"""
-ALL = f"WITH {SPEND}, {SUBJ}, {SCOPE}, {REPL}, {CUTS}, {SIL}, results AS (SELECT * FROM spend UNION ALL SELECT * FROM scope_ UNION ALL SELECT * FROM repl UNION ALL SELECT * FROM sil)"
-
-
-def everything(spark, d):
-    return D.results(spend(spark, d), scope(spark, d), replication(spark, d), silence(spark, d))
-
-
-@query("spend_spike", f"WITH {SPEND} SELECT * FROM spend")
-def spend_spike(spark, d):
-    return shown(spend(spark, d))
-
-
-@query("scope_drift", f"WITH {T.OBS}, {SUBJ}, {SCOPE} SELECT * FROM scope_")
-def scope_drift(spark, d):
-    return shown(scope(spark, d))
-
-
-@query("replication_anomaly", f"WITH {T.OBS}, {SUBJ}, {REPL} SELECT * FROM repl")
-def replication_anomaly(spark, d):
-    return shown(replication(spark, d))
-
-
-@query("stream_silence", f"WITH {T.OBS}, {T.SOURCES}, {T.GRID}, {CUTS}, {SIL} SELECT * FROM sil")
-def stream_silence(spark, d):
-    return shown(silence(spark, d))
-
-
-@query("U01_result_union", f"{ALL} SELECT detector, status, reason, count(*) AS n, sum(value) AS value FROM results GROUP BY ALL")
-def result_union(spark, d):
-    return shown(everything(spark, d)).groupBy("detector", "status", "reason").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
-
-
-@query("L01_result_order", f"{ALL} SELECT *, row_number() OVER (PARTITION BY start_ms ORDER BY detector, target) AS position FROM results")
-def result_order(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("start_ms").orderBy("detector", "target")
-    return shown(everything(spark, d)).withColumn("position", F.row_number().over(w).cast("bigint"))
-
-
-@query("T08_alerts", f"{ALL} SELECT start_ms, detector, target, reason, start_ms + 3600000 + 180000 AS expires_ms FROM results WHERE status = 'HIT'")
-def new_alerts(spark, d):
-    return D.alerts(shown(everything(spark, d)), P).select("start_ms", "detector", "target", "reason", "expires_ms")
+    WHEN coalesce(processes, threads) IS NULL OR (declared IS NOT NULL AND processes IS NULL) THEN 'EVIDENCE_MISSING' ELSE 'INVENTORY_MATCH' END AS reason FROM base JOIN subj USING (subject) WHERE kind = 'replication')"""
 
 
 @query("P01_project", f"WITH {T.OBS} SELECT idx, received_ms, observed_ms, source, subject, kind, delta, usage_id, policy, scope, reported, processes, threads, declared FROM base")
@@ -150,15 +31,6 @@ def late_flag(spark, d):
     return T.base(spark, d).groupBy("source", "kind").agg(F.count("*").alias("n"), F.count_if("late").alias("n_late"))
 
 
-@query("A07_usage_dedup", f"""WITH {T.OBS} SELECT source, received_ms // 86400000 AS day, count(*) AS n, count(*) FILTER (counted) AS n_counted, CAST(sum(delta) FILTER (counted) AS BIGINT) AS total
-FROM obs WHERE kind = 'spend' GROUP BY ALL""")
-def usage_dedup(spark, d):
-    obs = T.observations(spark, d).where("kind = 'spend'")
-    return obs.groupBy("source", F.expr("received_ms div 86400000").alias("day")).agg(
-        F.count("*").alias("n"), F.count_if("counted").alias("n_counted"), K.checked_sum(F.when(F.col("counted"), F.col("delta"))).alias("total")
-    )
-
-
 @query("A01_checked_sum", f"""WITH {T.OBS}, x AS (SELECT source, sum(CAST(delta AS HUGEINT) * CASE WHEN source = 3 THEN 9223372036854 ELSE 1 END) AS s FROM base GROUP BY source)
 SELECT source, CASE WHEN s <= {U} THEN CAST(s AS BIGINT) END AS total FROM x""")
 def checked_sum(spark, d):
@@ -166,55 +38,6 @@ def checked_sum(spark, d):
     return T.base(spark, d).groupBy("source").agg(K.checked_sum(scaled.cast(K.WIDE)).alias("total"))
 
 
-@query("T02_window_grid", f"WITH {T.OBS}, {T.GRID} SELECT start_ms, start_ms + 3600000 AS end_ms, count(idx) AS n FROM grid LEFT JOIN obs ON w = start_ms GROUP BY start_ms")
-def window_grid(spark, d):
-    obs = T.base(spark, d)
-    n = obs.groupBy(K.window_start(F.col("received_ms"), P).alias("start_ms")).agg(F.count("*").alias("n"))
-    return windows(obs).join(n, "start_ms", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-
-
-@query("W01_history5", f"WITH {SPEND} SELECT start_ms, total::BIGINT AS total, n_history, list_sum(history)::BIGINT AS before, list_sort(history)[3]::BIGINT AS third FROM h2")
-def history5(spark, d):
-    obs = T.observations(spark, d)
-    rows = D.spend_windows(obs, windows(obs), covered(spark, obs), P)
-    before = F.when(F.size("history") > 0, K.array_sum(F.col("history")))
-    return rows.select("start_ms", "total", "n_history", before.alias("before"), F.try_element_at(F.sort_array("history"), F.lit(3)).alias("third"))
-
-
-@query("A03_median5", f"WITH {SPEND} SELECT start_ms, list_sort(history)[3]::BIGINT AS median FROM h2 WHERE n_history = 5")
-def median5(spark, d):
-    obs = T.observations(spark, d)
-    rows = D.spend_windows(obs, windows(obs), covered(spark, obs), P).where("n_history = 5")
-    return rows.select("start_ms", K.median_of(F.col("history")).alias("median"))
-
-
-@query("W02_decidable", f"WITH {SPEND} SELECT start_ms, covered, n_history, decidable FROM h2")
-def decidable(spark, d):
-    obs = T.observations(spark, d)
-    return D.spend_windows(obs, windows(obs), covered(spark, obs), P).select("start_ms", "covered", "n_history", "decidable")
-
-
-@query("X11_spend_threshold", f"WITH {SPEND} SELECT start_ms, t::BIGINT AS threshold FROM h2 WHERE n_history = 5")
-def spend_threshold(spark, d):
-    obs = T.observations(spark, d)
-    rows = D.spend_windows(obs, windows(obs), covered(spark, obs), P).where("n_history = 5")
-    return rows.select("start_ms", K.spend_threshold(F.col("history"), P).cast("bigint").alias("threshold"))
-
-
-@query("W09_cut_state", f"WITH {T.OBS}, {T.SOURCES}, {T.GRID}, {CUTS} SELECT start_ms, source, live, late, last_ms, n FROM cuts")
-def cut_state(spark, d):
-    return cut_rows(spark, d).select("start_ms", "source", "live", "late", "last_ms", "n")
-
-
-@query("F10_quality", f"""WITH {T.OBS}, {T.SOURCES}, {T.GRID}, {CUTS} SELECT start_ms,
-CASE WHEN bool_or(enabled AND (revoked OR (state = 'FORKED' AND live))) THEN 'DEGRADED' WHEN bool_or(late OR (enabled AND NOT live)) THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS quality
-FROM cuts WHERE source <> 6 GROUP BY start_ms""")
-def quality(spark, d):
-    rows = cut_rows(spark, d).where("source <> 6")
-    bad = F.expr("enabled and (revoked or (state = 'FORKED' and live))")
-    return rows.groupBy("start_ms").agg(W.quality(bad, F.expr("enabled and not live"), F.col("late")).alias("quality"))
-
-
 @query("X14_window_start", "SELECT event_id, epoch_us(ts) // 1000 - (epoch_us(ts) // 1000) % 60000 AS start_ms FROM events")
 def window_start(spark, d):
     return T.table(spark, d, "events").select("event_id", K.window_start(T.millis("ts")).alias("start_ms"))
@@ -232,35 +55,21 @@ def replication_kernel(spark, d):
     return rows.select("idx", K.replication(*[F.col(c) for c in ("processes", "threads", "declared", "most_processes", "most_threads")])["reason"].alias("reason"))
 
 
-@query("A04_scope_agg", f"WITH {T.OBS}, {SUBJ}, {SCOPE} SELECT target, status, reason, count(*) AS n FROM scope_ GROUP BY ALL")
-def scope_agg(spark, d):
-    return scope(spark, d).groupBy("target", "status", "reason").agg(F.count("*").alias("n"))
-
-
-@query("A05_repl_agg", f"WITH {T.OBS}, {SUBJ}, {REPL} SELECT target, status, reason, count(*) AS n FROM repl GROUP BY ALL")
-def repl_agg(spark, d):
-    return replication(spark, d).groupBy("target", "status", "reason").agg(F.count("*").alias("n"))
-
-
-@query("X10_silence", f"WITH {T.OBS}, {T.SOURCES}, {T.GRID}, {CUTS}, {SIL} SELECT target, status, reason, count(*) AS n, max(value) AS longest FROM sil GROUP BY ALL")
+@query("X10_silence", """WITH x AS (SELECT event_id, (list_value('ACTIVE', 'GAPPED', 'EMPTY', 'TERMINAL', 'RETIRED', 'FORKED'))[event_id % 6 + 1] AS state, event_id * 37 % 240000 AS age FROM events)
+SELECT event_id, CASE WHEN state IN ('TERMINAL', 'RETIRED') THEN 'CLEAR' WHEN state = 'FORKED' THEN 'UNKNOWN' WHEN age >= 120000 THEN 'HIT' ELSE 'CLEAR' END AS status,
+  CASE WHEN state IN ('TERMINAL', 'RETIRED') THEN 'SOURCE_TERMINAL' WHEN state = 'FORKED' THEN 'COVERAGE_INCOMPLETE' WHEN age >= 120000 THEN 'STREAM_SILENT' ELSE 'STREAM_RECENT' END AS reason FROM x""")
 def silence_kernel(spark, d):
-    return shown(silence(spark, d)).groupBy("target", "status", "reason").agg(F.count("*").alias("n"), F.max("value").alias("longest"))
+    i = F.col("event_id")
+    state = F.element_at(F.array(*[F.lit(x) for x in ("ACTIVE", "GAPPED", "EMPTY", "TERMINAL", "RETIRED", "FORKED")]), (i % 6 + 1).cast("int"))
+    return T.table(spark, d, "events").select("event_id", K.silence(state, F.lit(0).cast("bigint"), i * 37 % 240000).alias("d")).select("event_id", "d.status", "d.reason")
 
 
-@query("J04_subject_join", f"WITH {T.OBS}, {SUBJ} SELECT subject, kind, count(*) AS n, max(mp) AS most_processes FROM obs JOIN subj USING (subject) GROUP BY ALL")
+@query("J04_subject_join", f"WITH {T.OBS}, {SUBJ} SELECT subject, kind, count(*) AS n, max(mp) AS most_processes FROM base JOIN subj USING (subject) GROUP BY ALL")
 def subject_join(spark, d):
     rows = T.base(spark, d).join(F.broadcast(T.subjects(spark)), "subject")
     return rows.groupBy("subject", "kind").agg(F.count("*").alias("n"), F.max("most_processes").alias("most_processes"))
 
 
-@query("J05_subject_sources", """SELECT subject, count(*) AS n_sources, min(source) AS first_source FROM (
-SELECT source, unnest([source, source + 8, (source * 3) % 14]) AS subject FROM range(8) t(source)) GROUP BY subject""")
-def subject_sources(spark, d):
-    s = F.col("source")
-    listed = T.sources(spark).select("source", F.explode(F.array(s, s + 8, (s * 3) % 14)).alias("subject"))
-    return listed.groupBy("subject").agg(F.count("*").alias("n_sources"), F.min("source").alias("first_source"))
-
-
 @query("X02_digest", "SELECT doc_id, sha256(encode('RECORD/1') || '\\x00'::BLOB || encode(text)) AS hash FROM documents")
 def digests(spark, d):
     return T.table(spark, d, "documents").select("doc_id", digest("RECORD/1", F.col("text")).alias("hash"))

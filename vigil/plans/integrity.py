@@ -8,89 +8,17 @@ from pyspark.sql import functions as F
 from vigil.functions import canon
 from vigil.functions import kernels as K
 
-from . import detect as D
 from . import lifecycle as L
 from . import tables as T
 from .registry import query
 
 
-@query("F07_envelope", f"""WITH {T.OBS} SELECT idx, CASE WHEN idx % 29 = 0 THEN 'HASH_INVALID' WHEN idx % 31 = 0 THEN 'FORBIDDEN' WHEN source = 6 THEN 'KEY_REVOKED' WHEN subject >= 14 THEN 'SUBJECT_UNKNOWN'
-WHEN kind = 'spend' AND source % 4 <> 0 THEN 'NOT_METER' WHEN kind IN ('scope', 'replication') AND source % 4 = 0 THEN 'METER_ONLY' END AS error FROM base""")
-def envelope(spark, d):
-    s = T.sources(spark).select("source", "meter", "revoked")
-    rows = T.base(spark, d).join(F.broadcast(s), "source").join(F.broadcast(T.subjects(spark).select("subject", F.lit(True).alias("known"))), "subject", "left")
-    error = (
-        F.when(F.col("idx") % 29 == 0, "HASH_INVALID").when(F.col("idx") % 31 == 0, "FORBIDDEN").when(F.col("revoked"), "KEY_REVOKED").when(F.col("known").isNull(), "SUBJECT_UNKNOWN")
-        .when((F.col("kind") == "spend") & ~F.col("meter"), "NOT_METER").when(F.col("kind").isin("scope", "replication") & F.col("meter"), "METER_ONLY")
-    )
-    return rows.select("idx", error.alias("error"))
-
-
-@query("F03_presence", f"WITH {T.OBS} SELECT w AS start_ms, source, bool_or(kind <> 'signal') AS live FROM obs GROUP BY ALL")
-def presence(spark, d):
-    from vigil.operators.windows import presence as p
-
-    return p(T.base(spark, d), T.HOUR).select("start_ms", "source", "live")
-
-
-@query("F08_source_coverage", f"WITH {T.OBS}, {T.SOURCES}, {T.GRID}, {D.CUTS} SELECT start_ms, source, state = 'FORKED' OR revoked OR NOT live AS failed FROM cuts")
-def source_coverage(spark, d):
-    return D.cut_rows(spark, d).select("start_ms", "source", F.expr("state = 'FORKED' or revoked or not live").alias("failed"))
-
-
-@query("F09_spend_coverage", f"WITH {D.SPEND} SELECT start_ms, covered FROM rows_")
-def spend_coverage(spark, d):
-    obs = T.observations(spark, d)
-    return D.windows(obs).join(D.covered(spark, obs), "start_ms", "left").select("start_ms", F.coalesce("covered", F.lit(False)).alias("covered"))
-
-
-@query("P05_manifest", f"""WITH {T.OBS}, m AS (SELECT w, '[' || string_agg('"' || sha256(CAST(idx AS VARCHAR)) || '"', ',' ORDER BY idx) || ']' AS inputs, count(*) AS n FROM obs GROUP BY w)
-SELECT w AS start_ms, n, sha256(encode('MANIFEST/1') || '\\x00'::BLOB || encode('{{"inputs":' || inputs || ',"start_ms":' || CAST(w AS VARCHAR) || '}}')) AS hash FROM m""")
-def manifest(spark, d):
-    w = K.window_start(F.col("received_ms"), T.HOUR).alias("start_ms")
-    rows = T.base(spark, d).select(w, "idx", F.sha2(F.col("idx").cast("string"), 256).alias("hash"))
-    per = rows.groupBy("start_ms").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"]).alias("inputs"))  # a window has at most 4096 inputs
-    return per.select("start_ms", F.size("inputs").cast("bigint").alias("n"), canon.digest("MANIFEST/1", canon.canonical(F.struct("inputs", "start_ms"))).alias("hash"))
-
-
-@query("P07_result_digest", f"{D.ALL} SELECT start_ms, detector, target, sha256(encode('RESULT/1') || '\\x00'::BLOB || encode('{{\"detector\":\"' || detector || '\",\"reason\":\"' || reason || '\",\"start_ms\":' || CAST(start_ms AS VARCHAR) || ',\"target\":\"' || target || '\"}}')) AS hash FROM results")
-def result_digest(spark, d):
-    rows = D.shown(D.everything(spark, d))
-    return rows.select("start_ms", "detector", "target", canon.digest("RESULT/1", canon.canonical(F.struct("detector", "reason", "start_ms", "target"))).alias("hash"))
-
-
-@query("T17_replay", f"""{D.ALL}, hashed AS (SELECT start_ms, detector, target, md5(detector || reason || coalesce(CAST(value AS VARCHAR), '-')) AS hash FROM results)
-SELECT detector, count(*) AS n, count(DISTINCT hash) AS hashes, count(*) AS matched FROM hashed GROUP BY detector""")
-def replay(spark, d):
-    from vigil.operators.journal import compared
-
-    rows = D.shown(D.everything(spark, d))
-    hashed = rows.withColumn("hash", F.md5(F.concat("detector", "reason", F.coalesce(F.col("value").cast("string"), F.lit("-")))))
-    again = hashed.repartition(7, "target")  # computed anew over other partitions
-    both = compared(hashed, again, ["start_ms", "detector", "target"])
-    return both.groupBy("detector").agg(F.count("*").alias("n"), F.countDistinct("given").alias("hashes"), F.count_if(F.col("verdict") == "MATCH").alias("matched"))
-
-
 @query("J09_revoked_sources", f"WITH {L.CFG}, r AS (SELECT DISTINCT unnest(revoked) AS key_id FROM cfg WHERE epoch <= 2) SELECT source FROM range(8) t(source) WHERE source + 1 IN (SELECT key_id FROM r)")
 def revoked_sources(spark, d):
     keys = L.configs(spark).where("epoch <= 2").select(F.explode("revoked").alias("key_id")).distinct()
     return T.sources(spark).select("source", (F.col("source") + 1).alias("key_id")).join(keys, "key_id", "left_semi").select("source")
 
 
-@query("J15_witness", f"WITH {T.OBS}, l AS (SELECT w, source, max(idx) AS last_input FROM obs GROUP BY ALL) SELECT l.w AS start_ms, l.source, last_input, received_ms, kind FROM l JOIN base ON idx = last_input")
-def witness(spark, d):
-    rows = T.base(spark, d).withColumn("start_ms", K.window_start(F.col("received_ms"), T.HOUR))
-    last = rows.groupBy("start_ms", "source").agg(F.max("idx").alias("last_input"))
-    return last.join(rows.select(F.col("idx").alias("last_input"), "received_ms", "kind"), "last_input").select("start_ms", "source", "last_input", "received_ms", "kind")
-
-
-@query("J17_principals", "SELECT o_orderstatus, n_name, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
-def principals(spark, d):
-    o, c, n = (T.table(spark, d, t) for t in ("orders", "customer", "nation"))
-    rows = o.select("o_custkey", "o_orderstatus").join(c.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.join(F.broadcast(n.select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("o_orderstatus", "n_name").agg(F.count("*").alias("n"))
-
-
 @query("A02_spend_sum", f"WITH {T.OBS} SELECT kind, CASE WHEN sum(CAST(idx AS HUGEINT) * 92233720368547) > {K.U_MAX} THEN NULL ELSE CAST(sum(CAST(idx AS HUGEINT) * 92233720368547) AS BIGINT) END AS total FROM base GROUP BY kind")
 def sum_overflow(spark, d):
     return T.base(spark, d).groupBy("kind").agg(K.checked_sum((K.wide(F.col("idx")) * K.wide(92233720368547)).cast(K.WIDE)).alias("total"))
@@ -130,16 +58,3 @@ def status_map(spark, d):
     code = F.element_at(F.array(*[F.lit(c) for c, _ in CODES]), (F.col("event_id") % 5 + 1).cast("int"))
     return T.table(spark, d, "events").select("event_type", code.alias("code")).join(F.broadcast(m), "code").groupBy("event_type", "code", "status").agg(F.count("*").alias("n"))
 
-
-@query("T06_usage_once", f"WITH {T.OBS} SELECT source, count(DISTINCT usage_id) AS uses, count(*) AS n FROM base WHERE kind = 'spend' GROUP BY source")
-def usage_once(spark, d):
-    spend = T.base(spark, d).where("kind = 'spend'")
-    once = spend.dropDuplicates(["source", "usage_id"]).groupBy("source").agg(F.count("*").alias("uses"))
-    return spend.groupBy("source").agg(F.count("*").alias("n")).join(once, "source")
-
-
-@query("T07_catch_up", f"WITH {T.OBS}, {T.GRID} SELECT (start_ms - (SELECT min(start_ms) FROM grid)) // 216000000 AS call, count(*) AS windows FROM grid GROUP BY ALL")
-def catch_up(spark, d):
-    g = D.windows(T.base(spark, d))
-    first = g.agg(F.min("start_ms").alias("lo"))
-    return g.join(F.broadcast(first)).groupBy(F.expr("(start_ms - lo) div 216000000").alias("call")).agg(F.count("*").alias("windows"))

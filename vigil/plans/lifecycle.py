@@ -12,7 +12,6 @@ from vigil.operators import journal as J
 from vigil.operators import sequence as S
 from vigil.operators import votes as V
 
-from . import detect as D
 from . import tables as T
 from .registry import query
 
@@ -86,13 +85,6 @@ def admission(spark, d):
     return S.admit(a.join(before, ["source", "seq"], "left").select("source", "seq", "hash", F.coalesce("prev", F.lit("")).alias("prev"), "arrival", "arrival_ms", F.lit(False).alias("terminal")))
 
 
-@query("J01_slot_join", "SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = o_orderkey % 4 + 1 GROUP BY l_returnflag")
-def slot_join(spark, d):
-    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 4 + 1).alias("l_linenumber"))
-    rows = T.table(spark, d, "lineitem").withColumn("l_linenumber", F.col("l_linenumber").cast("bigint")).join(o, ["l_orderkey", "l_linenumber"])
-    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("bigint")).alias("qty"))
-
-
 @query("W08_logical_clock", "SELECT event_id, max(epoch_us(ts) // 1000 - event_id % 7 * 100000) OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS logical_ms FROM events")
 def logical_clock(spark, d):
     e = T.table(spark, d, "events").select("event_id", (F.col("user_id") % 8).alias("fleet"), (T.millis("ts") - F.col("event_id") % 7 * 100000).alias("wall_ms"))
@@ -139,13 +131,6 @@ def chain_breaks(spark, d):
     return S.chain_errors(chain(spark, d), ["fleet"]).where("not linked").groupBy("fleet").agg(F.min("seq").alias("first_break"), F.count("*").alias("n"))
 
 
-@query("W11_event_groups", f"""WITH {JRN}, x AS (SELECT *, count(*) FILTER (kind = 'WindowFinalized') OVER (PARTITION BY fleet ORDER BY seq) AS grp FROM jrn)
-SELECT fleet, grp, count(*) FILTER (kind = 'ResultFinalized') AS results, count(*) FILTER (kind = 'AlertCreated') AS alerts FROM x GROUP BY ALL""")
-def event_groups(spark, d):
-    g = J.groups(chain(spark, d), ["fleet"], "WindowFinalized")
-    return g.agg(F.count_if(F.expr("kind = 'ResultFinalized'")).alias("results"), F.count_if(F.expr("kind = 'AlertCreated'")).alias("alerts"))
-
-
 LEGAL = [("CANDIDATE", "CORROBORATED"), ("CANDIDATE", "EXPIRED"), ("CANDIDATE", "CLOSED"), ("CORROBORATED", "ACKNOWLEDGED"), ("CORROBORATED", "CLOSED"), ("ACKNOWLEDGED", "CLOSED")]
 
 
@@ -180,12 +165,6 @@ def latest(spark, d):
     return T.table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("last_order"), F.max_by("o_orderstatus", "o_orderkey").alias("status"))
 
 
-@query("A14_byte_account", "SELECT source, doc_id, CAST(sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS bytes_so_far FROM documents")
-def byte_account(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return T.table(spark, d, "documents").select("source", "doc_id", F.sum(F.octet_length("text").cast("bigint")).over(w).alias("bytes_so_far"))
-
-
 OBJ = "objs AS (SELECT lang AS kind, CAST(doc_id % 97 AS VARCHAR) AS hash, CAST(doc_id % 194 AS VARCHAR) AS value, doc_id AS seq FROM documents)"
 
 
@@ -209,12 +188,6 @@ def insert_or_ignore(spark, d):
     return objects(spark, d).dropDuplicates(["kind", "hash"]).agg(F.count("*").alias("n"))
 
 
-@query("J11_unreferenced_anti", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
-def unreferenced_anti(spark, d):
-    lines = T.table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
-    return T.table(spark, d, "part").select("p_partkey").join(lines, "p_partkey", "left_anti")
-
-
 @query("J03_object_range", f"WITH {OBJ}, f AS (SELECT kind, hash, min(seq) AS first_seq FROM objs GROUP BY ALL) SELECT objs.kind, objs.hash, objs.value, objs.seq FROM objs JOIN f ON objs.kind = f.kind AND objs.hash = f.hash AND objs.seq = f.first_seq WHERE first_seq BETWEEN 50 AND 300")
 def object_range(spark, d):
     o = objects(spark, d)
@@ -240,12 +213,6 @@ def config_asof(spark, d):
     return J.in_force(rows, configs(spark), "received_ms").select("idx", "fleet", "epoch")
 
 
-@query("T16_epoch_windows", f"WITH {T.OBS}, {CFG}, x AS (SELECT *, lead(effective_ms) OVER (PARTITION BY fleet ORDER BY effective_ms) AS until_ms FROM cfg) SELECT fleet, epoch, count(DISTINCT w) AS windows, count(*) AS n FROM obs JOIN x ON source = fleet AND received_ms >= effective_ms AND (until_ms IS NULL OR received_ms < until_ms) GROUP BY ALL")
-def epoch_windows(spark, d):
-    rows = T.base(spark, d).select("idx", F.col("source").alias("fleet"), "received_ms", K.window_start(F.col("received_ms"), T.HOUR).alias("w"))
-    return J.in_force(rows, configs(spark), "received_ms").groupBy("fleet", "epoch").agg(F.countDistinct("w").alias("windows"), F.count("*").alias("n"))
-
-
 @query("F14_config_schedule", f"WITH {CFG} SELECT fleet, epoch, coalesce(epoch = lag(epoch) OVER s + 1 AND effective_ms > lag(effective_ms) OVER s, epoch = 0) AS valid FROM cfg WINDOW s AS (PARTITION BY fleet ORDER BY epoch)")
 def config_schedule(spark, d):
     w = Window.partitionBy("fleet").orderBy("epoch")
@@ -394,16 +361,6 @@ def rate_limit(spark, d):
     return V.buckets(r)
 
 
-@query("J16_replay_compare", f"""{D.ALL}, g AS (SELECT start_ms, detector, target, reason || ':' || CAST(coalesce(value, -1) AS VARCHAR) AS hash FROM results WHERE start_ms % 7 <> 0),
-a AS (SELECT start_ms, detector, target, CASE WHEN start_ms % 11 = 0 THEN 'x' ELSE reason || ':' || CAST(coalesce(value, -1) AS VARCHAR) END AS hash FROM results WHERE start_ms % 5 <> 0)
-SELECT detector, CASE WHEN a.hash IS NULL THEN 'MISSING' WHEN g.hash IS NULL THEN 'EXTRA' WHEN a.hash = g.hash THEN 'MATCH' ELSE 'MISMATCH' END AS verdict, count(*) AS n FROM g FULL JOIN a USING (start_ms, detector, target) GROUP BY ALL""")
-def replay_compare(spark, d):
-    r = D.shown(D.everything(spark, d)).withColumn("hash", F.concat_ws(":", "reason", F.coalesce("value", F.lit(-1)).cast("string")))
-    given = r.where("start_ms % 7 <> 0")
-    again = r.where("start_ms % 5 <> 0").withColumn("hash", F.when(F.col("start_ms") % 11 == 0, "x").otherwise(F.col("hash")))
-    return J.compared(given, again, ["start_ms", "detector", "target"]).groupBy("detector", "verdict").agg(F.count("*").alias("n"))
-
-
 # ---- evaluation: labels against a length rule
 
 UNIT = "unit AS (SELECT source AS detector, toxic = 1 AS positive, CASE WHEN n_chars % 7 = 0 THEN 'UNKNOWN' WHEN n_chars % 13 = 0 THEN 'SIGNAL' WHEN n_chars > 1500 THEN 'HIT' ELSE 'CLEAR' END AS status FROM documents JOIN labels USING (doc_id))"
@@ -455,19 +412,6 @@ def eval_report(spark, d):
     return conf(spark, d).agg(*sums, F.sum(F.col("unknown_positive") + F.col("unknown_negative")).alias("undecided"), F.sum("signals").alias("signals"))
 
 
-@query("A10_metrics", f"WITH {T.OBS} SELECT count(*) AS accepted, count(*) FILTER (late) AS late, count(*) FILTER (counted) AS counted, count(DISTINCT source) AS sources, max(received_ms) - min(received_ms) AS span_ms FROM obs")
-def metrics(spark, d):
-    return T.observations(spark, d).agg(
-        F.count("*").alias("accepted"), F.count_if("late").alias("late"), F.count_if("counted").alias("counted"), F.countDistinct("source").alias("sources"), (F.max("received_ms") - F.min("received_ms")).alias("span_ms")
-    )
-
-
-@query("A11_evidence_set", f"WITH {T.OBS} SELECT w AS start_ms, source, string_agg(DISTINCT CAST(k AS VARCHAR), ',' ORDER BY CAST(k AS VARCHAR)) AS evidence FROM obs GROUP BY ALL")
-def evidence_set(spark, d):
-    w = K.window_start(F.col("received_ms"), T.HOUR).alias("start_ms")
-    return T.base(spark, d).groupBy(w, "source").agg(F.array_join(F.array_sort(F.collect_set(F.col("k").cast("string"))), ",").alias("evidence"))
-
-
 @query("P02_explode_steps", """SELECT doc_id, p.i AS position, p.s AS part FROM (SELECT doc_id, unnest(list_transform(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'policy' END, lang, CASE WHEN n_chars > 1000 THEN source END], lambda x: x IS NOT NULL), lambda x, i: struct_pack(i := i - 1, s := x))) AS p FROM documents)""")
 def explode_steps(spark, d):
     parts = F.array(F.when(F.col("doc_id") % 2 == 0, "policy"), F.col("lang"), F.when(F.col("n_chars") > 1000, F.col("source")))
@@ -501,13 +445,6 @@ def verify_reasons(spark, d):
     return verified(spark, d)[1]
 
 
-@query("T18_verify", f"WITH {VER} SELECT j.fleet, CASE WHEN q.fleet IS NULL THEN 'VALID' ELSE 'INVALID' END AS verdict, coalesce(reasons, '') AS reasons FROM (SELECT DISTINCT fleet FROM jrn) j LEFT JOIN (SELECT fleet, string_agg(reason, ',' ORDER BY k) AS reasons FROM r GROUP BY fleet) q ON q.fleet = j.fleet")
-def verify(spark, d):
-    from vigil.operators import verify as R
-
-    return R.verdicts(*verified(spark, d))
-
-
 @query("F18_export_complete", "SELECT conv_id, count(*) FILTER (turn = 0) = 1 AND count(*) = max(turn) + 1 AND conv_id % 5 <> 0 AS complete FROM conversations GROUP BY conv_id")
 def export_complete(spark, d):
     rows = T.table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("turn") == 0).alias("h"), F.count("*").alias("n"), F.max("turn").alias("last"))
@@ -521,20 +458,6 @@ def sorted_unique(spark, d):
     return e.select("user_id", (F.array_sort(F.array_distinct(kinds)) == kinds).alias("sorted_unique"))
 
 
-@query("J06_source_cut", f"WITH {T.OBS}, {T.SOURCES}, p AS (SELECT source, count(*) AS n FROM base WHERE kind = 'scope' AND late GROUP BY source) SELECT source, state, coalesce(n, 0) AS n FROM sources LEFT JOIN p USING (source)")
-def source_cut(spark, d):
-    n = T.base(spark, d).where("kind = 'scope' and late").groupBy("source").agg(F.count("*").alias("n"))
-    return T.sources(spark).join(n, "source", "left").select("source", "state", F.coalesce("n", F.lit(0)).alias("n"))
-
-
-@query("J18_alert_lookup", "SELECT l_orderkey, l_linenumber, o_orderstatus, CASE WHEN c_custkey IS NULL THEN 'AUDIT_UNAVAILABLE' ELSE c_mktsegment END AS segment FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) c ON c_custkey = o_custkey WHERE l_quantity >= 49")
-def alert_lookup(spark, d):
-    o = T.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderstatus")
-    c = T.table(spark, d, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    rows = T.table(spark, d, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_linenumber").join(o, "l_orderkey", "left").join(c, "o_custkey", "left")
-    return rows.select("l_orderkey", "l_linenumber", "o_orderstatus", F.coalesce("c_mktsegment", F.lit("AUDIT_UNAVAILABLE")).alias("segment"))
-
-
 ROLES = [("source.append", "producer"), ("subscription.read", "watcher"), ("vote.submit", "watcher"), ("alert.act", "operator"), ("fleet.get", "reader")]
 
 

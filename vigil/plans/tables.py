@@ -42,13 +42,6 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("late", late(F.col("observed_ms"), F.col("received_ms"), HOUR))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With counted: whether a spend record is the first of its usage id in its source and day."""
-    day = F.expr("received_ms div 86400000")
-    w = Window.partitionBy("source", day, "usage_id", F.col("kind") == "spend").orderBy("idx")
-    return base(spark, sf_dir).withColumn("counted", (F.col("kind") == "spend") & (F.row_number().over(w) == 1))
-
-
 OBS = """base AS (
   SELECT event_id + 1 AS idx, epoch_us(ts) // 1000 AS received_ms, epoch_us(ts) // 1000 - k * 3000 AS observed_ms, user_id % 8 AS source, user_id % 16 AS subject,
     CASE event_type WHEN 'purchase' THEN 'spend' WHEN 'signup' THEN 'scope' WHEN 'error' THEN 'replication' WHEN 'click' THEN 'pulse' ELSE 'signal' END AS kind,
@@ -57,9 +50,6 @@ OBS = """base AS (
     CASE WHEN k % 13 <> 0 THEN user_id % 9 END AS processes, CASE WHEN k % 13 <> 0 THEN k END AS threads, CASE WHEN k % 4 <> 0 THEN k % 9 END AS declared, k,
     k * 3000 > 120000 AS late
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
-), obs AS (
-  SELECT *, kind = 'spend' AND row_number() OVER (PARTITION BY source, received_ms // 86400000, usage_id, kind = 'spend' ORDER BY idx) = 1 AS counted,
-    received_ms - received_ms % 3600000 AS w FROM base
 )"""
 
 
@@ -80,14 +70,3 @@ def sources(spark: SparkSession) -> DataFrame:
         "source", (s % 4 == 0).alias("meter"), (s != 7).alias("enabled"), (s == 6).alias("revoked"),
         F.when(s == 5, "FORKED").when(s == 4, "TERMINAL").otherwise("ACTIVE").alias("state"), F.lit(1704067200000).alias("activated_ms"),
     )
-
-
-SOURCES = """sources AS (
-  SELECT source, source % 4 = 0 AS meter, source <> 7 AS enabled, source = 6 AS revoked,
-    CASE WHEN source = 5 THEN 'FORKED' WHEN source = 4 THEN 'TERMINAL' ELSE 'ACTIVE' END AS state, 1704067200000 AS activated_ms
-  FROM range(8) t(source)
-)"""
-
-GRID = """grid AS (
-  SELECT unnest(range(lo, hi + 1, 3600000)) AS start_ms FROM (SELECT min(w) AS lo, max(w) AS hi FROM obs)
-)"""
