@@ -246,10 +246,14 @@ def rates(tp: Column, fp: Column, fn: Column, tn: Column, up: Column, un: Column
 Z95 = 1.959963984540054
 
 
+def six(c: Column) -> Column:
+    """Six decimals, rounded half-even."""
+    return F.format_string("%.6f", F.bround(c, 6))
+
+
 def wilson(n: Column, d: Column) -> Column:
     """Wilson interval of n of d at 95 %, as six-decimal strings rounded half-even."""
     n, d = n.cast("double"), d.cast("double")
     p, z = n / d, Z95
     centre, half = (p + z * z / (2 * d)) / (1 + z * z / d), z * F.sqrt(p * (1 - p) / d + z * z / (4 * d * d)) / (1 + z * z / d)
-    six = lambda c: F.format_string("%.6f", F.bround(c, 6))
     return F.when(d != 0, F.struct(six(F.greatest(F.lit(0.0), centre - half)).alias("low"), six(F.least(F.lit(1.0), centre + half)).alias("high")))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detect, integrity, ledger, lifecycle, runs
+from . import detect, integrity, ledger, lifecycle, runs, scalars
 from .registry import ORACLE, QUERIES
 
 ENTRY = runs.spend_spike
 
-__all__ = ["ENTRY", "ORACLE", "QUERIES", "detect", "integrity", "ledger", "lifecycle", "runs"]
+__all__ = ["ENTRY", "ORACLE", "QUERIES", "detect", "integrity", "ledger", "lifecycle", "runs", "scalars"]

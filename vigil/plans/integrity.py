@@ -13,12 +13,6 @@ from . import tables as T
 from .registry import query
 
 
-@query("J09_revoked_sources", f"WITH {L.CFG}, r AS (SELECT DISTINCT unnest(revoked) AS key_id FROM cfg WHERE epoch <= 2) SELECT source FROM range(8) t(source) WHERE source + 1 IN (SELECT key_id FROM r)")
-def revoked_sources(spark, d):
-    keys = L.configs(spark).where("epoch <= 2").select(F.explode("revoked").alias("key_id")).distinct()
-    return T.sources(spark).select("source", (F.col("source") + 1).alias("key_id")).join(keys, "key_id", "left_semi").select("source")
-
-
 @query("A02_spend_sum", f"WITH {T.OBS} SELECT kind, CASE WHEN sum(CAST(idx AS HUGEINT) * 92233720368547) > {K.U_MAX} THEN NULL ELSE CAST(sum(CAST(idx AS HUGEINT) * 92233720368547) AS BIGINT) END AS total FROM base GROUP BY kind")
 def sum_overflow(spark, d):
     return T.base(spark, d).groupBy("kind").agg(K.checked_sum((K.wide(F.col("idx")) * K.wide(92233720368547)).cast(K.WIDE)).alias("total"))
@@ -48,13 +42,3 @@ def usage_payload(spark, d):
     body = F.struct(F.col("delta").cast("string").alias("delta"), F.col("subject").cast("string").alias("subject"), F.lit("usd_micro").alias("unit"))
     return T.base(spark, d).where("kind = 'spend'").select("idx", canon.digest("USAGE/1", canon.canonical(body)).alias("hash"))
 
-
-CODES = [("INVALID_INPUT", 400), ("FORBIDDEN", 403), ("NOT_FOUND", 404), ("STATE_CONFLICT", 409), ("RATE_LIMITED", 429)]
-
-
-@query("X20_status_map", f"WITH m(code, status) AS (VALUES {', '.join(map(str, CODES))}) SELECT event_type, code, status, count(*) AS n FROM events JOIN m ON code = (list_value('INVALID_INPUT', 'FORBIDDEN', 'NOT_FOUND', 'STATE_CONFLICT', 'RATE_LIMITED'))[event_id % 5 + 1] GROUP BY ALL")
-def status_map(spark, d):
-    m = spark.createDataFrame(CODES, "code string, status bigint")
-    code = F.element_at(F.array(*[F.lit(c) for c, _ in CODES]), (F.col("event_id") % 5 + 1).cast("int"))
-    return T.table(spark, d, "events").select("event_type", code.alias("code")).join(F.broadcast(m), "code").groupBy("event_type", "code", "status").agg(F.count("*").alias("n"))
-

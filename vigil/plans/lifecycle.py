@@ -457,15 +457,3 @@ def sorted_unique(spark, d):
     kinds = F.transform("r", lambda x: x["event_type"])
     return e.select("user_id", (F.array_sort(F.array_distinct(kinds)) == kinds).alias("sorted_unique"))
 
-
-ROLES = [("source.append", "producer"), ("subscription.read", "watcher"), ("vote.submit", "watcher"), ("alert.act", "operator"), ("fleet.get", "reader")]
-
-
-@query("F15_role_matrix", f"WITH m(method, role) AS (VALUES {', '.join(map(str, ROLES))}), e AS (SELECT event_id, (list_value('source.append', 'subscription.read', 'vote.submit', 'alert.act', 'fleet.get'))[event_id % 5 + 1] AS method, (list_value('producer', 'watcher', 'operator', 'reader'))[user_id % 4 + 1] AS role FROM events) SELECT event_id, m.role IS NOT NULL AS allowed FROM e LEFT JOIN m ON m.method = e.method AND m.role = e.role")
-def role_matrix(spark, d):
-    pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i + 1).cast("int"))
-    e = T.table(spark, d, "events").select(
-        "event_id", pick([m for m, _ in ROLES], F.col("event_id") % 5).alias("method"), pick(["producer", "watcher", "operator", "reader"], F.col("user_id") % 4).alias("role")
-    )
-    m = spark.createDataFrame(ROLES, "method string, role string").withColumn("ok", F.lit(True))
-    return e.join(F.broadcast(m), ["method", "role"], "left").select("event_id", F.coalesce("ok", F.lit(False)).alias("allowed"))

@@ -490,3 +490,21 @@ def degradation(spark, d):
     hits = run.results.where("status = 'HIT'").select(*V.WINDOW, "detector", "target")
     joined = hits.join(fed, [*V.WINDOW, "detector", "target"]).join(F.broadcast(forks.unionByName(keys)), ["fleet", "source"]).where(F.col("at_ms") >= F.col("start_ms") + P.window_ms)
     return joined.groupBy("fleet", "start_ms", "detector", "target").agg(F.min("at_ms").alias("degraded_ms")).withColumn("delivery", F.when(F.col("start_ms") % 4 == 0, K.degrade(F.lit("VALID"), F.lit("QUEUED"))["delivery"]))
+
+
+@query("J09_revoked_sources", f"{W} SELECT DISTINCT fleet, source FROM src WHERE revoked")
+def revoked_sources(spark, d):
+    """Sources whose registered key is among the revoked keys of their fleet."""
+    keys = spark.createDataFrame([(1, "key-1-2"), (1, "key-9-9"), (2, "key-1-2")], "fleet long, key_id string")
+    return sources(spark).select("fleet", "source", "key_id").distinct().join(keys, ["fleet", "key_id"], "left_semi").select("fleet", "source")
+
+
+@query("P06_source_view", f"""{W}, l AS (SELECT fleet, source, arg_max(state, start_ms) AS state, arg_max(pending, start_ms) AS pending, arg_max(complete, start_ms) AS complete, max(head_idx) AS head_idx, max(last_ms) AS last_ms FROM cut GROUP BY ALL),
+  a AS (SELECT fleet, count(*) AS n FROM results WHERE status = 'HIT' GROUP BY ALL) SELECT l.*, coalesce(n, 0) AS hits FROM l LEFT JOIN a USING (fleet)""")
+def source_view(spark, d):
+    """Each source as it stands at the last closed window, with its fleet's number of hits."""
+    run = Run(spark, d, keep=True)
+    last = lambda c: F.max_by(c, "start_ms").alias(c)
+    view = run.cuts.groupBy("fleet", "source").agg(last("state"), last("pending"), last("complete"), F.max("head_idx").alias("head_idx"), F.max("last_ms").alias("last_ms"))
+    hits = run.results.where("status = 'HIT'").groupBy("fleet").agg(F.count("*").alias("hits"))
+    return view.join(F.broadcast(hits), "fleet", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from vigil.functions.canon import digest
 from vigil.functions.strict import strict_json
 
 OBSERVATION = (
@@ -47,14 +48,14 @@ def observed(ledger: DataFrame) -> DataFrame:
 
 
 def ledger(spark: SparkSession, path: str, frontier: int = 0) -> DataFrame:
-    """Observations of a native ledger after ``frontier``; a ledger whose chain is
-    broken gives a single record that coverage is incomplete."""
-    rows = lines(spark, path).where("valid").select(F.from_json("canonical", LEDGER).alias("r")).select("r.*").where("seq is not null")
-    w = Window.orderBy("seq")  # one ledger is one chain
+    """Observations of native ledgers (a file each) after ``frontier``; a ledger whose chain
+    is broken gives a single record that coverage is incomplete."""
+    rows = lines(spark, path).where("valid").select("file", F.from_json("canonical", LEDGER).alias("r")).select("file", "r.*").where("seq is not null")
+    w = Window.partitionBy("file").orderBy("seq")
     before = F.lag("seq").over(w)
     checked = rows.withColumn("ok", before.isNull() | ((F.col("seq") == before + 1) & (F.col("prev") == F.lag("hash").over(w))))
-    whole = checked.agg(F.coalesce(F.bool_and(F.coalesce("ok", F.lit(False))), F.lit(True)).alias("whole"))
-    found = observed(rows.where(F.col("seq") > frontier)).join(F.broadcast(whole.where("whole")), how="left_semi", on=F.lit(True))
+    whole = checked.groupBy("file").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("whole"))
+    found = observed(rows.where(F.col("seq") > frontier).join(whole.where("whole"), "file", "left_semi"))
     broken = whole.where("not whole").select(F.lit(frontier + 1).cast("bigint").alias("seq"), F.lit("coverage").alias("kind"), F.lit(False).alias("complete"))
     return found.unionByName(broken, allowMissingColumns=True)
 
@@ -70,8 +71,11 @@ BUNDLE = StructType([StructField("digest", StringType()), StructField("inventory
 
 def bundle(spark: SparkSession, path: str) -> DataFrame:
     """(step, position, kind, subject, policy_hash, scope_hash): one to n records for each
-    step of a bundle; a bundle whose inventory is wrong gives one coverage record."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", BUNDLE).alias("b")).select("b.*")
+    step of a bundle; a bundle whose inventory is wrong, or whose digest isn't that of its
+    steps' canonical JSON (where it states one), gives one coverage record."""
+    steps = F.to_json(F.try_variant_get(F.try_parse_json("value"), "$.steps", "variant"))
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", BUNDLE).alias("b"), digest("BUNDLE/1", steps).alias("own")).select("b.*", "own")
+    text = text.withColumn("inventory", F.when(F.col("digest").isNull() | (F.col("digest") == F.col("own")), F.col("inventory")))
     part = lambda policy, scope: F.struct(F.lit("scope").alias("kind"), policy.alias("policy_hash"), scope.alias("scope_hash"))
     none = F.lit(None).cast("string")
     s = F.col("s")

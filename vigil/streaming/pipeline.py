@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from vigil.functions.kernels import window_start
 from vigil.functions.params import DEFAULT, Params
 from vigil.operators.sequence import SCHEMA, Fold, _outcomes
 
@@ -44,15 +45,34 @@ def running_totals(obs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return obs.withWatermark("received_ts", "0 seconds").groupBy(w, "source").agg(F.sum("delta").alias("total"), F.count("*").alias("n"))
 
 
-def finalised(evaluate: Callable[[DataFrame], DataFrame], store: str, results: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: append a batch of admitted records to ``store``, evaluate all
-    closed windows over it and write those results.  A repeated batch replaces its own files."""
+def finalised(evaluate: Callable[[DataFrame], DataFrame], store: str, results: str, p: Params = DEFAULT, before: int = 11) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: keep a batch of admitted records in ``store`` and write the
+    results of the windows that have closed with it (all before the one in which the
+    latest record lies; receive time never goes back).
+
+    ``evaluate`` gets the records of those windows and of the ``before`` windows ahead of
+    them, which is as far as history reaches.  Each batch notes which earlier batches
+    still hold such records, so it reads no more of the store than that, however long the
+    stream runs.  A repeated batch replaces its own files.  Results carry ``start_ms``;
+    each closed window is written once."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        every = spark.read.option("basePath", store).parquet(f"{store}/batch=*")
-        evaluate(every.where(F.col("batch") <= number).drop("batch")).write.mode("overwrite").parquet(f"{results}/batch={number}")
+        spark, reach = batch.sparkSession, before * p.window_ms
+        own = f"{store}/records/batch={number}"
+        batch.write.mode("overwrite").parquet(own)
+        top = spark.read.schema(batch.schema).parquet(own).agg(F.max(window_start(F.col("received_ms"), p)).alias("open_ms")).first()["open_ms"]
+        noted = [tuple(r) for r in spark.read.parquet(f"{store}/open/batch={number - 1}").select("batch", "open_ms").collect()] if number else []  # batches within reach
+        closed = max((o for _, o in noted), default=None)
+        now = max((x for x in (top, closed) if x is not None), default=None)
+        still = [(b, o) for b, o in noted if o >= now - reach] + ([(number, now)] if now is not None else [])
+        spark.createDataFrame(still, "batch long, open_ms long").coalesce(1).write.mode("overwrite").parquet(f"{store}/open/batch={number}")
+        if now is None or now == closed:
+            return
+        first = closed if closed is not None else -(2**62)
+        paths = [f"{store}/records/batch={b}" for b, o in noted if o >= first - reach] + [own]
+        start = window_start(F.col("received_ms"), p)
+        kept = spark.read.schema(batch.schema).parquet(*paths).where((start < now) & (start >= first - reach))
+        evaluate(kept).where((F.col("start_ms") >= first) & (F.col("start_ms") < now)).write.mode("overwrite").parquet(f"{results}/batch={number}")
 
     return run
 
