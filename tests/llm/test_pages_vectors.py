@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from vigil.llm import embeddings, html_extract
+from vigil.llm import common, embeddings, html_extract, language
 from vigil.llm.common import components
 from vigil.llm.html_blocks import blocks, features
 
@@ -167,13 +167,77 @@ def test_components(spark):
 
 
 def test_pipeline(spark):
+    import base64
+    import re
+
     import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
 
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
+    seen = [{r.doc_id: r.text or "" for r in docs.collect()}]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, d)
-        assert out.columns == docs.columns and out.count() <= docs.count()
-        docs = out
+        assert out.columns == docs.columns
+        path = common.scratch(spark, "test")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        seen.append({r.doc_id: r.text or "" for r in docs.collect()})
+    # near duplicates: the smallest of each group stays
+    before, after = seen[1], seen[2]
+    lower = {i: i + 32 for i in range(65, 91)}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower)) for i, t in before.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()} for i, w in words.items()}
+    comp = {i: i for i in sets}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                comp[y] = x
+    assert set(after) == {i for i in sets if find(i) == i} and len(after) < len(before)
+    # leaks: what goes holds a test item, as far as exact passages tell
+    items = [r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect() if r.text]
+    assert all(not any(t in x for t in items) for x in seen[3].values()) and set(seen[3]) <= set(after)
+    # secrets: none is left, other texts are as they were
+    assert set(seen[4]) == set(seen[3])
+    base = re.compile(r"AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}")
+    assert not any(base.search(t) for t in seen[4].values())
+    assert all(seen[4][i] == t for i, t in seen[3].items() if "[SECRET]" not in seen[4][i])
     last = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
-    assert last and all(x.round_trip for x in last)
+    ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert len(last) == len(seen[4])
+    for r in last:
+        assert r.round_trip and np.frombuffer(r.ids, "<u4").tolist() == e.encode_ordinary(seen[4][r.doc_id])
+
+
+def test_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").limit(60)
+    odd = docs.selectExpr("*", "1 as row", "2 as _row", "3 as declared", "4 as host", "5 as ll", "6 as secrets0", "7 as _secrets", "8 as component_id")
+    for i in (0, 1, 2, 3):
+        out = corpus_pipeline.STAGES[i][1](spark, odd, d)
+        assert out.columns == odd.columns
+        assert {tuple(r) for r in out.select("row", "_row", "declared", "host", "ll", "secrets0", "_secrets", "component_id").distinct().collect()} == {(1, 2, 3, 4, 5, 6, 7, 8)}
+
+
+def test_pages_languages(spark):
+    docs = spark.createDataFrame([(1, "der hund und die katze " * 30, "de", "a"), (2, "the dog and the cat " * 30, "en", "a")], "doc_id long, text string, lang string, source string")
+    rows = [
+        (1, "https://x.de/1", "<html lang=de><body><p>" + "die katze und der hund " * 20), (2, "https://y.com", "<html><body>" + "the cat and the dog " * 20), (3, None, None), (4, "https://x.de/2", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in language.pages_report(pages, docs).collect()}
+    assert (got[1].lang, got[2].lang) == ("de", "en") and got[1].accepted and got[2].accepted and not got[3].accepted and not got[4].accepted
+    none = language.pages_report(pages, docs.where("false")).collect()
+    assert len(none) == 4 and not any(r.accepted for r in none)
+    assert language.pages_report(pages.where("false"), docs).count() == 0
