@@ -86,3 +86,45 @@ def test_fast_path_equals_the_fold(spark):
     fold = {(x.source, x.seq, x.at_ms) for x in S.admit(df).where("status = 'ACCEPTED'").collect()}
     assert fold == {(x.source, x.seq, x.accept_ms) for x in S.accepted_times(df).collect()}
     assert fold == {(x.source, x.seq, x.at_ms) for x in S.admit(df.repartition(7)).where("status = 'ACCEPTED'").collect()}
+
+
+def test_fold_without_history_equals_the_fold(spark):
+    """The distributed fold, which keeps no slots up to the head, against the fold that keeps all."""
+    import random
+
+    from vigil.functions.params import Params
+    from vigil.operators import sequence as S
+
+    r, rows, want = random.Random(5), [], []
+    for s in range(60):
+        fold, arrival = Fold(gap=4), 0
+        n = r.randint(1, 14)
+        for at in range(r.randint(1, 40)):
+            seq = r.choice([at // 2 + 1, r.randint(0, n), r.randint(1, n)])
+            wrong, last = r.random() < 0.04, r.random() < 0.02
+            row = (f"s{s}" if s else None, seq, "x" if wrong else f"h{seq}", "y" if r.random() < 0.03 else f"h{seq - 1}", at * 10, at, last)
+            rows.append(row)
+            want += [(row[0], at, q, status, fold.s["state"], at * 10) for q, status in fold.step(*row[1:4], last)]
+    df = spark.createDataFrame(rows, "source string, seq long, hash string, prev string, arrival_ms long, arrival long, terminal boolean").repartition(5)
+    got = S.admit(df, Params(gap=4)).select("source", "arrival", "seq", "status", "state", "at_ms").collect()
+    key = lambda x: (x[0] or "", *x[1:])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert {"FORK", "SOURCE_FORKED", "DUPLICATE", "TERMINAL_SUFFIX", "SOURCE_TERMINAL", "CHAIN_INVALID", "GAP_LIMIT"} <= {x[3] for x in want}
+
+
+def test_token_buckets_against_brute_force(spark):
+    import random
+
+    from vigil.operators.votes import buckets
+
+    r = random.Random(6)
+    rows = [(r.choice([None, 1, 1, 1, 2]), i, r.randint(0, 400)) for i in range(900)]
+    want, state = set(), {}
+    for k, i, t in sorted(rows, key=lambda x: (x[2], x[1])):
+        tokens, last = state.get(k, (8.0, t))
+        tokens = min(8.0, tokens + (t - last) * 20 / 1000)
+        state[k] = (tokens - (tokens >= 1), t)
+        want.add((k, i, t, tokens >= 1))
+    df = spark.createDataFrame(rows, "key_id long, request long, at_ms long").repartition(4)
+    assert set(map(tuple, buckets(df, 20, 8).collect())) == want
+    assert buckets(df.limit(0)).count() == 0

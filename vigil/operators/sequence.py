@@ -6,10 +6,12 @@ Arrivals have source, seq, hash, prev, arrival_ms and arrival (their order).
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.params import DEFAULT, Params
+from vigil.operators.ordered import folded
 
 
 def slot_verdicts(arrivals: DataFrame) -> DataFrame:
@@ -60,15 +62,18 @@ def chain_errors(entries: DataFrame, by: list[str]) -> DataFrame:
 
 
 class Fold:
-    """The exact state of one source: head, buffered entries, what each slot held."""
+    """The exact state of one source: head, buffered entries, what each slot held.  Without
+    ``history`` the slots up to the head are let go, and arrivals there are PAST."""
 
-    def __init__(self, gap: int = DEFAULT.gap, state: dict | None = None):
-        self.gap = gap
+    def __init__(self, gap: int = DEFAULT.gap, state: dict | None = None, history: bool = True):
+        self.gap, self.history = gap, history
         self.s = state or {"state": "EMPTY", "head": 0, "hash": "", "slots": {}, "pending": {}}
 
     def step(self, seq: int, hash_: str, prev: str, terminal: bool) -> list[tuple[int, str]]:
         """Outcomes (seq, status) of one arrival; a drained entry is ACCEPTED with it."""
         s, slot = self.s, str(seq)
+        if not self.history and seq <= s["head"]:
+            return [(seq, "PAST")]
         known = s["slots"].get(slot)
         if known == hash_:
             return [(seq, "DUPLICATE")]
@@ -95,6 +100,8 @@ class Fold:
                 s["state"] = "FORKED"
                 return [*out, (s["head"] + 1, "TERMINAL_SUFFIX")]
             del s["pending"][str(s["head"] + 1)]
+            if not self.history:
+                del s["slots"][str(s["head"] + 1)]
             s["head"], s["hash"] = s["head"] + 1, entry[0]
             out.append((s["head"], "ACCEPTED"))
             if entry[2]:
@@ -114,13 +121,47 @@ def _outcomes(source, rows: pd.DataFrame, fold: Fold) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["source", "arrival", "seq", "status", "state", "at_ms"])
 
 
-def admit(arrivals: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The exact fold of each source's arrivals in order, where forks, limits and
-    terminal entries matter.  A source's history is one ordered stream by nature;
-    ``accepted_times`` is the relational way for sources without forks."""
-    gap = p.gap
+STEPS = "source string, arrival long, seq long, hash string, at_ms long, state string, admitted boolean, outcomes array<struct<seq: long, status: string>>"
+_OUTCOME = pa.struct([("seq", pa.int64()), ("status", pa.string())])
+_STEPS = pa.schema([
+    ("source", pa.string()), ("arrival", pa.int64()), ("seq", pa.int64()), ("hash", pa.string()), ("at_ms", pa.int64()),
+    ("state", pa.string()), ("admitted", pa.bool_()), ("outcomes", pa.list_(_OUTCOME)),
+])
+
+
+def _step(fold: Fold, r: dict) -> dict:
+    """One arrival's outcomes, and whether it took its slot."""
+    before = len(fold.s["slots"])
+    got = fold.step(r["seq"], r["hash"], r["prev"], r["terminal"])
+    took = len(fold.s["slots"]) + sum(status == "ACCEPTED" for _, status in got) > before
+    return {
+        "source": r["source"], "arrival": r["arrival"], "seq": r["seq"], "hash": r["hash"], "at_ms": r["arrival_ms"],
+        "state": fold.s["state"], "admitted": took, "outcomes": [{"seq": n, "status": status} for n, status in got],
+    }
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _outcomes(key[0], rows, Fold(gap))
 
-    return arrivals.groupBy("source").applyInPandas(run, SCHEMA)
+def admit(arrivals: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The exact fold of each source's arrivals (their numbers differ within a source) in
+    order, where forks, limits and terminal entries matter.  ``accepted_times`` is the
+    relational way for sources without forks.
+
+    The fold holds a source's head and its buffered entries, at most ``p.gap``.  Arrivals at
+    slots up to the head are judged beside the arrivals that took the slots; the first
+    that differs there forks its source, and what the fold said beyond it is replaced."""
+    gap = p.gap
+    needed = arrivals.select("source", "arrival", "seq", "hash", "prev", "terminal", "arrival_ms")
+    steps = folded(needed, "source", ["arrival"], lambda: Fold(gap, history=False), _step, STEPS, _STEPS)
+    taken = F.max(F.when(F.col("admitted"), F.struct("arrival", "hash"))).over(Window.partitionBy("source", "seq"))
+    steps = steps.withColumn("taken", taken).withColumns({"held": F.col("taken.hash"), "held_at": F.col("taken.arrival")})
+    past = F.col("outcomes")[0]["status"] == "PAST"
+    closed = F.when(F.col("state") == "FORKED", "SOURCE_FORKED").when(F.col("state") == "TERMINAL", "SOURCE_TERMINAL")
+    late = F.when(F.col("held") == F.col("hash"), "DUPLICATE").otherwise(F.coalesce(closed, F.when(F.col("held").isNull(), "CHAIN_INVALID").otherwise("FORK")))
+    judged = steps.withColumn("late", F.when(past, late))
+    forks = judged.where("late = 'FORK'").groupBy(F.col("source").alias("forked")).agg(F.min("arrival").alias("fork_at"))
+    same = (F.col("held") == F.col("hash")) & (F.col("held_at") < F.col("fork_at"))
+    after = F.when(F.col("arrival") > F.col("fork_at"), F.when(same, "DUPLICATE").otherwise("SOURCE_FORKED"))
+    one = F.coalesce(after, F.col("late"))
+    outcomes = F.when(one.isNotNull(), F.array(F.struct("seq", one.alias("status")))).otherwise(F.col("outcomes"))
+    state = F.when(F.col("arrival") >= F.col("fork_at"), "FORKED").otherwise(F.col("state"))
+    told = judged.join(forks, F.col("source").eqNullSafe(F.col("forked")), "left").select("source", "arrival", state.alias("state"), "at_ms", F.explode(outcomes).alias("o"))
+    return told.select("source", "arrival", "o.seq", "o.status", "state", "at_ms")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions import kernels as K
 from vigil.functions.params import DEFAULT, Params
+from vigil.operators.ordered import folded
 
 
 def counted_votes(votes: DataFrame, roster: DataFrame) -> DataFrame:
@@ -61,17 +63,16 @@ def delivery(attempts: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def buckets(requests: DataFrame, rate: int = 32, burst: int = 64) -> DataFrame:
     """Token buckets: whether each request (key_id, at_ms, request) is let through.
-    Every key's requests are one ordered stream, folded in one task per key."""
-    import pandas as pd
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, last, out = float(burst), None, []
-        for r in rows.sort_values(["at_ms", "request"]).itertuples():
-            if last is not None:
-                tokens = min(float(burst), tokens + (r.at_ms - last) * rate / 1000)
-            last, ok = r.at_ms, tokens >= 1
-            tokens -= ok
-            out.append((key[0], r.request, r.at_ms, bool(ok)))
-        return pd.DataFrame(out, columns=["key_id", "request", "at_ms", "allowed"])
-
-    return requests.groupBy("key_id").applyInPandas(run, "key_id long, request long, at_ms long, allowed boolean")
+    Every key's requests are one ordered stream; the fold holds a key's tokens and last time."""
+
+    def step(bucket: dict, r: dict) -> dict:
+        if bucket["last"] is not None:
+            bucket["tokens"] = min(float(burst), bucket["tokens"] + (r["at_ms"] - bucket["last"]) * rate / 1000)
+        ok = bucket["tokens"] >= 1
+        bucket["tokens"], bucket["last"] = bucket["tokens"] - ok, r["at_ms"]
+        return {**r, "allowed": ok}
+
+    needed = requests.select(*(F.col(c).cast("long").alias(c) for c in ("key_id", "request", "at_ms")))
+    schema = pa.schema([("key_id", pa.int64()), ("request", pa.int64()), ("at_ms", pa.int64()), ("allowed", pa.bool_())])
+    start = lambda: {"tokens": float(burst), "last": None}
+    return folded(needed, "key_id", ["at_ms", "request"], start, step, "key_id long, request long, at_ms long, allowed boolean", schema)
