@@ -82,6 +82,10 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("source", "arrival", "seq", "status", "state", "at_ms").collect()))
     batch = S.admit(spark.createDataFrame(rows, ddl)).select("source", "arrival", "seq", "status", "state", "at_ms")
     assert got == sorted(map(tuple, batch.collect()))
+    q = P.steps_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start(str(tmp_path / "steps"))
+    assert q.awaitTermination(180)
+    told = S.judged(spark.read.parquet(str(tmp_path / "steps"))).select("source", "arrival", "seq", "status", "state", "at_ms")
+    assert got == sorted(map(tuple, told.collect()))
 
 
 def test_finalised_windows(spark, tmp_path):

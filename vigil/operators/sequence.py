@@ -150,18 +150,22 @@ def admit(arrivals: DataFrame, p: Params = DEFAULT) -> DataFrame:
     that differs there forks its source, and what the fold said beyond it is replaced."""
     gap = p.gap
     needed = arrivals.select("source", "arrival", "seq", "hash", "prev", "terminal", "arrival_ms")
-    steps = folded(needed, "source", ["arrival"], lambda: Fold(gap, history=False), _step, STEPS, _STEPS)
+    return judged(folded(needed, "source", ["arrival"], lambda: Fold(gap, history=False), _step, STEPS, _STEPS))
+
+
+def judged(steps: DataFrame) -> DataFrame:
+    """Outcomes of a fold without history, given its steps: one row per arrival."""
     taken = F.max(F.when(F.col("admitted"), F.struct("arrival", "hash"))).over(Window.partitionBy("source", "seq"))
     steps = steps.withColumn("taken", taken).withColumns({"held": F.col("taken.hash"), "held_at": F.col("taken.arrival")})
     past = F.col("outcomes")[0]["status"] == "PAST"
     closed = F.when(F.col("state") == "FORKED", "SOURCE_FORKED").when(F.col("state") == "TERMINAL", "SOURCE_TERMINAL")
     late = F.when(F.col("held") == F.col("hash"), "DUPLICATE").otherwise(F.coalesce(closed, F.when(F.col("held").isNull(), "CHAIN_INVALID").otherwise("FORK")))
-    judged = steps.withColumn("late", F.when(past, late))
-    forks = judged.where("late = 'FORK'").groupBy(F.col("source").alias("forked")).agg(F.min("arrival").alias("fork_at"))
+    steps = steps.withColumn("late", F.when(past, late))
+    forks = steps.where("late = 'FORK'").groupBy(F.col("source").alias("forked")).agg(F.min("arrival").alias("fork_at"))
     same = (F.col("held") == F.col("hash")) & (F.col("held_at") < F.col("fork_at"))
     after = F.when(F.col("arrival") > F.col("fork_at"), F.when(same, "DUPLICATE").otherwise("SOURCE_FORKED"))
     one = F.coalesce(after, F.col("late"))
     outcomes = F.when(one.isNotNull(), F.array(F.struct("seq", one.alias("status")))).otherwise(F.col("outcomes"))
     state = F.when(F.col("arrival") >= F.col("fork_at"), "FORKED").otherwise(F.col("state"))
-    told = judged.join(forks, F.col("source").eqNullSafe(F.col("forked")), "left").select("source", "arrival", state.alias("state"), "at_ms", F.explode(outcomes).alias("o"))
+    told = steps.join(forks, F.col("source").eqNullSafe(F.col("forked")), "left").select("source", "arrival", state.alias("state"), "at_ms", F.explode(outcomes).alias("o"))
     return told.select("source", "arrival", "o.seq", "o.status", "state", "at_ms")

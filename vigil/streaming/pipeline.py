@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigil.functions.kernels import window_start
 from vigil.functions.params import DEFAULT, Params
-from vigil.operators.sequence import SCHEMA, Fold, _outcomes
+from vigil.operators.sequence import SCHEMA, STEPS, Fold, _outcomes, _step
 
 
 def admit_stream(arrivals: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -34,6 +34,22 @@ def admit_stream(arrivals: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return arrivals.groupBy("source").applyInPandasWithState(run, SCHEMA, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def steps_stream(arrivals: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The same fold with a state that doesn't grow: a source's head and at most ``p.gap``
+    buffered entries.  Its rows, appended to a store, are the steps that
+    ``operators.sequence.judged`` turns into outcomes, as it does in a batch."""
+    gap = p.gap
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fold = Fold(gap, json.loads(state.get[0]) if state.exists else None, history=False)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("arrival")
+        out = pd.DataFrame([_step(fold, r) for r in rows.to_dict("records")])
+        state.update((json.dumps(fold.s),))
+        yield out
+
+    return arrivals.groupBy("source").applyInPandasWithState(run, STEPS, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
 def first_uses(spend: DataFrame) -> DataFrame:
     """Spend records whose (source, usage_id) has not been seen: counted exactly once, for ever."""
     return spend.dropDuplicates(["source", "usage_id"])
