@@ -20,6 +20,8 @@ class Params:
     vote_ttl_ms: int = 180_000
     quorum: int = 2
     gap: int = 256
+    inputs: int = 4096  # records of a manifest
+    watchers: int = 16
     retry_ms: tuple[int, ...] = (1000, 2000, 4000, 8000, 16000, 32000, 60000)
 
 

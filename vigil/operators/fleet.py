@@ -13,13 +13,19 @@ an enabled meter spend is UNKNOWN for want of evidence; a null kind is no record
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from vigil.functions import kernels as K
 from vigil.functions.canon import canonical, digest
 from vigil.functions.params import DEFAULT, Params
+from vigil.operators.ordered import folded
 
+ZERO = "0" * 64
 WINDOW = ["fleet", "epoch", "start_ms"]
 
 
@@ -53,7 +59,7 @@ def in_force(records: DataFrame, configs: DataFrame, p: Params = DEFAULT) -> Dat
     """Add the epoch in force at each record's receive time, and the start of its window."""
     c = spans(configs).select("fleet", "epoch", "effective_ms", "until_ms")
     inside = (F.col("received_ms") >= F.col("effective_ms")) & (F.col("until_ms").isNull() | (F.col("received_ms") < F.col("until_ms")))
-    return records.join(F.broadcast(c), "fleet").where(inside).drop("effective_ms", "until_ms").withColumn("start_ms", K.window_start(F.col("received_ms"), p))
+    return records.join(c, "fleet").where(inside).drop("effective_ms", "until_ms").withColumn("start_ms", K.window_start(F.col("received_ms"), p))
 
 
 def grid(configs: DataFrame, last: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -66,7 +72,8 @@ def grid(configs: DataFrame, last: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def cuts(records: DataFrame, windows: DataFrame, sources: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """The closure of each enabled source at each window's end: state, pending, complete,
-    head_idx, last_ms, last_input, activated_ms, and of the window itself live, late, n.
+    head_seq and head_hash (how many of its records were admitted, and the last one's hash), last_idx, last_ms
+    and last_input (of the last one that isn't a signal), activated_ms, and of the window itself live, late, n.
 
     records: everything up to a source's end, marks included, with usage conflicts gone;
     sources: fleet, epoch, source, key_id, meter, enabled, revoked, activated_ms."""
@@ -76,23 +83,24 @@ def cuts(records: DataFrame, windows: DataFrame, sources: DataFrame, p: Params =
         F.max(F.when(F.col("kind") == "fork", 2).when(F.col("kind") == "terminal", 1)).alias("ended"),
         F.max_by("pending", F.when(F.col("kind") == "gap", F.col("idx"))).alias("pending"),
         F.max_by("complete", F.when(F.col("kind") == "coverage", F.col("idx"))).alias("complete"),
-        F.max(F.when(~mark, F.col("idx"))).alias("head_idx"), F.max(F.when(live, F.col("idx"))).alias("last_idx"), F.max(F.when(live, F.col("received_ms"))).alias("last_ms"),
+        F.max_by("hash", F.when(~mark, F.col("idx"))).alias("head_hash"), F.max(F.when(live, F.col("idx"))).alias("last_idx"), F.max_by("hash", F.when(live, F.col("idx"))).alias("last_input"),
+        F.max(F.when(live, F.col("received_ms"))).alias("last_ms"),
         F.coalesce(F.bool_or(live), F.lit(False)).alias("live"), F.coalesce(F.bool_or(live & F.col("late")), F.lit(False)).alias("late"), F.count_if(~mark).alias("n"),
     )
     config = sources.where("enabled").select("fleet", "epoch", "source", "meter", "revoked", "activated_ms")
-    every = windows.join(F.broadcast(config), ["fleet", "epoch"])  # sources of a fleet: at most 64
+    every = windows.join(config, ["fleet", "epoch"])
     # what came in windows before the source was enabled counts for its state as well
     order = Window.partitionBy("fleet", "source").orderBy("start_ms").rowsBetween(Window.unboundedPreceding, 0)
     sofar = every.join(seen, ["fleet", "source", "start_ms"], "full_outer")
-    kept = {c: F.last(c, True).over(order) for c in ("pending", "complete", "head_idx", "last_idx", "last_ms")} | {"ended": F.max("ended").over(order)}
+    kept = {c: F.last(c, True).over(order) for c in ("pending", "complete", "head_hash", "last_idx", "last_input", "last_ms")} | {"ended": F.max("ended").over(order), "head_seq": F.sum("n").over(order)}
     rows = sofar.select("fleet", "epoch", "source", "start_ms", "end_ms", "meter", "revoked", "activated_ms", "live", "late", "n", *[c.alias(k) for k, c in kept.items()]).where("epoch is not null")
     state = (
         F.when(F.col("ended") == 2, "FORKED").when(F.col("ended") == 1, "TERMINAL").when(F.coalesce("pending", F.lit(0)) > 0, "GAPPED")
-        .when(F.col("head_idx").isNull(), "EMPTY").otherwise("ACTIVE")
+        .when(F.col("head_hash").isNull(), "EMPTY").otherwise("ACTIVE")
     )
     return rows.select(
         *WINDOW, "end_ms", "source", "meter", "revoked", "activated_ms", state.alias("state"), F.coalesce("pending", F.lit(0).cast("bigint")).alias("pending"),
-        F.coalesce("complete", F.lit(True)).alias("complete"), "head_idx", "last_idx", "last_ms",
+        F.coalesce("complete", F.lit(True)).alias("complete"), F.coalesce("head_seq", F.lit(0).cast("bigint")).alias("head_seq"), F.coalesce("head_hash", F.lit(ZERO)).alias("head_hash"), "last_idx", "last_input", "last_ms",
         F.coalesce("live", F.lit(False)).alias("live"), F.coalesce("late", F.lit(False)).alias("late"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
     )
 
@@ -151,7 +159,7 @@ def _result(df: DataFrame, detector: str, target: Column) -> DataFrame:
 def uncovered(closed: DataFrame, sources: DataFrame) -> DataFrame:
     """(window, subject, failed): whether any enabled source of the subject is no coverage."""
     of = sources.where("enabled").select("fleet", "epoch", "source", F.explode("subjects").alias("subject")).distinct()
-    return closed.join(F.broadcast(of), ["fleet", "epoch", "source"]).groupBy(*WINDOW, "subject").agg(F.bool_or(fails()).alias("failed"))
+    return closed.join(of, ["fleet", "epoch", "source"]).groupBy(*WINDOW, "subject").agg(F.bool_or(fails()).alias("failed"))
 
 
 def _per_subject(rows: DataFrame, d: Column, order: tuple, failed: DataFrame, detector: str) -> DataFrame:
@@ -162,13 +170,13 @@ def _per_subject(rows: DataFrame, d: Column, order: tuple, failed: DataFrame, de
 
 def scope_drift(rows: DataFrame, subjects: DataFrame, failed: DataFrame) -> DataFrame:
     """A decision per window and configured subject with scope records."""
-    rows = rows.where("kind = 'scope'").join(F.broadcast(subjects), "subject")  # subjects of a fleet: at most 512
+    rows = rows.where("kind = 'scope'").join(subjects, "subject")
     return _per_subject(rows, K.scope(*[F.col(c) for c in ("policies", "scopes", "policy", "scope", "reported")]), K.SCOPE_ORDER, failed, "scope_drift/1")
 
 
 def replication_anomaly(rows: DataFrame, subjects: DataFrame, failed: DataFrame) -> DataFrame:
     """A decision per window and configured subject with replication records."""
-    rows = rows.where("kind = 'replication'").join(F.broadcast(subjects), "subject")
+    rows = rows.where("kind = 'replication'").join(subjects, "subject")
     d = K.replication(*[F.col(c) for c in ("processes", "threads", "declared", "most_processes", "most_threads")])
     return _per_subject(rows, d, K.REPLICATION_ORDER, failed, "replication_anomaly/1")
 
@@ -183,31 +191,59 @@ def evidence(rows: DataFrame, closed: DataFrame, subjects: DataFrame) -> DataFra
     """(window, detector, target, evidence): the sorted distinct hashes that each result rests on.
     A window holds at most 4096 inputs, so an array is bounded."""
     hashes = F.array_sort(F.collect_set("hash")).alias("evidence")
-    known = rows.where("kind in ('scope', 'replication')").join(F.broadcast(subjects.select("subject")), "subject")
+    known = rows.where("kind in ('scope', 'replication')").join(subjects.select("subject"), "subject")
     kinds = F.when(F.col("kind") == "scope", "scope_drift/1").otherwise("replication_anomaly/1")
     spend = rows.where("kind = 'spend' and counted").groupBy(*WINDOW, F.lit("spend_spike/1").alias("detector"), F.lit("fleet").alias("target")).agg(hashes)
     other = known.groupBy(*WINDOW, kinds.alias("detector"), F.col("subject").cast("string").alias("target")).agg(hashes)
     silence = closed.where("last_idx is not null").select(
-        *WINDOW, F.lit("stream_silence/1").alias("detector"), F.col("source").cast("string").alias("target"), F.array(F.sha2(F.col("last_idx").cast("string"), 256)).alias("evidence")
+        *WINDOW, F.lit("stream_silence/1").alias("detector"), F.col("source").cast("string").alias("target"), F.array("last_input").alias("evidence")
     )
     return spend.unionByName(other).unionByName(silence)
 
 
 def manifests(rows: DataFrame, windows: DataFrame, closed: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Each window's manifest: canonical JSON of config, cuts, inputs, quality and bounds,
-    its digest, and the digests of the up to five windows before in its epoch."""
-    inputs = rows.groupBy(*WINDOW).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"]).alias("inputs"), F.max("idx").alias("through"))
-    cut = F.struct("complete", F.col("head_idx").cast("string").alias("head"), "last_ms", "source", "state")
+    """Each window's manifest (head and tail of its canonical JSON, n_inputs, quality), its digest,
+    and the digests of the up to five windows before in its epoch, which stand in the JSON between head
+    and tail, so altering one window alters the digests of all later ones of its epoch.
+
+    The JSON holds config, cuts, bounds, history, inputs, quality and through_index.  A window of more than
+    ``p.inputs`` records has no manifest: its inputs aren't collected and its digest is null, as it is for the
+    windows that would name it.  The digests of an epoch follow one another, so they are a fold that
+    streams the epoch's windows and carries five digests."""
+    count = rows.groupBy(*WINDOW).agg(F.count("*").alias("n_inputs"), F.max("idx").alias("through"))
+    some = rows.join(count.where(F.col("n_inputs") <= p.inputs).select(*WINDOW), WINDOW, "left_semi")
+    inputs = some.groupBy(*WINDOW).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "hash"))), lambda x: x["hash"]).alias("inputs"))
+    text = lambda c: F.col(c).cast("string").alias(c)
+    cut = F.struct(
+        text("activated_ms"), "complete", F.struct(F.col("head_hash").alias("hash"), F.col("head_seq").cast("string").alias("seq")).alias("head"), "last_input",
+        F.col("last_ms").cast("string").alias("last_received_ms"), "source", "state",
+    )
     cut_rows = closed.groupBy(*WINDOW).agg(F.transform(F.array_sort(F.collect_list(F.struct("source", cut.alias("cut")))), lambda x: x["cut"]).alias("cuts"))
-    joined = windows.join(inputs, WINDOW, "left").join(cut_rows, WINDOW, "left").join(quality(closed), WINDOW, "left")
+    joined = windows.join(count, WINDOW, "left").join(inputs, WINDOW, "left").join(cut_rows, WINDOW, "left").join(quality(closed), WINDOW, "left")
     order = Window.partitionBy("fleet").orderBy("start_ms").rowsBetween(Window.unboundedPreceding, 0)
-    body = F.struct(
-        F.concat_ws("/", "fleet", "epoch").alias("config"), F.coalesce("cuts", F.array()).alias("cuts"), "end_ms", "fleet", F.coalesce("inputs", F.array()).alias("inputs"),
-        F.coalesce("quality", F.lit("COMPLETE")).alias("quality"), "start_ms", F.coalesce(F.max("through").over(order), F.lit(0).cast("bigint")).cast("string").alias("through_index"), F.lit(1).alias("v"),
+    upto = F.coalesce(F.max("through").over(order), F.lit(0).cast("bigint")).cast("string")
+    head = canonical(F.struct(F.concat_ws("/", "fleet", "epoch").alias("config"), F.coalesce("cuts", F.array()).alias("cuts"), "end_ms", "fleet"))
+    tail = canonical(F.struct(F.coalesce("inputs", F.array().cast("array<string>")).alias("inputs"), F.coalesce("quality", F.lit("COMPLETE")).alias("quality"), "start_ms", upto.alias("through_index"), F.lit(1).alias("v")))
+    n = F.coalesce("n_inputs", F.lit(0).cast("bigint"))
+    made = joined.select(
+        *WINDOW, n.alias("n_inputs"), head.alias("head"), F.when(n <= p.inputs, tail).alias("tail"), F.coalesce("quality", F.lit("COMPLETE")).alias("quality")
     )
-    made = joined.select(*WINDOW, F.size(F.coalesce("inputs", F.array())).cast("bigint").alias("n_inputs"), canonical(body).alias("body"), "quality").withColumn("hash", digest("MANIFEST/1", F.col("body")))
-    frame = Window.partitionBy("fleet", "epoch").orderBy("start_ms").rowsBetween(-p.history, -1)
-    return made.withColumn("history", F.collect_list("hash").over(frame))
+    return _with_history(made.select(*WINDOW, "n_inputs", "quality", F.expr("left(head, length(head) - 1)").alias("head"), F.expr("substring(tail, 2)").alias("tail")), p.history)
+
+
+def _with_history(made: DataFrame, size: int) -> DataFrame:
+    """Add hash and history to manifests' heads and tails, epoch by epoch."""
+    columns = made.columns
+
+    def step(before: list, row: dict) -> dict:
+        history = before[-size:]
+        ok = row["tail"] is not None and None not in history
+        body = f"{row['head']},\"history\":[{','.join(json.dumps(x) for x in history)}],{row['tail']}"
+        before[:] = [*history, hashlib.sha256(b"MANIFEST/1\0" + body.encode()).hexdigest() if ok else None]
+        return {c: row[c] for c in columns} | {"hash": before[-1], "history": history}
+
+    schema = made.schema.add("hash", "string").add("history", ArrayType(StringType()))
+    return folded(made.withColumn("of", F.concat_ws("/", "fleet", "epoch")), "of", ["start_ms"], list, step, schema)
 
 
 def hashed(results: DataFrame, made: DataFrame, proof: DataFrame) -> DataFrame:
@@ -223,6 +259,22 @@ def hashed(results: DataFrame, made: DataFrame, proof: DataFrame) -> DataFrame:
     return joined.withColumn("hash", digest("RESULT/1", canonical(body)))
 
 
+def degraded(results: DataFrame, closed: DataFrame, fed: DataFrame, ended: DataFrame, votes: DataFrame | None = None) -> DataFrame:
+    """(fleet, hash, degraded_ms): when each valid result's alert is degraded, if ever.
+
+    ended: fleet, source, at_ms of forks and key revocations after which a source isn't trusted; a result is
+    touched if its evidence holds a record of the source (fed: fleet, source, hash of accepted records) or its
+    window's manifest has a cut of it, so nearly all are.  votes: fleet, hash (the result), at_ms of revocations
+    of the keys of its voters.  What ended before the alert existed (its window's end, ``end_ms`` of results) doesn't count."""
+    by_cut = results.select(*WINDOW, "hash", "end_ms").join(closed.select(*WINDOW, "source"), WINDOW).join(ended, ["fleet", "source"]).select("fleet", "hash", "end_ms", "at_ms")
+    proof = results.select("fleet", F.col("hash").alias("result"), "end_ms", F.explode("evidence").alias("hash"))
+    by_proof = proof.join(fed, ["fleet", "hash"]).join(ended, ["fleet", "source"]).select("fleet", F.col("result").alias("hash"), "end_ms", "at_ms")
+    every = by_cut.unionByName(by_proof)
+    if votes is not None:
+        every = every.unionByName(results.select("fleet", "hash", "end_ms").join(votes.select("fleet", "hash", "at_ms"), ["fleet", "hash"]))
+    return every.where("at_ms >= end_ms").groupBy("fleet", "hash").agg(F.min("at_ms").alias("degraded_ms"))
+
+
 def replayed(given: DataFrame, again: DataFrame) -> DataFrame:
     """Compare stored results with recomputed ones by window, detector and target: MATCH,
     DIFFERENT, MISSING (not stored) or UNEXPECTED (not recomputed)."""

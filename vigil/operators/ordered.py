@@ -9,11 +9,14 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
-def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], dict], ddl: str, schema: pa.Schema) -> DataFrame:
-    """One row of ``ddl`` (``schema`` in Arrow) for each row: ``step`` gets the state of the
-    row's key, which ``start`` makes and ``step`` changes, and the row.  Null keys are one key."""
+def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], object], step: Callable[[object, dict], dict], schema: StructType) -> DataFrame:
+    """One row of ``schema`` for each row: ``step`` gets the state of the row's key, which
+    ``start`` makes and ``step`` changes, and the row.  Null keys are one key."""
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, now = None, None
@@ -23,6 +26,6 @@ def folded(rows: DataFrame, key: str, order: list[str], start: Callable[[], obje
                 if state is None or row[key] != now:
                     state, now = start(), row[key]
                 out.append(step(state, row))
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ddl)
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -6,9 +6,9 @@ Arrivals have source, seq, hash, prev, arrival_ms and arrival (their order).
 from __future__ import annotations
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vigil.functions.params import DEFAULT, Params
 from vigil.operators.ordered import folded
@@ -122,11 +122,7 @@ def _outcomes(source, rows: pd.DataFrame, fold: Fold) -> pd.DataFrame:
 
 
 STEPS = "source string, arrival long, seq long, hash string, at_ms long, state string, admitted boolean, outcomes array<struct<seq: long, status: string>>"
-_OUTCOME = pa.struct([("seq", pa.int64()), ("status", pa.string())])
-_STEPS = pa.schema([
-    ("source", pa.string()), ("arrival", pa.int64()), ("seq", pa.int64()), ("hash", pa.string()), ("at_ms", pa.int64()),
-    ("state", pa.string()), ("admitted", pa.bool_()), ("outcomes", pa.list_(_OUTCOME)),
-])
+_STEPS = StructType.fromDDL(STEPS)
 
 
 def _step(fold: Fold, r: dict) -> dict:
@@ -150,7 +146,7 @@ def admit(arrivals: DataFrame, p: Params = DEFAULT) -> DataFrame:
     that differs there forks its source, and what the fold said beyond it is replaced."""
     gap = p.gap
     needed = arrivals.select("source", "arrival", "seq", "hash", "prev", "terminal", "arrival_ms")
-    return judged(folded(needed, "source", ["arrival"], lambda: Fold(gap, history=False), _step, STEPS, _STEPS))
+    return judged(folded(needed, "source", ["arrival"], lambda: Fold(gap, history=False), _step, _STEPS))
 
 
 def judged(steps: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vigil.functions import kernels as K
 from vigil.functions.params import DEFAULT, Params
@@ -73,6 +73,5 @@ def buckets(requests: DataFrame, rate: int = 32, burst: int = 64) -> DataFrame:
         return {**r, "allowed": ok}
 
     needed = requests.select(*(F.col(c).cast("long").alias(c) for c in ("key_id", "request", "at_ms")))
-    schema = pa.schema([("key_id", pa.int64()), ("request", pa.int64()), ("at_ms", pa.int64()), ("allowed", pa.bool_())])
-    start = lambda: {"tokens": float(burst), "last": None}
-    return folded(needed, "key_id", ["at_ms", "request"], start, step, "key_id long, request long, at_ms long, allowed boolean", schema)
+    schema = StructType.fromDDL("key_id long, request long, at_ms long, allowed boolean")
+    return folded(needed, "key_id", ["at_ms", "request"], lambda: {"tokens": float(burst), "last": None}, step, schema)

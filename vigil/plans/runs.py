@@ -38,7 +38,7 @@ def records(spark, d):
         kind.alias("kind"), F.when(i % 2 == 0, i % 500 * 1000 + 5000).otherwise(F.round(F.col("value") * 10000).cast("bigint")).alias("delta"), (i % 500).alias("usage_id"),
         F.when(k % 11 != 0, k % 7).alias("policy"), F.when(k % 11 != 0, k % 5).alias("scope"), (k % 17 == 0).alias("reported"),
         F.when(k % 13 != 0, user % 9).alias("processes"), F.when(k % 13 != 0, k).alias("threads"), F.when(k % 4 != 0, k % 9).alias("declared"),
-        (i % 2 == 0).alias("complete"), (i % 3).alias("pending"), F.sha2((i + 1).cast("string"), 256).alias("hash"),
+        (i % 2 == 0).alias("complete"), (i % 3).alias("pending"), F.sha2(F.concat(F.lit("record/"), i + 1), 256).alias("hash"),
     )
     return e.withColumn("late", K.late(F.col("observed_ms"), F.col("received_ms"), P))
 
@@ -68,7 +68,7 @@ SQL = f"""rec AS (
     CASE WHEN event_id % 2 = 0 THEN event_id % 500 * 1000 + 5000 ELSE CAST(round(value * 10000) AS BIGINT) END AS delta, event_id % 500 AS usage_id,
     CASE WHEN k % 11 <> 0 THEN k % 7 END AS policy, CASE WHEN k % 11 <> 0 THEN k % 5 END AS scope, k % 17 = 0 AS reported,
     CASE WHEN k % 13 <> 0 THEN user_id % 9 END AS processes, CASE WHEN k % 13 <> 0 THEN k END AS threads, CASE WHEN k % 4 <> 0 THEN k % 9 END AS declared,
-    event_id % 2 = 0 AS complete, event_id % 3 AS pending, sha256(CAST(event_id + 1 AS VARCHAR)) AS hash, k * 3000 > 120000 AS late
+    event_id % 2 = 0 AS complete, event_id % 3 AS pending, sha256('record/' || (event_id + 1)) AS hash, k * 3000 > 120000 AS late
   FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
 cfg AS (SELECT fleet, epoch, {BASE} + (epoch - 1) * {10 * DAY} + fleet * {SIX} AS effective_ms FROM range(3) a(fleet), range(1, 4) b(epoch)),
 spans AS (SELECT *, lead(effective_ms) OVER (PARTITION BY fleet ORDER BY epoch) AS until_ms FROM cfg),
@@ -86,13 +86,14 @@ lasts AS (SELECT fleet, max(received_ms) AS last_ms FROM rec GROUP BY fleet),
 grid AS (SELECT fleet, epoch, unnest(range(effective_ms, least(coalesce(until_ms, last_ms + 1), last_ms + 1), {SIX})) AS start_ms FROM spans JOIN lasts USING (fleet)),
 marks AS (SELECT g.fleet, g.epoch, g.start_ms, g.start_ms + {SIX} AS end_ms, s.source, s.meter, s.revoked, s.activated_ms,
     max(CASE r.kind WHEN 'fork' THEN 2 WHEN 'terminal' THEN 1 END) AS ended, arg_max(r.pending, r.idx) FILTER (r.kind = 'gap') AS pending, arg_max(r.complete, r.idx) FILTER (r.kind = 'coverage') AS complete,
-    max(r.idx) FILTER (r.kind NOT IN ('fork', 'gap')) AS head_idx, max(r.idx) FILTER (r.kind NOT IN ('fork', 'gap', 'signal')) AS last_idx,
+    count(r.idx) FILTER (r.kind NOT IN ('fork', 'gap')) AS head_seq, coalesce(arg_max(r.hash, r.idx) FILTER (r.kind NOT IN ('fork', 'gap')), repeat('0', 64)) AS head_hash,
+    max(r.idx) FILTER (r.kind NOT IN ('fork', 'gap', 'signal')) AS last_idx, arg_max(r.hash, r.idx) FILTER (r.kind NOT IN ('fork', 'gap', 'signal')) AS last_input,
     max(r.received_ms) FILTER (r.kind NOT IN ('fork', 'gap', 'signal')) AS last_ms,
     coalesce(bool_or(r.start_ms = g.start_ms AND r.kind NOT IN ('fork', 'gap', 'signal')), false) AS live, coalesce(bool_or(r.start_ms = g.start_ms AND r.kind NOT IN ('fork', 'gap', 'signal') AND r.late), false) AS late,
     count(*) FILTER (r.start_ms = g.start_ms AND r.kind NOT IN ('fork', 'gap')) AS n
   FROM grid g JOIN src s ON s.fleet = g.fleet AND s.epoch = g.epoch AND s.enabled LEFT JOIN stand r ON r.fleet = g.fleet AND r.source = s.source AND r.start_ms <= g.start_ms GROUP BY ALL),
 cut AS (SELECT * EXCLUDE (pending, complete, ended), coalesce(pending, 0) AS pending, coalesce(complete, true) AS complete,
-  CASE WHEN ended = 2 THEN 'FORKED' WHEN ended = 1 THEN 'TERMINAL' WHEN pending > 0 THEN 'GAPPED' WHEN head_idx IS NULL THEN 'EMPTY' ELSE 'ACTIVE' END AS state FROM marks),
+  CASE WHEN ended = 2 THEN 'FORKED' WHEN ended = 1 THEN 'TERMINAL' WHEN pending > 0 THEN 'GAPPED' WHEN head_seq = 0 THEN 'EMPTY' ELSE 'ACTIVE' END AS state FROM marks),
 qual AS (SELECT fleet, epoch, start_ms, CASE WHEN count(*) FILTER (state = 'FORKED' OR revoked) > 0 THEN 'DEGRADED' WHEN count(*) FILTER (state = 'GAPPED' OR pending > 0 OR NOT complete OR late) > 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS quality FROM cut GROUP BY ALL),
 meters AS (SELECT fleet, epoch, start_ms, count(*) AS meters, count(*) FILTER (state = 'FORKED' OR revoked OR NOT complete OR NOT live) = 0 AS covered FROM cut WHERE meter GROUP BY ALL),
 sums AS (SELECT fleet, epoch, start_ms, sum(delta) AS total FROM acc WHERE counted GROUP BY ALL),
@@ -131,13 +132,19 @@ results AS (SELECT * FROM spend UNION ALL SELECT * FROM scopes UNION ALL SELECT
 
 #: Manifests and result digests in SQL: canonical JSON put together by hand.
 HASHES = """ins AS (SELECT fleet, epoch, start_ms, string_agg('"' || hash || '"', ',' ORDER BY idx) AS inputs, count(*) AS n_inputs, max(idx) AS through FROM acc GROUP BY ALL),
-cuts_ AS (SELECT fleet, epoch, start_ms, string_agg('{"complete":' || complete || ',"head":' || coalesce('"' || head_idx || '"', 'null') || ',"last_ms":' || coalesce(CAST(last_ms AS VARCHAR), 'null') || ',"source":' || source || ',"state":"' || state || '"}', ',' ORDER BY source) AS cuts FROM cut GROUP BY ALL),
-man AS (SELECT *, sha256(encode('MANIFEST/1') || '\\x00'::BLOB || encode('{"config":"' || fleet || '/' || epoch || '","cuts":[' || coalesce(cuts, '') || '],"end_ms":' || (start_ms + 21600000) || ',"fleet":' || fleet || ',"inputs":[' || coalesce(inputs, '') ||
-    '],"quality":"' || quality || '","start_ms":' || start_ms || ',"through_index":"' || upto || '","v":1}')) AS hash
+cuts_ AS (SELECT fleet, epoch, start_ms, string_agg('{"activated_ms":"' || activated_ms || '","complete":' || complete || ',"head":{"hash":"' || head_hash || '","seq":"' || head_seq || '"},"last_input":' || coalesce('"' || last_input || '"', 'null')
+    || ',"last_received_ms":' || coalesce('"' || last_ms || '"', 'null') || ',"source":' || source || ',"state":"' || state || '"}', ',' ORDER BY source) AS cuts FROM cut GROUP BY ALL),
+text_ AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY fleet, epoch ORDER BY start_ms) AS nth,
+    '{"config":"' || fleet || '/' || epoch || '","cuts":[' || coalesce(cuts, '') || '],"end_ms":' || (start_ms + 21600000) || ',"fleet":' || fleet || ',"history":[' AS head,
+    '],"inputs":[' || coalesce(inputs, '') || '],"quality":"' || quality || '","start_ms":' || start_ms || ',"through_index":"' || upto || '","v":1}' AS tail
   FROM (SELECT *, coalesce(max(through) OVER (PARTITION BY fleet ORDER BY start_ms), 0) AS upto FROM grid LEFT JOIN ins USING (fleet, epoch, start_ms) LEFT JOIN cuts_ USING (fleet, epoch, start_ms) LEFT JOIN qual USING (fleet, epoch, start_ms))),
+man_ AS (SELECT fleet, epoch, nth, start_ms, n_inputs, quality, CAST([] AS VARCHAR[]) AS history, sha256(encode('MANIFEST/1') || '\\x00'::BLOB || encode(head || tail)) AS hash FROM text_ WHERE nth = 1
+  UNION ALL SELECT t.fleet, t.epoch, t.nth, t.start_ms, t.n_inputs, t.quality, list_append(m.history, m.hash)[-5:], sha256(encode('MANIFEST/1') || '\\x00'::BLOB || encode(t.head || '"' || array_to_string(list_append(m.history, m.hash)[-5:], '","') || '"' || t.tail))
+  FROM man_ m JOIN text_ t ON t.fleet = m.fleet AND t.epoch = m.epoch AND t.nth = m.nth + 1),
+man AS MATERIALIZED (SELECT * FROM man_),
 ev AS (SELECT fleet, epoch, start_ms, 'spend_spike/1' AS detector, 'fleet' AS target, string_agg(DISTINCT '"' || hash || '"', ',' ORDER BY '"' || hash || '"') AS evidence FROM acc WHERE counted GROUP BY ALL
   UNION ALL SELECT fleet, epoch, start_ms, CASE kind WHEN 'scope' THEN 'scope_drift/1' ELSE 'replication_anomaly/1' END, CAST(subject AS VARCHAR), string_agg(DISTINCT '"' || hash || '"', ',' ORDER BY '"' || hash || '"') FROM acc WHERE kind IN ('scope', 'replication') GROUP BY ALL
-  UNION ALL SELECT fleet, epoch, start_ms, 'stream_silence/1', CAST(source AS VARCHAR), '"' || sha256(CAST(last_idx AS VARCHAR)) || '"' FROM cut WHERE last_idx IS NOT NULL),
+  UNION ALL SELECT fleet, epoch, start_ms, 'stream_silence/1', CAST(source AS VARCHAR), '"' || last_input || '"' FROM cut WHERE last_idx IS NOT NULL),
 res AS (SELECT r.*, man.hash AS manifest, sha256(encode('RESULT/1') || '\\x00'::BLOB || encode('{"config":"' || fleet || '/' || epoch || '","decision":{"limit":' || coalesce('"' || limit_value || '"', 'null') || ',"reason":"' || reason || '","status":"' || status ||
     '","value":' || coalesce('"' || value || '"', 'null') || '},"detector":"' || detector || '","evidence":[' || CASE WHEN detector = 'spend_spike/1' AND reason = 'EVIDENCE_MISSING' THEN '' ELSE coalesce(evidence, '') END || '],"fleet":' || fleet || ',"manifest":"' || man.hash || '","target":"' || target || '","v":1}')) AS hash
   FROM results r JOIN man USING (fleet, epoch, start_ms) LEFT JOIN ev USING (fleet, epoch, start_ms, detector, target))"""
@@ -200,7 +207,7 @@ def shown(df):
     return df.select(*V.WINDOW, "detector", "target", "status", "reason", cast("value").alias("value"), cast("limit").alias("limit_value"))
 
 
-W = f"WITH {SQL}"
+W = f"WITH RECURSIVE {SQL}"
 KEY = "fleet, epoch, start_ms"
 
 
@@ -316,7 +323,7 @@ def spend_threshold(spark, d):
     return Run(spark, d).spend_windows.where("n_history = 5").select(*V.WINDOW, K.spend_threshold(F.col("history"), P).cast("bigint").alias("threshold"))
 
 
-CUT = f"{KEY}, source, state, pending, complete, head_idx, last_idx, last_ms, live, late, n"
+CUT = f"{KEY}, source, state, pending, complete, head_seq, head_hash, last_idx, last_input, last_ms, live, late, n"
 
 
 @query("W09_cut_state", f"{W} SELECT {CUT} FROM cut")
@@ -324,16 +331,15 @@ def cut_state(spark, d):
     return Run(spark, d).cuts.select(*CUT.split(", "))
 
 
-@query("P04_cuts", f"{W} SELECT {KEY}, source, head_idx, CASE WHEN head_idx IS NOT NULL THEN sha256(CAST(head_idx AS VARCHAR)) END AS head_hash, state, activated_ms, last_ms, CASE WHEN last_idx IS NOT NULL THEN sha256(CAST(last_idx AS VARCHAR)) END AS last_input, complete FROM cut")
+@query("P04_cuts", f"{W} SELECT {KEY}, source, head_seq, head_hash, state, activated_ms, last_ms, last_input, complete FROM cut")
 def closure_rows(spark, d):
-    hash_ = lambda c: F.sha2(F.col(c).cast("string"), 256)
-    return Run(spark, d).cuts.select(*V.WINDOW, "source", "head_idx", hash_("head_idx").alias("head_hash"), "state", "activated_ms", "last_ms", hash_("last_idx").alias("last_input"), "complete")
+    return Run(spark, d).cuts.select(*V.WINDOW, "source", "head_seq", "head_hash", "state", "activated_ms", "last_ms", "last_input", "complete")
 
 
 @query("J06_cut_join", f"{W} SELECT {KEY}, s.source, coalesce(state, 'EMPTY') AS state, coalesce(complete, true) AS complete FROM (SELECT * FROM grid JOIN src USING (fleet, epoch)) s LEFT JOIN cut c USING (fleet, epoch, start_ms, source)")
 def cut_join(spark, d):
     run = Run(spark, d)
-    every = run.windows.join(F.broadcast(run.sources.select("fleet", "epoch", "source")), ["fleet", "epoch"])
+    every = run.windows.join(run.sources.select("fleet", "epoch", "source"), ["fleet", "epoch"])
     joined = every.join(run.cuts.select(*V.WINDOW, "source", "state", "complete"), [*V.WINDOW, "source"], "left")
     return joined.select(*V.WINDOW, "source", F.coalesce("state", F.lit("EMPTY")).alias("state"), F.coalesce("complete", F.lit(True)).alias("complete"))
 
@@ -374,12 +380,14 @@ def catch_up(spark, d):
     windows = Run(spark, d).windows
     first = windows.groupBy("fleet").agg(F.min("start_ms").alias("lo"))
     call = F.expr(f"(start_ms - lo) div {60 * SIX}")
-    return windows.join(F.broadcast(first), "fleet").groupBy("fleet", call.alias("call")).agg(F.count("*").alias("windows"), F.max("end_ms").alias("upto_ms"))
+    return windows.join(first, "fleet").groupBy("fleet", call.alias("call")).agg(F.count("*").alias("windows"), F.max("end_ms").alias("upto_ms"))
 
 
-@query("P05_manifest", f"{W}, {HASHES} SELECT {KEY}, coalesce(n_inputs, 0) AS n_inputs, quality, hash, (SELECT count(*) FROM man m WHERE m.fleet = man.fleet AND m.epoch = man.epoch AND m.start_ms < man.start_ms AND m.start_ms >= man.start_ms - {5 * SIX}) AS n_history FROM man")
+@query("P05_manifest", f"{W}, {HASHES} SELECT {KEY}, coalesce(n_inputs, 0) AS n_inputs, quality, hash, len(history) AS n_history, coalesce(history[-1], '') AS before FROM man")
 def manifest(spark, d):
-    return Run(spark, d, keep=True).manifests.select(*V.WINDOW, "n_inputs", "quality", "hash", F.size("history").cast("bigint").alias("n_history"))
+    """Manifests, whose JSON names the digests of the five before."""
+    made = Run(spark, d, keep=True).manifests
+    return made.select(*V.WINDOW, "n_inputs", "quality", "hash", F.size("history").cast("bigint").alias("n_history"), F.coalesce(F.try_element_at("history", F.lit(-1)), F.lit("")).alias("before"))
 
 
 @query("P07_result_digest", f"{W}, {HASHES} SELECT {KEY}, detector, target, hash FROM res")
@@ -394,17 +402,17 @@ def evidence_set(spark, d):
     return V.evidence(run.rows, run.cuts, run.subjects).select(*V.WINDOW, "detector", "target", quoted.alias("evidence"))
 
 
-@query("J15_witness", f"{W} SELECT c.fleet, c.epoch, c.start_ms, c.source, last_idx, a.received_ms, a.kind, a.received_ms = c.last_ms AS agrees FROM cut c JOIN acc a ON a.idx = c.last_idx")
+@query("J15_witness", f"{W} SELECT c.fleet, c.epoch, c.start_ms, c.source, last_input, a.received_ms, a.kind, a.received_ms = c.last_ms AS agrees FROM cut c JOIN acc a ON a.fleet = c.fleet AND a.hash = c.last_input")
 def witness(spark, d):
     run = Run(spark, d)
-    heads = run.rows.select(F.col("idx").alias("last_idx"), "received_ms", "kind")
-    return run.cuts.join(heads, "last_idx").select(*V.WINDOW, "source", "last_idx", "received_ms", "kind", F.expr("received_ms = last_ms").alias("agrees"))
+    heads = run.rows.select("fleet", F.col("hash").alias("last_input"), "received_ms", "kind")
+    return run.cuts.join(heads, ["fleet", "last_input"]).select(*V.WINDOW, "source", "last_input", "received_ms", "kind", F.expr("received_ms = last_ms").alias("agrees"))
 
 
 @query("J17_principals", f"{W} SELECT a.fleet, a.epoch, s.key_id, count(*) AS n, bool_or(s.meter) AS meter FROM acc a JOIN src s USING (fleet, epoch, source) GROUP BY ALL")
 def principals(spark, d):
     run = Run(spark, d)
-    keys = F.broadcast(run.sources.select("fleet", "epoch", "source", "key_id", "meter"))
+    keys = run.sources.select("fleet", "epoch", "source", "key_id", "meter")
     return run.rows.join(keys, ["fleet", "epoch", "source"]).groupBy("fleet", "epoch", "key_id").agg(F.count("*").alias("n"), F.bool_or("meter").alias("meter"))
 
 
@@ -443,7 +451,7 @@ def result_compare(spark, d):
     return V.replayed(stored(run), run).groupBy("fleet").agg(F.count("*").alias("n"), F.count_if(F.expr("verdict <> 'MATCH'")).alias("wrong"))
 
 
-ENVELOPE = f"""{W}, e AS (SELECT r.*, s.key_id, s.meter, s.revoked, s.enabled, s.subjects, CASE WHEN idx % 29 = 0 THEN sha256('other') ELSE sha256(CAST(idx AS VARCHAR)) END AS given, CASE WHEN idx % 31 = 0 THEN 'key-9-9' ELSE 'key-' || r.fleet || '-' || r.source END AS signer
+ENVELOPE = f"""{W}, e AS (SELECT r.*, s.key_id, s.meter, s.revoked, s.enabled, s.subjects, CASE WHEN idx % 29 = 0 THEN sha256('other') ELSE sha256('record/' || idx) END AS given, CASE WHEN idx % 31 = 0 THEN 'key-9-9' ELSE 'key-' || r.fleet || '-' || r.source END AS signer
   FROM inforce r LEFT JOIN src s USING (fleet, epoch, source) WHERE kind NOT IN ('fork', 'gap'))"""
 
 
@@ -452,10 +460,10 @@ ENVELOPE = f"""{W}, e AS (SELECT r.*, s.key_id, s.meter, s.revoked, s.enabled, s
 def envelope(spark, d):
     """The first rule that each record breaks: digest, binding, signer, revocation, subject, meter."""
     run = Run(spark, d)
-    given = F.when(F.col("idx") % 29 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2(F.col("idx").cast("string"), 256))
+    given = F.when(F.col("idx") % 29 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2(F.concat(F.lit("record/"), "idx"), 256))
     signer = F.when(F.col("idx") % 31 == 0, "key-9-9").otherwise(F.concat_ws("-", F.lit("key"), "fleet", "source"))
     rows = run.placed.where("kind not in ('fork', 'gap')").withColumn("given", given).withColumn("signer", signer)
-    rows = rows.join(F.broadcast(run.sources.select("fleet", "epoch", "source", "key_id", "meter", "revoked", "enabled", "subjects")), ["fleet", "epoch", "source"], "left")
+    rows = rows.join(run.sources.select("fleet", "epoch", "source", "key_id", "meter", "revoked", "enabled", "subjects"), ["fleet", "epoch", "source"], "left")
     error = (
         F.when(F.expr("given <> hash"), "HASH_INVALID").when(~F.coalesce("enabled", F.lit(False)), "FORBIDDEN").when(F.expr("signer <> key_id"), "KEY_MISMATCH").when(F.col("revoked"), "KEY_REVOKED")
         .when(F.col("kind").isin("spend", "scope", "replication") & ~F.array_contains("subjects", F.col("subject")), "SUBJECT_UNKNOWN")
@@ -474,22 +482,29 @@ def slot_join(spark, d):
     return run.rows.join(slots, ["fleet", "source", "hash"]).select(*V.WINDOW, "source", "seq", "hash")
 
 
-@query("T11_degradation", f"""{W}, ended AS (SELECT fleet, source, min(received_ms) AS at_ms FROM kept WHERE kind = 'fork' GROUP BY ALL UNION ALL SELECT DISTINCT fleet, source, {BASE + 15 * DAY} FROM src WHERE revoked),
-  fed AS (SELECT DISTINCT fleet, epoch, start_ms, detector, target, source FROM (SELECT fleet, epoch, start_ms, 'spend_spike/1' AS detector, 'fleet' AS target, source FROM acc WHERE counted
-    UNION ALL SELECT fleet, epoch, start_ms, CASE kind WHEN 'scope' THEN 'scope_drift/1' ELSE 'replication_anomaly/1' END, CAST(subject AS VARCHAR), source FROM acc WHERE kind IN ('scope', 'replication') UNION ALL SELECT fleet, epoch, start_ms, 'stream_silence/1', CAST(source AS VARCHAR), source FROM cut))
-  SELECT fleet, start_ms, detector, target, min(at_ms) AS degraded_ms, CASE WHEN start_ms % 4 = 0 THEN 'CANCELLED' END AS delivery FROM results r JOIN fed USING (fleet, epoch, start_ms, detector, target) JOIN ended e USING (fleet, source) WHERE status = 'HIT' AND at_ms >= start_ms + {SIX} GROUP BY ALL""")
+VOTERS = [(0, "watch-0"), (1, "watch-1"), (2, "watch-2")]
+
+
+@query("T11_degradation", f"""{W}, {HASHES}, ended AS (SELECT fleet, source, min(received_ms) AS at_ms FROM kept WHERE kind = 'fork' GROUP BY ALL UNION ALL SELECT DISTINCT fleet, source, {BASE + 15 * DAY} FROM src WHERE revoked),
+  hit AS (SELECT res.*, coalesce(evidence, '') AS evidence, start_ms + {SIX} AS end_ms, ('0x' || hash[1:6])::BIGINT AS n FROM res LEFT JOIN ev USING (fleet, epoch, start_ms, detector, target) WHERE status = 'HIT'),
+  why AS (SELECT h.fleet, h.hash, e.at_ms, h.end_ms FROM hit h JOIN ended e ON e.fleet = h.fleet AND (EXISTS (SELECT 1 FROM cut c WHERE c.fleet = h.fleet AND c.epoch = h.epoch AND c.start_ms = h.start_ms AND c.source = e.source)
+      OR EXISTS (SELECT 1 FROM acc a WHERE a.fleet = e.fleet AND a.source = e.source AND a.epoch = h.epoch AND a.start_ms = h.start_ms AND contains(h.evidence, a.hash)))
+    UNION ALL SELECT fleet, hash, {BASE + 20 * DAY}, end_ms FROM hit WHERE n % 5 = 2),
+  d AS (SELECT fleet, hash, min(at_ms) AS degraded_ms FROM why WHERE at_ms >= end_ms GROUP BY ALL)
+  SELECT h.fleet, h.start_ms, h.detector, h.target, degraded_ms, CASE WHEN degraded_ms IS NOT NULL THEN 'DEGRADED' ELSE 'VALID' END AS assurance, CASE WHEN degraded_ms IS NULL THEN 'QUEUED' ELSE 'CANCELLED' END AS delivery FROM hit h LEFT JOIN d USING (fleet, hash)""")
 def degradation(spark, d):
-    """Valid alerts that a later fork or key revocation of a source they rest on degrades, and what becomes of their queued page."""
+    """What forks, revoked source keys and a revoked watcher's key (that of watcher 2, which voted for some) make of each alert and its queued page."""
     run = Run(spark, d, keep=True)
+    every = written(run.hashed.where("status = 'HIT'").withColumn("end_ms", F.col("start_ms") + P.window_ms), "hits")
     forks = V.before_end(run.placed).where("kind = 'fork'").groupBy("fleet", "source").agg(F.min("received_ms").alias("at_ms"))
     keys = run.sources.where("revoked").select("fleet", "source", F.lit(BASE + 15 * DAY).alias("at_ms")).distinct()
-    per = lambda rows, detector, target: rows.select(*V.WINDOW, detector.alias("detector"), target.cast("string").alias("target"), "source")
-    fed = per(run.rows.where("kind = 'spend' and counted"), F.lit("spend_spike/1"), F.lit("fleet"))
-    other = F.when(F.col("kind") == "scope", "scope_drift/1").otherwise("replication_anomaly/1")
-    fed = fed.unionByName(per(run.rows.where("kind in ('scope', 'replication')"), other, F.col("subject"))).unionByName(per(run.cuts, F.lit("stream_silence/1"), F.col("source"))).distinct()
-    hits = run.results.where("status = 'HIT'").select(*V.WINDOW, "detector", "target")
-    joined = hits.join(fed, [*V.WINDOW, "detector", "target"]).join(F.broadcast(forks.unionByName(keys)), ["fleet", "source"]).where(F.col("at_ms") >= F.col("start_ms") + P.window_ms)
-    return joined.groupBy("fleet", "start_ms", "detector", "target").agg(F.min("at_ms").alias("degraded_ms")).withColumn("delivery", F.when(F.col("start_ms") % 4 == 0, K.degrade(F.lit("VALID"), F.lit("QUEUED"))["delivery"]))
+    n = F.conv(F.substring("hash", 1, 6), 16, 10).cast("bigint")
+    cast = every.where(n % 5 == 2).select("fleet", "hash", F.lit(2).alias("watcher"))
+    told = spark.createDataFrame([("watch-2", BASE + 20 * DAY)], "key_id string, at_ms long").join(spark.createDataFrame(VOTERS, "watcher long, key_id string"), "key_id")
+    when = V.degraded(every, run.cuts, run.rows.select("fleet", "source", "hash"), forks.unionByName(keys), cast.join(told, "watcher"))
+    joined = every.select("fleet", "start_ms", "detector", "target", "hash").join(when, ["fleet", "hash"], "left")
+    queued = K.degrade(F.when(F.col("degraded_ms").isNull(), "DEGRADED").otherwise("VALID"), F.lit("QUEUED"))
+    return joined.select("fleet", "start_ms", "detector", "target", "degraded_ms", F.when(F.col("degraded_ms").isNull(), "VALID").otherwise("DEGRADED").alias("assurance"), F.when(F.col("degraded_ms").isNull(), "QUEUED").otherwise(queued["delivery"]).alias("delivery"))
 
 
 @query("J09_revoked_sources", f"{W} SELECT DISTINCT fleet, source FROM src WHERE revoked")
@@ -499,12 +514,12 @@ def revoked_sources(spark, d):
     return sources(spark).select("fleet", "source", "key_id").distinct().join(keys, ["fleet", "key_id"], "left_semi").select("fleet", "source")
 
 
-@query("P06_source_view", f"""{W}, l AS (SELECT fleet, source, arg_max(state, start_ms) AS state, arg_max(pending, start_ms) AS pending, arg_max(complete, start_ms) AS complete, max(head_idx) AS head_idx, max(last_ms) AS last_ms FROM cut GROUP BY ALL),
+@query("P06_source_view", f"""{W}, l AS (SELECT fleet, source, arg_max(state, start_ms) AS state, arg_max(pending, start_ms) AS pending, arg_max(complete, start_ms) AS complete, max(head_seq) AS head_seq, max(last_ms) AS last_ms FROM cut GROUP BY ALL),
   a AS (SELECT fleet, count(*) AS n FROM results WHERE status = 'HIT' GROUP BY ALL) SELECT l.*, coalesce(n, 0) AS hits FROM l LEFT JOIN a USING (fleet)""")
 def source_view(spark, d):
     """Each source as it stands at the last closed window, with its fleet's number of hits."""
     run = Run(spark, d, keep=True)
     last = lambda c: F.max_by(c, "start_ms").alias(c)
-    view = run.cuts.groupBy("fleet", "source").agg(last("state"), last("pending"), last("complete"), F.max("head_idx").alias("head_idx"), F.max("last_ms").alias("last_ms"))
+    view = run.cuts.groupBy("fleet", "source").agg(last("state"), last("pending"), last("complete"), F.max("head_seq").alias("head_seq"), F.max("last_ms").alias("last_ms"))
     hits = run.results.where("status = 'HIT'").groupBy("fleet").agg(F.count("*").alias("hits"))
-    return view.join(F.broadcast(hits), "fleet", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return view.join(hits, "fleet", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
