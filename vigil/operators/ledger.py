@@ -1,9 +1,9 @@
 """The journal: appending, framing, exporting, verifying and watching it.
 
-A journal row has fleet, seq, at_ms, kind, key and the members n1, n2, s1, s2 whose
-meaning depends on the kind.  Rules are set queries over windows of one key, source or
-event group; only the hash chain is a fold, which streams each fleet's rows in order
-and carries one hash, so its memory doesn't grow with the journal.
+A journal row has fleet, seq, at_ms, kind, key and the members n1 to n3, s1 to s4 whose
+meaning depends on the kind.  Rules are running values and automata over ranges of rows, so a
+fleet or key of any size is spread over tasks; only appending, which makes the hash chain, is a fold
+that streams each fleet's rows in order and carries one hash.
 
 Defined cases: an empty journal gives empty tables; rows of an unknown kind are faulty;
 a null member never satisfies a rule that reads it.
@@ -18,15 +18,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.params import DEFAULT, Params
+from vigil.operators.scans import Chain, Dealt, Machine
+from vigil.sources.store import written
 
 ZERO = "0" * 64
-#: Edges of the state machines.
-ALERT_EDGES = ["CANDIDATE CORROBORATED", "CANDIDATE EXPIRED", "CANDIDATE CLOSED", "CORROBORATED ACKNOWLEDGED", "CORROBORATED CLOSED", "ACKNOWLEDGED CLOSED"]
+MEMBERS = ("at_ms", "kind", "key", "n1", "n2", "n3", "s1", "s2", "s3", "s4")
+ALERTS = ("AlertCreated", "AlertChanged", "AlertDegraded", "VoteAccepted", "DeliveryChanged")
+#: The legal moves of alerts (by no actor or by one), deliveries and subscriptions.
+ALERT_EDGES = {"CANDIDATE CORROBORATED": False, "CANDIDATE EXPIRED": False, "CORROBORATED ACKNOWLEDGED": True, "CANDIDATE CLOSED": True, "CORROBORATED CLOSED": True, "ACKNOWLEDGED CLOSED": True}
 DELIVERY_EDGES = [
     "NONE QUEUED", "QUEUED IN_FLIGHT", "QUEUED CANCELLED", "RETRY IN_FLIGHT", "RETRY CANCELLED", "IN_FLIGHT DELIVERED", "IN_FLIGHT RETRY", "IN_FLIGHT FAILED", "IN_FLIGHT CANCELLED",
 ]
-SUBSCRIPTION_EDGES = ["NONE ACTIVE", "ACTIVE PAUSED", "PAUSED ACTIVE", "ACTIVE EXPIRED", "PAUSED EXPIRED", "ACTIVE CLOSED", "PAUSED CLOSED"]
-MEMBERS = ("at_ms", "kind", "key", "n1", "n2", "s1", "s2")
+SUBSCRIPTION_EDGES = {
+    ("OPEN", "NONE"): "ACTIVE", ("PAUSE", "ACTIVE"): "PAUSED", ("RESUME", "PAUSED"): "ACTIVE", ("EXPIRE", "ACTIVE"): "EXPIRED", ("EXPIRE", "PAUSED"): "EXPIRED", ("CLOSE", "ACTIVE"): "CLOSED", ("CLOSE", "PAUSED"): "CLOSED",
+}
+LIVE = ("CANDIDATE", "CORROBORATED", "ACKNOWLEDGED")
+CHAIN, TRANSITION, REPLAY, MISSING, SIGNATURE = "CHAIN_INVALID", "TRANSITION_INVALID", "REPLAY_MISMATCH", "OBJECT_MISSING", "SIGNATURE_INVALID"
 
 
 def text_of(*columns: str) -> Column:
@@ -65,65 +72,203 @@ def appended(events: DataFrame, head: DataFrame | None = None) -> DataFrame:
 
 def unchained(journal: DataFrame) -> DataFrame:
     """Rows whose digest, predecessor or number is wrong, or whose time runs backwards; each
-    row is checked against its own members and its neighbour, so nothing is folded."""
-    w = Window.partitionBy("fleet").orderBy("seq")
+    row is checked against its own members and its neighbour, so nothing is folded and a journal
+    lies in as many ranges as its size asks for."""
     own = F.sha2(F.concat(F.lit("ENTRY/1\0"), F.col("seq").cast("string"), F.lit("\u001f"), F.col("prev"), F.lit("\u001f"), text_of(*MEMBERS)), 256)
-    rows = journal.select("fleet", "seq", "prev", "hash", "at_ms", own.alias("own"), F.lag("hash", 1, ZERO).over(w).alias("before"), F.lag("seq", 1, 0).over(w).alias("last"), F.lag("at_ms").over(w).alias("earlier"))
-    fault = F.when(F.expr("own <> hash"), "HASH_INVALID").when(F.expr("prev <> before or seq <> last + 1"), "CHAIN_INVALID").when(F.expr("at_ms < earlier"), "TIME_INVALID")
+    rows = journal.select("fleet", "seq", "prev", "hash", "at_ms", own.alias("own"))
+    rows = Dealt(rows, ["fleet"], ["seq"]).prefixes({"last": ("max", F.struct("seq", "hash", "at_ms"))})
+    before, last = F.coalesce("last.hash", F.lit(ZERO)), F.coalesce("last.seq", F.lit(0))
+    fault = F.when(F.expr("own <> hash"), "HASH_INVALID").when((F.col("prev") != before) | (F.col("seq") != last + 1), CHAIN).when(F.expr("at_ms < last.at_ms"), "TIME_INVALID")
     return rows.select("fleet", "seq", fault.alias("fault")).where("fault is not null")
 
 
-def _edge(at: str, edges: list[str]) -> Column:
-    return F.concat_ws(" ", F.col("s1"), F.col("s2")).isin(edges) & F.col("s1").eqNullSafe(F.col(at))
-
-
-def judged(journal: DataFrame, expected: DataFrame, roster: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Each row of the journal with ``valid`` by the rule of its kind.
-
-    expected: fleet, key, position, hash, hit of recomputed results (key: their window's start);
-    roster: watcher, domain of those who may vote."""
+def alert_moves(state: str, letter: str) -> str | None:
+    """Alerts as ``state:assurance:revision``: creation, votes, changes (from, to, revision) and degradation (revision)."""
+    verb, *rest = letter.split(":")
+    if verb == "create":
+        return "CANDIDATE:VALID:1"
+    if state == "NONE":
+        return None
+    at, assurance, revision = state.split(":")
+    if verb == "vote":
+        return f"{at}:{assurance}:{int(revision) + 1}" if at in LIVE else None
+    if int(rest[-1]) != int(revision) + 1:
+        return None
+    if verb == "degrade":
+        return f"{at}:DEGRADED:{rest[-1]}" if assurance == "VALID" else None
+    if rest[0] != at or (rest[1] == "CORROBORATED" and assurance != "VALID"):
+        return None
+    return f"{rest[1]}:{assurance}:{rest[-1]}"
+
+
+def machines(p: Params) -> dict[str, Machine]:
+    """By name; revisions of an alert are bounded by a vote of each watcher, three changes and a degradation."""
+    ends = (*LIVE, "EXPIRED", "CLOSED")
+    every = ["NONE", *(f"{s}:{a}:{r}" for s in ends for a in ("VALID", "DEGRADED") for r in range(1, most(p) + 1))]
+    delivery = {tuple(e.split(" ")) for e in DELIVERY_EDGES}
+    return {
+        "alert": Machine("NONE", every, alert_moves), "source": Chain(f"0:{ZERO}"), "config": Chain(f"0:{ZERO}|"), "none": Machine("", [""], lambda state, letter: None),
+        "delivery": Machine("NONE", sorted({x for e in delivery for x in e}), lambda state, letter: letter if (state, letter) in delivery else None),
+        "subscription": Machine("NONE", ["NONE", "ACTIVE", "PAUSED", "EXPIRED", "CLOSED"], lambda state, letter: to if (to := SUBSCRIPTION_EDGES.get((letter.split(":")[0], state))) == letter.split(":")[1] else None),
+    }
+
+
+def most(p: Params) -> int:
+    return p.watchers + 5
+
+
+def judged(
+    journal: DataFrame, windows: DataFrame, results: DataFrame, configs: DataFrame, roster: DataFrame, pages: DataFrame, records: DataFrame, p: Params = DEFAULT
+) -> DataFrame:
+    """Each row of the journal with ``fault``: null, or why the rule of its kind refuses it.  A row that is
+    refused changes nothing for those after it: sources, alerts, deliveries and subscriptions are automata over the
+    rows before.  Verification ends at the first fault of a fleet; what is told of later rows is of use to who
+    looks into it.  A number of an accepted record is held against the accepted record before it.
+
+    Recomputed: windows (fleet, key, end_ms, manifest, n_results), results (fleet, key of the window, position, hash,
+    hit, manifest, config), records (fleet, hash, counted).  Objects: configs (fleet, hash, epoch, predecessor,
+    effective_ms), pages (fleet, hash).  roster: fleet, config, watcher, key_id, domain, enabled.
+
+    Members by kind: Tick n1 time; ConfigScheduled and ConfigActivated key config; KeysRevoked key the key;
+    SourceAccepted key source, n1 index, n2 observed, n3 seq, s1 late, s2 hash, s3 prev, s4 kind:counted;
+    SourceBuffered key source, n3 seq; SourceForkObserved key source, n1 and n2 seqs, s1 reason, s2 and s3 hashes, s4
+    which of the two is terminal; WindowFinalized key window, n1 results, s1 manifest; ResultFinalized s1 hash; AlertCreated
+    key alert, n1 expiry, s1 result; VoteAccepted key alert, n1 watcher, s1 config, s2 manifest, s3 signing key;
+    AlertChanged key alert, n1 revision, s1 from, s2 to, s3 actor; AlertDegraded key alert, n1 revision;
+    DeliveryChanged key alert, n1 attempts, s2 state, s3 page; SubscriptionChanged key subscription, s1 event, s2 state."""
     kind = F.col("kind")
-    by_kind = Window.partitionBy("fleet", "kind").orderBy("seq")
-    by_key = Window.partitionBy("fleet", "kind", "key").orderBy("seq")
-    # events of a window share its key, alerts name their result
-    group = Window.partitionBy("fleet", "key")
-    shown = expected.select("fleet", "key", F.col("position").alias("n1"), F.col("hash").alias("should"), F.lit("ResultFinalized").alias("kind"))
-    rows = journal.join(shown, ["fleet", "key", "n1", "kind"], "left")
-    hits = expected.where("hit").select("fleet", F.col("hash").alias("key"), F.lit("AlertCreated").alias("kind"), F.lit(True).alias("is_hit"))
-    rows = rows.join(hits, ["fleet", "key", "kind"], "left").join(F.broadcast(roster.select(F.col("watcher").alias("n1"), F.col("domain"), F.lit("VoteAccepted").alias("kind"))), ["n1", "kind"], "left")
-    upto = Window.partitionBy("fleet", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    alert = lambda c: F.when(kind.isin("AlertCreated", "AlertChanged", "AlertDegraded"), c)
-    rows = rows.select(
-        "*", F.lag("n1").over(by_kind).alias("kind_n1"), F.lag("n2").over(by_kind).alias("kind_n2"), F.lag("s2", 1, "NONE").over(by_key).alias("key_s2"),
-        F.row_number().over(by_key).alias("nth"), F.count_if(kind == "ResultFinalized").over(group).alias("results"), F.min(F.when(kind == "WindowFinalized", F.col("seq"))).over(group).alias("group_seq"),
-        F.last(alert(F.coalesce(F.when(kind == "AlertChanged", F.col("s2")), F.when(kind == "AlertCreated", F.lit("CANDIDATE")))), True).over(upto).alias("alert_state"),
-        F.last(alert(F.when(kind == "AlertCreated", F.lit(0)).otherwise(F.col("n1"))), True).over(upto).alias("revision"),
-        F.last(F.when(kind == "AlertCreated", F.col("n1")), True).over(upto).alias("expires_ms"),
-        F.size(F.collect_set(F.when((kind == "VoteAccepted") & (F.col("s1") == F.col("domain")), F.col("s1"))).over(upto)).alias("domains"),
-        F.row_number().over(Window.partitionBy("fleet", "kind", "key", "n1").orderBy("seq")).alias("nth_of_n1"),
-        F.min(F.when(kind == "SourceForkObserved", F.col("seq"))).over(group).alias("fork_seq"),
+    config = configs.select("fleet", F.col("hash").alias("key"), "epoch", "predecessor", "effective_ms", F.lit(True).alias("known"))
+    scheduled = kind.isin("ConfigScheduled", "ConfigActivated")
+    rows = journal.select("fleet", "seq", *MEMBERS)
+    rows = _beside(rows, scheduled, config, ["fleet", "key"])
+    rows = _beside(rows, kind == "SourceAccepted", records.select("fleet", F.col("hash").alias("s2"), "counted"), ["fleet", "s2"])
+    rows = _beside(rows, (kind == "DeliveryChanged") & F.col("s3").isNotNull(), pages.select("fleet", F.col("hash").alias("s3"), F.lit(True).alias("has_page")), ["fleet", "s3"])
+
+    # what sources, configurations, deliveries and subscriptions were before
+    machine = F.when(kind.isin("SourceAccepted", "SourceBuffered", "SourceForkObserved"), "source").when(scheduled, "config").when(kind == "DeliveryChanged", "delivery").when(kind == "SubscriptionChanged", "subscription").otherwise("none")
+    name = F.when(F.col("machine") == "config", "").when(F.col("machine") == "none", F.col("seq").cast("string")).otherwise(F.col("key"))
+    fork = F.when(F.col("s1") == "SLOT_FORK", (F.col("n1") == F.col("n2")) & (F.col("s2") != F.col("s3"))).when(F.col("s1") == "TERMINAL_SUFFIX", F.col("s4").isin("left", "right"))
+    rows = rows.withColumn("machine", machine).withColumn("name", name).withColumn("fork", F.coalesce((kind == "SourceForkObserved") & fork, F.lit(False)))
+    dealt = Dealt(rows, ["fleet", "machine", "name"], ["seq"])
+    rows = dealt.prefixes({"forked": ("max", F.when(F.col("fork"), 1)), "ahead": ("max", F.when(kind == "SourceBuffered", F.col("n3")))})
+    late = (F.col("n2") < F.col("at_ms") - p.late_ms).cast("string")
+    terminal = F.split_part("s4", F.lit(":"), F.lit(1)) == "terminal"
+    fits = (F.col("s1") == late) & (F.split_part("s4", F.lit(":"), F.lit(2)) == F.col("counted").cast("string")) & ~(terminal & F.coalesce(F.col("ahead") > F.col("n3"), F.lit(False)))
+    link = F.concat(F.col("n3") - 1, F.lit(":"), "s3", F.lit(">"), F.when(terminal, "T").otherwise(F.concat("n3", F.lit(":"), "s2")))
+    active = F.concat(F.col("epoch") - 1, F.lit(":"), "predecessor", F.lit("|"))
+    letter = (
+        F.when(kind == "SourceAccepted", F.when(fits & F.col("forked").isNull(), link)).when(kind == "ConfigScheduled", F.concat(active, F.lit(">"), active, "key"))
+        .when((kind == "ConfigActivated") & (F.col("effective_ms") <= F.col("at_ms")), F.concat(active, "key", F.lit(">"), "epoch", F.lit(":"), "key", F.lit("|")))
+        .when((kind == "DeliveryChanged") & (F.col("s3").isNull() | F.col("has_page")) & ((F.col("s2") != "QUEUED") | (F.col("n1") == 0)), F.col("s2"))
+        .when(kind == "SubscriptionChanged", F.concat("s1", F.lit(":"), "s2"))
+    )
+    rows = dealt.automata("letter", machines(p), "machine", rows.withColumn("letter", letter)).drop("part", "machine", "name", "letter").withColumnsRenamed({"before": "was", "taken": "moved"})
+
+    # what the fleet was before: clock, numbers, the group of a window
+    due = windows.select("fleet", "key", "end_ms", "manifest", "n_results")
+    rows = _beside(rows, kind == "WindowFinalized", due, ["fleet", "key"])
+    boundary = ~kind.isin("ResultFinalized", "AlertCreated")
+    opened = F.coalesce((kind == "WindowFinalized") & (F.col("n1") == F.col("n_results")), F.lit(False))
+    dealt = Dealt(rows, ["fleet"], ["seq"])
+    rows = dealt.prefixes({
+        "clock": ("max", F.when((kind == "Tick") & (F.col("n1") == F.col("at_ms")), F.col("n1"))), "numbered": ("max", F.when(kind == "SourceAccepted", F.struct("seq", "n1"))),
+        "opener": ("max", F.when(boundary, F.struct("seq", F.col("key").alias("window"), opened.alias("opened"), F.col("end_ms").alias("window_end")))),
+    }).drop("part")
+    group = F.when(boundary, F.when(opened, F.col("seq"))).when(F.col("opener.opened"), F.col("opener.seq"))
+    rows = rows.withColumn("group", group).withColumn("window", F.when(~boundary & group.isNotNull(), F.col("opener.window"))).withColumn("window_end", F.col("opener.window_end")).withColumn("last_n1", F.col("numbered.n1"))
+    alone = Window.partitionBy("fleet", F.coalesce("group", -F.col("seq")))  # a group has as many rows as its window has results and alerts
+    result = F.when(kind == "ResultFinalized", 1)
+    rows = rows.withColumn("position", F.sum(result).over(alone.orderBy("seq"))).withColumn("found", F.count(result).over(alone)).drop("opener", "numbered")
+    rows = _beside(rows, kind == "ResultFinalized", results.select("fleet", F.col("key").alias("window"), "position", F.col("hash").alias("should")), ["fleet", "window", "position"])
+    hits = results.where("hit").select("fleet", F.col("key").alias("window"), F.col("hash").alias("s1"), F.col("manifest").alias("of_manifest"), F.col("config").alias("of_config"), F.lit(True).alias("is_hit"))
+    rows = _beside(rows, kind == "AlertCreated", hits, ["fleet", "window", "s1"])
+    firsts = dealt.rows.where((kind == "SourceBuffered") & _ahead()).groupBy("fleet", "key", "n3").agg(F.min("seq").alias("first_seq"))
+    rows = written(_beside(rows, kind == "SourceBuffered", firsts, ["fleet", "key", "n3"]), "judged")
+    alerts = _alerts(rows.where(kind.isin(*ALERTS)), rows.where(kind == "KeysRevoked"), roster, p)
+    rest = rows.where(~kind.isin(*ALERTS)).select(*rows.columns, *(F.lit(None).cast(t).alias(c) for c, t in (("created", "boolean"), ("taken", "boolean"), ("signed", "boolean"))))
+    every = rest.unionByName(alerts.select(*rest.columns))
+    return every.select("fleet", "seq", "kind", "key", _fault().alias("fault"))
+
+
+def _beside(rows: DataFrame, which: Column, few: DataFrame, on: list[str]) -> DataFrame:
+    """Join what belongs to the rows for which ``which`` holds; the others are dealt out by their own
+    numbers, so that no key of theirs, which may be null, is hot."""
+    names = [c for c in few.columns if c not in on]
+    few = few.dropDuplicates(on).select(*[F.col(c).cast("string").alias(f"_{c}") for c in on], *names)
+    last = F.when(which, F.col(on[-1]).cast("string")).otherwise(F.concat(F.lit("no "), F.col("seq")))
+    same = [F.col(c).cast("string") == F.col(f"_{c}") for c in on[:-1]] + [last == F.col(f"_{on[-1]}")]
+    if len(on) > 2:  # the middle ones may be null as well
+        same[1:-1] = [F.when(which, F.col(c).cast("string")).otherwise(F.lit("no")) == F.col(f"_{c}") for c in on[1:-1]]
+    return rows.join(few, same, "left").drop(*[f"_{c}" for c in on])
+
+
+def _ahead() -> Column:
+    """Whether a buffered entry lies ahead of its source's head, in a source that hasn't ended."""
+    head = F.when(F.col("was") != "T", F.split_part("was", F.lit(":"), F.lit(1)).cast("bigint"))
+    return F.col("forked").isNull() & (F.col("n3") > head)
+
+
+def _alerts(rows: DataFrame, revoked: DataFrame, roster: DataFrame, p: Params) -> DataFrame:
+    """Rows about alerts with created, signed and taken: whether they made an alert, bear the voter's key, and are moves.
+
+    Creation makes an alert anew.  A watcher's first vote that suits the alert is the only one that can count,
+    so when a quorum is reached doesn't depend on states.  Revisions count votes, changes, degradation
+    and deliveries; the latter don't depend on the alert's state and are taken off, which leaves a bounded number."""
+    kind, by = F.col("kind"), ["fleet", "key"]
+    created = (kind == "AlertCreated") & F.coalesce(F.col("is_hit"), F.lit(False)) & (F.col("n1") == F.col("window_end") + p.vote_ttl_ms)
+    dealt = Dealt(rows.withColumn("created", F.coalesce(created, F.lit(False))).withColumn("machine", F.lit("alert")), by, ["seq"])
+    sent = F.when((kind == "DeliveryChanged") & F.col("moved"), 1)
+    born = F.struct("seq", F.col("n1").alias("expires"), F.col("of_manifest").alias("manifest"), F.col("of_config").alias("config"))
+    rows = dealt.prefixes({"sent": ("sum", sent), "born": ("max", F.when(F.col("created"), born))})
+    rows = dealt.prefixes({"sent_at_birth": ("max", F.when(F.col("created"), F.struct("seq", F.coalesce("sent", F.lit(0)).alias("n"))))}, rows=rows)
+    vote = kind == "VoteAccepted"
+    rows = rows.withColumn("config", F.col("born.config")).withColumn("birth", F.col("born.seq"))
+    listed = roster.where("enabled").select("fleet", "config", F.col("watcher").alias("n1"), "key_id", "domain")
+    rows = _beside(rows, vote, listed, ["fleet", "config", "n1"])
+    gone = revoked.groupBy("fleet", F.col("key").alias("s3")).agg(F.min("seq").alias("revoked_seq"))
+    rows = _beside(rows, vote, gone, ["fleet", "s3"])
+    suits = vote & (F.col("s1") == F.col("config")) & (F.col("s2") == F.col("born.manifest")) & F.col("key_id").isNotNull()
+    rows = rows.withColumn("suits", F.coalesce(suits, F.lit(False))).withColumn("signed", ~F.col("suits") | F.coalesce(F.col("s3") == F.col("key_id"), F.lit(False)))
+    rows = written(rows.withColumn("counts", F.col("suits") & F.col("signed") & (F.col("at_ms") < F.col("born.expires"))), "votes")
+    cast = rows.where("counts").groupBy(*by, "birth", "n1").agg(F.min("seq").alias("first_vote"), F.min_by(F.expr("revoked_seq is null or revoked_seq > seq"), "seq").alias("eligible"))
+    domains = rows.where("counts").join(cast.where("eligible").select(*by, "birth", F.col("first_vote").alias("seq")), [*by, "birth", "seq"], "left_semi").groupBy(*by, "birth", "domain").agg(F.min("seq").alias("seq"))
+    quorum = domains.groupBy(*by, "birth").agg(F.try_element_at(F.array_sort(F.collect_list("seq")), F.lit(p.quorum)).alias("quorum_seq"))  # a roster's domains
+    rows = rows.join(cast.select(*by, "birth", "n1", "first_vote"), [*by, "birth", "n1"], "left").join(quorum, [*by, "birth"], "left")
+    revision = F.col("n1") - F.coalesce("sent", F.lit(0)) + F.coalesce("sent_at_birth.n", F.lit(0))
+    edge, acted = F.concat_ws(" ", "s1", "s2"), F.col("s3").isNotNull()
+    legal = F.create_map(*(F.lit(x) for e, by_actor in ALERT_EDGES.items() for x in (e, by_actor)))[edge] == acted
+    legal = legal & ((F.col("s2") != "CORROBORATED") | F.coalesce(F.col("quorum_seq") < F.col("seq"), F.lit(False))) & ((F.col("s2") != "EXPIRED") | (F.col("at_ms") >= F.col("born.expires")))
+    bounded = revision.between(1, most(p))
+    letter = (
+        F.when(F.col("created"), "create").when(F.col("counts") & (F.col("first_vote") == F.col("seq")), "vote")
+        .when((kind == "AlertChanged") & legal & bounded, F.concat_ws(":", F.lit("change"), "s1", "s2", revision.cast("string"))).when((kind == "AlertDegraded") & bounded, F.concat(F.lit("degrade:"), revision))
     )
-    first = F.col("nth") == 1
-    before_fork = F.col("fork_seq").isNull() | (F.col("seq") < F.col("fork_seq"))
-    rule = (
-        F.when(kind == "Tick", (F.col("n1") == F.col("at_ms")) & (F.col("kind_n1").isNull() | (F.col("n1") > F.col("kind_n1"))))
-        .when(kind == "ConfigScheduled", (F.col("n1") == F.coalesce(F.col("kind_n1") + 1, F.lit(1))) & (F.col("n2") >= F.col("at_ms")))
-        .when(kind == "ConfigActivated", (F.col("n1") == F.coalesce(F.col("kind_n1") + 1, F.lit(1))) & (F.col("n2") <= F.col("at_ms")))
-        .when(kind == "KeysRevoked", first)
-        .when(kind == "SourceAccepted", (F.col("s1") == (F.col("n2") < F.col("at_ms") - p.late_ms).cast("string")) & (F.col("kind_n1").isNull() | (F.col("n1") > F.col("kind_n1"))) & before_fork)
-        .when(kind == "SourceBuffered", (F.col("n1") > 0) & before_fork)
-        .when(kind == "SourceForkObserved", first)
-        .when(kind == "WindowFinalized", (F.col("n1") == F.col("results")) & first)
-        .when(kind == "ResultFinalized", F.col("s1").eqNullSafe(F.col("should")) & (F.col("seq") == F.col("group_seq") + F.col("n1")))
-        .when(kind == "AlertCreated", F.coalesce("is_hit", F.lit(False)) & (F.col("n1") == F.col("at_ms") + p.vote_ttl_ms) & first)
-        .when(kind == "VoteAccepted", (F.col("s1") == F.col("domain")) & (F.col("at_ms") < F.col("expires_ms")) & F.col("alert_state").isin("CANDIDATE", "CORROBORATED") & (F.col("nth_of_n1") == 1))
-        .when(kind == "AlertChanged", _edge("alert_state", ALERT_EDGES) & (F.col("n1") == F.col("revision") + 1) & ((F.col("s2") != "CORROBORATED") | (F.col("domains") >= p.quorum)))
-        .when(kind == "AlertDegraded", first & F.col("alert_state").isNotNull() & (F.col("n1") == F.col("revision") + 1))
-        .when(kind == "DeliveryChanged", _edge("key_s2", DELIVERY_EDGES))
-        .when(kind == "SubscriptionChanged", _edge("key_s2", SUBSCRIPTION_EDGES))
-        .when(kind == "FleetChanged", F.lit(True))
+    return dealt.automata("letter", {"alert": machines(p)["alert"]}, "machine", rows.withColumn("letter", letter))
+
+
+def _fault() -> Column:
+    kind, n1, at = F.col("kind"), F.col("n1"), F.col("at_ms")
+    no = lambda ok, why: F.when(F.coalesce(ok, F.lit(False)), F.lit(None)).otherwise(why)
+    active = F.concat(F.col("epoch") - 1, F.lit(":"), "predecessor", F.lit("|"))
+    in_chain = F.col("was") == F.concat(F.col("n3") - 1, F.lit(":"), "s3")
+    ended = F.col("forked").isNotNull() | (F.col("was") == "T")
+    return (
+        F.when(kind == "Tick", no((n1 == at) & (F.col("clock").isNull() | (n1 > F.col("clock"))), TRANSITION))
+        .when(kind == "ConfigScheduled", F.when(F.col("known").isNull(), MISSING).otherwise(no(F.col("moved"), F.when(F.col("was").startswith(active) | F.col("was").startswith(f"0:{ZERO}"), TRANSITION).otherwise(CHAIN))))
+        .when(kind == "ConfigActivated", no(F.col("moved"), TRANSITION))
+        .when(kind.isin("KeysRevoked", "FleetChanged"), F.lit(None))
+        .when(kind == "SourceAccepted", F.when(ended, TRANSITION).when(~F.coalesce(in_chain, F.lit(False)), CHAIN).when(F.coalesce(n1 == F.coalesce(F.col("last_n1") + 1, F.lit(1)), F.lit(False)), no(F.col("moved"), TRANSITION)).otherwise(CHAIN))
+        .when(kind == "SourceBuffered", no(_ahead() & (F.col("first_seq") == F.col("seq")), TRANSITION))
+        .when(kind == "SourceForkObserved", no(F.col("fork"), TRANSITION))
+        .when(kind == "WindowFinalized", F.when(F.col("manifest").isNull(), MISSING).when(~F.coalesce((F.col("manifest") == F.col("s1")) & (n1 == F.col("n_results")), F.lit(False)), REPLAY).otherwise(no(F.col("found") == n1, TRANSITION)))
+        .when(kind == "ResultFinalized", F.when(F.col("window").isNull(), TRANSITION).otherwise(no(F.col("s1") == F.col("should"), REPLAY)))
+        .when(kind == "AlertCreated", no(F.col("created"), TRANSITION))
+        .when(kind == "VoteAccepted", no(F.col("taken"), F.when(F.col("signed"), TRANSITION).otherwise(SIGNATURE)))
+        .when(kind.isin("AlertChanged", "AlertDegraded"), no(F.col("taken"), TRANSITION))
+        .when(kind == "DeliveryChanged", F.when(F.col("s3").isNotNull() & F.col("has_page").isNull(), MISSING).otherwise(no(F.col("moved"), TRANSITION)))
+        .when(kind == "SubscriptionChanged", no(F.col("moved"), TRANSITION))
+        .otherwise(TRANSITION)
     )
-    return rows.select("fleet", "seq", "kind", "key", F.coalesce(rule, F.lit(False)).alias("valid"))
 
 
 def frame(journal: DataFrame, fleet, after: int, through: int, limit: int = 128, budget: int = 1 << 20) -> DataFrame:

@@ -48,28 +48,35 @@ class Dealt:
         on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in self.by]
         return per_part.alias("a").join(F.broadcast(self.spanning()).alias("b"), on, "left_semi")
 
-    def _with(self, few: DataFrame, names: list[str]) -> DataFrame:
+    def _with(self, rows: DataFrame, few: DataFrame, names: list[str]) -> DataFrame:
         few = few.select(*[F.col(c).alias(f"_{c}") for c in (*self.by, "part")], *names)
-        on = [self.rows[c].eqNullSafe(few[f"_{c}"]) for c in (*self.by, "part")]
-        return self.rows.join(F.broadcast(few), on, "left").drop(*[f"_{c}" for c in (*self.by, "part")])
+        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*self.by, "part")]
+        return rows.join(F.broadcast(few), on, "left").drop(*[f"_{c}" for c in (*self.by, "part")])
 
-    def prefixes(self, values: dict[str, tuple[str, Column]], inclusive: bool = False) -> DataFrame:
+    def prefixes(self, values: dict[str, tuple[str, Column]], inclusive: bool = False, rows: DataFrame | None = None) -> DataFrame:
         """Add to each row, by name, the ``sum``, ``min`` or ``max`` of a column over the rows of its key before it
-        (and of itself, if inclusive); null where no row has a value."""
+        (and of itself, if inclusive); null where no row has a value.  rows: these rows with more columns
+        (among them ``part``), which the values may name; the result has ``part`` too."""
+        rows = self.rows if rows is None else rows
         agg = {n: getattr(F, how) for n, (how, _) in values.items()}
-        sums = self._earlier(self.rows.groupBy(*self.by, "part").agg(*(agg[n](c).alias(n) for n, (_, c) in values.items())))
+        sums = self._earlier(rows.groupBy(*self.by, "part").agg(*(agg[n](c).alias(n) for n, (_, c) in values.items())))
         before = Window.partitionBy(*self.by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         few = sums.select(*self.by, "part", *(agg[n](n).over(before).alias(f"_{n}") for n in values))
         inside = Window.partitionBy(*self.by, "part").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         join = {"sum": lambda a, b: F.when(a.isNull(), b).otherwise(a + F.coalesce(b, F.lit(0))), "max": F.greatest, "min": F.least}
-        rows = self._with(few, [f"_{n}" for n in values])
+        names, rows = rows.columns, self._with(rows, few, [f"_{n}" for n in values])
         both = [join[how](agg[n](c).over(inside), F.col(f"_{n}")).alias(n) for n, (how, c) in values.items()]
-        return rows.select(*[c for c in self.rows.columns if c != "part"], *both)
+        return rows.select(*names, *both)
 
-    def automata(self, letter: str, machines: dict[str, Machine], which: str) -> DataFrame:
+    def automata(self, letter: str, machines: dict[str, Machine], which: str, rows: DataFrame | None = None) -> DataFrame:
         """Add ``before`` (the state that a row finds) and ``taken`` (whether it was a move).  ``which`` names
-        the column that tells the row's machine, which has to belong to the key."""
-        by = self.by
+        the column that tells the row's machine, which is one for all rows of a key.  rows: as for ``prefixes``."""
+        by, rows = self.by, self.rows if rows is None else rows
+        schema = rows.select(*dict.fromkeys([*by, "part", which])).schema.add("pre", ArrayType(StringType())).add("post", ArrayType(StringType()))
+        spans = self._earlier(rows.select(*dict.fromkeys([*by, "part", *self.order, which, letter]))).repartition("part").sortWithinPartitions("part", *by, *self.order)
+        named = schema.fieldNames()[:-2]
+        kind = named.index(which)
+
         def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, moves = None, None
             for batch in batches:
@@ -79,20 +86,17 @@ class Dealt:
                         if at is not None:
                             yield _record([*at, list(moves), list(moves.values())], schema)
                         at, moves = now, {}
-                    machines[row[-2]].then(moves, row[-1])
+                    machines[row[kind]].then(moves, row[-1])
             if at is not None:
                 yield _record([*at, list(moves), list(moves.values())], schema)
 
-        schema = self.rows.select(*by, "part", which).schema.add("pre", ArrayType(StringType())).add("post", ArrayType(StringType()))
-        spans = self._earlier(self.rows.select(*by, "part", *self.order, which, letter)).repartition("part").sortWithinPartitions("part", *by, *self.order)
-        functions = spans.select(*by, "part", which, letter).mapInArrow(composed, schema)
-        functions = functions.select(*by, which, "part", F.map_from_arrays("pre", "post").alias("moves"))
+        functions = spans.select(*named, letter).mapInArrow(composed, schema)
+        functions = functions.select(*named, F.map_from_arrays("pre", "post").alias("moves"))
         earlier = F.collect_list("moves").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one to a range
         starts = F.create_map(*(F.lit(x) for n, m in machines.items() for x in (n, m.start)))
         start = F.aggregate(earlier, F.element_at(starts, F.col(which)), lambda state, moves: F.coalesce(moves[state], state))
-        rows = self._with(functions.select(*by, "part", start.alias("_start")), ["_start"]).repartition("part").sortWithinPartitions("part", *by, *self.order)
-        names = [c for c in self.rows.columns if c != "part"]
-        told = rows.select(*names, "part", "_start")
+        names = rows.columns
+        told = self._with(rows, functions.select(*by, "part", start.alias("_start")), ["_start"]).repartition("part").sortWithinPartitions("part", *by, *self.order)
         out = told.select(*names).schema.add("before", "string").add("taken", "boolean")
 
         def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +126,7 @@ class Machine:
     """A state machine: ``move(state, letter)`` is the next state, or None where the letter is refused.
 
     ``then`` composes: a function is a dict of the states that it changes (others stay), and the
-    composition after one more letter is got from the letter's own moves. """
+    composition after one more letter is got from the letter's own moves."""
 
     def __init__(self, start: str, states: list[str], move: Callable[[str, str], str | None]):
         self.start, self.states = start, states

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import fleet as V
 from vigil.operators import ledger as L
+from vigil.operators.scans import Dealt
 from vigil.sources.store import append, scan, shared, written
 
 from . import runs as R
@@ -19,8 +20,9 @@ from . import tables as T
 from .registry import query
 
 BASE, DAY, SIX, P = R.BASE, R.DAY, R.SIX, R.P
-STEPS = [("NONE", "ACTIVE"), ("ACTIVE", "PAUSED"), ("PAUSED", "ACTIVE"), ("ACTIVE", "CLOSED"), ("CLOSED", "ACTIVE")]
-ROSTER = [(1, "d1"), (2, "d2"), (3, "d2")]
+STEPS = [("OPEN", "ACTIVE"), ("PAUSE", "PAUSED"), ("RESUME", "ACTIVE"), ("CLOSE", "CLOSED"), ("OPEN", "ACTIVE")]
+WATCHERS = [(1, "watch-1", "d1"), (2, "watch-2", "d2"), (3, "watch-3", "d2")]
+ZERO = L.ZERO
 
 
 def positioned(spark, d) -> DataFrame:
@@ -30,53 +32,86 @@ def positioned(spark, d) -> DataFrame:
     return written(rows.withColumn("n", F.conv(F.substring("hash", 1, 6), 16, 10).cast("bigint")).withColumn("end_ms", F.col("start_ms") + SIX), "results")
 
 
+WINDOW_KEY = "concat('w', start_ms)"
+CONFIG = "concat_ws('/', fleet, epoch)"
+
+
 def expected(results: DataFrame) -> DataFrame:
-    return results.select("fleet", F.concat(F.lit("w"), "start_ms").alias("key"), "position", "hash", (F.col("status") == "HIT").alias("hit"))
+    return results.select("fleet", F.expr(WINDOW_KEY).alias("key"), "position", "hash", (F.col("status") == "HIT").alias("hit"), "manifest", F.expr(CONFIG).alias("config"))
+
+
+def due(results: DataFrame) -> DataFrame:
+    return results.groupBy("fleet", F.expr(WINDOW_KEY).alias("key"), "end_ms", "manifest").agg(F.count("*").alias("n_results"))
+
+
+def config_objects(spark) -> DataFrame:
+    """Configurations by digest, each with its predecessor's."""
+    hash_ = lambda epoch: F.sha2(F.concat_ws("/", F.lit("config"), "fleet", epoch), 256)
+    return R.configs(spark).select("fleet", hash_(F.col("epoch")).alias("hash"), "epoch", F.when(F.col("epoch") == 1, ZERO).otherwise(hash_(F.col("epoch") - 1)).alias("predecessor"), "effective_ms")
+
+
+def roster(spark) -> DataFrame:
+    """Watchers by configuration; the third is off in the second epoch."""
+    voters = spark.createDataFrame(WATCHERS, "watcher long, key_id string, domain string")
+    return R.configs(spark).crossJoin(voters).select("fleet", F.expr(CONFIG).alias("config"), "watcher", "key_id", "domain", F.expr("not (epoch = 2 and watcher = 3)").alias("enabled"))
+
+
+def page_objects(results: DataFrame) -> DataFrame:
+    """Pages of alerts, some of which are missing."""
+    return results.where("status = 'HIT' and n % 3 <> 0 and n % 31 <> 7").select("fleet", F.sha2(F.concat(F.lit("page/"), "hash"), 256).alias("hash")).distinct()
 
 
 def events(spark, d, results: DataFrame) -> DataFrame:
+    """A legal journal of the run, in places altered: what is altered makes later rows refused as well."""
     run = R.Run(spark, d)
     n, end = F.col("n"), F.col("end_ms")
 
-    def rows(df, kind, rank, at, key, n1=None, n2=None, s1=None, s2=None, tie=None):
-        number = lambda c: (F.lit(None) if c is None else c if not isinstance(c, int) else F.lit(c)).cast("bigint")
-        text = lambda c: (F.lit(c) if c is None or isinstance(c, str) else c).cast("string")
-        return df.select(
-            "fleet", number(at).alias("at_ms"), F.lit(rank).alias("rank"), F.coalesce(number(tie), F.lit(0).cast("bigint")).alias("tie"), F.lit(kind).alias("kind"), text(key).alias("key"),
-            number(n1).alias("n1"), number(n2).alias("n2"), text(s1).alias("s1"), text(s2).alias("s2"),
-        )
+    def rows(df, kind, rank, at, key, tie=None, **members):
+        of = lambda c, t: (F.lit(c) if c is None or isinstance(c, (int, str)) else c).cast(t)
+        given = [of(members.get(m), "bigint" if m[0] == "n" else "string").alias(m) for m in L.MEMBERS[3:]]
+        return df.select("fleet", of(at, "bigint").alias("at_ms"), F.lit(rank).alias("rank"), F.coalesce(of(tie, "bigint"), F.lit(0).cast("bigint")).alias("tie"), F.lit(kind).alias("kind"), of(key, "string").alias("key"), *given)
 
     epoch, effective = F.col("epoch"), F.col("effective_ms")
-    standing = V.usage(V.before_end(run.placed)).where("coalesce(verdict, '') <> 'USAGE_CONFLICT'")
-    source, idx, received = F.concat(F.lit("s"), "source"), F.col("idx"), F.col("received_ms")
-    flipped = F.when(idx % 401 == 7, ~F.col("late")).otherwise(F.col("late"))
+    standing = V.usage(V.before_end(run.placed)).where("coalesce(verdict, '') <> 'USAGE_CONFLICT'").withColumn("is_record", (~F.col("kind").isin("fork", "gap")).cast("bigint"))
+    standing = Dealt(standing, ["fleet", "source"], ["idx"]).prefixes({"before": ("sum", F.col("is_record")), "prior": ("max", F.when(F.col("is_record") == 1, F.struct("idx", "hash")))}).drop("part")
+    standing = Dealt(standing.withColumn("head", F.coalesce("before", F.lit(0))), ["fleet"], ["idx"]).prefixes({"index": ("sum", F.col("is_record"))}, inclusive=True)
+    source, idx, received, head = F.concat(F.lit("s"), "source"), F.col("idx"), F.col("received_ms"), F.col("head")
+    flipped = F.when(idx % 1999 == 7, ~F.col("late")).otherwise(F.col("late"))
+    counted = F.when(F.col("kind") == "spend", F.col("verdict") == "COUNTED").otherwise(F.lit(True))
+    prev = F.when(idx % 2003 == 11, F.sha2("hash", 256)).otherwise(F.coalesce("prior.hash", F.lit(ZERO)))
     windows = results.groupBy("fleet", "start_ms", "end_ms", "manifest").agg(F.count("*").alias("m"))
-    window, turn = F.concat(F.lit("w"), "start_ms"), F.expr(f"start_ms div {SIX}")
+    window, turn = F.expr(WINDOW_KEY), F.expr(f"start_ms div {SIX}")
     hits = results.where("status = 'HIT'")
     pages = hits.where("n % 3 <> 0")
     fleets = spark.range(3).select(F.col("id").alias("fleet"))
+    alert, config, page = F.col("hash"), F.expr(CONFIG), F.sha2(F.concat(F.lit("page/"), "hash"), 256)
+    again, acted, closed = (n % 5 == 0).cast("int"), (n % 3 == 1).cast("int"), ((n % 3 == 1) & (n % 4 == 0)).cast("int")
+    objects = config_objects(spark).withColumn("key", F.col("hash"))
+    vote = lambda rank, at, watcher: rows(pages, "VoteAccepted", rank, at, alert, watcher, n1=watcher, s1=config, s2=F.when(n % 41 == 6, F.sha2("manifest", 256)).otherwise(F.col("manifest")), s3=F.concat(F.lit("watch-"), F.when(n % 43 == 9, 1).otherwise(watcher)))
+    sent = lambda at, state, attempts, df=pages, **more: rows(df, "DeliveryChanged", 12, at, alert, n1=attempts, s2=state, **more)
+    changed = lambda df, at, revision, a, b, actor=None: rows(df, "AlertChanged", 10, at, alert, n1=revision, s1=a, s2=b, s3=actor)
     parts = [
         rows(fleets, "FleetChanged", 0, BASE, F.lit("fleet"), s1="RUNNING"),
-        rows(run.configs, "ConfigScheduled", 0, F.when(epoch == 1, effective).otherwise(effective - DAY), epoch, epoch, effective, tie=epoch),
-        rows(run.configs, "ConfigActivated", 1, effective, epoch, epoch, effective),
+        rows(objects, "ConfigScheduled", 0, F.when(epoch == 1, effective).otherwise(effective - DAY), F.col("key"), tie=epoch),
+        rows(objects, "ConfigActivated", 1, F.when((epoch == 3) & (F.col("fleet") == 2), effective - 1).otherwise(effective), F.col("key")),
         rows(run.sources.where("revoked").select("fleet", "key_id").distinct(), "KeysRevoked", 2, BASE + 15 * DAY, F.col("key_id")),
-        rows(standing.where("kind not in ('fork', 'gap')"), "SourceAccepted", 3, received, source, idx, F.col("observed_ms"), flipped, F.col("hash"), idx),
-        rows(standing.where("kind = 'gap'"), "SourceBuffered", 3, received, source, F.col("pending"), tie=idx),
-        rows(standing.where("kind = 'fork'"), "SourceForkObserved", 3, received, source, idx, tie=idx),
-        rows(windows, "Tick", 5, end, F.lit("tick"), F.when(turn % 50 == 7, end - 1).otherwise(end)),
-        rows(windows, "WindowFinalized", 6, end, window, F.when(turn % 31 == 3, F.col("m") + 1).otherwise(F.col("m")), s1=F.col("manifest")),
-        rows(results, "ResultFinalized", 7, end, window, F.col("position"), s1=F.when(n % 59 == 11, F.sha2("hash", 256)).otherwise(F.col("hash")), tie=F.col("position")),
-        rows(hits, "AlertCreated", 8, end, F.col("hash"), end + P.vote_ttl_ms + F.when(n % 61 == 5, 1).otherwise(0)),
-        rows(pages, "VoteAccepted", 9, end + 10_000, F.col("hash"), F.when(n % 13 == 4, 9).otherwise(1), s1="d1"),
-        rows(pages, "VoteAccepted", 9, end + F.when(n % 7 == 1, 200_000).otherwise(20_000), F.col("hash"), F.when(n % 11 == 2, 1).otherwise(2), s1=F.when(n % 11 == 2, "d1").otherwise("d2")),
-        rows(hits, "AlertChanged", 10, end + F.when(n % 3 == 0, 180_000).otherwise(20_001), F.col("hash"), 1, s1="CANDIDATE", s2=F.when(n % 3 == 0, "EXPIRED").otherwise("CORROBORATED")),
-        rows(hits.where("n % 3 = 1"), "AlertChanged", 10, end + 60_000, F.col("hash"), F.when(n % 17 == 3, 3).otherwise(2), s1="CORROBORATED", s2="ACKNOWLEDGED"),
-        rows(hits.where("n % 3 = 2 and n % 19 = 2"), "AlertChanged", 10, end + 70_000, F.col("hash"), 2, s1="CORROBORATED", s2="EXPIRED"),
-        rows(hits.where("n % 23 = 0"), "AlertDegraded", 11, end + 100_000, F.col("hash"), n % 3 + 1),
-        rows(pages, "DeliveryChanged", 12, end + 20_002, F.col("hash"), s1="NONE", s2="QUEUED"),
-        rows(pages, "DeliveryChanged", 12, end + 21_000, F.col("hash"), s1="QUEUED", s2="IN_FLIGHT"),
-        rows(pages, "DeliveryChanged", 12, end + 22_000, F.col("hash"), s1="IN_FLIGHT", s2=F.when(n % 5 == 0, "RETRY").otherwise("DELIVERED")),
-        rows(pages.where("n % 5 = 0"), "DeliveryChanged", 12, end + 23_000, F.col("hash"), s1="RETRY", s2="DELIVERED"),
+        rows(fleets, "KeysRevoked", 2, BASE + 20 * DAY, F.lit("watch-2")),
+        rows(standing.where("is_record = 1"), "SourceAccepted", 3, received, source, idx, n1=F.col("index"), n2=F.col("observed_ms"), n3=head + 1, s1=flipped, s2=F.col("hash"), s3=prev, s4=F.concat_ws(":", "kind", counted)),
+        rows(standing.where("kind = 'gap'"), "SourceBuffered", 3, received, source, idx, n3=head + F.col("pending") * 2),
+        rows(standing.where("kind = 'fork'"), "SourceForkObserved", 3, received, source, idx, n1=head, n2=head, s1="SLOT_FORK", s2=F.sha2("hash", 256), s3=F.when(idx % 3 == 0, F.sha2("hash", 256)).otherwise(F.col("hash")), s4="none"),
+        rows(windows, "Tick", 5, end, F.lit("tick"), n1=F.when(turn % 50 == 7, end - 1).otherwise(end)),
+        rows(windows, "WindowFinalized", 6, end, window, n1=F.when(turn % 31 == 3, F.col("m") + 1).otherwise(F.col("m")), s1=F.when(turn % 37 == 5, F.sha2("manifest", 256)).otherwise(F.col("manifest"))),
+        rows(results.where(f"not (start_ms div {SIX} % 61 = 9 and position = 2)"), "ResultFinalized", 7, end, window, F.col("position"), s1=F.when(n % 59 == 11, F.sha2("hash", 256)).otherwise(F.col("hash"))),
+        rows(hits, "AlertCreated", 8, end, alert, n1=end + P.vote_ttl_ms + F.when(n % 61 == 5, 1).otherwise(0), s1=alert),
+        vote(9, end + 10_000, F.when(n % 13 == 4, 9).otherwise(1)), vote(9, end + F.when(n % 7 == 1, 200_000).otherwise(20_000), F.when(n % 11 == 2, 1).when(n % 11 == 3, 3).otherwise(2)),
+        changed(hits.where("n % 3 = 0"), end + F.when(n % 67 == 0, 150_000).otherwise(180_000), F.when(n % 23 == 0, 3).otherwise(2), "CANDIDATE", "EXPIRED"),
+        changed(pages, end + 20_001, 4, "CANDIDATE", "CORROBORATED", F.when(n % 71 == 1, "op")),
+        changed(hits.where("n % 3 = 1"), end + 60_000, again + F.when(n % 17 == 3, 9).otherwise(8), "CORROBORATED", "ACKNOWLEDGED", "op"),
+        changed(hits.where("n % 3 = 1 and n % 4 = 0"), end + 80_000, again + 9, "ACKNOWLEDGED", "CLOSED", "op"),
+        changed(hits.where("n % 3 = 2 and n % 19 = 2"), end + 70_000, again + 8, "CORROBORATED", "EXPIRED"),
+        rows(hits.where("n % 23 = 0"), "AlertDegraded", 11, end + 100_000, alert, n1=F.when(n % 3 == 0, 2).otherwise(again + acted + closed + 8)),
+        sent(end + 20_002, "QUEUED", F.when(n % 29 == 3, 1).otherwise(0), s3=page), sent(end + 21_000, "IN_FLIGHT", 1), sent(end + 22_000, F.when(n % 5 == 0, "RETRY").otherwise("DELIVERED"), 1),
+        sent(end + 22_500, "IN_FLIGHT", 2, pages.where("n % 5 = 0 and n % 2 = 0")), sent(end + 23_000, "DELIVERED", 2, pages.where("n % 5 = 0")),
         *[rows(fleets, "SubscriptionChanged", 13, BASE + i * 5 * DAY, F.lit("sub"), s1=a, s2=b) for i, (a, b) in enumerate(STEPS)],
     ]
     return reduce(DataFrame.unionByName, parts).withColumn("order", F.struct("at_ms", "rank", "tie", "key", F.coalesce("n1", F.lit(-1).cast("bigint")).alias("n1")))
@@ -86,87 +121,126 @@ def journal(spark, d, results: DataFrame | None = None) -> DataFrame:
     return written(L.appended(events(spark, d, positioned(spark, d) if results is None else results)), "journal")
 
 
-ROWS = f"""pos AS (SELECT *, row_number() OVER (PARTITION BY fleet, start_ms ORDER BY detector, target) AS position, ('0x' || hash[1:6])::BIGINT AS n, start_ms + {SIX} AS end_ms FROM res),
+def _members(**given) -> str:
+    return ", ".join(f"CAST({given.get(m, 'NULL')} AS {'BIGINT' if m[0] == 'n' else 'VARCHAR'}) AS {m}" for m in L.MEMBERS[3:])
+
+
+def _vote(at, watcher) -> str:
+    signer = f"'watch-' || CASE WHEN n % 43 = 9 THEN 1 ELSE {watcher} END"
+    return f"SELECT fleet, {at}, 9, {watcher}, 'VoteAccepted', hash, {_members(n1=watcher, s1='config', s2='CASE WHEN n % 41 = 6 THEN sha256(manifest) ELSE manifest END', s3=signer)} FROM pages"
+
+
+def _sent(at, state, attempts, where="true", **more) -> str:
+    return f"SELECT fleet, end_ms + {at}, 12, 0, 'DeliveryChanged', hash, {_members(n1=attempts, s2=state, **more)} FROM pages WHERE {where}"
+
+
+def _changed(source, at, revision, a, b, actor="NULL") -> str:
+    return f"SELECT fleet, end_ms + {at}, 10, 0, 'AlertChanged', hash, {_members(n1=revision, s1=repr(a), s2=repr(b), s3=actor)} FROM {source}"
+
+
+AGAIN = "(n % 5 = 0)::INT"
+PARTS = [
+    f"SELECT fleet, {BASE} AS at_ms, 0 AS rank, 0 AS tie, 'FleetChanged' AS kind, 'fleet' AS key, {_members(s1=repr('RUNNING'))} FROM range(3) t(fleet)",
+    f"SELECT fleet, CASE WHEN epoch = 1 THEN effective_ms ELSE effective_ms - {DAY} END, 0, epoch, 'ConfigScheduled', hash, {_members()} FROM cobj",
+    f"SELECT fleet, effective_ms - (epoch = 3 AND fleet = 2)::INT, 1, 0, 'ConfigActivated', hash, {_members()} FROM cobj",
+    f"SELECT DISTINCT fleet, {BASE + 15 * DAY}, 2, 0, 'KeysRevoked', key_id, {_members()} FROM src WHERE revoked", f"SELECT fleet, {BASE + 20 * DAY}, 2, 0, 'KeysRevoked', 'watch-2', {_members()} FROM range(3) t(fleet)",
+    f"""SELECT fleet, received_ms, 3, idx, 'SourceAccepted', 's' || source, {_members(n1='index', n2='observed_ms', n3='head + 1', s1='(late <> (idx % 1999 = 7))', s2='hash', s3="CASE WHEN idx % 2003 = 11 THEN sha256(hash) ELSE prior END", s4="kind || ':' || (kind <> 'spend' OR counted)")} FROM numbered WHERE is_record""",
+    f"SELECT fleet, received_ms, 3, idx, 'SourceBuffered', 's' || source, {_members(n3='head + pending * 2')} FROM numbered WHERE kind = 'gap'",
+    f"SELECT fleet, received_ms, 3, idx, 'SourceForkObserved', 's' || source, {_members(n1='head', n2='head', s1=repr('SLOT_FORK'), s2='sha256(hash)', s3='CASE WHEN idx % 3 = 0 THEN sha256(hash) ELSE hash END', s4=repr('none'))} FROM numbered WHERE kind = 'fork'",
+    f"SELECT fleet, end_ms, 5, 0, 'Tick', 'tick', {_members(n1=f'end_ms - (start_ms // {SIX} % 50 = 7)::INT')} FROM wins",
+    f"SELECT fleet, end_ms, 6, 0, 'WindowFinalized', 'w' || start_ms, {_members(n1=f'm + (start_ms // {SIX} % 31 = 3)::INT', s1=f'CASE WHEN start_ms // {SIX} % 37 = 5 THEN sha256(manifest) ELSE manifest END')} FROM wins",
+    f"SELECT fleet, end_ms, 7, position, 'ResultFinalized', 'w' || start_ms, {_members(s1='CASE WHEN n % 59 = 11 THEN sha256(hash) ELSE hash END')} FROM pos WHERE NOT (start_ms // {SIX} % 61 = 9 AND position = 2)",
+    f"SELECT fleet, end_ms, 8, 0, 'AlertCreated', hash, {_members(n1='end_ms + 180000 + (n % 61 = 5)::INT', s1='hash')} FROM hits",
+    _vote("end_ms + 10000", "CASE WHEN n % 13 = 4 THEN 9 ELSE 1 END"), _vote("end_ms + CASE WHEN n % 7 = 1 THEN 200000 ELSE 20000 END", "CASE WHEN n % 11 = 2 THEN 1 WHEN n % 11 = 3 THEN 3 ELSE 2 END"),
+    _changed("hits WHERE n % 3 = 0", "CASE WHEN n % 67 = 0 THEN 150000 ELSE 180000 END", "2 + (n % 23 = 0)::INT", "CANDIDATE", "EXPIRED"), _changed("pages", "20001", "4", "CANDIDATE", "CORROBORATED", "CASE WHEN n % 71 = 1 THEN 'op' END"),
+    _changed("hits WHERE n % 3 = 1", "60000", f"8 + {AGAIN} + (n % 17 = 3)::INT", "CORROBORATED", "ACKNOWLEDGED", "'op'"), _changed("hits WHERE n % 3 = 1 AND n % 4 = 0", "80000", f"9 + {AGAIN}", "ACKNOWLEDGED", "CLOSED", "'op'"),
+    _changed("hits WHERE n % 3 = 2 AND n % 19 = 2", "70000", f"8 + {AGAIN}", "CORROBORATED", "EXPIRED"),
+    f"SELECT fleet, end_ms + 100000, 11, 0, 'AlertDegraded', hash, {_members(n1=f'CASE WHEN n % 3 = 0 THEN 2 ELSE 8 + {AGAIN} + (n % 3 = 1)::INT + (n % 3 = 1 AND n % 4 = 0)::INT END')} FROM hits WHERE n % 23 = 0",
+    _sent("20002", "'QUEUED'", "(n % 29 = 3)::INT", s3="sha256('page/' || hash)"), _sent("21000", "'IN_FLIGHT'", "1"), _sent("22000", "CASE WHEN n % 5 = 0 THEN 'RETRY' ELSE 'DELIVERED' END", "1"),
+    _sent("22500", "'IN_FLIGHT'", "2", "n % 5 = 0 AND n % 2 = 0"), _sent("23000", "'DELIVERED'", "2", "n % 5 = 0"),
+    f"SELECT fleet, {BASE} + i * {5 * DAY}, 13, 0, 'SubscriptionChanged', 'sub', {_members(s1='a', s2='b')} FROM range(3) f(fleet), (VALUES {', '.join(f'({i}, {a!r}, {b!r})' for i, (a, b) in enumerate(STEPS))}) v(i, a, b)",
+]
+ROWS = f"""pos AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY fleet, start_ms ORDER BY detector, target) AS position, ('0x' || hash[1:6])::BIGINT AS n, start_ms + {SIX} AS end_ms, fleet || '/' || epoch AS config FROM res),
 hits AS (SELECT * FROM pos WHERE status = 'HIT'), pages AS (SELECT * FROM hits WHERE n % 3 <> 0), wins AS (SELECT fleet, start_ms, end_ms, manifest, count(*) AS m FROM pos GROUP BY ALL),
-ev_ AS (SELECT fleet, {BASE} AS at_ms, 0 AS rank, 0 AS tie, 'FleetChanged' AS kind, 'fleet' AS key, NULL::BIGINT AS n1, NULL::BIGINT AS n2, 'RUNNING' AS s1, NULL::VARCHAR AS s2 FROM range(3) t(fleet)
-  UNION ALL SELECT fleet, CASE WHEN epoch = 1 THEN effective_ms ELSE effective_ms - {DAY} END, 0, epoch, 'ConfigScheduled', epoch::VARCHAR, epoch, effective_ms, NULL, NULL FROM cfg
-  UNION ALL SELECT fleet, effective_ms, 1, 0, 'ConfigActivated', epoch::VARCHAR, epoch, effective_ms, NULL, NULL FROM cfg
-  UNION ALL SELECT DISTINCT fleet, {BASE + 15 * DAY}, 2, 0, 'KeysRevoked', key_id, NULL::BIGINT, NULL::BIGINT, NULL, NULL FROM src WHERE revoked
-  UNION ALL SELECT fleet, received_ms, 3, idx, 'SourceAccepted', 's' || source, idx, observed_ms, (late <> (idx % 401 = 7))::VARCHAR, hash FROM acc
-  UNION ALL SELECT fleet, received_ms, 3, idx, CASE kind WHEN 'gap' THEN 'SourceBuffered' ELSE 'SourceForkObserved' END, 's' || source, CASE kind WHEN 'gap' THEN pending ELSE idx END, NULL, NULL, NULL FROM stand WHERE kind IN ('gap', 'fork')
-  UNION ALL SELECT fleet, end_ms, 5, 0, 'Tick', 'tick', end_ms - (start_ms // {SIX} % 50 = 7)::INT, NULL, NULL, NULL FROM wins
-  UNION ALL SELECT fleet, end_ms, 6, 0, 'WindowFinalized', 'w' || start_ms, m + (start_ms // {SIX} % 31 = 3)::INT, NULL, manifest, NULL FROM wins
-  UNION ALL SELECT fleet, end_ms, 7, position, 'ResultFinalized', 'w' || start_ms, position, NULL, CASE WHEN n % 59 = 11 THEN sha256(hash) ELSE hash END, NULL FROM pos
-  UNION ALL SELECT fleet, end_ms, 8, 0, 'AlertCreated', hash, end_ms + 180000 + (n % 61 = 5)::INT, NULL, NULL, NULL FROM hits
-  UNION ALL SELECT fleet, end_ms + 10000, 9, 0, 'VoteAccepted', hash, CASE WHEN n % 13 = 4 THEN 9 ELSE 1 END, NULL, 'd1', NULL FROM pages
-  UNION ALL SELECT fleet, end_ms + CASE WHEN n % 7 = 1 THEN 200000 ELSE 20000 END, 9, 0, 'VoteAccepted', hash, CASE WHEN n % 11 = 2 THEN 1 ELSE 2 END, NULL, CASE WHEN n % 11 = 2 THEN 'd1' ELSE 'd2' END, NULL FROM pages
-  UNION ALL SELECT fleet, end_ms + CASE WHEN n % 3 = 0 THEN 180000 ELSE 20001 END, 10, 0, 'AlertChanged', hash, 1, NULL, 'CANDIDATE', CASE WHEN n % 3 = 0 THEN 'EXPIRED' ELSE 'CORROBORATED' END FROM hits
-  UNION ALL SELECT fleet, end_ms + 60000, 10, 0, 'AlertChanged', hash, CASE WHEN n % 17 = 3 THEN 3 ELSE 2 END, NULL, 'CORROBORATED', 'ACKNOWLEDGED' FROM hits WHERE n % 3 = 1
-  UNION ALL SELECT fleet, end_ms + 70000, 10, 0, 'AlertChanged', hash, 2, NULL, 'CORROBORATED', 'EXPIRED' FROM hits WHERE n % 3 = 2 AND n % 19 = 2
-  UNION ALL SELECT fleet, end_ms + 100000, 11, 0, 'AlertDegraded', hash, n % 3 + 1, NULL, NULL, NULL FROM hits WHERE n % 23 = 0
-  UNION ALL SELECT fleet, end_ms + 20002, 12, 0, 'DeliveryChanged', hash, NULL, NULL, 'NONE', 'QUEUED' FROM pages
-  UNION ALL SELECT fleet, end_ms + 21000, 12, 0, 'DeliveryChanged', hash, NULL, NULL, 'QUEUED', 'IN_FLIGHT' FROM pages
-  UNION ALL SELECT fleet, end_ms + 22000, 12, 0, 'DeliveryChanged', hash, NULL, NULL, 'IN_FLIGHT', CASE WHEN n % 5 = 0 THEN 'RETRY' ELSE 'DELIVERED' END FROM pages
-  UNION ALL SELECT fleet, end_ms + 23000, 12, 0, 'DeliveryChanged', hash, NULL, NULL, 'RETRY', 'DELIVERED' FROM pages WHERE n % 5 = 0
-  UNION ALL SELECT fleet, {BASE} + i * {5 * DAY}, 13, 0, 'SubscriptionChanged', 'sub', NULL, NULL, a, b FROM range(3) f(fleet), (VALUES {', '.join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(STEPS))}) v(i, a, b)),
-jrn AS (SELECT *, row_number() OVER (PARTITION BY fleet ORDER BY at_ms, rank, tie, key, coalesce(n1, -1)) AS seq FROM ev_),
-roster AS (SELECT * FROM (VALUES {', '.join(map(str, ROSTER))}) r(watcher, domain)),
-size_ AS (SELECT *, octet_length(encode(at_ms || 'x' || kind || 'x' || key || 'x' || coalesce(n1::VARCHAR, 'x') || 'x' || coalesce(n2::VARCHAR, 'x') || 'x' || coalesce(s1, 'x') || 'x' || coalesce(s2, 'x'))) AS bytes FROM jrn)"""
+cobj AS (SELECT fleet, epoch, effective_ms, sha256('config/' || fleet || '/' || epoch) AS hash, CASE WHEN epoch = 1 THEN repeat('0', 64) ELSE sha256('config/' || fleet || '/' || (epoch - 1)) END AS predecessor FROM cfg),
+numbered AS (SELECT *, kind NOT IN ('fork', 'gap') AS is_record, count(*) FILTER (kind NOT IN ('fork', 'gap')) OVER (PARTITION BY fleet ORDER BY idx) AS index,
+  count(*) FILTER (kind NOT IN ('fork', 'gap')) OVER b AS head, coalesce(arg_max(hash, idx) FILTER (kind NOT IN ('fork', 'gap')) OVER b, repeat('0', 64)) AS prior FROM stand WINDOW b AS (PARTITION BY fleet, source ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ev_ AS ({"""
+  UNION ALL """.join(PARTS)}),
+jrn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY fleet ORDER BY at_ms, rank, tie, key, coalesce(n1, -1)) AS seq FROM ev_),
+roster AS (SELECT fleet, fleet || '/' || epoch AS config, watcher, key_id, domain FROM cfg, (VALUES {', '.join(map(str, WATCHERS))}) r(watcher, key_id, domain) WHERE NOT (epoch = 2 AND watcher = 3)),
+size_ AS (SELECT *, octet_length(encode(at_ms || 'x' || kind || 'x' || key || {" || ".join(f"'x' || coalesce({m}::VARCHAR, 'x')" for m in L.MEMBERS[3:])})) AS bytes FROM jrn)"""
 Q = f"{R.W}, {R.HASHES}, {ROWS}"
 
-EDGE = lambda edges: ", ".join(f"'{e}'" for e in edges)
-#: Each kind's rule, stated over earlier rows of the same fleet found by joins and running aggregates.
-JUDGED = f"""{Q}, al AS (SELECT fleet, key, seq, kind, n1, s2 FROM jrn WHERE kind IN ('AlertCreated', 'AlertChanged', 'AlertDegraded')),
-ctx AS (SELECT j.*,
-  (SELECT max(n1) FROM jrn b WHERE FALSE) AS unused,
-  lag(n1) OVER (PARTITION BY fleet, kind ORDER BY seq) AS last_n1, coalesce(lag(s2) OVER (PARTITION BY fleet, kind, key ORDER BY seq), 'NONE') AS last_s2, row_number() OVER (PARTITION BY fleet, kind, key ORDER BY seq) AS nth,
-  row_number() OVER (PARTITION BY fleet, kind, key, n1 ORDER BY seq) AS nth_n1, count(*) FILTER (kind = 'ResultFinalized') OVER (PARTITION BY fleet, key) AS results,
-  min(seq) FILTER (kind = 'WindowFinalized') OVER (PARTITION BY fleet, key) AS group_seq, min(seq) FILTER (kind = 'SourceForkObserved') OVER (PARTITION BY fleet, key) AS fork_seq,
-  min(n1) FILTER (kind = 'AlertCreated') OVER (PARTITION BY fleet, key) AS expires_ms FROM jrn j),
-st AS (SELECT c.fleet, c.seq, arg_max(CASE a.kind WHEN 'AlertCreated' THEN 'CANDIDATE' ELSE a.s2 END, a.seq) FILTER (a.kind <> 'AlertDegraded') AS state, arg_max(CASE a.kind WHEN 'AlertCreated' THEN 0 ELSE a.n1 END, a.seq) AS revision
-  FROM jrn c JOIN al a ON a.fleet = c.fleet AND a.key = c.key AND a.seq < c.seq WHERE c.kind IN ('AlertChanged', 'AlertDegraded', 'VoteAccepted') GROUP BY ALL),
-dm AS (SELECT c.fleet, c.seq, count(DISTINCT v.s1) AS domains FROM jrn c JOIN jrn v ON v.kind = 'VoteAccepted' AND v.fleet = c.fleet AND v.key = c.key AND v.seq < c.seq JOIN roster r ON r.watcher = v.n1 AND r.domain = v.s1 WHERE c.kind = 'AlertChanged' GROUP BY ALL),
-jd AS (SELECT c.fleet, c.seq, c.kind, c.key, coalesce(CASE c.kind
-  WHEN 'Tick' THEN c.n1 = at_ms AND (last_n1 IS NULL OR c.n1 > last_n1)
-  WHEN 'ConfigScheduled' THEN c.n1 = coalesce(last_n1 + 1, 1) AND n2 >= at_ms
-  WHEN 'ConfigActivated' THEN c.n1 = coalesce(last_n1 + 1, 1) AND n2 <= at_ms
-  WHEN 'KeysRevoked' THEN nth = 1
-  WHEN 'SourceAccepted' THEN s1 = (n2 < at_ms - 120000)::VARCHAR AND (last_n1 IS NULL OR c.n1 > last_n1) AND (fork_seq IS NULL OR c.seq < fork_seq)
-  WHEN 'SourceBuffered' THEN c.n1 > 0 AND (fork_seq IS NULL OR c.seq < fork_seq)
-  WHEN 'SourceForkObserved' THEN nth = 1
-  WHEN 'WindowFinalized' THEN c.n1 = results AND nth = 1
-  WHEN 'ResultFinalized' THEN s1 = p.hash AND c.seq = group_seq + c.n1
-  WHEN 'AlertCreated' THEN h.hash IS NOT NULL AND c.n1 = at_ms + 180000 AND nth = 1
-  WHEN 'VoteAccepted' THEN s1 = domain AND at_ms < expires_ms AND st.state IN ('CANDIDATE', 'CORROBORATED') AND nth_n1 = 1
-  WHEN 'AlertChanged' THEN s1 = st.state AND s1 || ' ' || s2 IN ({EDGE(L.ALERT_EDGES)}) AND c.n1 = revision + 1 AND (s2 <> 'CORROBORATED' OR coalesce(domains, 0) >= 2)
-  WHEN 'AlertDegraded' THEN nth = 1 AND st.state IS NOT NULL AND c.n1 = revision + 1
-  WHEN 'DeliveryChanged' THEN s1 = last_s2 AND s1 || ' ' || s2 IN ({EDGE(L.DELIVERY_EDGES)})
-  WHEN 'SubscriptionChanged' THEN s1 = last_s2 AND s1 || ' ' || s2 IN ({EDGE(L.SUBSCRIPTION_EDGES)})
-  WHEN 'FleetChanged' THEN true END, false) AS valid
-  FROM ctx c LEFT JOIN st USING (fleet, seq) LEFT JOIN dm USING (fleet, seq) LEFT JOIN pos p ON c.kind = 'ResultFinalized' AND p.fleet = c.fleet AND 'w' || p.start_ms = c.key AND p.position = c.n1
-  LEFT JOIN (SELECT DISTINCT fleet, hash FROM hits) h ON c.kind = 'AlertCreated' AND h.fleet = c.fleet AND h.hash = c.key LEFT JOIN roster r ON c.kind = 'VoteAccepted' AND r.watcher = c.n1)""".replace("\n  (SELECT max(n1) FROM jrn b WHERE FALSE) AS unused,", "")
+#: Each kind's rule, folded row by row: a recursion over the rows of a source, an alert, a delivery.
+JUDGED = f"""{Q},
+sa AS MATERIALIZED (SELECT fleet, key, seq, n1, n3, s2, s3, row_number() OVER (PARTITION BY fleet, key ORDER BY seq) AS nth, split_part(s4, ':', 1) = 'terminal' AS final, s1 = (n2 < at_ms - 120000)::VARCHAR AS in_time,
+  EXISTS (SELECT 1 FROM jrn f WHERE f.kind = 'SourceForkObserved' AND f.fleet = j.fleet AND f.key = j.key AND f.seq < j.seq AND f.n1 = f.n2 AND f.s2 <> f.s3) AS forked FROM jrn j WHERE kind = 'SourceAccepted'),
+sc_ AS (SELECT DISTINCT fleet, key, 0::BIGINT AS nth, 0::BIGINT AS seq, 0::BIGINT AS head, repeat('0', 64) AS hash, false AS ended, NULL::VARCHAR AS fault FROM sa
+  UNION ALL SELECT a.fleet, a.key, a.nth, a.seq, CASE WHEN f IS NULL THEN n3 ELSE head END, CASE WHEN f IS NULL THEN s2 ELSE hash END, ended OR (f IS NULL AND final), f
+  FROM (SELECT a.*, c.head, c.hash, c.ended, CASE WHEN a.forked OR c.ended THEN 'TRANSITION_INVALID' WHEN a.n3 <> c.head + 1 OR a.s3 <> c.hash THEN 'CHAIN_INVALID' WHEN NOT in_time THEN 'TRANSITION_INVALID' END AS f FROM sc_ c JOIN sa a ON a.fleet = c.fleet AND a.key = c.key AND a.nth = c.nth + 1) a),
+sc AS MATERIALIZED (SELECT * FROM sc_),
+sf AS (SELECT c.fleet, c.seq, CASE WHEN fault = 'TRANSITION_INVALID' AND a.in_time THEN fault WHEN fault = 'CHAIN_INVALID' OR a.n1 <> coalesce(lag(a.n1) OVER (PARTITION BY c.fleet ORDER BY c.seq), 0) + 1 THEN 'CHAIN_INVALID' ELSE fault END AS fault
+  FROM sc c JOIN sa a USING (fleet, key, nth) WHERE c.nth > 0),
+bu AS (SELECT b.fleet, b.seq, b.key, b.n3, coalesce((SELECT max(head) FROM sc WHERE sc.fleet = b.fleet AND sc.key = b.key AND sc.seq < b.seq), 0) < b.n3 AND NOT coalesce((SELECT bool_or(ended) FROM sc WHERE sc.fleet = b.fleet AND sc.key = b.key AND sc.seq < b.seq), false)
+  AND NOT EXISTS (SELECT 1 FROM jrn f WHERE f.kind = 'SourceForkObserved' AND f.fleet = b.fleet AND f.key = b.key AND f.seq < b.seq AND f.n1 = f.n2 AND f.s2 <> f.s3) AS ok FROM jrn b WHERE b.kind = 'SourceBuffered'),
+bf AS (SELECT fleet, seq, CASE WHEN ok AND row_number() OVER (PARTITION BY fleet, key, n3, ok ORDER BY seq) = 1 THEN NULL ELSE 'TRANSITION_INVALID' END AS fault FROM bu),
+gr AS MATERIALIZED (SELECT j.*, max(CASE WHEN kind NOT IN ('ResultFinalized', 'AlertCreated') THEN seq END) OVER (PARTITION BY fleet ORDER BY seq) AS opener FROM jrn j),
+op AS (SELECT g.fleet, g.seq AS opener, g.key, w.end_ms, w.start_ms, w.m, w.manifest, g.n1, g.s1, (SELECT count(*) FROM gr r WHERE r.fleet = g.fleet AND r.opener = g.seq AND r.kind = 'ResultFinalized') AS found FROM gr g LEFT JOIN wins w ON w.fleet = g.fleet AND 'w' || w.start_ms = g.key WHERE g.kind = 'WindowFinalized'),
+wf AS (SELECT fleet, opener AS seq, CASE WHEN manifest IS NULL THEN 'OBJECT_MISSING' WHEN s1 <> manifest OR n1 <> m THEN 'REPLAY_MISMATCH' WHEN found <> n1 THEN 'TRANSITION_INVALID' END AS fault FROM op),
+rf AS (SELECT r.fleet, r.seq, CASE WHEN o.opener IS NULL THEN 'TRANSITION_INVALID' WHEN p.hash IS DISTINCT FROM r.s1 THEN 'REPLAY_MISMATCH' END AS fault FROM (SELECT *, row_number() OVER (PARTITION BY fleet, opener ORDER BY seq) AS place FROM gr WHERE kind = 'ResultFinalized') r
+  LEFT JOIN op o ON o.fleet = r.fleet AND o.opener = r.opener AND o.n1 = o.m LEFT JOIN pos p ON p.fleet = o.fleet AND p.start_ms = o.start_ms AND p.position = r.place),
+ac AS MATERIALIZED (SELECT g.fleet, g.seq, h.manifest, h.config, g.n1 AS expires, h.hash IS NOT NULL AS ok FROM gr g LEFT JOIN op o ON o.fleet = g.fleet AND o.opener = g.opener AND o.n1 = o.m LEFT JOIN hits h ON h.fleet = g.fleet AND h.start_ms = o.start_ms AND h.hash = g.s1 AND g.n1 = o.end_ms + 180000 WHERE g.kind = 'AlertCreated'),
+pg AS (SELECT DISTINCT fleet, sha256('page/' || hash) AS page FROM pages WHERE n % 31 <> 7),
+al AS MATERIALIZED (SELECT j.fleet, j.key, j.seq, j.at_ms, j.kind, j.n1, j.s1, j.s2, j.s3, a.ok AS made, a.manifest AS c_manifest, a.config AS c_config, a.expires AS c_expires, p.page IS NOT NULL AS has_page, row_number() OVER (PARTITION BY j.fleet, j.key ORDER BY j.seq) AS nth,
+    EXISTS (SELECT 1 FROM jrn k WHERE k.kind = 'KeysRevoked' AND k.fleet = j.fleet AND k.key = j.s3 AND k.seq < j.seq) AS revoked
+  FROM jrn j LEFT JOIN ac a ON a.fleet = j.fleet AND a.seq = j.seq LEFT JOIN pg p ON p.fleet = j.fleet AND p.page = j.s3 WHERE j.kind IN ('AlertCreated', 'VoteAccepted', 'AlertChanged', 'AlertDegraded', 'DeliveryChanged')),
+st_ AS (SELECT DISTINCT fleet, key, 0::BIGINT AS nth, 0::BIGINT AS seq, 'NONE' AS state, 'VALID' AS assurance, 0::BIGINT AS revision, 'NONE' AS page, NULL::VARCHAR AS manifest, NULL::VARCHAR AS config, NULL::BIGINT AS expires, CAST([] AS BIGINT[]) AS voters, CAST([] AS VARCHAR[]) AS domains, NULL::VARCHAR AS fault FROM al
+  UNION ALL SELECT fleet, key, nth, seq,
+    CASE WHEN f IS NOT NULL THEN state WHEN kind = 'AlertCreated' THEN 'CANDIDATE' WHEN kind = 'AlertChanged' THEN s2 ELSE state END, CASE WHEN f IS NOT NULL THEN assurance WHEN kind = 'AlertCreated' THEN 'VALID' WHEN kind = 'AlertDegraded' THEN 'DEGRADED' ELSE assurance END,
+    CASE WHEN f IS NOT NULL THEN revision WHEN kind = 'AlertCreated' THEN 1 ELSE revision + 1 END, CASE WHEN f IS NULL AND kind = 'DeliveryChanged' THEN s2 ELSE page END,
+    CASE WHEN f IS NULL AND kind = 'AlertCreated' THEN c_manifest ELSE manifest END, CASE WHEN f IS NULL AND kind = 'AlertCreated' THEN c_config ELSE config END, CASE WHEN f IS NULL AND kind = 'AlertCreated' THEN c_expires ELSE expires END,
+    CASE WHEN f IS NOT NULL THEN voters WHEN kind = 'AlertCreated' THEN [] WHEN kind = 'VoteAccepted' THEN list_append(voters, n1) ELSE voters END,
+    CASE WHEN f IS NOT NULL THEN domains WHEN kind = 'AlertCreated' THEN [] WHEN kind = 'VoteAccepted' AND NOT revoked THEN list_append(domains, domain) ELSE domains END, f
+  FROM (SELECT a.*, s.* EXCLUDE (fleet, key, nth, seq, fault), r.domain, CASE a.kind
+      WHEN 'AlertCreated' THEN CASE WHEN NOT made THEN 'TRANSITION_INVALID' END
+      WHEN 'VoteAccepted' THEN CASE WHEN s.state = 'NONE' OR a.s1 <> s.config OR a.s2 <> s.manifest OR r.watcher IS NULL THEN 'TRANSITION_INVALID' WHEN r.key_id <> a.s3 THEN 'SIGNATURE_INVALID'
+        WHEN a.at_ms >= s.expires OR s.state IN ('CLOSED', 'EXPIRED') OR list_contains(s.voters, a.n1) THEN 'TRANSITION_INVALID' END
+      WHEN 'AlertChanged' THEN CASE WHEN s.state <> a.s1 OR a.n1 <> s.revision + 1 OR NOT ((a.s1 = 'CANDIDATE' AND a.s2 = 'CORROBORATED' AND a.s3 IS NULL AND len(list_distinct(s.domains)) >= 2 AND s.assurance = 'VALID') OR (a.s1 = 'CANDIDATE' AND a.s2 = 'EXPIRED' AND a.s3 IS NULL AND a.at_ms >= s.expires)
+        OR (a.s1 = 'CORROBORATED' AND a.s2 = 'ACKNOWLEDGED' AND a.s3 IS NOT NULL) OR (a.s1 IN ('CANDIDATE', 'CORROBORATED', 'ACKNOWLEDGED') AND a.s2 = 'CLOSED' AND a.s3 IS NOT NULL)) THEN 'TRANSITION_INVALID' END
+      WHEN 'AlertDegraded' THEN CASE WHEN s.state = 'NONE' OR s.assurance <> 'VALID' OR a.n1 <> s.revision + 1 THEN 'TRANSITION_INVALID' END
+      ELSE CASE WHEN a.s3 IS NOT NULL AND NOT has_page THEN 'OBJECT_MISSING' WHEN NOT ((s.page = 'NONE' AND a.s2 = 'QUEUED' AND a.n1 = 0) OR (s.page IN ('QUEUED', 'RETRY') AND a.s2 IN ('IN_FLIGHT', 'CANCELLED')) OR (s.page = 'IN_FLIGHT' AND a.s2 IN ('DELIVERED', 'RETRY', 'FAILED', 'CANCELLED'))) THEN 'TRANSITION_INVALID' END END AS f
+    FROM st_ s JOIN al a ON a.fleet = s.fleet AND a.key = s.key AND a.nth = s.nth + 1 LEFT JOIN roster r ON a.kind = 'VoteAccepted' AND r.fleet = a.fleet AND r.config = s.config AND r.watcher = a.n1)),
+tk AS (SELECT fleet, seq, CASE WHEN n1 = at_ms AND n1 > coalesce(max(CASE WHEN n1 = at_ms THEN n1 END) OVER (PARTITION BY fleet ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) THEN NULL ELSE 'TRANSITION_INVALID' END AS fault FROM jrn WHERE kind = 'Tick'),
+cf AS (SELECT j.fleet, j.seq, CASE WHEN j.kind = 'ConfigActivated' AND j.at_ms < c.effective_ms THEN 'TRANSITION_INVALID' END AS fault FROM jrn j LEFT JOIN cobj c ON c.fleet = j.fleet AND c.hash = j.key WHERE j.kind IN ('ConfigScheduled', 'ConfigActivated')),
+sb AS (SELECT fleet, seq, CASE WHEN row_number() OVER (PARTITION BY fleet ORDER BY seq) > 4 THEN 'TRANSITION_INVALID' END AS fault FROM jrn WHERE kind = 'SubscriptionChanged'),
+fk AS (SELECT fleet, seq, CASE WHEN s2 = s3 THEN 'TRANSITION_INVALID' END AS fault FROM jrn WHERE kind = 'SourceForkObserved'),
+fault_ AS (SELECT * FROM sf UNION ALL SELECT * FROM bf UNION ALL SELECT * FROM wf UNION ALL SELECT * FROM rf UNION ALL SELECT fleet, seq, fault FROM st_ WHERE nth > 0 UNION ALL SELECT * FROM tk UNION ALL SELECT * FROM cf UNION ALL SELECT * FROM sb UNION ALL SELECT * FROM fk),
+jd AS (SELECT j.fleet, j.seq, j.kind, j.key, f.fault FROM jrn j LEFT JOIN fault_ f USING (fleet, seq))"""
 
 
 def judged(spark, d) -> DataFrame:
     results = positioned(spark, d)
-    roster = spark.createDataFrame(ROSTER, "watcher long, domain string")
-    return L.judged(journal(spark, d, results), expected(results), roster, P)
+    run = R.Run(spark, d)
+    records = run.rows.select("fleet", "hash", F.when(F.col("kind") == "spend", F.col("counted")).otherwise(F.lit(True)).alias("counted"))
+    return L.judged(journal(spark, d, results), due(results), expected(results), config_objects(spark), roster(spark), page_objects(results), records, P)
 
 
-@query("T21_append", f"{Q} SELECT fleet, seq, at_ms, kind, key, n1, n2, s1, s2 FROM jrn")
+@query("T21_append", f"{Q} SELECT fleet, seq, at_ms, kind, key, n1, n2, n3, s1, s2, s3, s4 FROM jrn")
 def append_rows(spark, d):
     """The journal as appended; its hash chain is checked by F16_journal_chain."""
-    return journal(spark, d).select("fleet", "seq", "at_ms", "kind", "key", "n1", "n2", "s1", "s2")
+    return journal(spark, d).select("fleet", "seq", *L.MEMBERS)
 
 
-@query("T18_verify", f"{JUDGED} SELECT fleet, kind, count(*) AS n, count(*) FILTER (NOT valid) AS faults, min(seq) FILTER (NOT valid) AS first_fault FROM jd GROUP BY ALL")
+@query("T18_verify", f"{JUDGED} SELECT fleet, kind, count(*) AS n, count(fault) AS faults, min(seq) FILTER (fault IS NOT NULL) AS first_fault, arg_min(fault, seq) FILTER (fault IS NOT NULL) AS reason FROM jd GROUP BY ALL")
 def verify(spark, d):
-    return judged(spark, d).groupBy("fleet", "kind").agg(F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("faults"), F.min(F.when(~F.col("valid"), F.col("seq"))).alias("first_fault"))
+    first = F.when(F.col("fault").isNotNull(), F.col("seq"))
+    return judged(spark, d).groupBy("fleet", "kind").agg(F.count("*").alias("n"), F.count("fault").alias("faults"), F.min(first).alias("first_fault"), F.min_by("fault", first).alias("reason"))
 
 
-@query("T18_faults", f"{JUDGED} SELECT fleet, seq, kind, key FROM jd WHERE NOT valid")
+@query("T18_faults", f"{JUDGED} SELECT fleet, seq, kind, key, fault FROM jd WHERE fault IS NOT NULL")
 def faults(spark, d):
-    return judged(spark, d).where("not valid").drop("valid")
+    return judged(spark, d).where("fault is not null")
 
 
 @query("F16_journal_chain", f"{Q} SELECT fleet, seq, 'HASH_INVALID' AS fault FROM jrn WHERE seq % 97 = 3 UNION ALL SELECT fleet, seq + 1, 'CHAIN_INVALID' FROM jrn j WHERE seq % 211 = 5 AND (seq + 1) % 97 <> 3 AND EXISTS (SELECT 1 FROM jrn k WHERE k.fleet = j.fleet AND k.seq = j.seq + 1) AND seq % 97 <> 3 UNION ALL SELECT fleet, seq, 'HASH_INVALID' FROM jrn WHERE seq % 211 = 5 AND seq % 97 <> 3")
@@ -206,12 +280,10 @@ def checkpoint(spark, d):
     return L.checkpoints(journal(spark, d)).select("fleet", "seq", "at_ms", "bytes")
 
 
-@query("A14_capacity", f"{Q}, r AS (SELECT fleet, seq, CAST(sum(bytes) OVER (PARTITION BY fleet ORDER BY seq) AS BIGINT) AS used FROM size_) SELECT fleet, seq, used, CASE WHEN used * 10 >= 2700000 THEN 'READ_ONLY' WHEN used * 10 >= 2400000 THEN 'WARNING' ELSE 'RUNNING' END AS phase FROM r")
+@query("A14_capacity", f"{Q}, r AS (SELECT fleet, seq, CAST(sum(bytes) OVER (PARTITION BY fleet ORDER BY seq) AS BIGINT) AS used FROM size_) SELECT fleet, seq, used, CASE WHEN used * 10 >= 4500000 THEN 'READ_ONLY' WHEN used * 10 >= 4000000 THEN 'WARNING' ELSE 'RUNNING' END AS phase FROM r")
 def capacity(spark, d):
-    w = Window.partitionBy("fleet").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(F.octet_length(L.text_of(*L.MEMBERS)).cast("bigint")).over(w)
-    rows = journal(spark, d).select("fleet", "seq", used.alias("used"))
-    return rows.withColumn("phase", L.capacity(F.col("used"), 300_000))
+    used = Dealt(journal(spark, d), ["fleet"], ["seq"]).prefixes({"used": ("sum", F.octet_length(L.text_of(*L.MEMBERS)).cast("bigint"))}, inclusive=True)
+    return used.select("fleet", "seq", "used", L.capacity(F.col("used"), 500_000).alias("phase"))
 
 
 @query("S11_bundle_export", f"{Q} SELECT fleet, seq, kind FROM jrn WHERE (fleet = 0 AND seq <= 150) OR (fleet = 1 AND seq <= 90)")
@@ -256,25 +328,25 @@ def replay_store(spark, d):
 
 @query("A10_metrics", f"""{Q}, c AS (SELECT fleet, count(*) FILTER (kind = 'SourceAccepted') AS accepted, count(*) FILTER (kind = 'SourceAccepted' AND s1 = 'true') AS late, count(*) FILTER (kind = 'SourceForkObserved') AS forks,
   count(*) FILTER (kind = 'AlertCreated') AS hits, count(*) FILTER (kind = 'DeliveryChanged' AND s2 = 'IN_FLIGHT') AS attempts, count(*) FILTER (kind = 'DeliveryChanged' AND s2 = 'FAILED') AS failed, sum(bytes) AS bytes,
-  count(DISTINCT s1) FILTER (kind = 'VoteAccepted') AS domains FROM size_ GROUP BY fleet), u AS (SELECT fleet, count(*) FILTER (status = 'UNKNOWN') AS unknowns FROM pos GROUP BY fleet), x AS (SELECT fleet, count(*) FILTER (verdict = 'REPEATED') AS repeated FROM used GROUP BY fleet)
+  count(DISTINCT CASE n1 WHEN 1 THEN 'd1' WHEN 2 THEN 'd2' WHEN 3 THEN 'd2' END) FILTER (kind = 'VoteAccepted') AS domains, max(at_ms) - max(n1) FILTER (kind = 'Tick') AS lag FROM size_ GROUP BY fleet), u AS (SELECT fleet, count(*) FILTER (status = 'UNKNOWN') AS unknowns FROM pos GROUP BY fleet), x AS (SELECT fleet, count(*) FILTER (verdict = 'REPEATED') AS repeated FROM used GROUP BY fleet)
   SELECT fleet, unnest(['inputs_accepted_total', 'inputs_duplicate_total', 'inputs_late_total', 'source_forks_total', 'detector_hit_total', 'detector_unknown_total', 'vote_rejected_total', 'page_attempt_total', 'page_failed_total', 'audit_bytes', 'active_domains', 'logical_lag_ms']) AS name,
-  unnest([accepted, repeated, late, forks, hits, unknowns, (SELECT count(*) FROM jrn v LEFT JOIN roster r ON r.watcher = v.n1 AND r.domain = v.s1 WHERE v.kind = 'VoteAccepted' AND v.fleet = c.fleet AND r.watcher IS NULL), attempts, failed, bytes::BIGINT, domains, 0]) AS value
+  unnest([accepted, repeated, late, forks, hits, unknowns, (SELECT count(*) FROM jrn v WHERE v.kind = 'VoteAccepted' AND v.fleet = c.fleet AND v.n1 NOT IN (1, 2, 3)), attempts, failed, bytes::BIGINT, domains, lag]) AS value
   FROM c JOIN u USING (fleet) JOIN x USING (fleet)""")
 def metrics(spark, d):
     """Twelve samples a fleet: nine counters, bytes, domains and lag."""
     results = positioned(spark, d)
     j, kind = journal(spark, d, results), F.col("kind")
-    roster = spark.createDataFrame(ROSTER, "n1 long, s1 string").withColumn("known", F.lit(True))
-    j = j.join(F.broadcast(roster), ["n1", "s1"], "left")
+    domain = F.create_map(*(F.lit(x) for w, _, of in WATCHERS for x in (w, of)))[F.col("n1").cast("int")]
     delivery = lambda s: F.count_if((kind == "DeliveryChanged") & (F.col("s2") == s))
     c = j.groupBy("fleet").agg(
         F.count_if(kind == "SourceAccepted").alias("inputs_accepted_total"), F.count_if((kind == "SourceAccepted") & (F.col("s1") == "true")).alias("inputs_late_total"), F.count_if(kind == "SourceForkObserved").alias("source_forks_total"),
-        F.count_if(kind == "AlertCreated").alias("detector_hit_total"), F.count_if((kind == "VoteAccepted") & F.col("known").isNull()).alias("vote_rejected_total"), delivery("IN_FLIGHT").alias("page_attempt_total"), delivery("FAILED").alias("page_failed_total"),
-        F.sum(F.octet_length(L.text_of(*L.MEMBERS)).cast("bigint")).alias("audit_bytes"), F.countDistinct(F.when(kind == "VoteAccepted", F.col("s1"))).alias("active_domains"),
+        F.count_if(kind == "AlertCreated").alias("detector_hit_total"), F.count_if((kind == "VoteAccepted") & domain.isNull()).alias("vote_rejected_total"), delivery("IN_FLIGHT").alias("page_attempt_total"), delivery("FAILED").alias("page_failed_total"),
+        F.sum(F.octet_length(L.text_of(*L.MEMBERS)).cast("bigint")).alias("audit_bytes"), F.countDistinct(F.when(kind == "VoteAccepted", domain)).alias("active_domains"),
+        (F.max("at_ms") - F.max(F.when(kind == "Tick", F.col("n1")))).alias("logical_lag_ms"),
     )
     u = results.groupBy("fleet").agg(F.count_if(F.expr("status = 'UNKNOWN'")).alias("detector_unknown_total"))
     x = V.usage(V.before_end(R.Run(spark, d).placed)).groupBy("fleet").agg(F.count_if(F.expr("verdict = 'REPEATED'")).alias("inputs_duplicate_total"))
-    wide = c.join(u, "fleet").join(x, "fleet").withColumn("logical_lag_ms", F.lit(0).cast("bigint"))
+    wide = c.join(u, "fleet").join(x, "fleet")
     return wide.unpivot("fleet", [n for n in wide.columns if n != "fleet"], "name", "value")
 
 
