@@ -6,7 +6,7 @@ that walk over both lists of token ends give groups and links in one pass.
 
 No token of either crosses a place where a space follows something that isn't white space, so
 both cut there and a group ends there.  Each distinct segment between such places is therefore
-tokenized and merged once in a block of documents, and a document is the sum of its segments.
+tokenized and merged once, and a document is the sum of its segments.
 
 Documents are gathered into blocks of ``BLOCK`` bytes of text (a longer document is a block of
 its own), which are written to the shared folder: a row per document with its links as positions
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import id_column, saved, small_batches
 
 BLOCK = 8 << 20  # bytes of text in a block
+CACHED = 300_000  # distinct segments that a task keeps for its next block
 STEP = 1 << 17  # new segments that are tokenized at a time
 PAIR = 1 << 16  # an id pair is a * PAIR + b, so ids of B lie below it
 
@@ -78,91 +79,115 @@ def tokenizers(a: str, b: str):
     return left, right, of_a, of_b
 
 
-def merged(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, int, list[int]]:
-    """(groups, how many, linked pairs) of two lists of ids that cover the same bytes."""
-    i = j = 0
-    end_a, end_b = size_a[0], size_b[0]
-    out, pairs, groups, from_a, from_b = [], [a[0] * PAIR + b[0]], 0, 0, 0
-    while True:
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            out.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-            groups, from_a, from_b = groups + 1, i, j
-            if i == len(a):
-                return ";".join(out), groups, pairs
-            end_a, end_b = end_a + size_a[i], end_b + size_b[j]
-        elif end_a < end_b:
-            i += 1
-            end_a += size_a[i]
-        else:
-            j += 1
-            end_b += size_b[j]
-        pairs.append(a[i] * PAIR + b[j])
+class Segments:
+    """What is known of distinct segments: their groups as text, their numbers of tokens of A, of B and of
+    groups, and their linked pairs.  A task keeps one over its blocks, until it holds ``CACHED`` segments."""
+
+    def __init__(self, a: str, b: str):
+        self.left, self.right, self.of_a, self.of_b = tokenizers(a, b)
+        self.size_a, self.size_b = {i: len(x) for i, x in self.of_a.items()}, list(map(len, self.of_b))
+        self.names_a, self.names_b = {i: str(i) for i in self.of_a}, list(map(str, range(len(self.of_b))))
+        self.at: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.bad: set[int] = set()  # those whose bytes don't come back
+        self.numbers: list[tuple[int, int, int, int]] = []
+        self.pairs: list[np.ndarray] = []  # of all segments, one after the other
+
+    def learn(self, new: list[str]) -> None:
+        of_a, of_b = self.of_a.__getitem__, self.of_b.__getitem__
+        for lo in range(0, len(new), STEP):
+            some = new[lo : lo + STEP]
+            left = [e.ids for e in self.left.encode_batch_fast(some, add_special_tokens=False)]
+            right = self.right.encode([s[1:] for s in some], num_threads=1)  # B adds the space itself
+            for i, (s, a, b) in enumerate(zip(some, left, right)):
+                self.at[s] = len(self.at)
+                if not (a and b and "▁" not in s and b"".join(map(of_a, a)) == s.encode() == b"".join(map(of_b, b))):
+                    self.bad.add(self.at[s])
+                    left[i], right[i] = [], []
+            self._merge(left, right)
+
+    def _merge(self, left: list[list[int]], right: list[list[int]]) -> None:
+        """Two pointers go over the ends of all these segments' tokens, first those of the first segment; a
+        segment's end is one that both tokenizers have."""
+        size_a, size_b, name_a, name_b = self.size_a, self.size_b, self.names_a.__getitem__, self.names_b.__getitem__
+        pairs: list[int] = []
+        for a, b in zip(left, right):
+            first, out, i, j, from_a, from_b = len(pairs), [], 0, 0, 0, 0
+            if a:
+                names_a, names_b = list(map(name_a, a)), list(map(name_b, b))
+                x, y = a[0], b[0]
+                end_a, end_b = size_a[x], size_b[y]
+                pairs.append(x * PAIR + y)
+                while True:
+                    if end_a == end_b:
+                        i, j = i + 1, j + 1
+                        out.append(f"{','.join(names_a[from_a:i])}|{','.join(names_b[from_b:j])}")
+                        if i == len(a):
+                            break
+                        from_a, from_b, x, y = i, j, a[i], b[j]
+                        end_a, end_b = end_a + size_a[x], end_b + size_b[y]
+                    elif end_a < end_b:
+                        i += 1
+                        x = a[i]
+                        end_a += size_a[x]
+                    else:
+                        j += 1
+                        y = b[j]
+                        end_b += size_b[y]
+                    pairs.append(x * PAIR + y)
+            self.groups.append(";".join(out))
+            self.numbers.append((len(a), len(b), len(out), len(pairs) - first))
+        self.pairs.append(np.array(pairs, np.int64))
 
 
 class Block:
-    """Documents that are aligned together, and their distinct segments."""
+    """Documents that are aligned together."""
 
-    def __init__(self, a: str, b: str):
-        self.tools = tokenizers(a, b)
-        self.known: dict[str, int] = {}
-        self.groups: list[str | None] = []  # None: the bytes don't come back
-        self.numbers: list[tuple[int, int, int]] = []  # tokens of A, of B, groups
-        self.pairs: list[list[int]] = []
-        self.docs: list[tuple[object, np.ndarray | None]] = []
+    def __init__(self, known: Segments):
+        self.known = known
+        self.docs: list[tuple[str | None, np.ndarray | None]] = []
         self.size = 0
 
     def add(self, ids: list, texts: list[str | None]) -> None:
+        known = self.known
         cuts = [segments(" " + t) if t else [] for t in texts]
-        self._learn([x for x in dict.fromkeys(x for c in cuts for x in c) if x not in self.known])
+        known.learn([x for x in dict.fromkeys(x for c in cuts for x in c) if x not in known.at])
         for i, t, c in zip(ids, texts, cuts):
-            at = np.fromiter(map(self.known.__getitem__, c), np.int64, len(c))
-            self.docs.append((i, at if c and all(self.groups[k] is not None for k in at.tolist()) else None))
+            at = list(map(known.at.__getitem__, c))
+            self.docs.append((i, np.array(at, np.int64) if c and known.bad.isdisjoint(at) else None))
             self.size += len(t or "")
 
-    def _learn(self, new: list[str]) -> None:
-        left, right, of_a, of_b = self.tools
-        for lo in range(0, len(new), STEP):
-            some = new[lo : lo + STEP]
-            # B adds the space itself
-            for s, a, b in zip(some, left.encode_batch_fast(some, add_special_tokens=False), right.encode([s[1:] for s in some], num_threads=1)):
-                a = a.ids
-                bytes_a, bytes_b = [of_a[i] for i in a], [of_b[i] for i in b]
-                whole = s.encode()
-                self.known[s] = len(self.groups)
-                if a and b and "▁" not in s and b"".join(bytes_a) == whole == b"".join(bytes_b):
-                    groups, n, pairs = merged(a, b, list(map(len, bytes_a)), list(map(len, bytes_b)))
-                    self.groups.append(groups)
-                    self.numbers.append((len(a), len(b), n))
-                    self.pairs.append(pairs)
-                else:
-                    self.groups.append(None)
-                    self.numbers.append((0, 0, 0))
-                    self.pairs.append([])
-
     def rows(self, block: int) -> pd.DataFrame:
         """The block's rows in the form of ``STORED``."""
-        sizes = np.fromiter(map(len, self.pairs), np.int64, len(self.pairs))
-        pairs, where = np.unique(np.fromiter((p for x in self.pairs for p in x), np.int64, int(sizes.sum())), return_inverse=True)
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        numbers = np.array(self.numbers, np.int64).reshape(-1, 3)
+        known = self.known
+        numbers = np.array(known.numbers, np.int64).reshape(-1, 4)
+        begin = np.concatenate(([0], np.cumsum(numbers[:, 3])))
+        used = np.unique(np.concatenate([np.zeros(0, np.int64), *(at for _, at in self.docs if at is not None)]))
+        each = numbers[used, 3]
+        ends = np.cumsum(each)
+        every = np.concatenate([np.zeros(0, np.int64), *known.pairs])[_runs(begin[used], each, ends)]
+        pairs, where = np.unique(every, return_inverse=True)
+        begin[used] = ends - each  # from here on into ``where``
         holders, out = np.zeros(len(pairs), np.int64), []
         for i, at in self.docs:
             if at is None:
                 out.append((block, i, 0, 0, 0, 0, "", b"", b"", None, None))
                 continue
-            n_a, n_b, n_groups = numbers[at].sum(0).tolist()
-            each = sizes[at]
-            ends = np.cumsum(each)
-            found = where[np.arange(ends[-1]) + np.repeat(begin[at] - ends + each, each)]
-            held, times = np.unique(found, return_counts=True)
+            n_a, n_b, n_groups, n_links = numbers[at].sum(0).tolist()
+            each = numbers[at, 3]
+            held, times = np.unique(where[_runs(begin[at], each, np.cumsum(each))], return_counts=True)
             holders[held] += 1
-            digest = hashlib.sha256(";".join([self.groups[k] for k in at.tolist()]).encode()).hexdigest()
-            out.append((block, i, n_a, n_b, n_groups, int(ends[-1]), digest, *packed(held, times), None, None))
+            digest = hashlib.sha256(";".join(map(known.groups.__getitem__, at.tolist())).encode()).hexdigest()
+            out.append((block, i, n_a, n_b, n_groups, n_links, digest, *packed(held, times), None, None))
         out.append((block, None, None, None, None, None, None, None, None, pairs, holders))
         return pd.DataFrame(out, columns=[c.split()[0] for c in STORED.split(", ")])
 
 
+def _runs(begin: np.ndarray, each: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Positions of runs one after the other: ``each`` positions from ``begin`` on."""
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + each, each)
+
+
 def packed(held: np.ndarray, times: np.ndarray) -> tuple[bytes, bytes]:
     """Ascending positions as gaps of 16 bits and how often each is held in 8 bits; a wider gap goes
     in steps that are held 0 times, and more than 255 times in entries of gap 0."""
@@ -193,13 +218,14 @@ def blocks(docs: DataFrame, a: str, b: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        number, held = TaskContext.get().partitionId() << 32, None
+        number, held, known = TaskContext.get().partitionId() << 32, None, Segments(a, b)
         for batch in batches:
-            held = held or Block(a, b)
+            held = held or Block(known)
             held.add(batch["doc_id"].tolist(), batch["text"].tolist())
             if held.size >= BLOCK:
                 yield held.rows(number)
                 number, held = number + 1, None
+                known = known if len(known.at) < CACHED else Segments(a, b)
         if held:
             yield held.rows(number)
 
