@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.operators.scans import Dealt
+
 
 def page(journal: DataFrame, after: int, limit: int, budget: int) -> DataFrame:
     """The frame after a sequence number: at most ``limit`` entries whose running
@@ -19,17 +21,11 @@ def keyset(rows: DataFrame, key: str, after, limit: int) -> DataFrame:
     return rows.where(F.col(key) > after).orderBy(key).limit(limit)
 
 
-def groups(journal: DataFrame, by: list[str], opening: str) -> DataFrame:
-    """Number the groups that entries of kind ``opening`` begin, and count their rows by kind."""
-    w = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return journal.withColumn("grp", F.count(F.when(F.col("kind") == opening, 1)).over(w)).groupBy(*by, "grp")
-
-
 def illegal(changes: DataFrame, by: list[str], legal: DataFrame) -> DataFrame:
     """Changes whose state doesn't follow the one before.  legal: prev_state, state."""
     w = Window.partitionBy(*by).orderBy("seq")
     pairs = changes.withColumn("prev_state", F.lag("state").over(w)).where("prev_state is not null")
-    return pairs.join(F.broadcast(legal), ["prev_state", "state"], "left_anti")
+    return pairs.join(legal, ["prev_state", "state"], "left_anti")
 
 
 def conflicts(objects: DataFrame) -> DataFrame:
@@ -41,10 +37,6 @@ def first_reference(references: DataFrame) -> DataFrame:
     return references.groupBy("kind", "hash").agg(F.min("seq").alias("first_seq"))
 
 
-def unreferenced(objects: DataFrame, references: DataFrame) -> DataFrame:
-    return objects.join(references.select("kind", "hash").distinct(), ["kind", "hash"], "left_anti")
-
-
 def epochs(configs: DataFrame) -> DataFrame:
     """Add until_ms: when the next epoch of the fleet takes over."""
     w = Window.partitionBy("fleet").orderBy("effective_ms")
@@ -52,10 +44,21 @@ def epochs(configs: DataFrame) -> DataFrame:
 
 
 def in_force(rows: DataFrame, configs: DataFrame, at: str) -> DataFrame:
-    """Join each row with the epoch in force at its time; a fleet's epochs are few and are broadcast."""
-    e = F.broadcast(epochs(configs)).alias("e")
-    on = (F.col(f"r.{at}") >= F.col("e.effective_ms")) & (F.col("e.until_ms").isNull() | (F.col(f"r.{at}") < F.col("e.until_ms")))
-    return rows.alias("r").join(e, on & (F.col("r.fleet") == F.col("e.fleet"))).select("r.*", "e.epoch")
+    """Each row with the epoch in force at its time; rows before the first epoch of their fleet go."""
+    return asof(rows, at, configs.select("fleet", "effective_ms", "epoch"), "effective_ms", ["fleet"]).where("epoch is not null")
+
+
+def asof(rows: DataFrame, at: str, facts: DataFrame, since: str, by: list[str]) -> DataFrame:
+    """Each row with the latest facts of its key that hold since its time or before; nulls where there are none.
+
+    Both are dealt out together by ranges of (key, time) and the last fact is a running value, so no side
+    is broadcast and no row meets more than one fact.  Of facts of one time the greatest counts."""
+    names = [c for c in facts.columns if c not in (*by, since)]
+    both = rows.withColumn("_at", F.col(at)).withColumn("_is_row", F.lit(1)).unionByName(
+        facts.select(*by, F.col(since).alias("_at"), F.struct(*names).alias("_fact")).withColumn("_is_row", F.lit(0)), allowMissingColumns=True
+    )
+    told = Dealt(both, by, ["_at", "_is_row"]).prefixes({"_last": ("max", F.when(F.col("_is_row") == 0, F.struct("_at", "_fact")))}, inclusive=True)
+    return told.where("_is_row = 1").select(*rows.columns, *(F.col("_last._fact")[c].alias(c) for c in names))
 
 
 def revoked(configs: DataFrame) -> DataFrame:
@@ -70,17 +73,17 @@ def newly_revoked(configs: DataFrame) -> DataFrame:
     return configs.withColumn("fresh", fresh).select("fleet", "epoch", F.explode("fresh").alias("key_id"))
 
 
-def once_a_day(requests: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    """Outcome of requests (key_id, request_id, request_hash, at_ms): NEW, REPLAY of the same
-    content, CONFLICT with other content, or EXPIRED beyond the time to live of the first."""
-    w = Window.partitionBy("key_id", "request_id").orderBy("at_ms", "seq")
-    first, at, n = F.first("request_hash").over(w), F.first("at_ms").over(w), F.row_number().over(w)
-    out = F.when(n == 1, "NEW").when(F.col("at_ms") - at > ttl_ms, "EXPIRED").when(F.col("request_hash") == first, "REPLAY").otherwise("CONFLICT")
-    return requests.withColumn("outcome", out)
-
-
-def compared(given: DataFrame, again: DataFrame, keys: list[str]) -> DataFrame:
-    """Replay comparison by key: MATCH, MISMATCH, MISSING (not recomputed) or EXTRA.  Both have hash."""
-    g, a = given.select(*keys, F.col("hash").alias("given")), again.select(*keys, F.col("hash").alias("again"))
-    verdict = F.when(F.col("again").isNull(), "MISSING").when(F.col("given").isNull(), "EXTRA").when(F.col("given") == F.col("again"), "MATCH").otherwise("MISMATCH")
-    return g.join(a, keys, "full").withColumn("verdict", verdict)
+def once_a_day(requests: DataFrame, ttl_ms: int = 86_400_000, fresh_ms: int = 60_000) -> DataFrame:
+    """Outcome of requests (key_id, request_id, request_hash, sent_ms, at_ms, seq): STALE if unknown and sent too long
+    ago or ahead, NEW, then CONFLICT with other content, EXPIRED beyond the time to live of the first, or REPLAY.
+
+    A stale request isn't recorded, so the first fresh one is what later ones are held against; it is found by
+    grouping, and no key is ordered."""
+    fresh = F.abs(F.col("sent_ms") - F.col("at_ms")) <= fresh_ms
+    first = requests.where(fresh).groupBy("key_id", "request_id").agg(F.min(F.struct("at_ms", "seq", "request_hash")).alias("first"))
+    later = F.struct("at_ms", "seq") > F.struct("first.at_ms", "first.seq")
+    out = (
+        F.when(F.col("seq") == F.col("first.seq"), "NEW").when(F.col("first").isNull() | ~later, "STALE").when(F.col("request_hash") != F.col("first.request_hash"), "CONFLICT")
+        .when(F.col("at_ms") - F.col("first.at_ms") > ttl_ms, "EXPIRED").otherwise("REPLAY")
+    )
+    return requests.join(first, ["key_id", "request_id"], "left").withColumn("outcome", out).drop("first")

@@ -8,7 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from vigil.functions.params import DEFAULT, Params
 from vigil.operators.ordered import folded
@@ -122,7 +122,10 @@ def _outcomes(source, rows: pd.DataFrame, fold: Fold) -> pd.DataFrame:
 
 
 STEPS = "source string, arrival long, seq long, hash string, at_ms long, state string, admitted boolean, outcomes array<struct<seq: long, status: string>>"
-_STEPS = StructType.fromDDL(STEPS)
+_STEPS = (
+    StructType().add("source", "string").add("arrival", "long").add("seq", "long").add("hash", "string").add("at_ms", "long").add("state", "string").add("admitted", "boolean")
+    .add("outcomes", ArrayType(StructType().add("seq", "long").add("status", "string")))
+)
 
 
 def _step(fold: Fold, r: dict) -> dict:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from vigil.functions import kernels as K
 from vigil.functions.params import DEFAULT, Params
 from vigil.operators.ordered import folded
+from vigil.sources.store import written
 
 
 def counted_votes(votes: DataFrame, roster: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def counted_votes(votes: DataFrame, roster: DataFrame) -> DataFrame:
     result's configuration lists it.  votes: result, config, watcher, at_ms, vote; roster: config, watcher, domain, enabled."""
     w = Window.partitionBy("result", "watcher").orderBy("at_ms", "vote")
     first = votes.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
-    listed = F.broadcast(roster.where("enabled").select("config", "watcher", "domain"))  # watchers of a fleet: at most 16
+    listed = roster.where("enabled").select("config", "watcher", "domain")
     return first.join(listed, ["config", "watcher"], "left")
 
 
@@ -40,7 +40,7 @@ def alert_states(alerts: DataFrame, quorum: DataFrame, now_ms, p: Params = DEFAU
 def degraded(alerts: DataFrame, evidence: DataFrame, bad: DataFrame) -> DataFrame:
     """Add assurance: DEGRADED where a forked or revoked source is among an alert's evidence.
     evidence: result, source; bad: source."""
-    touched = evidence.join(F.broadcast(bad), "source", "left_semi").select("result").distinct().withColumn("touched", F.lit(True))
+    touched = evidence.join(bad, "source", "left_semi").select("result").distinct().withColumn("touched", F.lit(True))
     return alerts.join(touched, "result", "left").withColumn("assurance", F.when(F.col("touched"), "DEGRADED").otherwise("VALID")).drop("touched")
 
 
@@ -61,8 +61,8 @@ def delivery(attempts: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return rows.withColumn("over", over).where("not over").drop("over")
 
 
-def buckets(requests: DataFrame, rate: int = 32, burst: int = 64) -> DataFrame:
-    """Token buckets: whether each request (key_id, at_ms, request) is let through.
+def buckets(requests: DataFrame, rate: int = 32, burst: int = 64, key: str = "key_id") -> DataFrame:
+    """Token buckets: whether each request (key, at_ms, request) is let through.
     Every key's requests are one ordered stream; the fold holds a key's tokens and last time."""
 
     def step(bucket: dict, r: dict) -> dict:
@@ -72,6 +72,16 @@ def buckets(requests: DataFrame, rate: int = 32, burst: int = 64) -> DataFrame:
         bucket["tokens"], bucket["last"] = bucket["tokens"] - ok, r["at_ms"]
         return {**r, "allowed": ok}
 
-    needed = requests.select(*(F.col(c).cast("long").alias(c) for c in ("key_id", "request", "at_ms")))
-    schema = StructType.fromDDL("key_id long, request long, at_ms long, allowed boolean")
-    return folded(needed, "key_id", ["at_ms", "request"], lambda: {"tokens": float(burst), "last": None}, step, schema)
+    needed = requests.select(*(F.col(c).cast("long").alias(c) for c in (key, "request", "at_ms")))
+    schema = needed.schema.add("allowed", "boolean")
+    return folded(needed, key, ["at_ms", "request"], lambda: {"tokens": float(burst), "last": None}, step, schema)
+
+
+def limited(requests: DataFrame, per_key: tuple[int, int] = (32, 64), per_fleet: tuple[int, int] = (100, 200)) -> DataFrame:
+    """Add refused_by (KEY, FLEET or null) to requests (fleet, key_id, at_ms, request): what a key's bucket lets
+    through comes to its fleet's bucket.  A fleet's refusal doesn't give the key its token back."""
+    by_key = requests.join(buckets(requests, *per_key).select("key_id", "request", F.col("allowed").alias("by_key")), ["key_id", "request"])
+    passed = written(by_key, "passed")
+    by_fleet = buckets(passed.where("by_key"), *per_fleet, key="fleet").select("fleet", "request", F.col("allowed").alias("by_fleet"))
+    told = passed.join(by_fleet, ["fleet", "request"], "left")
+    return told.withColumn("refused_by", F.when(~F.col("by_key"), "KEY").when(~F.col("by_fleet"), "FLEET")).drop("by_key", "by_fleet")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import fleet as V
 from vigil.operators import ledger as L
+from vigil.operators import paging
 from vigil.operators.scans import Dealt
 from vigil.sources.store import append, scan, shared, written
 
@@ -275,6 +276,35 @@ def frame_end(spark, d):
     return L.frame(journal(spark, d), 1, 100, 130, 128, 9000).select("fleet", "seq", "kind", "bytes_so_far", "more")
 
 
+REFERS = {"ConfigScheduled": ("config", "key"), "ConfigActivated": ("config", "key"), "WindowFinalized": ("manifest", "s1"), "ResultFinalized": ("result", "s1"), "DeliveryChanged": ("page", "s3")}
+#: A recursion from page to page; objects are as long as their digests' first byte says.
+PAGED = f"""{Q}, refs AS ({" UNION ALL ".join(f"SELECT fleet, seq, '{k}' AS kind, {c} AS hash FROM jrn WHERE kind = '{e}'" for e, (k, c) in REFERS.items())}),
+intro AS (SELECT fleet, seq, sum(296 + ('0x' || hash[1:2])::BIGINT) AS ob FROM (SELECT fleet, kind, hash, min(seq) AS seq FROM refs WHERE hash IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+z AS MATERIALIZED (SELECT s.fleet, s.seq, CAST(bytes + 128 + coalesce(ob, 0) AS BIGINT) AS b, CAST(sum(bytes + 128 + coalesce(ob, 0)) OVER (PARTITION BY s.fleet ORDER BY s.seq) AS BIGINT) AS upto FROM size_ s LEFT JOIN intro i ON i.fleet = s.fleet AND i.seq = s.seq),
+pg_ AS (SELECT fleet, 0::BIGINT AS lo, 0::BIGINT AS hi FROM range(3) t(fleet)
+  UNION ALL SELECT p.fleet, p.hi + 1, max(y.seq) FROM pg_ p JOIN z x ON x.fleet = p.fleet AND x.seq = p.hi + 1 JOIN z y ON y.fleet = p.fleet AND y.seq BETWEEN p.hi + 1 AND p.hi + 40 AND (y.seq = x.seq OR y.upto - x.upto + x.b <= 12000) GROUP BY p.fleet, p.hi)"""
+
+
+def paged(spark, d) -> DataFrame:
+    j = journal(spark, d)
+    refs = reduce(DataFrame.unionByName, [j.where(F.col("kind") == e).select("fleet", "seq", F.lit(k).alias("kind"), F.col(c).alias("hash")) for e, (k, c) in REFERS.items()]).where("hash is not null")
+    objects = refs.select("fleet", "kind", "hash").distinct().withColumn("bytes", F.conv(F.substring("hash", 1, 2), 16, 10).cast("bigint") + 200)
+    own = j.select("fleet", "seq", (F.octet_length(L.text_of(*L.MEMBERS)) + 128).alias("own"))
+    entries = own.join(paging.introduced(refs, objects), ["fleet", "seq"], "left")
+    return paging.pages(entries.select("fleet", "seq", (F.col("own") + F.coalesce("object_bytes", F.lit(0))).alias("bytes")), 40, 12_000)
+
+
+@query("W10_all_pages", f"{PAGED} SELECT p.fleet, lo - 1 AS after_seq, hi AS next_seq, hi - lo + 1 AS entries, CAST((SELECT sum(b) FROM z WHERE z.fleet = p.fleet AND seq BETWEEN lo AND hi) AS BIGINT) AS bytes, hi < (SELECT max(seq) FROM z WHERE z.fleet = p.fleet) AS more FROM pg_ p WHERE lo > 0")
+def all_pages(spark, d):
+    """Every page of every fleet's journal, with the objects that its entries are the first to refer to."""
+    return paging.listed(paged(spark, d))
+
+
+@query("L03_page_entries", f"{PAGED} SELECT z.fleet, z.seq, b AS bytes, lo AS page FROM z JOIN pg_ p ON p.fleet = z.fleet AND z.seq BETWEEN p.lo AND p.hi WHERE lo > 0")
+def page_entries(spark, d):
+    return paged(spark, d)
+
+
 @query("T21_checkpoint", f"{Q} SELECT fleet, max(seq) AS seq, max(at_ms) AS at_ms, CAST(sum(bytes) AS BIGINT) AS bytes FROM size_ GROUP BY fleet")
 def checkpoint(spark, d):
     return L.checkpoints(journal(spark, d)).select("fleet", "seq", "at_ms", "bytes")

@@ -346,19 +346,21 @@ def due(spark, d):
     return rows.where("state in ('QUEUED', 'RETRY') and due_ms <= 5000000").agg(F.count("*").alias("n"))
 
 
-@query("T14_idempotency", """WITH r AS (SELECT user_id AS key_id, event_id % 40 AS request_id, CAST(event_id % 3 AS VARCHAR) AS request_hash, epoch_us(ts) // 1000 AS at_ms, event_id AS seq FROM events),
-x AS (SELECT *, first(request_hash) OVER w AS f, first(at_ms) OVER w AS t, row_number() OVER w AS n FROM r WINDOW w AS (PARTITION BY key_id, request_id ORDER BY at_ms, seq))
-SELECT seq, CASE WHEN n = 1 THEN 'NEW' WHEN at_ms - t > 86400000 THEN 'EXPIRED' WHEN request_hash = f THEN 'REPLAY' ELSE 'CONFLICT' END AS outcome FROM x""")
+@query("T14_idempotency", """WITH r AS (SELECT user_id AS key_id, event_id % 40 AS request_id, CAST(event_id % 3 AS VARCHAR) AS request_hash, epoch_us(ts) // 1000 AS at_ms, epoch_us(ts) // 1000 - event_id % 7 * 11000 AS sent_ms, event_id AS seq FROM events),
+x AS (SELECT r.*, (SELECT min((f.at_ms, f.seq)) FROM r f WHERE f.key_id = r.key_id AND f.request_id = r.request_id AND f.at_ms - f.sent_ms <= 60000) AS f FROM r)
+SELECT x.seq, CASE WHEN o.seq IS NULL OR (x.at_ms, x.seq) < (o.at_ms, o.seq) THEN 'STALE' WHEN x.seq = o.seq THEN 'NEW' WHEN x.request_hash <> o.request_hash THEN 'CONFLICT' WHEN x.at_ms - o.at_ms > 86400000 THEN 'EXPIRED' ELSE 'REPLAY' END AS outcome FROM x LEFT JOIN r o ON o.at_ms = f[1] AND o.seq = f[2]""")
 def idempotency(spark, d):
-    i = F.col("event_id")
-    r = T.table(spark, d, "events").select(F.col("user_id").alias("key_id"), (i % 40).alias("request_id"), (i % 3).cast("string").alias("request_hash"), T.millis("ts").alias("at_ms"), i.alias("seq"))
+    i, at = F.col("event_id"), T.millis("ts")
+    r = T.table(spark, d, "events").select(F.col("user_id").alias("key_id"), (i % 40).alias("request_id"), (i % 3).cast("string").alias("request_hash"), at.alias("at_ms"), (at - i % 7 * 11000).alias("sent_ms"), i.alias("seq"))
     return J.once_a_day(r).select("seq", "outcome")
 
 
 @query("T15_rate_limit")
 def rate_limit(spark, d):
-    r = T.table(spark, d, "events").select((F.col("user_id") % 100).alias("key_id"), F.col("event_id").alias("request"), F.expr("event_id div 400").alias("at_ms"))
-    return V.buckets(r)
+    """A key's bucket, then its fleet's."""
+    i = F.col("event_id")
+    r = T.table(spark, d, "events").select((F.col("user_id") % 100).alias("key_id"), (F.col("user_id") % 4).alias("fleet"), i.alias("request"), F.expr("event_id div 400").alias("at_ms"))
+    return V.limited(r)
 
 
 # ---- evaluation: labels against a length rule

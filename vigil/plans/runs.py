@@ -9,10 +9,12 @@ Fixed values: moduli and times that both sides state.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.functions import kernels as K
 from vigil.functions.params import Params
+from vigil.operators import admission as A
 from vigil.operators import fleet as V
 from vigil.sources.store import written
 
@@ -451,25 +453,46 @@ def result_compare(spark, d):
     return V.replayed(stored(run), run).groupBy("fleet").agg(F.count("*").alias("n"), F.count_if(F.expr("verdict <> 'MATCH'")).alias("wrong"))
 
 
-ENVELOPE = f"""{W}, e AS (SELECT r.*, s.key_id, s.meter, s.revoked, s.enabled, s.subjects, CASE WHEN idx % 29 = 0 THEN sha256('other') ELSE sha256('record/' || idx) END AS given, CASE WHEN idx % 31 = 0 THEN 'key-9-9' ELSE 'key-' || r.fleet || '-' || r.source END AS signer
+ENVELOPE = f"""{W}, e AS (SELECT r.*, s.key_id, s.meter, s.revoked, s.enabled, s.subjects, idx % 29 = 0 AS altered, CASE WHEN idx % 31 = 0 THEN 'key-9-9' ELSE 'key-' || r.fleet || '-' || r.source END AS signer
   FROM inforce r LEFT JOIN src s USING (fleet, epoch, source) WHERE kind NOT IN ('fork', 'gap'))"""
 
 
-@query("F07_envelope", f"""{ENVELOPE} SELECT idx, CASE WHEN given <> hash THEN 'HASH_INVALID' WHEN NOT coalesce(enabled, false) THEN 'FORBIDDEN' WHEN signer <> key_id THEN 'KEY_MISMATCH' WHEN revoked THEN 'KEY_REVOKED'
-  WHEN kind IN ('spend', 'scope', 'replication') AND NOT list_contains(subjects, subject) THEN 'SUBJECT_UNKNOWN' WHEN kind = 'spend' AND NOT meter THEN 'NOT_METER' WHEN kind IN ('scope', 'replication') AND meter THEN 'METER_ONLY' END AS error FROM e""")
+def enveloped(run):
+    """Records with what their envelopes say and what their source is bound to."""
+    i = F.col("idx")
+    bound = run.sources.select("fleet", "epoch", "source", F.col("key_id").alias("of_key"), "meter", "revoked", F.col("enabled").alias("bound"), "subjects")
+    rows = run.placed.where("kind not in ('fork', 'gap')").join(bound, ["fleet", "epoch", "source"], "left")
+    return rows.select(
+        "*", F.when(i % 29 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2(F.concat(F.lit("record/"), i), 256)).alias("given_hash"), F.when(i % 31 == 0, "key-9-9").otherwise(F.concat_ws("-", F.lit("key"), "fleet", "source")).alias("key_id"),
+        F.col("fleet").alias("of_fleet"), F.when(i % 47 == 5, F.col("source") + 1).otherwise(F.col("source")).alias("of_source"), (i % 37 != 4).alias("signed"), F.when(i % 41 == 3, "p/2").otherwise("p/1").alias("profile"), F.lit("p/1").alias("of_profile"),
+        F.when(i % 53 == 8, F.col("received_ms") + 60_001).otherwise(F.col("observed_ms")).alias("said_ms"), F.col("received_ms").alias("at_ms"),
+    ).drop("observed_ms").withColumnRenamed("said_ms", "observed_ms").withColumn("subject", F.when(F.col("kind").isin("spend", "scope", "replication"), F.col("subject")))
+
+
+@query("F07_envelope", f"""{ENVELOPE} SELECT idx, CASE WHEN NOT coalesce(enabled, false) THEN 'FORBIDDEN' WHEN revoked THEN 'KEY_REVOKED' WHEN altered THEN 'HASH_MISMATCH' WHEN idx % 47 = 5 THEN 'FORBIDDEN' WHEN signer <> key_id OR idx % 37 = 4 THEN 'SIGNATURE_INVALID'
+  WHEN idx % 41 = 3 OR (kind IN ('spend', 'scope', 'replication') AND NOT list_contains(subjects, subject)) OR (kind = 'spend' AND NOT meter) OR (kind IN ('scope', 'replication') AND meter) THEN 'FORBIDDEN' WHEN idx % 53 = 8 THEN 'FUTURE_TIMESTAMP' END AS error FROM e""")
 def envelope(spark, d):
-    """The first rule that each record breaks: digest, binding, signer, revocation, subject, meter."""
-    run = Run(spark, d)
-    given = F.when(F.col("idx") % 29 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2(F.concat(F.lit("record/"), "idx"), 256))
-    signer = F.when(F.col("idx") % 31 == 0, "key-9-9").otherwise(F.concat_ws("-", F.lit("key"), "fleet", "source"))
-    rows = run.placed.where("kind not in ('fork', 'gap')").withColumn("given", given).withColumn("signer", signer)
-    rows = rows.join(run.sources.select("fleet", "epoch", "source", "key_id", "meter", "revoked", "enabled", "subjects"), ["fleet", "epoch", "source"], "left")
-    error = (
-        F.when(F.expr("given <> hash"), "HASH_INVALID").when(~F.coalesce("enabled", F.lit(False)), "FORBIDDEN").when(F.expr("signer <> key_id"), "KEY_MISMATCH").when(F.col("revoked"), "KEY_REVOKED")
-        .when(F.col("kind").isin("spend", "scope", "replication") & ~F.array_contains("subjects", F.col("subject")), "SUBJECT_UNKNOWN")
-        .when((F.col("kind") == "spend") & ~F.col("meter"), "NOT_METER").when(F.col("kind").isin("scope", "replication") & F.col("meter"), "METER_ONLY")
+    """The first rule that each record's envelope breaks."""
+    return enveloped(Run(spark, d)).select("idx", A.envelope_error(P).alias("error"))
+
+
+@query("T05_batches")
+def batches(spark, d):
+    """Records sent in batches of eight by each source, numbered in turn; every ninth batch comes one too late, every
+    seventh again, every thirteenth entry of some sources with another hash; envelopes' errors reject their batch, which is then sent without them."""
+    by = Window.partitionBy("fleet", "source").orderBy("idx")
+    rows = enveloped(Run(spark, d)).where("bound").select("fleet", "source", "idx", "kind", "usage_id", "delta", "subject", "hash", A.envelope_error(P).alias("error"), F.row_number().over(by).cast("bigint").alias("seq"), F.lag("hash", 1, "0" * 64).over(by).alias("prev"))
+    own = F.expr("(seq - 1) div 8")
+    rows = rows.select(
+        F.concat_ws("/", "fleet", "source").alias("source"), own.alias("own"), "seq", F.col("seq").alias("position"), "hash", "prev", (F.col("kind") == "terminal").alias("terminal"), "error",
+        F.when(F.col("kind") == "spend", F.col("usage_id").cast("string")).alias("usage_id"), F.concat_ws("/", "delta", "subject").alias("payload"),
     )
-    return rows.select("idx", error.alias("error"))
+    first = rows.withColumn("batch", F.col("own") * 10 + F.when(F.col("own") % 9 == 4, 15).otherwise(0))
+    mended = rows.withColumn("error", F.lit(None).cast("string")).withColumn("batch", F.col("own") * 10 + 3)
+    again = rows.where("own % 7 = 2").withColumn("batch", F.col("own") * 10 + 36)
+    forked = again.where("crc32(source) % 3 = 1 and own > 40").withColumn("hash", F.when(F.col("seq") % 13 == 5, F.sha2("hash", 256)).otherwise(F.col("hash"))).withColumn("batch", F.col("batch") + 1)
+    every = first.unionByName(mended.join(rows.where("error is not null").select("source", "own").distinct(), ["source", "own"], "left_semi").select(first.columns)).unionByName(again).unionByName(forked)
+    return A.admitted(every.drop("own"), P)
 
 
 @query("J01_slot_join", f"{W}, slots AS (SELECT fleet, source, row_number() OVER (PARTITION BY fleet, source ORDER BY idx) AS seq, hash FROM kept WHERE kind NOT IN ('fork', 'gap')) SELECT fleet, epoch, start_ms, source, seq, hash FROM acc JOIN slots USING (fleet, source, hash)")
