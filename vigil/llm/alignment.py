@@ -98,7 +98,8 @@ class Segments:
         for lo in range(0, len(new), STEP):
             some = new[lo : lo + STEP]
             left = [e.ids for e in self.left.encode_batch_fast(some, add_special_tokens=False)]
-            right = self.right.encode([s[1:] for s in some], num_threads=1)  # B adds the space itself
+            right = self.right.encode([s[1:] for s in some], num_threads=1)  # B adds the space itself, but not to nothing
+            right = [b if s != " " else [self.right.piece_to_id("▁")] for s, b in zip(some, right)]
             for i, (s, a, b) in enumerate(zip(some, left, right)):
                 self.at[s] = len(self.at)
                 if not (a and b and "▁" not in s and b"".join(map(of_a, a)) == s.encode() == b"".join(map(of_b, b))):
