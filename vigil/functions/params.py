@@ -22,6 +22,8 @@ class Params:
     gap: int = 256
     inputs: int = 4096  # records of a manifest
     watchers: int = 16
+    lease_ms: int = 30_000  # of a page in flight
+    subscription_ms: int = 300_000
     retry_ms: tuple[int, ...] = (1000, 2000, 4000, 8000, 16000, 32000, 60000)
 
 

@@ -50,7 +50,7 @@ def appended(events: DataFrame, head: DataFrame | None = None) -> DataFrame:
     if head is None:
         start = start.withColumn("head_seq", F.lit(0).cast("bigint")).withColumn("head_hash", F.lit(ZERO))
     else:
-        start = start.join(F.broadcast(head.select("fleet", F.col("seq").alias("head_seq"), F.col("hash").alias("head_hash"))), "fleet", "left").fillna({"head_seq": 0, "head_hash": ZERO})
+        start = start.join(head.select("fleet", F.col("seq").alias("head_seq"), F.col("hash").alias("head_hash")), "fleet", "left").fillna({"head_seq": 0, "head_hash": ZERO})
     kept = ["fleet", *MEMBERS]
     schema = start.select(*kept).schema.add("seq", "long").add("prev", "string").add("hash", "string")
 
@@ -294,12 +294,14 @@ def capacity(used: Column, hard: int) -> Column:
 def exported(journal: DataFrame, pins: DataFrame) -> DataFrame:
     """The rows up to each pinned checkpoint (fleet, seq, hash) that the journal really has."""
     good = pins.join(journal.select("fleet", "seq", "hash"), ["fleet", "seq", "hash"], "left_semi").select("fleet", F.col("seq").alias("through"))
-    return journal.join(F.broadcast(good), "fleet").where("seq <= through")
+    return journal.join(good, "fleet").where("seq <= through")
 
 
-def head_order(seq: Column, hash_: Column, other_seq: Column, other_hash: Column) -> Column:
-    """SAME, CONFLICT (one number, two hashes), DESCENDS (further on) or BEHIND; numbers alone tell descent."""
-    return F.when((seq == other_seq) & (hash_ == other_hash), "SAME").when(seq == other_seq, "CONFLICT").when(seq > other_seq, "DESCENDS").otherwise("BEHIND")
+def head_order(seq: Column, hash_: Column, other_seq: Column, other_hash: Column, hash_there: Column | None = None) -> Column:
+    """SAME, CONFLICT (one number, two hashes), DESCENDS (further on) or BEHIND.  hash_there: what the journal of the
+    first head holds at the other's number; where it is given, descent asks for the other's hash there, else it is a CONFLICT."""
+    further = F.when(hash_there == other_hash, "DESCENDS").otherwise("CONFLICT") if hash_there is not None else F.lit("DESCENDS")
+    return F.when((seq == other_seq) & (hash_ == other_hash), "SAME").when(seq == other_seq, "CONFLICT").when(seq > other_seq, further).otherwise("BEHIND")
 
 
 def parsed_head(text: Column) -> Column:
@@ -309,34 +311,10 @@ def parsed_head(text: Column) -> Column:
     return F.when(fits & seq.isNotNull(), F.struct(seq.alias("seq"), F.split_part(text, F.lit(":"), F.lit(2)).alias("hash")))
 
 
-def subscriptions(changes: DataFrame, p: Params = DEFAULT, lease_ms: int = 300_000) -> DataFrame:
-    """(subscription, state, acked, delivered, lease_ms, refused) from requests in order of
-    ``seq``: READ delivers up to ``upto`` and takes a lease; ACK moves forward, never beyond
-    what was delivered; PAUSE, RESUME and CLOSE follow the state.  Cursors only grow, so
-    they are running maxima; what a rule refuses is counted and changes nothing."""
-    w = Window.partitionBy("subscription").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = changes.withColumn("closed", F.coalesce(F.bool_or(F.col("verb") == "CLOSE").over(w), F.lit(False)))
-    turn = F.when(F.col("verb").isin("PAUSE", "RESUME"), F.col("verb"))
-    rows = rows.withColumn("paused", F.coalesce(F.last(turn, True).over(w) == "PAUSE", F.lit(False)))
-    rows = rows.withColumn("delivered_before", F.coalesce(F.max(F.when((F.col("verb") == "READ") & ~F.col("closed") & ~F.col("paused"), F.col("upto"))).over(w), F.lit(0).cast("bigint")))
-    rows = rows.withColumn("fits", ~F.col("closed") & (
-        F.when(F.col("verb") == "READ", ~F.col("paused")).when(F.col("verb") == "ACK", F.col("upto") <= F.col("delivered_before"))
-        .when(F.col("verb") == "PAUSE", ~F.col("paused")).when(F.col("verb") == "RESUME", F.col("paused")).otherwise(F.col("verb") == "CLOSE")
-    ))
-    done = lambda verb: (F.col("verb") == verb) & F.col("fits")
-    last_turn = F.max_by(F.col("verb"), F.when(F.col("fits") & F.col("verb").isin("PAUSE", "RESUME"), F.col("seq")))
-    return rows.groupBy("subscription").agg(
-        F.when(F.bool_or(done("CLOSE")), "CLOSED").when(F.coalesce(last_turn, F.lit("")) == "PAUSE", "PAUSED").otherwise("ACTIVE").alias("state"),
-        F.coalesce(F.max(F.when(done("ACK"), F.col("upto"))), F.lit(0).cast("bigint")).alias("acked"),
-        F.coalesce(F.max(F.when(done("READ"), F.col("upto"))), F.lit(0).cast("bigint")).alias("delivered"),
-        (F.max(F.when(done("READ"), F.col("at_ms"))) + lease_ms).alias("lease_ms"), F.count_if(~F.col("fits")).alias("refused"),
-    )
-
-
 def watched(journal: DataFrame, cursors: DataFrame, expected: DataFrame, watcher: int) -> DataFrame:
     """One pass of a watcher: alerts after its cursor whose result it recomputes to the same
     hash get its vote, others a refusal.  cursors: fleet, seq."""
-    new = journal.join(F.broadcast(cursors.select("fleet", F.col("seq").alias("after"))), "fleet", "left").where("kind = 'AlertCreated' and seq > coalesce(after, 0)")
+    new = journal.join(cursors.select("fleet", F.col("seq").alias("after")), "fleet", "left").where("kind = 'AlertCreated' and seq > coalesce(after, 0)")
     mine = expected.where("hit").select("fleet", F.col("hash").alias("key"), F.lit(True).alias("same"))
     return new.join(mine, ["fleet", "key"], "left").select("fleet", "seq", F.col("key").alias("result"), F.lit(watcher).cast("bigint").alias("watcher"), F.when(F.col("same"), "VOTE").otherwise("REFUSE").alias("action"))
 

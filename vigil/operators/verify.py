@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from . import journal as J
 from . import sequence as S
 
-#: Reasons in the order in which they are reported.
-REASONS = ("CHAIN_INVALID", "TIME_INVALID", "TRANSITION_INVALID", "OBJECT_CONFLICT", "OBJECT_UNREFERENCED", "REPLAY_MISMATCH")
-
 
 def reasons(journal: DataFrame, legal: DataFrame, objects: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
     """(fleet, reason, n): what is wrong with each fleet's journal (fleet, seq, prev, hash, at_ms, state)."""
@@ -31,12 +28,3 @@ def reasons(journal: DataFrame, legal: DataFrame, objects: DataFrame | None = No
         if references is not None:
             found.append(count(objects.select(*by).distinct().join(references.select(*by), by, "left_anti"), "OBJECT_UNREFERENCED"))
     return reduce(DataFrame.unionByName, found).select("fleet", "reason", "n")
-
-
-def verdicts(journal: DataFrame, found: DataFrame) -> DataFrame:
-    """(fleet, verdict, reasons): INVALID with the reasons in their order, or VALID."""
-    rank = F.array_position(F.array(*[F.lit(x) for x in REASONS]), F.col("reason"))
-    per = found.groupBy("fleet").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "reason"))).alias("r"))
-    per = per.select("fleet", F.array_join(F.transform("r", lambda x: x["reason"]), ",").alias("reasons"))
-    all_ = journal.select("fleet").distinct().join(per, "fleet", "left")
-    return all_.select("fleet", F.when(F.col("reasons").isNull(), "VALID").otherwise("INVALID").alias("verdict"), F.coalesce("reasons", F.lit("")).alias("reasons"))

@@ -10,9 +10,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.params import Params
 from vigil.operators import fleet as V
 from vigil.operators import ledger as L
-from vigil.operators import paging
+from vigil.operators import clocked, paging
 from vigil.operators.scans import Dealt
 from vigil.sources.store import append, scan, shared, written
 
@@ -388,18 +389,55 @@ def unreferenced(spark, d):
     return results.where("status = 'HIT'").select("fleet", "hash").join(told, ["fleet", "hash"], "left_anti").distinct()
 
 
-@query("T13_subscriptions", """WITH r AS (SELECT user_id % 40 AS subscription, event_id AS seq, epoch_us(ts) // 1000 AS at_ms, CASE WHEN event_id % 97 = 13 THEN 'CLOSE' WHEN event_id % 19 = 3 THEN 'PAUSE' WHEN event_id % 19 = 7 THEN 'RESUME' WHEN event_id % 3 = 0 THEN 'ACK' ELSE 'READ' END AS verb,
-  CASE WHEN event_id % 3 = 0 THEN event_id - event_id % 11 ELSE event_id END AS upto FROM events),
-p AS (SELECT *, coalesce(bool_or(verb = 'CLOSE') OVER b, false) AS closed, coalesce(arg_max(verb, seq) FILTER (verb IN ('PAUSE', 'RESUME')) OVER b = 'PAUSE', false) AS paused FROM r WINDOW b AS (PARTITION BY subscription ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-q AS (SELECT *, coalesce(max(upto) FILTER (verb = 'READ' AND NOT closed AND NOT paused) OVER (PARTITION BY subscription ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM p),
-f AS (SELECT *, NOT closed AND CASE verb WHEN 'READ' THEN NOT paused WHEN 'ACK' THEN upto <= sent WHEN 'PAUSE' THEN NOT paused WHEN 'RESUME' THEN paused ELSE true END AS fits FROM q)
-SELECT subscription, CASE WHEN bool_or(verb = 'CLOSE' AND fits) THEN 'CLOSED' WHEN coalesce(arg_max(verb, seq) FILTER (fits AND verb IN ('PAUSE', 'RESUME')), '') = 'PAUSE' THEN 'PAUSED' ELSE 'ACTIVE' END AS state,
-  coalesce(max(upto) FILTER (verb = 'ACK' AND fits), 0) AS acked, coalesce(max(upto) FILTER (verb = 'READ' AND fits), 0) AS delivered, max(at_ms) FILTER (verb = 'READ' AND fits) + 300000 AS lease_ms, count(*) FILTER (NOT fits) AS refused FROM f GROUP BY subscription""")
+SUBS = Params(subscription_ms=SIX)
+
+
+@query("T13_subscriptions", f"""WITH RECURSIVE r AS MATERIALIZED (SELECT user_id % 40 AS subscription, event_id AS seq, epoch_us(ts) // 1000 AS at_ms, event_id // 40 AS q, event_id AS i,
+    CASE WHEN event_id % 97 = 13 THEN 'CLOSE' WHEN event_id % 19 = 3 THEN 'PAUSE' WHEN event_id % 19 = 7 THEN 'RESUME' WHEN event_id % 11 = 2 THEN 'OPEN' WHEN event_id % 3 = 0 THEN 'ACK' ELSE 'READ' END AS verb, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS nth FROM events),
+v AS MATERIALIZED (SELECT *, CASE verb WHEN 'OPEN' THEN q WHEN 'READ' THEN q - i % 7 WHEN 'ACK' THEN q - i % 5 ELSE i % 4 + 1 END AS n1, q - i % 7 + 8 AS n2 FROM r),
+s AS (SELECT DISTINCT subscription, 0::BIGINT AS nth, 0::BIGINT AS seq, '' AS what, 'NONE' AS state, 0::BIGINT AS ack, 0::BIGINT AS delivered, 0::BIGINT AS lease, 0::BIGINT AS revision FROM r
+  UNION ALL SELECT subscription, nth, seq, coalesce(f, verb), CASE WHEN f IS NULL THEN CASE verb WHEN 'OPEN' THEN 'ACTIVE' WHEN 'PAUSE' THEN 'PAUSED' WHEN 'RESUME' THEN 'ACTIVE' WHEN 'CLOSE' THEN 'CLOSED' ELSE state END ELSE state END,
+    CASE WHEN f IS NULL AND verb IN ('OPEN', 'ACK') THEN n1 ELSE ack END, CASE WHEN f IS NULL AND verb = 'OPEN' THEN n1 WHEN f IS NULL AND verb = 'READ' THEN n2 ELSE delivered END, CASE WHEN f IS NULL AND verb <> 'CLOSE' THEN at_ms + {SIX} ELSE lease END,
+    CASE WHEN f IS NOT NULL OR verb = 'READ' OR (verb = 'ACK' AND n1 = ack) THEN revision WHEN verb = 'OPEN' THEN 1 ELSE revision + 1 END
+  FROM (SELECT *, CASE WHEN verb = 'OPEN' THEN CASE WHEN state IN ('ACTIVE', 'PAUSED') THEN 'STATE_CONFLICT' END WHEN state = 'NONE' THEN 'NOT_FOUND' WHEN verb IN ('READ', 'ACK') THEN CASE WHEN state <> 'ACTIVE' THEN 'STATE_CONFLICT' WHEN n1 < ack OR n1 > delivered THEN 'CURSOR_INVALID' END
+      WHEN n1 <> revision THEN 'REVISION_CONFLICT' WHEN NOT ((verb = 'PAUSE' AND state = 'ACTIVE') OR (verb = 'RESUME' AND state = 'PAUSED') OR (verb = 'CLOSE' AND state IN ('ACTIVE', 'PAUSED'))) THEN 'STATE_CONFLICT' END AS f
+    FROM (SELECT v.*, s.ack, s.delivered, s.lease, CASE WHEN s.state IN ('ACTIVE', 'PAUSED') AND s.lease <= v.at_ms THEN 'EXPIRED' ELSE s.state END AS state, s.revision + (s.state IN ('ACTIVE', 'PAUSED') AND s.lease <= v.at_ms)::INT AS revision
+      FROM s JOIN v ON v.subscription = s.subscription AND v.nth = s.nth + 1)))
+SELECT subscription, seq, what, state, ack, delivered, revision FROM s WHERE nth > 0""")
 def subscriptions(spark, d):
+    """Requests about subscriptions, each with what it met: refusals, cursors, revisions, and leases that ended before."""
     i = F.col("event_id")
-    verb = F.when(i % 97 == 13, "CLOSE").when(i % 19 == 3, "PAUSE").when(i % 19 == 7, "RESUME").when(i % 3 == 0, "ACK").otherwise("READ")
-    rows = T.table(spark, d, "events").select((F.col("user_id") % 40).alias("subscription"), i.alias("seq"), T.millis("ts").alias("at_ms"), verb.alias("verb"), F.when(i % 3 == 0, i - i % 11).otherwise(i).alias("upto"))
-    return L.subscriptions(rows)
+    q, verb = F.expr("event_id div 40"), F.when(i % 97 == 13, "CLOSE").when(i % 19 == 3, "PAUSE").when(i % 19 == 7, "RESUME").when(i % 11 == 2, "OPEN").when(i % 3 == 0, "ACK").otherwise("READ")
+    n1 = F.when(verb == "OPEN", q).when(verb == "READ", q - i % 7).when(verb == "ACK", q - i % 5).otherwise(i % 4 + 1)
+    rows = T.table(spark, d, "events").select((F.col("user_id") % 40).alias("key"), i.alias("seq"), T.millis("ts").alias("at_ms"), verb.alias("verb"), n1.alias("n1"), (q - i % 7 + 8).alias("n2"))
+    told = clocked.lived(rows, clocked.Subscription, p=SUBS).where("seq is not null")
+    return told.select(F.col("key").cast("bigint").alias("subscription"), "seq", "what", "state", F.col("n1").alias("ack"), F.col("n2").alias("delivered"), "revision")
+
+
+@query("T12_leases")
+def leases(spark, d):
+    """Pages of the alerts that are corroborated: when each is sent, under which lease, and what comes of it; some answers never come."""
+    hits = positioned(spark, d).where("status = 'HIT' and n % 3 <> 0")
+    n, at = F.col("n"), F.col("end_ms") + 20_002
+    event = lambda verb, seq, when, n1=None, n2=None, df=hits: df.select(F.col("hash").alias("key"), when.alias("at_ms"), F.lit(seq).alias("seq"), F.lit(verb).alias("verb"), (F.lit(None) if n1 is None else F.lit(n1)).cast("long").alias("n1"), (F.lit(None) if n2 is None else n2).cast("long").alias("n2"))
+    parts = [event("QUEUE", 0, at)]
+    for k in range(1, 9):  # answers to attempts as far as they are sent at the least delays
+        answered = hits.where(F.expr(f"n % 11 <> 4 and n div {k} % 4 = 1"))
+        parts.append(event("DONE", k, at + 1000 * (2**k - 1) - 900, k, F.when(n % 5 == k % 5, 204).when(n % 7 == k % 7, 429).otherwise(503), answered))
+    parts.append(event("CANCEL", 20, at + 40_000, df=hits.where("n % 13 = 6")))
+    return clocked.lived(reduce(DataFrame.unionByName, parts), clocked.Page, until_ms=BASE + 60 * DAY)
+
+
+@query("T09_alert_lives", f"""{Q}, c AS (SELECT fleet, hash, end_ms + 180000 AS expires_ms, n, CASE WHEN n % 3 <> 0 AND n % 7 <> 1 THEN end_ms + 20001 END AS corroborated_ms, CASE WHEN n % 4 = 1 THEN end_ms + 90000 + n % 200000 END AS closed_ms FROM hits),
+  d AS (SELECT *, CASE WHEN corroborated_ms IS NULL AND (closed_ms IS NULL OR closed_ms >= expires_ms) THEN 'EXPIRED' WHEN closed_ms IS NOT NULL THEN 'CLOSED' WHEN corroborated_ms IS NOT NULL THEN 'CORROBORATED' END AS state FROM c)
+  SELECT fleet || '/' || hash AS key, state, CASE WHEN state = 'CLOSED' THEN 2 + (corroborated_ms IS NOT NULL)::INT ELSE 2 END::BIGINT AS revision, (state = 'EXPIRED' AND closed_ms IS NOT NULL)::BIGINT AS refused FROM d""")
+def alert_lives(spark, d):
+    """Alerts that are corroborated, closed, or expire by time alone, as they stand long after."""
+    hits = positioned(spark, d).where("status = 'HIT'").withColumn("key", F.concat_ws("/", "fleet", "hash"))
+    n, end = F.col("n"), F.col("end_ms")
+    event = lambda df, verb, seq, at, n1=F.lit(None): df.select("key", at.alias("at_ms"), F.lit(seq).alias("seq"), F.lit(verb).alias("verb"), n1.cast("long").alias("n1"), F.lit(None).cast("long").alias("n2"))
+    rows = event(hits, "CREATE", 0, end, end + P.vote_ttl_ms).unionByName(event(hits.where("n % 3 <> 0 and n % 7 <> 1"), "CORROBORATE", 1, end + 20_001)).unionByName(event(hits.where("n % 4 = 1"), "CLOSE", 2, end + 90_000 + n % 200_000))
+    return clocked.latest(clocked.lived(rows, clocked.Alert, until_ms=BASE + 60 * DAY, p=P))
 
 
 @query("X23_heads", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 50 END AS seq, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 50 = 25 THEN CASE WHEN event_id % 4 = 0 THEN 'SAME' ELSE 'CONFLICT' END WHEN event_id % 50 > 25 THEN 'DESCENDS' ELSE 'BEHIND' END AS relation FROM events""")

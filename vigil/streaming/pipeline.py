@@ -50,11 +50,6 @@ def steps_stream(arrivals: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return arrivals.groupBy("source").applyInPandasWithState(run, STEPS, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def first_uses(spend: DataFrame) -> DataFrame:
-    """Spend records whose (source, usage_id) has not been seen: counted exactly once, for ever."""
-    return spend.dropDuplicates(["source", "usage_id"])
-
-
 def running_totals(obs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Spend of each receive-time window so far, by source (column received_ts: timestamp)."""
     w = F.window("received_ts", f"{p.window_ms} milliseconds")
