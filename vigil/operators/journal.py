@@ -33,6 +33,13 @@ def conflicts(objects: DataFrame) -> DataFrame:
     return objects.groupBy("kind", "hash").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
 
 
+def inserted(there: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """The objects (kind, hash, seq, ...) that are there, and of the others that arrive the first of each kind and hash."""
+    names = [c for c in arrivals.columns if c not in ("kind", "hash")]
+    first = arrivals.groupBy("kind", "hash").agg(F.min_by(F.struct(*names), "seq").alias("_o")).select("kind", "hash", "_o.*")
+    return there.select(*arrivals.columns).unionByName(first.join(there.select("kind", "hash"), ["kind", "hash"], "left_anti").select(*arrivals.columns))
+
+
 def first_reference(references: DataFrame) -> DataFrame:
     return references.groupBy("kind", "hash").agg(F.min("seq").alias("first_seq"))
 
@@ -61,18 +68,6 @@ def asof(rows: DataFrame, at: str, facts: DataFrame, since: str, by: list[str])
     return told.where("_is_row = 1").select(*rows.columns, *(F.col("_last._fact")[c].alias(c) for c in names))
 
 
-def revoked(configs: DataFrame) -> DataFrame:
-    """Per key: the first epoch whose configuration revokes it; revocation is never undone.  configs: epoch, scheduled_ms, revoked (array)."""
-    return configs.select("epoch", "scheduled_ms", F.explode("revoked").alias("key_id")).groupBy("key_id").agg(F.min("epoch").alias("epoch"), F.min("scheduled_ms").alias("since_ms"))
-
-
-def newly_revoked(configs: DataFrame) -> DataFrame:
-    """Per epoch: keys that the epoch before did not revoke."""
-    w = Window.partitionBy("fleet").orderBy("epoch")
-    fresh = F.array_except("revoked", F.coalesce(F.lag("revoked").over(w), F.array().cast("array<bigint>")))
-    return configs.withColumn("fresh", fresh).select("fleet", "epoch", F.explode("fresh").alias("key_id"))
-
-
 def once_a_day(requests: DataFrame, ttl_ms: int = 86_400_000, fresh_ms: int = 60_000) -> DataFrame:
     """Outcome of requests (key_id, request_id, request_hash, sent_ms, at_ms, seq): STALE if unknown and sent too long
     ago or ahead, NEW, then CONFLICT with other content, EXPIRED beyond the time to live of the first, or REPLAY.

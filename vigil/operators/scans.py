@@ -115,6 +115,13 @@ class Dealt:
         return told.mapInArrow(judged, out)
 
 
+def ascending(rows: DataFrame, by: list[str], order: list[str], item: str) -> DataFrame:
+    """(by, ascending): whether the items of each key, in order, are sorted and unique."""
+    told = Dealt(rows, by, order).prefixes({"_last": ("max", F.struct(*order, F.col(item).alias("_item")))})
+    fine = F.col("_last").isNull() | (F.col("_last._item") < F.col(item))
+    return told.groupBy(*by).agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("ascending"))
+
+
 def _record(values: list, schema) -> pa.RecordBatch:
     from pyspark.sql.pandas.types import to_arrow_schema
 

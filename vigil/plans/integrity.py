@@ -26,12 +26,6 @@ def pending_counts(spark, d):
     return g.groupBy("state").agg(F.count("*").alias("sources"), F.sum("pending").alias("pending"))
 
 
-@query("F13_successor_config", f"WITH {L.CFG}, x AS (SELECT *, lag(revoked) OVER (PARTITION BY fleet ORDER BY epoch) AS p FROM cfg) SELECT fleet, epoch, p IS NULL OR list_has_all(revoked, p) AS keeps FROM x")
-def successor_config(spark, d):
-    before = F.lag("revoked").over(Window.partitionBy("fleet").orderBy("epoch"))
-    return L.configs(spark).select("fleet", "epoch", (before.isNull() | (F.size(F.array_except(before, "revoked")) == 0)).alias("keeps"))
-
-
 @query("X03_base64url", "SELECT item_id, rtrim(translate(base64(encode(text)), '+/', '-_'), '=') AS coded FROM benchmark")
 def base64url(spark, d):
     return T.table(spark, d, "benchmark").select("item_id", canon.to_base64url(F.encode("text", "UTF-8")).alias("coded"))

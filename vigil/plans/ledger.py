@@ -245,6 +245,12 @@ def faults(spark, d):
     return judged(spark, d).where("fault is not null")
 
 
+@query("W12_revision_cas", f"{JUDGED} SELECT fleet, seq, key FROM st_ JOIN al USING (fleet, key, nth, seq) WHERE kind IN ('AlertChanged', 'AlertDegraded') AND fault IS NOT NULL")
+def revision_cas(spark, d):
+    """Changes of alerts that don't follow the state and revision before them."""
+    return judged(spark, d).where("fault is not null and kind in ('AlertChanged', 'AlertDegraded')").select("fleet", "seq", "key")
+
+
 @query("F16_journal_chain", f"{Q} SELECT fleet, seq, 'HASH_INVALID' AS fault FROM jrn WHERE seq % 97 = 3 UNION ALL SELECT fleet, seq + 1, 'CHAIN_INVALID' FROM jrn j WHERE seq % 211 = 5 AND (seq + 1) % 97 <> 3 AND EXISTS (SELECT 1 FROM jrn k WHERE k.fleet = j.fleet AND k.seq = j.seq + 1) AND seq % 97 <> 3 UNION ALL SELECT fleet, seq, 'HASH_INVALID' FROM jrn WHERE seq % 211 = 5 AND seq % 97 <> 3")
 def journal_chain(spark, d):
     """Rows whose members were altered, and rows after one whose hash was replaced."""

@@ -11,6 +11,7 @@ from vigil.operators import evaluate as E
 from vigil.operators import journal as J
 from vigil.operators import sequence as S
 from vigil.operators import votes as V
+from vigil.sources import exports as X
 
 from . import tables as T
 from .registry import query
@@ -141,13 +142,6 @@ def transitions(spark, d):
     return J.illegal(chain(spark, d), ["fleet"], legal).select("fleet", "seq", "prev_state", "state")
 
 
-@query("W12_revision_cas", f"""WITH {JRN}, x AS (SELECT fleet, seq, seq + CASE WHEN (fleet + seq) % 31 = 0 THEN 1 ELSE 0 END AS revision FROM jrn)
-SELECT fleet, seq FROM (SELECT *, lag(revision) OVER (PARTITION BY fleet ORDER BY seq) AS p FROM x) WHERE revision <> p + 1""")
-def revision_cas(spark, d):
-    c = chain(spark, d).withColumn("revision", F.col("seq") + F.when((F.col("fleet") + F.col("seq")) % 31 == 0, 1).otherwise(0))
-    return c.withColumn("p", F.lag("revision").over(Window.partitionBy("fleet").orderBy("seq"))).where("revision <> p + 1").select("fleet", "seq")
-
-
 @query("W10_page_budget", f"""WITH x AS (SELECT doc_id AS seq, octet_length(encode(text)) AS bytes FROM documents WHERE doc_id > 20 ORDER BY doc_id LIMIT 128),
 y AS (SELECT *, CAST(sum(bytes) OVER (ORDER BY seq) AS BIGINT) AS bytes_so_far, row_number() OVER (ORDER BY seq) AS n FROM x) SELECT seq, bytes, bytes_so_far FROM y WHERE n = 1 OR bytes_so_far <= 131072""")
 def page_budget(spark, d):
@@ -160,11 +154,6 @@ def keyset_page(spark, d):
     return J.keyset(T.table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 1000, 129)
 
 
-@query("L04_latest", "SELECT o_custkey, max(o_orderkey) AS last_order, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY o_custkey")
-def latest(spark, d):
-    return T.table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("last_order"), F.max_by("o_orderstatus", "o_orderkey").alias("status"))
-
-
 OBJ = "objs AS (SELECT lang AS kind, CAST(doc_id % 97 AS VARCHAR) AS hash, CAST(doc_id % 194 AS VARCHAR) AS value, doc_id AS seq FROM documents)"
 
 
@@ -183,11 +172,6 @@ def first_reference(spark, d):
     return J.first_reference(objects(spark, d))
 
 
-@query("U04_insert_or_ignore", f"WITH {OBJ} SELECT count(*) AS n FROM (SELECT DISTINCT kind, hash FROM objs)")
-def insert_or_ignore(spark, d):
-    return objects(spark, d).dropDuplicates(["kind", "hash"]).agg(F.count("*").alias("n"))
-
-
 @query("J03_object_range", f"WITH {OBJ}, f AS (SELECT kind, hash, min(seq) AS first_seq FROM objs GROUP BY ALL) SELECT objs.kind, objs.hash, objs.value, objs.seq FROM objs JOIN f ON objs.kind = f.kind AND objs.hash = f.hash AND objs.seq = f.first_seq WHERE first_seq BETWEEN 50 AND 300")
 def object_range(spark, d):
     o = objects(spark, d)
@@ -213,23 +197,6 @@ def config_asof(spark, d):
     return J.in_force(rows, configs(spark), "received_ms").select("idx", "fleet", "epoch")
 
 
-@query("F14_config_schedule", f"WITH {CFG} SELECT fleet, epoch, coalesce(epoch = lag(epoch) OVER s + 1 AND effective_ms > lag(effective_ms) OVER s, epoch = 0) AS valid FROM cfg WINDOW s AS (PARTITION BY fleet ORDER BY epoch)")
-def config_schedule(spark, d):
-    w = Window.partitionBy("fleet").orderBy("epoch")
-    ok = (F.col("epoch") == F.lag("epoch").over(w) + 1) & (F.col("effective_ms") > F.lag("effective_ms").over(w))
-    return configs(spark).select("fleet", "epoch", F.coalesce(ok, F.col("epoch") == 0).alias("valid"))
-
-
-@query("U02_revocation_union", f"WITH {CFG} SELECT key_id, min(epoch) AS epoch, min(scheduled_ms) AS since_ms FROM (SELECT epoch, scheduled_ms, unnest(revoked) AS key_id FROM cfg) GROUP BY key_id")
-def revocation_union(spark, d):
-    return J.revoked(configs(spark))
-
-
-@query("U03_new_keys", f"WITH {CFG}, x AS (SELECT *, lag(revoked) OVER (PARTITION BY fleet ORDER BY epoch) AS p FROM cfg) SELECT fleet, epoch, key_id FROM (SELECT fleet, epoch, p, unnest(revoked) AS key_id FROM x) WHERE p IS NULL OR NOT list_contains(p, key_id)")
-def new_keys(spark, d):
-    return J.newly_revoked(configs(spark))
-
-
 # ---- votes and alerts: a result for each user, votes from its events
 
 VOTE = """vote AS (SELECT user_id AS result, event_id % 3 AS config, CAST(event_id % 5 AS VARCHAR) AS watcher, epoch_us(ts) // 1000 AS at_ms, event_id AS vote FROM events),
@@ -402,23 +369,48 @@ def wilson(spark, d):
     return c.select("detector", F.round(F.col("w.low").cast("double"), 4).alias("low"), F.round(F.col("w.high").cast("double"), 4).alias("high"))
 
 
-@query("J13_eval_join", "SELECT count(*) AS units, count(l.doc_id) AS labelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("J13_eval_join", """WITH u AS (SELECT doc_id, source AS detector FROM documents), v AS (SELECT l.doc_id, CASE WHEN l.doc_id % 10 = 3 THEN 'other' ELSE source END AS detector FROM labels l JOIN documents d ON d.doc_id = l.doc_id)
+SELECT u.detector, count(*) AS units, count(v.doc_id) AS labelled FROM u LEFT JOIN v ON v.doc_id = u.doc_id AND v.detector = u.detector GROUP BY u.detector""")
 def eval_join(spark, d):
-    labels = T.table(spark, d, "labels").select("doc_id", F.lit(1).alias("l"))
-    return T.table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left").agg(F.count("*").alias("units"), F.count("l").alias("labelled"))
+    """Units by detector with how many of them a label of that detector belongs to; the others would end an evaluation."""
+    docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("detector"))
+    of = docs.withColumn("detector", F.when(F.col("id") % 10 == 3, "other").otherwise(F.col("detector")))
+    labels = T.table(spark, d, "labels").select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("positive")).join(of, "id")
+    return E.labelled(docs, labels).groupBy("detector").agg(F.count("*").alias("units"), F.count("positive").alias("labelled"))
 
 
-@query("T20_eval_report", f"WITH {CONF} SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(unknown_positive + unknown_negative) AS BIGINT) AS undecided, CAST(sum(signals) AS BIGINT) AS signals FROM conf")
-def eval_report(spark, d):
-    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]
-    return conf(spark, d).agg(*sums, F.sum(F.col("unknown_positive") + F.col("unknown_negative")).alias("undecided"), F.sum("signals").alias("signals"))
+def _interval(n, d):
+    low = f"({n} / {d}::DOUBLE + {Z}*{Z}/(2*{d})) / (1 + {Z}*{Z}/{d})"
+    half = f"{Z}*sqrt({n} / {d}::DOUBLE * (1 - {n} / {d}::DOUBLE) / {d} + {Z}*{Z}/(4*{d}*{d})) / (1 + {Z}*{Z}/{d})"
+    return f"CASE WHEN {d} > 0 THEN round(greatest(0, {low} - {half}), 4) END", f"CASE WHEN {d} > 0 THEN round(least(1, {low} + {half}), 4) END"
+
 
+RATES = {"precision": ("tp", "(tp + fp)"), "recall": ("tp", "(tp + fn + unknown_positive)"), "false_positive_rate": ("fp", "(fp + tn + unknown_negative)"), "coverage": ("(tp + fp + fn + tn)", "(tp + fp + fn + tn + unknown_positive + unknown_negative)")}
 
-@query("P02_explode_steps", """SELECT doc_id, p.i AS position, p.s AS part FROM (SELECT doc_id, unnest(list_transform(list_filter([CASE WHEN doc_id % 2 = 0 THEN 'policy' END, lang, CASE WHEN n_chars > 1000 THEN source END], lambda x: x IS NOT NULL), lambda x, i: struct_pack(i := i - 1, s := x))) AS p FROM documents)""")
+
+@query("T20_eval_report", f"WITH {CONF} " + " UNION ALL ".join(
+    f"SELECT detector, '{r}' AS rate, CASE WHEN {b} > 0 THEN {a} END AS n, CASE WHEN {b} > 0 THEN {b} END AS d, {_interval(a, b)[0]} AS low, {_interval(a, b)[1]} AS high, signals FROM conf" for r, (a, b) in RATES.items()
+))
+def eval_report(spark, d):
+    """Every rate of every detector, exact, with its interval."""
+    four = lambda c: F.round(F.col(c).cast("double"), 4).alias(c)
+    return E.report(conf(spark, d)).select("detector", "rate", "n", "d", four("low"), four("high"), "signals")
+
+
+@query("P02_explode_steps", """WITH s AS (SELECT doc_id AS step, CASE WHEN doc_id % 5 <> 0 THEN source END AS subject, CASE WHEN doc_id % 2 = 0 THEN 'policy' END AS policy, CASE WHEN n_chars > 1000 THEN [lang, source] ELSE [lang] END AS offers, CASE WHEN doc_id % 3 = 0 THEN source END AS accepted FROM documents),
+p AS (SELECT step, subject, CASE WHEN subject IS NULL THEN [struct_pack(kind := 'pulse', policy_hash := NULL::VARCHAR, scope_hash := NULL::VARCHAR)]
+  ELSE list_concat(CASE WHEN policy IS NULL THEN [] ELSE [struct_pack(kind := 'scope', policy_hash := policy, scope_hash := NULL::VARCHAR)] END, list_transform(list_filter(offers, lambda o: o IS NOT NULL), lambda o: struct_pack(kind := 'scope', policy_hash := NULL::VARCHAR, scope_hash := o)),
+    CASE WHEN accepted IS NULL THEN [] ELSE [struct_pack(kind := 'scope', policy_hash := NULL::VARCHAR, scope_hash := accepted)] END) END AS parts FROM s),
+q AS (SELECT step, subject, CASE WHEN len(parts) = 0 THEN [struct_pack(kind := 'pulse', policy_hash := NULL::VARCHAR, scope_hash := NULL::VARCHAR)] ELSE parts END AS parts FROM p),
+x AS (SELECT step, subject, unnest(range(len(parts))) AS position, unnest(parts) AS part FROM q)
+SELECT step, position, part.kind AS kind, subject, part.policy_hash AS policy_hash, part.scope_hash AS scope_hash FROM x""")
 def explode_steps(spark, d):
-    parts = F.array(F.when(F.col("doc_id") % 2 == 0, "policy"), F.col("lang"), F.when(F.col("n_chars") > 1000, F.col("source")))
-    rows = T.table(spark, d, "documents").select("doc_id", F.posexplode(F.filter(parts, lambda x: x.isNotNull())).alias("position", "part"))
-    return rows.withColumn("position", F.col("position").cast("bigint"))
+    """One to n observations for each step of a bundle whose steps are the documents."""
+    i = F.col("doc_id")
+    steps = T.table(spark, d, "documents").select(
+        i.alias("step"), F.when(i % 5 != 0, F.col("source")).alias("subject"), F.when(i % 2 == 0, "policy").alias("policy"), F.when(F.col("n_chars") > 1000, F.array("lang", "source")).otherwise(F.array("lang")).alias("offers"), F.when(i % 3 == 0, F.col("source")).alias("accepted"),
+    )
+    return X.steps_observed(steps).withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("S01_strict_parse")
@@ -451,11 +443,3 @@ def verify_reasons(spark, d):
 def export_complete(spark, d):
     rows = T.table(spark, d, "conversations").groupBy("conv_id").agg(F.count_if(F.col("turn") == 0).alias("h"), F.count("*").alias("n"), F.max("turn").alias("last"))
     return rows.select("conv_id", K.export_complete(F.col("h") == 1, F.col("conv_id") % 5 != 0, F.col("last") + 1, F.col("n"))["complete"].alias("complete"))
-
-
-@query("L05_sorted_unique", "SELECT user_id, list_sort(list_distinct(list(event_type ORDER BY event_id))) = list(event_type ORDER BY event_id) AS sorted_unique FROM events GROUP BY user_id")
-def sorted_unique(spark, d):
-    e = T.table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("r"))
-    kinds = F.transform("r", lambda x: x["event_type"])
-    return e.select("user_id", (F.array_sort(F.array_distinct(kinds)) == kinds).alias("sorted_unique"))
-

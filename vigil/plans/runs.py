@@ -267,11 +267,6 @@ def presence(spark, d):
     return Run(spark, d).cuts.select(*V.WINDOW, "source", "live")
 
 
-@query("F04_enabled_meters", f"{W} SELECT fleet, epoch, count(*) FILTER (enabled) AS sources, count(*) FILTER (enabled AND meter) AS meters FROM src GROUP BY ALL")
-def enabled_meters(spark, d):
-    return sources(spark).groupBy("fleet", "epoch").agg(F.count_if("enabled").alias("sources"), F.count_if(F.expr("enabled and meter")).alias("meters"))
-
-
 @query("F08_source_coverage", f"{W} SELECT {KEY}, source, state IN ('FORKED', 'GAPPED') OR revoked OR NOT complete OR pending > 0 AS failed FROM cut")
 def source_coverage(spark, d):
     return Run(spark, d).cuts.select(*V.WINDOW, "source", V.fails().alias("failed"))
@@ -346,12 +341,6 @@ def cut_join(spark, d):
     return joined.select(*V.WINDOW, "source", F.coalesce("state", F.lit("EMPTY")).alias("state"), F.coalesce("complete", F.lit(True)).alias("complete"))
 
 
-@query("J05_subject_sources", f"{W}, x AS (SELECT DISTINCT fleet, epoch, source, unnest(subjects) AS subject FROM src WHERE enabled) SELECT fleet, epoch, subject, count(*) AS n_sources, min(source) AS first_source FROM x GROUP BY ALL")
-def subject_sources(spark, d):
-    x = sources(spark).where("enabled").select("fleet", "epoch", "source", F.explode("subjects").alias("subject")).distinct()
-    return x.groupBy("fleet", "epoch", "subject").agg(F.count("*").alias("n_sources"), F.min("source").alias("first_source"))
-
-
 @query("A04_scope_agg", f"{W} SELECT {KEY}, subject, r AS reason FROM sd2")
 def scope_agg(spark, d):
     run = Run(spark, d)
@@ -530,13 +519,6 @@ def degradation(spark, d):
     return joined.select("fleet", "start_ms", "detector", "target", "degraded_ms", F.when(F.col("degraded_ms").isNull(), "VALID").otherwise("DEGRADED").alias("assurance"), F.when(F.col("degraded_ms").isNull(), "QUEUED").otherwise(queued["delivery"]).alias("delivery"))
 
 
-@query("J09_revoked_sources", f"{W} SELECT DISTINCT fleet, source FROM src WHERE revoked")
-def revoked_sources(spark, d):
-    """Sources whose registered key is among the revoked keys of their fleet."""
-    keys = spark.createDataFrame([(1, "key-1-2"), (1, "key-9-9"), (2, "key-1-2")], "fleet long, key_id string")
-    return sources(spark).select("fleet", "source", "key_id").distinct().join(keys, ["fleet", "key_id"], "left_semi").select("fleet", "source")
-
-
 @query("P06_source_view", f"""{W}, l AS (SELECT fleet, source, arg_max(state, start_ms) AS state, arg_max(pending, start_ms) AS pending, arg_max(complete, start_ms) AS complete, max(head_seq) AS head_seq, max(last_ms) AS last_ms FROM cut GROUP BY ALL),
   a AS (SELECT fleet, count(*) AS n FROM results WHERE status = 'HIT' GROUP BY ALL) SELECT l.*, coalesce(n, 0) AS hits FROM l LEFT JOIN a USING (fleet)""")
 def source_view(spark, d):

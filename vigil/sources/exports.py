@@ -69,27 +69,29 @@ STEP = StructType([
 BUNDLE = StructType([StructField("digest", StringType()), StructField("inventory", LongType()), StructField("steps", ArrayType(STEP))])
 
 
-def bundle(spark: SparkSession, path: str) -> DataFrame:
-    """(step, position, kind, subject, policy_hash, scope_hash): one to n records for each
-    step of a bundle; a bundle whose inventory is wrong, or whose digest isn't that of its
-    steps' canonical JSON (where it states one), gives one coverage record."""
-    steps = F.to_json(F.try_variant_get(F.try_parse_json("value"), "$.steps", "variant"))
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", BUNDLE).alias("b"), digest("BUNDLE/1", steps).alias("own")).select("b.*", "own")
-    text = text.withColumn("inventory", F.when(F.col("digest").isNull() | (F.col("digest") == F.col("own")), F.col("inventory")))
+def steps_observed(steps: DataFrame) -> DataFrame:
+    """(step, position, kind, subject, policy_hash, scope_hash): for each step (step, subject, policy, offers, accepted)
+    a scope record of its policy, of each offer and of what was accepted; a pulse where the subject isn't mapped or there is
+    none of these."""
     part = lambda policy, scope: F.struct(F.lit("scope").alias("kind"), policy.alias("policy_hash"), scope.alias("scope_hash"))
     none = F.lit(None).cast("string")
-    s = F.col("s")
-    parts = F.concat(
-        F.array(F.when(s["policy"].isNotNull(), part(s["policy"], none))), F.transform(F.coalesce(s["offers"], F.array().cast("array<string>")), lambda o: part(none, o)),
-        F.array(F.when(s["accepted"].isNotNull(), part(none, s["accepted"]))),
-    )
+    offers = F.transform(F.filter(F.coalesce("offers", F.array().cast("array<string>")), lambda o: o.isNotNull()), lambda o: part(none, o))
+    parts = F.concat(F.array(F.when(F.col("policy").isNotNull(), part(F.col("policy"), none))), offers, F.array(F.when(F.col("accepted").isNotNull(), part(none, F.col("accepted")))))
     known = F.filter(parts, lambda p: p.isNotNull())
     pulse = F.array(F.struct(F.lit("pulse").alias("kind"), none.alias("policy_hash"), none.alias("scope_hash")))
-    good = text.where("inventory = size(steps)").select(F.posexplode("steps").alias("step", "s"))
-    rows = good.select("step", s["subject"].alias("subject"), F.posexplode(F.when(s["subject"].isNull() | (F.size(known) == 0), pulse).otherwise(known)).alias("position", "p"))
-    rows = rows.select("step", "position", "p.kind", "subject", "p.policy_hash", "p.scope_hash")
+    rows = steps.select("step", "subject", F.posexplode(F.when(F.col("subject").isNull() | (F.size(known) == 0), pulse).otherwise(known)).alias("position", "p"))
+    return rows.select("step", "position", "p.kind", "subject", "p.policy_hash", "p.scope_hash")
+
+
+def bundle(spark: SparkSession, path: str) -> DataFrame:
+    """The observations of a bundle's steps (``steps_observed``); a bundle whose inventory is wrong, or whose
+    digest isn't that of its steps' canonical JSON (where it states one), gives one coverage record."""
+    steps = F.to_json(F.try_variant_get(F.try_parse_json("value"), "$.steps", "variant"))
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", BUNDLE).alias("b"), digest("BUNDLE/1", steps).alias("own")).select("b.*", "own")
+    text = text.withColumn("inventory", F.when(F.col("digest").isNull() | (F.col("digest") == F.col("own")), F.col("inventory")))
+    good = text.where("inventory = size(steps)").select(F.posexplode("steps").alias("step", "s")).select("step", "s.*")
     bad = text.where("inventory is null or inventory <> size(steps)").select(F.lit(0).alias("step"), F.lit(0).alias("position"), F.lit("coverage").alias("kind"))
-    return rows.unionByName(bad, allowMissingColumns=True)
+    return steps_observed(good).unionByName(bad, allowMissingColumns=True)
 
 
 def write_evidence(journal: DataFrame, path: str) -> None:
