@@ -11,30 +11,6 @@ from vigil.sources import exports as X
 from vigil.streaming import pipeline as P
 
 
-def ledger_file(tmp_path, broken=False):
-    kinds = ["RunCreated", "InventoryObserved", "Heartbeat", "StopLatched", "Gap", "RunStopped"]
-    lines = []
-    for i, k in enumerate(kinds, 1):
-        row = {"kind": k, "seq": i, "prev": f"h{i - 1}", "hash": f"h{i}", "run": "r", "threads": 3, "tgids": [7, 7, 8], "policy": "p", "scope": "s"}
-        if k == "StopLatched":
-            row["reason"] = "SCOPE_MISMATCH"
-        if broken and i == 4:
-            row["prev"] = "x"
-        lines.append(json.dumps(row))
-    path = tmp_path / f"ledger{broken}.ndjson"
-    path.write_text("\n".join(lines))
-    return str(path)
-
-
-def test_ledger(spark, tmp_path):
-    rows = {r.seq: r for r in X.ledger(spark, ledger_file(tmp_path)).collect()}
-    assert [rows[i].kind for i in range(1, 7)] == ["scope", "replication", "pulse", "scope", "coverage", "terminal"]
-    assert rows[2].processes == 2 and rows[2].threads == 3 and rows[4].reported_violation and not rows[1].reported_violation and rows[5].complete is False
-    assert {r.seq for r in X.ledger(spark, ledger_file(tmp_path), frontier=4).collect()} == {5, 6}
-    only = X.ledger(spark, ledger_file(tmp_path, True)).collect()
-    assert len(only) == 1 and only[0].kind == "coverage" and only[0].complete is False
-
-
 def test_bundle(spark, tmp_path):
     good = {"inventory": 3, "steps": [{"policy": "p", "offers": ["a", "b"], "accepted": "a", "subject": "u"}, {"subject": "u"}, {"policy": "q"}]}
     steps = json.dumps(good["steps"], sort_keys=True, separators=(",", ":"))
@@ -50,20 +26,16 @@ def test_bundle(spark, tmp_path):
 
 
 def test_entries(spark, tmp_path):
-    body = {"v": 1, "fleet": "f", "source": "s", "seq": "1", "prev": "", "observed_ms": "5", "observation": {"kind": "pulse", "subject": "u"}}
-    (tmp_path / "e.ndjson").write_text("\n".join([json.dumps({"body": body, "hash": "h", "sig": "g"}), '{"body":1,"body":2}', "", "{} x"]))
-    rows = X.entries(spark, str(tmp_path / "e.ndjson")).orderBy("line").collect()
-    assert [r.valid for r in rows] == [True, False, False] and rows[0].entry.body.observation.kind == "pulse" and rows[1].entry is None
-
-
-def test_evidence_round_trip(spark, tmp_path):
-    journal = spark.range(200).select(F.col("id").alias("seq"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("entry")).repartition(5)
-    X.write_evidence(journal, str(tmp_path / "ev"))
-    rows, summary = X.read_evidence(spark, str(tmp_path / "ev"))
-    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, journal.collect())) and summary.first().complete
-    cut = spark.read.text(str(tmp_path / "ev")).where("value not like '%trailer%'")
-    cut.write.text(str(tmp_path / "cut"))
-    assert not X.read_evidence(spark, str(tmp_path / "cut"))[1].first().complete
+    form = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"))
+    body = lambda i: {"v": 1, "fleet": "f", "source": "s", "seq": str(i), "prev": "", "observed_ms": "5", "observation": {"kind": "pulse", "subject": "u"}}
+    entry = lambda i, **m: form({"body": body(i), "hash": hashlib.sha256(b"SOURCE/1\0" + form(body(i)).encode()).hexdigest(), "sig": "g"} | m)
+    text = [entry(1), '{"body":1,"body":2}', "", "{} x", entry(2, hash="0" * 64), '{"body":{}}', *(entry(i) for i in range(3, 9))]
+    (tmp_path / "e.ndjson").write_text("\n".join(text))
+    found = X.entries(spark, str(tmp_path / "e.ndjson"))
+    rows = found.orderBy("line").collect()
+    assert [r.error for r in rows] == [None, "PARSE_INVALID", "PARSE_INVALID", "HASH_MISMATCH", "INVALID_INPUT", *[None] * 6] and [r.line for r in rows] == list(range(11))
+    assert rows[0].entry.body.observation.kind == "pulse" and rows[1].entry is None
+    assert [(r.batch, r.position) for r in X.requests(found, 3).where("valid").orderBy("line").collect()] == [(i // 3, i % 3) for i in range(7)]
 
 
 def test_stream_equals_batch(spark, tmp_path):

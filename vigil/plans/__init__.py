@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import configurations, detect, integrity, ledger, lifecycle, runs, scalars
+from . import configurations, detect, files, integrity, ledger, lifecycle, runs, scalars
 from .registry import ORACLE, QUERIES
 
 ENTRY = runs.spend_spike
 
-__all__ = ["ENTRY", "ORACLE", "QUERIES", "configurations", "detect", "integrity", "ledger", "lifecycle", "runs", "scalars"]
+__all__ = ["ENTRY", "ORACLE", "QUERIES", "configurations", "detect", "files", "integrity", "ledger", "lifecycle", "runs", "scalars"]

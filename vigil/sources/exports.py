@@ -1,63 +1,46 @@
-"""Line-delimited sources and sinks: signed entries, native ledgers, bundles, evidence files.
+"""Line-delimited sources: signed entries and bundles.
 
 All are read with Spark's text and JSON readers under declared schemas; nothing is inferred.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from vigil.functions.canon import digest
-from vigil.functions.strict import strict_json
+from vigil.operators.scans import Dealt
+from vigil.sources.collectors import SOURCE_DIGEST, ordered_lines
 
 OBSERVATION = (
     "kind string, subject string, delta string, unit string, usage_id string, policy_hash string, scope_hash string, reported_violation boolean, "
     "processes string, threads string, declared_processes string, complete boolean, artifact string"
 )
 ENTRY = f"body struct<v:int, fleet:string, source:string, seq:string, prev:string, observed_ms:string, observation:struct<{OBSERVATION.replace(' ', ':').replace(',:', ', ')}>>, hash string, sig string"
-LEDGER = "kind string, seq bigint, prev string, hash string, run string, tgids array<bigint>, threads bigint, policy string, scope string, reason string"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, raw, valid, canonical) of a line-delimited JSON file, strictly parsed."""
-    raw = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("raw"))
-    parsed = raw.where("trim(raw) <> ''").withColumn("p", strict_json("raw"))
-    return parsed.select("file", "line", "raw", "p.valid", "p.canonical")
+    """(file, line, raw, valid, canonical) of a line-delimited JSON file, strictly parsed; lines count from 0 in each file."""
+    told = Dealt(ordered_lines(spark, path), ["file"], ["block", "at"]).prefixes({"line": ("sum", F.lit(1).cast("bigint"))})
+    return told.select("file", F.coalesce("line", F.lit(0)).alias("line"), "raw", "valid", "canonical")
+
+
+def requests(entries: DataFrame, size: int = 64) -> DataFrame:
+    """Add batch and position: the requests of at most ``size`` entries in which a file's entries are sent; one
+    that isn't valid is in none (null)."""
+    told = Dealt(entries, ["file"], ["line"]).prefixes({"_n": ("sum", F.col("valid").cast("bigint"))})
+    n = F.when(F.col("valid"), F.coalesce("_n", F.lit(0)))
+    return told.select(*entries.columns, F.floor(n / size).alias("batch"), (n % size).alias("position"))
 
 
 def entries(spark: SparkSession, path: str, schema: str = ENTRY) -> DataFrame:
-    """One signed entry to a line; (line, valid, entry), entry null where a line isn't strict JSON."""
-    return lines(spark, path).select("line", "valid", F.when(F.col("valid"), F.from_json("canonical", schema)).alias("entry"))
-
-
-def observed(ledger: DataFrame) -> DataFrame:
-    """Project native ledger records to observations: kind, reported, processes (distinct), complete."""
-    k = F.col("kind")
-    stop = (k == "StopLatched") & F.col("reason").isin("SCOPE_MISMATCH", "REPLICATION_MISMATCH")
-    kind = (
-        F.when((k == "RunCreated") | stop, "scope").when(k == "InventoryObserved", "replication")
-        .when(k.isin("RunStopped", "RunRejected"), "terminal").when(k == "Gap", "coverage").otherwise("pulse")
-    )
-    return ledger.select(
-        "seq", F.col("run").alias("subject"), kind.alias("kind"), F.when(kind == "scope", stop).alias("reported_violation"),
-        F.when(kind == "replication", F.size(F.array_distinct("tgids"))).alias("processes"), F.when(kind == "replication", F.col("threads")).alias("threads"),
-        F.when(kind == "coverage", F.lit(False)).alias("complete"), F.when(kind == "scope", F.col("policy")).alias("policy_hash"), F.when(kind == "scope", F.col("scope")).alias("scope_hash"),
-    )
-
-
-def ledger(spark: SparkSession, path: str, frontier: int = 0) -> DataFrame:
-    """Observations of native ledgers (a file each) after ``frontier``; a ledger whose chain
-    is broken gives a single record that coverage is incomplete."""
-    rows = lines(spark, path).where("valid").select("file", F.from_json("canonical", LEDGER).alias("r")).select("file", "r.*").where("seq is not null")
-    w = Window.partitionBy("file").orderBy("seq")
-    before = F.lag("seq").over(w)
-    checked = rows.withColumn("ok", before.isNull() | ((F.col("seq") == before + 1) & (F.col("prev") == F.lag("hash").over(w))))
-    whole = checked.groupBy("file").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("whole"))
-    found = observed(rows.where(F.col("seq") > frontier).join(whole.where("whole"), "file", "left_semi"))
-    broken = whole.where("not whole").select(F.lit(frontier + 1).cast("bigint").alias("seq"), F.lit("coverage").alias("kind"), F.lit(False).alias("complete"))
-    return found.unionByName(broken, allowMissingColumns=True)
+    """One signed entry to a line: (file, line, valid, error, entry).  error: the first rule that a line breaks
+    (PARSE_INVALID, INVALID_INPUT for another shape, HASH_MISMATCH); valid: none."""
+    body = F.get_json_object("canonical", "$.body")
+    rows = lines(spark, path).withColumn("entry", F.when(F.col("valid"), F.from_json("canonical", schema))).withColumn("own", digest(SOURCE_DIGEST, body))
+    error = F.when(~F.col("valid"), "PARSE_INVALID").when(F.col("entry.body.seq").isNull() | F.col("entry.hash").isNull() | F.col("entry.body.source").isNull(), "INVALID_INPUT").when(F.col("entry.hash") != F.col("own"), "HASH_MISMATCH")
+    return rows.select("file", "line", error.isNull().alias("valid"), error.alias("error"), F.when(F.col("valid"), F.col("entry")).alias("entry"))
 
 
 STEP = StructType([
@@ -92,24 +75,3 @@ def bundle(spark: SparkSession, path: str) -> DataFrame:
     good = text.where("inventory = size(steps)").select(F.posexplode("steps").alias("step", "s")).select("step", "s.*")
     bad = text.where("inventory is null or inventory <> size(steps)").select(F.lit(0).alias("step"), F.lit(0).alias("position"), F.lit("coverage").alias("kind"))
     return steps_observed(good).unionByName(bad, allowMissingColumns=True)
-
-
-def write_evidence(journal: DataFrame, path: str) -> None:
-    """Write (seq, entry) as header, entries in order and trailer, in one folder of text files."""
-    n = journal.count()
-    ends = journal.sparkSession.createDataFrame(
-        [(-1, f'{{"record":"header","entries":{n}}}'), (2**62, f'{{"record":"trailer","entries":{n}}}')], "seq bigint, value string"
-    )
-    rows = journal.select("seq", F.to_json(F.struct(F.lit("entry").alias("record"), "seq", "entry")).alias("value"))
-    rows.unionByName(ends).repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(path)
-
-
-def read_evidence(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, summary): seq and entry of each; header, trailer, counts and whether the file is whole."""
-    rows = spark.read.text(path).select(F.from_json("value", "record string, entries bigint, seq bigint, entry string").alias("r")).select("r.*")
-    s = rows.agg(
-        F.bool_or(F.col("record") == "header").alias("header"), F.bool_or(F.col("record") == "trailer").alias("trailer"),
-        F.max(F.when(F.col("record") == "trailer", F.col("entries"))).alias("expected"), F.count_if(F.col("record") == "entry").alias("actual"),
-    )
-    whole = F.coalesce(F.col("header") & F.col("trailer") & (F.col("expected") == F.col("actual")), F.lit(False))
-    return rows.where("record = 'entry'").select("seq", "entry"), s.withColumn("complete", whole)
