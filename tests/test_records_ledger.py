@@ -72,12 +72,12 @@ def test_limits_of_forms(spark):
         assert got is want, (name, text)
 
 
-EVENTS = "fleet long, at_ms long, kind string, key string, n1 long, n2 long, s1 string, s2 string"
+EVENTS = "fleet long, at_ms long, kind string, key string, n1 long, n2 long, n3 long, s1 string, s2 string, s3 string, s4 string"
 
 
 @pytest.fixture(scope="module")
 def journal(spark):
-    rows = [(f, t, "Tick", "tick", t, None, None, None) for f in range(3) for t in range(100, 1100, 100)] + [(7, 5, "FleetChanged", "fleet", None, None, "RUNNING", None)]
+    rows = [(f, t, "Tick", "tick", t, *[None] * 6) for f in range(3) for t in range(100, 1100, 100)] + [(7, 5, "FleetChanged", "fleet", None, None, None, "RUNNING", *[None] * 3)]
     return L.appended(spark.createDataFrame(rows, EVENTS).withColumn("order", F.struct("at_ms")).repartition(4))
 
 
@@ -89,7 +89,7 @@ def test_chain_by_brute_force(journal):
     for rows in by.values():
         last = "0" * 64
         for i, r in enumerate(sorted(rows, key=lambda r: r.seq), 1):
-            text = "\x1f".join("\0" if v is None else str(v) for v in (r.at_ms, r.kind, r.key, r.n1, r.n2, r.s1, r.s2))
+            text = "\x1f".join("\0" if v is None else str(v) for v in tuple(r[c] for c in L.MEMBERS))
             assert (r.seq, r.prev) == (i, last)
             last = hashlib.sha256(f"ENTRY/1\0{i}\x1f{last}\x1f{text}".encode()).hexdigest()
             assert r.hash == last
@@ -105,7 +105,7 @@ def test_altered_journals_fail(journal):
 
 
 def test_continued_journal(spark, journal):
-    more = spark.createDataFrame([(1, 2000, "Tick", "tick", 2000, None, None, None), (9, 1, "Tick", "tick", 1, None, None, None)], EVENTS).withColumn("order", F.struct("at_ms"))
+    more = spark.createDataFrame([(1, 2000, "Tick", "tick", 2000, *[None] * 6), (9, 1, "Tick", "tick", 1, *[None] * 6)], EVENTS).withColumn("order", F.struct("at_ms"))
     both = journal.unionByName(L.appended(more, L.checkpoints(journal)))
     assert L.unchained(both).count() == 0 and {r.fleet: r.seq for r in L.checkpoints(both).collect()} == {0: 10, 1: 11, 2: 10, 7: 1, 9: 1}
 
