@@ -49,8 +49,8 @@ def test_admission_follows_the_fold(spark):
 
 
 def test_rate_limit(spark):
-    told = QUERIES["T15_rate_limit"](spark, SF).groupBy("refused_by").count().collect()
-    assert {r.refused_by for r in told} <= {None, "KEY", "FLEET"} and sum(r["count"] for r in told) == spark.read.parquet(f"{SF}/events.parquet").count()
+    told = QUERIES["T15_rate_limit"](spark, D).groupBy("refused_by").count().collect()
+    assert {r.refused_by for r in told} <= {None, "KEY", "FLEET"} and sum(r["count"] for r in told) == spark.read.parquet(f"{D}/events.parquet").count()
 
 
 def test_fold_rules():

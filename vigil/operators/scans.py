@@ -33,6 +33,8 @@ class Dealt:
     def __init__(self, rows: DataFrame, by: list[str], order: list[str]):
         self.by, self.order = by, order
         self.rows = written(rows.repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id()), "dealt")
+        #: no key lies in more than one range, so no row needs what other ranges give
+        self.apart = self.spanning().isEmpty()
 
     def _key(self) -> Column:
         return F.struct(*self.by)
@@ -58,11 +60,13 @@ class Dealt:
         (and of itself, if inclusive); null where no row has a value.  rows: these rows with more columns
         (among them ``part``), which the values may name; the result has ``part`` too."""
         rows = self.rows if rows is None else rows
+        inside = Window.partitionBy(*self.by, "part").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        if self.apart:
+            return rows.select("*", *(getattr(F, how)(c).over(inside).alias(n) for n, (how, c) in values.items()))
         agg = {n: getattr(F, how) for n, (how, _) in values.items()}
         sums = self._earlier(rows.groupBy(*self.by, "part").agg(*(agg[n](c).alias(n) for n, (_, c) in values.items())))
         before = Window.partitionBy(*self.by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
         few = sums.select(*self.by, "part", *(agg[n](n).over(before).alias(f"_{n}") for n in values))
-        inside = Window.partitionBy(*self.by, "part").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         join = {"sum": lambda a, b: F.when(a.isNull(), b).otherwise(a + F.coalesce(b, F.lit(0))), "max": F.greatest, "min": F.least}
         names, rows = rows.columns, self._with(rows, few, [f"_{n}" for n in values])
         both = [join[how](agg[n](c).over(inside), F.col(f"_{n}")).alias(n) for n, (how, c) in values.items()]
@@ -96,7 +100,8 @@ class Dealt:
         starts = F.create_map(*(F.lit(x) for n, m in machines.items() for x in (n, m.start)))
         start = F.aggregate(earlier, F.element_at(starts, F.col(which)), lambda state, moves: F.coalesce(moves[state], state))
         names = rows.columns
-        told = self._with(rows, functions.select(*by, "part", start.alias("_start")), ["_start"]).repartition("part").sortWithinPartitions("part", *by, *self.order)
+        started = rows.withColumn("_start", F.lit(None).cast("string")) if self.apart else self._with(rows, functions.select(*by, "part", start.alias("_start")), ["_start"])
+        told = started.repartition("part").sortWithinPartitions("part", *by, *self.order)
         out = told.select(*names).schema.add("before", "string").add("taken", "boolean")
 
         def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

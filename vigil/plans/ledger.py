@@ -27,11 +27,30 @@ WATCHERS = [(1, "watch-1", "d1"), (2, "watch-2", "d2"), (3, "watch-3", "d2")]
 ZERO = L.ZERO
 
 
+_made: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def once(spark, d, name: str, make) -> DataFrame:
+    """A written table that several queries of an application over the same tables start from; made anew where its files are gone."""
+    key = (spark.sparkContext.applicationId, d, name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(_made[key][0]) if key in _made else None
+    if path is None or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        where = shared(spark, name)
+        rows = make()
+        rows.write.parquet(where)
+        _made[key] = where, rows.schema
+    return spark.read.schema(_made[key][1]).parquet(_made[key][0])
+
+
 def positioned(spark, d) -> DataFrame:
     """Recomputed results with their position in their window, and a number that alters rows."""
+    return once(spark, d, "results", lambda: _positioned(spark, d))
+
+
+def _positioned(spark, d) -> DataFrame:
     order = Window.partitionBy("fleet", "start_ms").orderBy("detector", "target")
     rows = R.Run(spark, d, keep=True).hashed.select(*V.WINDOW, "detector", "target", "status", "manifest", "hash", F.row_number().over(order).cast("bigint").alias("position"))
-    return written(rows.withColumn("n", F.conv(F.substring("hash", 1, 6), 16, 10).cast("bigint")).withColumn("end_ms", F.col("start_ms") + SIX), "results")
+    return rows.withColumn("n", F.conv(F.substring("hash", 1, 6), 16, 10).cast("bigint")).withColumn("end_ms", F.col("start_ms") + SIX)
 
 
 WINDOW_KEY = "concat('w', start_ms)"
@@ -119,8 +138,8 @@ def events(spark, d, results: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).withColumn("order", F.struct("at_ms", "rank", "tie", "key", F.coalesce("n1", F.lit(-1).cast("bigint")).alias("n1")))
 
 
-def journal(spark, d, results: DataFrame | None = None) -> DataFrame:
-    return written(L.appended(events(spark, d, positioned(spark, d) if results is None else results)), "journal")
+def journal(spark, d) -> DataFrame:
+    return once(spark, d, "journal", lambda: L.appended(events(spark, d, positioned(spark, d))))
 
 
 def _members(**given) -> str:
@@ -225,7 +244,7 @@ def judged(spark, d) -> DataFrame:
     results = positioned(spark, d)
     run = R.Run(spark, d)
     records = run.rows.select("fleet", "hash", F.when(F.col("kind") == "spend", F.col("counted")).otherwise(F.lit(True)).alias("counted"))
-    return L.judged(journal(spark, d, results), due(results), expected(results), config_objects(spark), roster(spark), page_objects(results), records, P)
+    return L.judged(journal(spark, d), due(results), expected(results), config_objects(spark), roster(spark), page_objects(results), records, P)
 
 
 @query("T21_append", f"{Q} SELECT fleet, seq, at_ms, kind, key, n1, n2, n3, s1, s2, s3, s4 FROM jrn")
@@ -352,7 +371,7 @@ def watch_pass(spark, d):
     results = positioned(spark, d)
     mine = expected(results.where("n % 6 <> 4"))
     cursors = spark.range(3).select(F.col("id").alias("fleet"), (F.col("id") * 200).alias("seq"))
-    return L.watched(journal(spark, d, results), cursors, mine, 2)
+    return L.watched(journal(spark, d), cursors, mine, 2)
 
 
 @query("S09_replay_store", f"{Q} SELECT fleet, kind, count(DISTINCT key) AS keys FROM jrn WHERE kind IN ('SourceAccepted', 'WindowFinalized', 'AlertCreated') GROUP BY ALL")
@@ -372,7 +391,7 @@ def replay_store(spark, d):
 def metrics(spark, d):
     """Twelve samples a fleet: nine counters, bytes, domains and lag."""
     results = positioned(spark, d)
-    j, kind = journal(spark, d, results), F.col("kind")
+    j, kind = journal(spark, d), F.col("kind")
     domain = F.create_map(*(F.lit(x) for w, _, of in WATCHERS for x in (w, of)))[F.col("n1").cast("int")]
     delivery = lambda s: F.count_if((kind == "DeliveryChanged") & (F.col("s2") == s))
     c = j.groupBy("fleet").agg(
@@ -391,7 +410,7 @@ def metrics(spark, d):
 def unreferenced(spark, d):
     """Page objects kept for each hit that no journal row about a page or a degradation refers to."""
     results = positioned(spark, d)
-    told = journal(spark, d, results).where("kind in ('DeliveryChanged', 'AlertDegraded')").select("fleet", F.col("key").alias("hash"))
+    told = journal(spark, d).where("kind in ('DeliveryChanged', 'AlertDegraded')").select("fleet", F.col("key").alias("hash"))
     return results.where("status = 'HIT'").select("fleet", "hash").join(told, ["fleet", "hash"], "left_anti").distinct()
 
 
