@@ -319,12 +319,14 @@ def watched(journal: DataFrame, cursors: DataFrame, expected: DataFrame, watcher
     return new.join(mine, ["fleet", "key"], "left").select("fleet", "seq", F.col("key").alias("result"), F.lit(watcher).cast("bigint").alias("watcher"), F.when(F.col("same"), "VOTE").otherwise("REFUSE").alias("action"))
 
 
-def replay_faults(manifests: DataFrame, inputs: DataFrame, history: DataFrame) -> DataFrame:
+def replay_faults(manifests: DataFrame, inputs: DataFrame, history: DataFrame, cuts: DataFrame, witnesses: DataFrame) -> DataFrame:
     """(window, fault): what keeps a window's stored slice from being replayed, in the order of checks.
 
-    manifests: fleet, epoch, start_ms, end_ms, n_inputs, through; inputs: fleet, epoch,
+    manifests: fleet, epoch, start_ms, end_ms, n_inputs, n_history, through; inputs: fleet, epoch,
     start_ms, position, idx, received_ms, hash, listed (the manifest's hash at that position);
-    history: fleet, epoch, start_ms, position, prior_start_ms, prior_end_ms, prior_epoch."""
+    history: fleet, epoch, start_ms, position, prior_start_ms, prior_end_ms, prior_epoch, prior_hash (the prior manifest's digest), listed;
+    cuts: fleet, epoch, start_ms, source, last_input, last_ms; witnesses: fleet, epoch, start_ms, source, hash, received_ms, kind of each
+    cut's last input.  Repeated witnesses of a source are too many."""
     by = ["fleet", "epoch", "start_ms"]
     order = Window.partitionBy(*by).orderBy("position")
     rows = inputs.join(manifests.select(*by, "end_ms", "through"), by).withColumn("last_idx", F.lag("idx").over(order))
@@ -332,13 +334,21 @@ def replay_faults(manifests: DataFrame, inputs: DataFrame, history: DataFrame) -
         F.count("*").alias("n"), F.bool_or(~F.col("hash").eqNullSafe(F.col("listed"))).alias("other"), F.coalesce(F.bool_or(F.expr("idx <= last_idx")), F.lit(False)).alias("disorder"),
         F.bool_or(F.expr("received_ms < start_ms or received_ms >= end_ms")).alias("outside"), F.bool_or(F.expr("idx > through")).alias("beyond"),
     )
-    w = Window.partitionBy(*by).orderBy("position")
-    past = history.withColumn("last_end", F.lag("prior_end_ms").over(w)).groupBy(*by).agg(
-        F.count("*").alias("n_history"), F.bool_or(F.expr("prior_epoch <> epoch")).alias("foreign"), F.coalesce(F.bool_or(F.expr("prior_start_ms <> last_end")), F.lit(False)).alias("gap"), (F.max("prior_end_ms") != F.col("start_ms")).alias("short"),
+    past = history.withColumn("last_end", F.lag("prior_end_ms").over(order)).groupBy(*by).agg(
+        F.count("*").alias("told_history"), F.bool_or(F.expr("prior_epoch <> epoch")).alias("foreign"), F.coalesce(F.bool_or(F.expr("prior_start_ms <> last_end")), F.lit(False)).alias("gap"), (F.max("prior_end_ms") != F.col("start_ms")).alias("short"),
+        F.bool_or(~F.col("prior_hash").eqNullSafe(F.col("listed"))).alias("renamed"),
     )
-    joined = manifests.select(*by, "n_inputs").join(per, by, "left").join(past, by, "left")
+    seen = witnesses.select(*by, "source", F.col("hash").alias("w_hash"), F.col("received_ms").alias("w_ms"), F.col("kind").alias("w_kind"))
+    both = cuts.where("last_input is not null").select(*by, "source", "last_input", "last_ms").join(seen, [*by, "source"], "full_outer")
+    proof = both.groupBy(*by).agg(
+        (F.count("last_input") != F.count("w_hash")).alias("w_length"), F.bool_or(F.expr("(last_input is null) <> (w_hash is null)")).alias("w_source"), F.bool_or(F.expr("last_input <> w_hash")).alias("w_other"),
+        F.bool_or(~F.col("last_ms").eqNullSafe(F.col("w_ms"))).alias("w_time"), F.bool_or(F.col("w_kind") == "signal").alias("w_signal"),
+    )
+    joined = manifests.select(*by, "n_inputs", "n_history").join(per, by, "left").join(past, by, "left").join(proof, by, "left")
+    told = F.coalesce("told_history", F.lit(0))
     fault = (
         F.when(F.coalesce("n", F.lit(0)) != F.col("n_inputs"), "LENGTH").when(F.col("other"), "INPUT_HASH").when(F.col("disorder"), "INDEX_ORDER").when(F.col("outside"), "OUTSIDE_WINDOW").when(F.col("beyond"), "BEYOND_THROUGH")
-        .when(F.col("n_history") > 5, "HISTORY_LENGTH").when(F.col("foreign"), "HISTORY_EPOCH").when(F.col("gap"), "HISTORY_GAP").when(F.col("short"), "HISTORY_END")
+        .when((told > 5) | (told != F.col("n_history")), "HISTORY_LENGTH").when(F.col("renamed"), "HISTORY_HASH").when(F.col("foreign"), "HISTORY_EPOCH").when(F.col("gap"), "HISTORY_GAP").when(F.col("short"), "HISTORY_END")
+        .when(F.col("w_length"), "WITNESS_LENGTH").when(F.col("w_source"), "WITNESS_SOURCE").when(F.col("w_other"), "WITNESS_HASH").when(F.col("w_time"), "WITNESS_TIME").when(F.col("w_signal"), "WITNESS_SIGNAL")
     )
     return joined.select(*by, fault.alias("fault"))

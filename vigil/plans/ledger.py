@@ -474,16 +474,19 @@ def heads(spark, d):
     return rows.select("event_id", "h.seq", L.head_order(F.col("h.seq"), F.col("h.hash"), F.lit(25), F.lit("a" * 64)).alias("relation")).withColumn("relation", F.when(F.col("seq").isNotNull(), F.col("relation")))
 
 
-@query("F17_replay_checks", f"""{R.W}, i AS (SELECT fleet, epoch, start_ms, row_number() OVER (PARTITION BY fleet, epoch, start_ms ORDER BY idx) AS position, idx, received_ms, hash FROM acc),
+@query("F17_replay_checks", f"""{R.W}, {R.HASHES}, i AS (SELECT fleet, epoch, start_ms, row_number() OVER (PARTITION BY fleet, epoch, start_ms ORDER BY idx) AS position, idx, received_ms, hash FROM acc),
 t AS (SELECT fleet, epoch, start_ms, position, CASE WHEN idx % 1009 = 3 THEN idx - 5000 ELSE idx END AS idx, CASE WHEN idx % 907 = 5 THEN received_ms + {SIX} ELSE received_ms END AS received_ms, CASE WHEN idx % 811 = 7 THEN sha256(hash) ELSE hash END AS hash, hash AS listed FROM i WHERE idx % 1201 <> 9),
 m AS (SELECT g.*, g.start_ms + {SIX} AS end_ms, coalesce(n, 0) AS n_inputs, mx AS through FROM grid g LEFT JOIN (SELECT fleet, epoch, start_ms, count(*) AS n, max(idx) AS mx FROM i GROUP BY ALL) USING (fleet, epoch, start_ms)),
 o AS (SELECT *, lag(idx) OVER (PARTITION BY fleet, epoch, start_ms ORDER BY position) AS before FROM t),
 p AS (SELECT o.fleet, o.epoch, o.start_ms, count(*) AS n, bool_or(hash <> listed) AS other, coalesce(bool_or(idx <= before), false) AS disorder, bool_or(received_ms < o.start_ms OR received_ms >= end_ms) AS outside, bool_or(idx > through) AS beyond FROM o JOIN m USING (fleet, epoch, start_ms) GROUP BY ALL),
-hh AS (SELECT g.fleet, g.epoch, g.start_ms, count(*) AS k, bool_or(p.start_ms // {SIX} % 83 = 11) AS foreign_ FROM grid g JOIN grid p ON p.fleet = g.fleet AND p.epoch = g.epoch AND p.start_ms < g.start_ms AND p.start_ms >= g.start_ms - {5 * SIX} GROUP BY ALL)
-SELECT fleet, epoch, start_ms, CASE WHEN coalesce(n, 0) <> n_inputs THEN 'LENGTH' WHEN other THEN 'INPUT_HASH' WHEN disorder THEN 'INDEX_ORDER' WHEN outside THEN 'OUTSIDE_WINDOW' WHEN beyond THEN 'BEYOND_THROUGH' WHEN foreign_ THEN 'HISTORY_EPOCH' END AS fault FROM m LEFT JOIN p USING (fleet, epoch, start_ms) LEFT JOIN hh USING (fleet, epoch, start_ms)""")
+hh AS (SELECT g.fleet, g.epoch, g.start_ms, count(*) AS k, bool_or(p.start_ms // {SIX} % 83 = 11) AS foreign_, bool_or((p.start_ms // {SIX} + g.start_ms // {SIX}) % 71 = 4) AS renamed FROM grid g JOIN grid p ON p.fleet = g.fleet AND p.epoch = g.epoch AND p.start_ms < g.start_ms AND p.start_ms >= g.start_ms - {5 * SIX} GROUP BY ALL),
+cw AS (SELECT *, (start_ms // {SIX} + source * 7) AS z FROM cut WHERE last_input IS NOT NULL),
+ww AS (SELECT fleet, epoch, start_ms, bool_or(z % 97 = 3) AS gone, bool_or(z % 79 = 11) AS renamed_w, bool_or(z % 89 = 5) AS late_w, bool_or(z % 61 = 7) AS signal_w FROM cw GROUP BY ALL)
+ SELECT fleet, epoch, start_ms, CASE WHEN coalesce(n, 0) <> n_inputs THEN 'LENGTH' WHEN other THEN 'INPUT_HASH' WHEN disorder THEN 'INDEX_ORDER' WHEN outside THEN 'OUTSIDE_WINDOW' WHEN beyond THEN 'BEYOND_THROUGH' WHEN renamed THEN 'HISTORY_HASH' WHEN foreign_ THEN 'HISTORY_EPOCH'
+    WHEN gone THEN 'WITNESS_LENGTH' WHEN renamed_w THEN 'WITNESS_HASH' WHEN late_w THEN 'WITNESS_TIME' WHEN signal_w THEN 'WITNESS_SIGNAL' END AS fault FROM m LEFT JOIN p USING (fleet, epoch, start_ms) LEFT JOIN hh USING (fleet, epoch, start_ms) LEFT JOIN ww USING (fleet, epoch, start_ms)""")
 def replay_checks(spark, d):
-    """Stored slices of which some rows were dropped or altered."""
-    run = R.Run(spark, d)
+    """Stored slices of which some inputs, prior manifests' digests and witnesses were dropped or altered."""
+    run = R.Run(spark, d, keep=True)
     w = Window.partitionBy(*V.WINDOW).orderBy("idx")
     rows = run.rows.select(*V.WINDOW, F.row_number().over(w).alias("position"), "idx", "received_ms", "hash")
     per = rows.groupBy(*V.WINDOW).agg(F.count("*").alias("n_inputs"), F.max("idx").alias("through"))
@@ -493,7 +496,19 @@ def replay_checks(spark, d):
         *V.WINDOW, "position", F.when(i % 1009 == 3, i - 5000).otherwise(i).alias("idx"), F.when(i % 907 == 5, F.col("received_ms") + SIX).otherwise(F.col("received_ms")).alias("received_ms"),
         F.when(i % 811 == 7, F.sha2("hash", 256)).otherwise(F.col("hash")).alias("hash"), F.col("hash").alias("listed"),
     )
-    frame = Window.partitionBy("fleet", "epoch").orderBy("start_ms").rowsBetween(-5, -1)
-    prior = F.collect_list(F.struct(F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.when(F.expr(f"start_ms div {SIX} % 83 = 11"), F.col("epoch") - 1).otherwise(F.col("epoch")).alias("c"))).over(frame)
-    past = run.windows.withColumn("h", prior).select(*V.WINDOW, F.posexplode("h").alias("position", "x")).select(*V.WINDOW, "position", F.col("x.s").alias("prior_start_ms"), F.col("x.e").alias("prior_end_ms"), F.col("x.c").alias("prior_epoch"))
-    return L.replay_faults(made, stored, past)
+    manifests = written(run.manifests.select(*V.WINDOW, "hash", "history"), "manifests")
+    made = made.join(manifests.select(*V.WINDOW, F.size("history").cast("bigint").alias("n_history")), V.WINDOW)
+    # each manifest names the windows right before it, the latest last
+    named = manifests.select(*V.WINDOW, F.posexplode("history").alias("position", "listed"), F.size("history").alias("size")).withColumn("prior_start_ms", F.col("start_ms") - (F.col("size") - F.col("position")) * F.lit(SIX))
+    prior = manifests.select("fleet", "epoch", F.col("start_ms").alias("prior_start_ms"), F.col("hash").alias("prior_hash"))
+    turn, turn_of_prior = F.expr(f"start_ms div {SIX}"), F.expr(f"prior_start_ms div {SIX}")
+    past = named.join(prior, ["fleet", "epoch", "prior_start_ms"]).select(
+        *V.WINDOW, "position", "prior_start_ms", (F.col("prior_start_ms") + SIX).alias("prior_end_ms"), F.when(turn_of_prior % 83 == 11, F.col("epoch") - 1).otherwise(F.col("epoch")).alias("prior_epoch"),
+        F.when((turn_of_prior + turn) % 71 == 4, F.sha2("prior_hash", 256)).otherwise(F.col("prior_hash")).alias("prior_hash"), "listed",
+    )
+    z = turn + F.col("source") * 7
+    seen = run.cuts.where("last_input is not null").join(run.rows.select("fleet", F.col("hash").alias("last_input"), "received_ms", "kind"), ["fleet", "last_input"]).where(z % 97 != 3)
+    witnesses = seen.select(
+        *V.WINDOW, "source", F.when(z % 79 == 11, F.sha2("last_input", 256)).otherwise(F.col("last_input")).alias("hash"), F.when(z % 89 == 5, F.col("received_ms") + 1).otherwise(F.col("received_ms")).alias("received_ms"), F.when(z % 61 == 7, "signal").otherwise(F.col("kind")).alias("kind"),
+    )
+    return L.replay_faults(made, stored, past, run.cuts, witnesses)
