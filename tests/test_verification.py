@@ -401,3 +401,42 @@ def test_objects_belong_to_the_first_entry(spark):
     refs = spark.createDataFrame([(0, 5, "result", "a"), (0, 3, "result", "a"), (0, 3, "page", "a"), (0, 4, "page", "missing"), (1, 9, "page", "a")], "fleet long, seq long, kind string, hash string")
     objects = spark.createDataFrame([(0, "result", "a", 10), (0, "page", "a", 20), (1, "page", "a", 30)], "fleet long, kind string, hash string, bytes long")
     assert {(x.fleet, x.seq): x.object_bytes for x in paging.introduced(refs, objects).collect()} == {(0, 3): 222, (1, 9): 126}
+
+
+def test_links_of_a_chain_in_any_order():
+    """What many links do is found without looking at the others, whatever order they come in."""
+    import time
+
+    r, links = random.Random(3), [(f"{i}", f"{i + 1}") for i in range(60_000)]
+    for order in (links, links[::-1], r.sample(links, len(links))):
+        function, began = Chain("0").function(), time.process_time()
+        for a, b in order:
+            function.then(f"{a}>{b}")
+        assert time.process_time() - began < 10  # all pairs of links took minutes
+        told = dict(function.links())
+        assert told["0"] == ("60000" if order is links else "1" if order == links[::-1] else told["0"])
+    for _ in range(50):
+        order = [(str(r.randrange(6)), str(r.randrange(6))) for _ in range(r.randrange(1, 30))]
+        function = Chain("0").function()
+        for a, b in order:
+            function.then(f"{a}>{b}")
+        told = dict(function.links())
+        for s in map(str, range(6)):
+            state = s
+            for a, b in order:
+                state = b if state == a else state
+            assert told.get(s, s) == state
+
+
+def test_chains_against_their_order_over_many_ranges(many_ranges):
+    """Links of one key, shuffled, in several ranges: states follow from range to range."""
+    r = random.Random(4)
+    rows = [(n, f"{a}>{a + 1}") for n, a in enumerate(r.sample(range(3000), 3000))]
+    dealt = Dealt(many_ranges.createDataFrame([(1, n, "c", x) for n, x in rows], "k long, n long, w string, l string"), ["k"], ["n"])
+    assert not dealt.apart
+    got = {x.n: (x.before, x.taken) for x in dealt.automata("l", {"c": Chain("0")}, "w").collect()}
+    state = "0"
+    for n, x in rows:
+        pre, post = x.split(">")
+        assert got[n] == (state, pre == state)
+        state = post if pre == state else state

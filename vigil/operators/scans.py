@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vigil.sources.store import written
 
@@ -76,31 +76,47 @@ class Dealt:
         """Add ``before`` (the state that a row finds) and ``taken`` (whether it was a move).  ``which`` names
         the column that tells the row's machine, which is one for all rows of a key.  rows: as for ``prefixes``."""
         by, rows = self.by, self.rows if rows is None else rows
-        schema = rows.select(*dict.fromkeys([*by, "part", which])).schema.add("pre", ArrayType(StringType())).add("post", ArrayType(StringType()))
         spans = self._earlier(rows.select(*dict.fromkeys([*by, "part", *self.order, which, letter]))).repartition("part").sortWithinPartitions("part", *by, *self.order)
-        named = schema.fieldNames()[:-2]
-        kind = named.index(which)
+        named = list(dict.fromkeys([*by, "part", which]))
+        schema = rows.select(*named).schema.add("pre", "string").add("post", "string")
+        arrow, kind = to_arrow_schema(schema), named.index(which)
 
         def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """What a range makes of each state that it changes, in a row of its own; at least one row to a key."""
             at, moves = None, None
             for batch in batches:
-                for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                    now = row[:-1]
+                for *now, word in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
                     if now != at:
                         if at is not None:
-                            yield _record([*at, list(moves), list(moves.values())], schema)
-                        at, moves = now, {}
-                    machines[row[kind]].then(moves, row[-1])
+                            yield from _links(at, moves, arrow)
+                        at, moves = now, machines[now[kind]].function()
+                    moves.then(word)
             if at is not None:
-                yield _record([*at, list(moves), list(moves.values())], schema)
+                yield from _links(at, moves, arrow)
 
         functions = spans.select(*named, letter).mapInArrow(composed, schema)
-        functions = functions.select(*named, F.map_from_arrays("pre", "post").alias("moves"))
-        earlier = F.collect_list("moves").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one to a range
-        starts = F.create_map(*(F.lit(x) for n, m in machines.items() for x in (n, m.start)))
-        start = F.aggregate(earlier, F.element_at(starts, F.col(which)), lambda state, moves: F.coalesce(moves[state], state))
+        first = functions.select(*named).schema.add("_start", "string")
+        starts = to_arrow_schema(first)
+
+        def followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The state in which each range of a key begins: that of the range before, led on by its links."""
+            key, part, state, to = None, None, None, None
+            for batch in batches:
+                out = []
+                for *now, pre, post in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                    here = now[: len(by)]
+                    if here != key:
+                        key, part, to = here, None, machines[now[kind]].start
+                    if now[len(by)] != part:
+                        part, state = now[len(by)], to
+                        out.append(dict(zip(starts.names, (*now, state))))
+                    if pre == state and pre is not None:
+                        to = post
+                yield pa.RecordBatch.from_pylist(out, schema=starts)
+
+        begun = functions.repartition(*by).sortWithinPartitions(*by, "part").mapInArrow(followed, first)
         names = rows.columns
-        started = rows.withColumn("_start", F.lit(None).cast("string")) if self.apart else self._with(rows, functions.select(*by, "part", start.alias("_start")), ["_start"])
+        started = rows.withColumn("_start", F.lit(None).cast("string")) if self.apart else self._with(rows, begun.select(*by, "part", "_start"), ["_start"])
         told = started.repartition("part").sortWithinPartitions("part", *by, *self.order)
         out = told.select(*names).schema.add("before", "string").add("taken", "boolean")
 
@@ -127,18 +143,16 @@ def ascending(rows: DataFrame, by: list[str], order: list[str], item: str) -> Da
     return told.groupBy(*by).agg(F.bool_and(F.coalesce(fine, F.lit(False))).alias("ascending"))
 
 
-def _record(values: list, schema) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
+def _links(at: list, moves: Function, schema: pa.Schema, size: int = 10_000) -> Iterator[pa.RecordBatch]:
+    links = list(moves.links()) or [(None, None)]
+    for i in range(0, len(links), size):
+        some = links[i : i + size]
+        columns = [[v] * len(some) for v in at] + [list(x) for x in zip(*some)]
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
 
 
 class Machine:
-    """A state machine: ``move(state, letter)`` is the next state, or None where the letter is refused.
-
-    ``then`` composes: a function is a dict of the states that it changes (others stay), and the
-    composition after one more letter is got from the letter's own moves."""
+    """A state machine: ``move(state, letter)`` is the next state, or None where the letter is refused."""
 
     def __init__(self, start: str, states: list[str], move: Callable[[str, str], str | None]):
         self.start, self.states = start, states
@@ -153,20 +167,29 @@ class Machine:
             self.known[key] = self._move(state, letter)
         return self.known[key]
 
-    def then(self, function: dict[str, str], letter: str | None) -> None:
-        if not function:
-            function.update((s, s) for s in self.states)
-        for s, now in function.items():
-            to = self.move(now, letter)
+    def function(self) -> Function:
+        return Function(self)
+
+
+class Function:
+    """What letters make of every state of a machine, one letter after another."""
+
+    def __init__(self, machine: Machine):
+        self.machine, self.now = machine, {s: s for s in machine.states}
+
+    def then(self, letter: str | None) -> None:
+        for s, now in self.now.items():
+            to = self.machine.move(now, letter)
             if to is not None:
-                function[s] = to
+                self.now[s] = to
 
+    def links(self) -> Iterator[tuple[str, str]]:
+        """The states that change, each with what it becomes."""
+        return ((s, to) for s, to in self.now.items() if s != to)
 
-class Chain(Machine):
-    """Each letter ``pre>post`` leads from exactly one state to another, of any number: links of a chain.
 
-    A function holds the states at which a chain was entered and where it led; it has as many as the
-    range has chains, which is one where nothing is wrong."""
+class Chain(Machine):
+    """Each letter ``pre>post`` leads from exactly one state to another, of any number: links of a chain."""
 
     def __init__(self, start: str):
         super().__init__(start, [], lambda state, letter: None)
@@ -177,12 +200,32 @@ class Chain(Machine):
         pre, _, post = letter.partition(">")
         return post if state == pre else None
 
-    def then(self, function: dict[str, str], letter: str | None) -> None:
+    def function(self) -> Links:
+        return Links(self)
+
+
+class Links(Function):
+    """A function of a chain: the states at which chains were entered, by where they have led so far.
+
+    Where nothing is wrong a range has one chain.  Where links come in another order than they were made in,
+    it has about as many as rows; a link finds the ones it leads on by its own state, and the fewer of two that meet move."""
+
+    def __init__(self, machine: Machine):
+        self.machine, self.entered, self.at = machine, set(), {}
+
+    def then(self, letter: str | None) -> None:
         if letter is None:
             return
         pre, _, post = letter.partition(">")
-        moved = [s for s, now in function.items() if now == pre]
-        if pre not in function:
+        moved = self.at.pop(pre, [])
+        if pre not in self.entered:
+            self.entered.add(pre)
             moved.append(pre)
-        for s in moved:
-            function[s] = post
+        if moved:
+            there = self.at.get(post, [])
+            few, many = sorted((moved, there), key=len)
+            many.extend(few)
+            self.at[post] = many
+
+    def links(self) -> Iterator[tuple[str, str]]:
+        return ((s, to) for to, states in self.at.items() for s in states if s != to)
