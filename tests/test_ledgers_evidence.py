@@ -208,3 +208,11 @@ def test_limits_of_keys_and_fleets(spark):
                 break
         want[i] = None if all(ok) else "KEY" if len(ok) == 1 else "FLEET"
     assert got == want and set(want.values()) == {None, "KEY", "FLEET"}
+
+
+def test_successors_are_compared_without_broadcasts(spark):
+    """What an explode makes of few rows may be many, so no side of a join is collected at the driver."""
+    from vigil.plans import QUERIES
+
+    plan = QUERIES["F13_successor_config"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -40,25 +40,31 @@ def successor_faults(sources: DataFrame, principals: DataFrame, subjects: DataFr
     WATCHER_KEY (the principal of a kept source or watcher has another key or is gone), SUBJECT_REMOVED.
 
     sources: fleet, epoch, source and ``BOUND``; principals: fleet, epoch, principal, key_id, public_key; subjects: fleet,
-    epoch, subject; watchers: fleet, epoch, watcher, principal."""
+    epoch, subject; watchers: fleet, epoch, watcher, principal.  Each of them has several rows to a configuration."""
     by = ["fleet", "epoch"]
     # the first configuration has no predecessor and keeps nothing
     old = sources.select("fleet", (F.col("epoch") + 1).alias("epoch"), "source", F.struct(*BOUND).alias("was"))
-    kept = sources.join(old, [*by, "source"])
+    kept = _beside(sources, old, [*by, "source"])
     bound = kept.where(~F.struct(*BOUND).eqNullSafe(F.col("was"))).select(*by, F.col("source").alias("id"), F.lit("BOUND_FIELDS").alias("fault"))
     key = F.struct("key_id", "public_key")
     now = principals.select(*by, "principal", key.alias("now"))
     past = principals.select("fleet", (F.col("epoch") + 1).alias("epoch"), "principal", key.alias("past"))
-    changed = past.join(now, [*by, "principal"], "left").where(~F.col("now").eqNullSafe(F.col("past"))).select(*by, "principal").distinct()
-    keys = kept.join(changed, [*by, "principal"]).select(*by, F.col("source").alias("id"), F.lit("PRINCIPAL_KEY").alias("fault"))
-    removed = sources.where(F.size("subjects") > 0).select(*by, "source", F.explode("subjects").alias("subject")).join(subjects.select(*by, "subject"), [*by, "subject"], "left_anti")
+    changed = _beside(past, now, [*by, "principal"], "left").where(~F.col("now").eqNullSafe(F.col("past"))).select(*by, "principal").distinct()
+    keys = _beside(kept, changed, [*by, "principal"]).select(*by, F.col("source").alias("id"), F.lit("PRINCIPAL_KEY").alias("fault"))
+    removed = _beside(sources.where(F.size("subjects") > 0).select(*by, "source", F.explode("subjects").alias("subject")), subjects.select(*by, "subject"), [*by, "subject"], "left_anti")
     later = sources.select("fleet", (F.col("epoch") + 1).alias("epoch")).distinct()
-    gone = removed.join(later, by, "left_semi").select(*by, F.col("source").alias("id"), F.lit("SUBJECT_REMOVED").alias("fault"))
+    gone = _beside(removed, later, by, "left_semi").select(*by, F.col("source").alias("id"), F.lit("SUBJECT_REMOVED").alias("fault"))
     before = watchers.select("fleet", (F.col("epoch") + 1).alias("epoch"), "watcher")
-    eyes = watchers.join(before, [*by, "watcher"]).join(changed, [*by, "principal"]).select(*by, F.col("watcher").alias("id"), F.lit("WATCHER_KEY").alias("fault"))
+    eyes = _beside(_beside(watchers, before, [*by, "watcher"]), changed, [*by, "principal"]).select(*by, F.col("watcher").alias("id"), F.lit("WATCHER_KEY").alias("fault"))
     return bound.unionByName(keys).unionByName(gone).unionByName(eyes).distinct()
 
 
+def _beside(rows: DataFrame, others: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the configurations.  The planner takes rows that are made by an explode for as few
+    as those they are made of, and would collect them at the driver to broadcast them; both sides are sorted instead."""
+    return rows.join(others.hint("merge"), on, how)
+
+
 def revoked(configs: DataFrame) -> DataFrame:
     """(fleet, key_id, epoch, since_ms): when each key is revoked first, which is when its configuration is
     scheduled; revocation is never undone.  configs: fleet, epoch, scheduled_ms, revoked (array)."""
@@ -74,7 +80,7 @@ def newly_revoked(configs: DataFrame) -> DataFrame:
 def revoked_sources(sources: DataFrame, keys: DataFrame, at: str) -> DataFrame:
     """Add revoked: whether a source's key is revoked at the time in column ``at``, as far as was known by then."""
     known = keys.select("fleet", "key_id", "since_ms")
-    return sources.join(known, ["fleet", "key_id"], "left").withColumn("revoked", F.coalesce(F.col("since_ms") <= F.col(at), F.lit(False))).drop("since_ms")
+    return _beside(sources, known, ["fleet", "key_id"], "left").withColumn("revoked", F.coalesce(F.col("since_ms") <= F.col(at), F.lit(False))).drop("since_ms")
 
 
 def latest(configs: DataFrame) -> DataFrame:

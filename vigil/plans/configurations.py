@@ -40,7 +40,7 @@ def configs(spark, d):
 def sources(spark, d):
     """Sources by configuration in turn; in some lines a bound field differs from what it is elsewhere."""
     n, fleet = F.col("l_linenumber").cast("bigint"), F.col("fleet")
-    lines = T.table(spark, d, "lineitem").join(configs(spark, d).select(F.col("o_orderkey").alias("l_orderkey"), "fleet", F.col("nth").alias("epoch"), "scheduled_ms"), "l_orderkey")
+    lines = T.table(spark, d, "lineitem").join(configs(spark, d).select(F.col("o_orderkey").alias("l_orderkey"), "fleet", F.col("nth").alias("epoch"), "scheduled_ms").hint("merge"), "l_orderkey")
     return lines.select(
         "fleet", "epoch", n.alias("source"), ((fleet + n) % 5 + (F.col("l_partkey") % 29 == 0).cast("int")).alias("principal"), F.concat(F.lit("k"), (fleet + n) % 9).alias("key_id"), F.lit("pub").alias("public_key"),
         F.concat(F.lit("p"), n % 2 + (F.col("l_suppkey") % 31 == 2).cast("int")).alias("profile"), (n % 3 == 0).alias("meter"), F.array(n, n + 1 + (F.col("l_partkey") % 37 == 1).cast("int")).alias("subjects"), (F.col("l_returnflag") != "R").alias("enabled"), "scheduled_ms",
