@@ -216,3 +216,15 @@ def test_successors_are_compared_without_broadcasts(spark):
 
     plan = QUERIES["F13_successor_config"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_keys_that_come_often_are_judged_as_others():
+    """A key gets a table after some uses; what it verifies and what it refuses stay the same."""
+    seed, other = b"\x05" * 32, b"\x06" * 32
+    public = E.public_key(seed)
+    for i in range(40):
+        message = b"%d" % i
+        sig = E.sign(seed, message)
+        assert E.verify(public, message, sig) and not E.verify(public, message + b"x", sig) and not E.verify(E.public_key(other), message, sig)
+    assert E._minus(public).table is not None
+    assert E._minus(b"\x02" + b"\0" * 31).point is None or E._minus(b"\x02" + b"\0" * 31).table is None
