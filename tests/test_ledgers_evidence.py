@@ -228,3 +228,19 @@ def test_keys_that_come_often_are_judged_as_others():
         assert E.verify(public, message, sig) and not E.verify(public, message + b"x", sig) and not E.verify(E.public_key(other), message, sig)
     assert E._minus(public).table is not None
     assert E._minus(b"\x02" + b"\0" * 31).point is None or E._minus(b"\x02" + b"\0" * 31).table is None
+
+
+def test_entries_of_one_source_are_signed_in_many_tasks(spark):
+    rows = spark.range(1, 401).select(F.lit("s").alias("source"), F.col("id").alias("native_seq"), F.lit("pulse").alias("kind"), F.col("id").cast("string").alias("native_ref"), F.lit("a").alias("artifact"), F.lit("v").alias("verification"), *[F.lit(None).cast("string").alias(c) for c in N.OBSERVED if c != "kind"])
+    cursors = spark.createDataFrame([("s", "f", "k", 0, N.ZERO, "07" * 32)], "source string, fleet string, key_id string, seq long, hash string, seed string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = N.emit(rows, "p", cursors, 5).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) == 400 and len({x.part for x in out}) > 1
+    out.sort(key=lambda x: x.seq)
+    assert [x.prev for x in out[1:]] == [x.hash for x in out[:-1]]
+    for x in out[::80]:
+        sig = base64.urlsafe_b64decode(x.sig + "==")
+        assert E.verify(E.public_key(b"\x07" * 32), N.SOURCE_SIGN.encode() + b"\0" + bytes.fromhex(x.hash), sig)

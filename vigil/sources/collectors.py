@@ -11,7 +11,6 @@ unverified; an empty file gives nothing; a subject that isn't mapped gives a pul
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions import ed25519
-from vigil.functions.canon import canonical, digest
+from vigil.functions.canon import canonical, digest, to_base64url
 from vigil.functions.strict import strict_json
 from vigil.operators.ordered import folded
 from vigil.operators.scans import Dealt
@@ -97,7 +96,7 @@ def emit(observations: DataFrame, profile: str, cursors: DataFrame, observed_ms:
     """Entries of each source in the order of ``native_seq``: fleet, source, seq, prev, hash, body, sig, native_seq.
 
     observations: of ``collect``, with source; cursors: source, fleet, key_id, seq and hash of the last entry (0 and zeros at first),
-    seed (null: unsigned).  A source's entries are one stream, as each holds the hash of the one before."""
+    seed (null: unsigned).  A source's entries are one stream, as each holds the hash of the one before; signatures are made behind it, in many tasks."""
     rows = observations.join(cursors.select("source", "fleet", "key_id", F.col("seq").alias("head_seq"), F.col("hash").alias("head_hash"), "seed"), "source")
     native = F.struct("native_artifact", "native_ref", "profile", "verification")
     rows = rows.withColumnsRenamed({"artifact": "native_artifact"}).withColumn("profile", F.lit(profile))
@@ -113,13 +112,12 @@ def emit(observations: DataFrame, profile: str, cursors: DataFrame, observed_ms:
         state["seq"], prev = state["seq"] + 1, state["hash"]
         body = f'{r["head"]}{prev}","seq":"{state["seq"]}"{r["tail"]}'
         state["hash"] = hashlib.sha256(f"{SOURCE_DIGEST}\0{body}".encode()).hexdigest()
-        sig = None
-        if r["seed"] is not None:
-            sig = base64.urlsafe_b64encode(ed25519.sign(bytes.fromhex(r["seed"]), SOURCE_SIGN.encode() + b"\0" + bytes.fromhex(state["hash"]))).rstrip(b"=").decode()
-        return {c: r[c] for c in names} | {"seq": state["seq"], "prev": prev, "hash": state["hash"], "body": body, "sig": sig}
+        return {c: r[c] for c in names} | {"seq": state["seq"], "prev": prev, "hash": state["hash"], "body": body, "seed": r["seed"]}
 
-    schema = needed.select(*names).schema.add("seq", "long").add("prev", "string").add("hash", "string").add("body", "string").add("sig", "string")
-    return folded(needed, "source", ["native_seq"], dict, step, schema)
+    schema = needed.select(*names).schema.add("seq", "long").add("prev", "string").add("hash", "string").add("body", "string").add("seed", "string")
+    chained = folded(needed, "source", ["native_seq"], dict, step, schema)
+    # a signature takes far longer than a link, and no entry waits for that of the one before, so they are dealt out for it
+    return chained.repartition("source", "seq").withColumn("sig", ed25519.signed(to_base64url(F.unhex("seed")), SOURCE_SIGN, F.col("hash"))).drop("seed")
 
 
 def _text(name: str):
