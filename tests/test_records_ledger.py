@@ -122,3 +122,21 @@ def test_usage_and_ends(spark):
     assert {r.idx: r.verdict for r in V.usage(V.before_end(df)).collect()} == {1: "COUNTED", 2: "REPEATED", 3: "USAGE_CONFLICT", 4: "COUNTED", 5: None}
     assert {r.idx: r.counted for r in V.accepted(df).collect()} == {1: True, 2: False, 4: True}
     assert V.accepted(df.where("false")).count() == 0
+
+
+def test_records_are_not_dealt_out_for_ends_and_usage(spark):
+    """Ends of sources and first uses are few and kept, so the planner sends them to where the records lie."""
+    from vigil.plans import runs
+
+    run = runs.Run(spark, "/root/testdata/sf0.01", keep=True)
+    plan = run.standing._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_a_row_is_sorted_without_its_text(spark):
+    """What a journal's rows are sorted with isn't twice their members."""
+    rows = spark.createDataFrame([(0, 1, 1, "Tick", "tick", 1, None, None, None, None, None, None)], "fleet long, order long, at_ms long, kind string, key string, n1 long, n2 long, n3 long, s1 string, s2 string, s3 string, s4 string")
+    plan = L.appended(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("concat_ws") < plan.index("RepartitionByExpression") and plan.count("concat_ws(") == 1
+    head = spark.createDataFrame([(0, 7, "ab" * 32)], "fleet long, seq long, hash string")
+    assert [(x.seq, x.prev) for x in L.appended(rows, head).collect()] == [(8, "ab" * 32)]

@@ -46,13 +46,13 @@ def appended(events: DataFrame, head: DataFrame | None = None) -> DataFrame:
 
     events: fleet, order (a column that sorts), and the members; head: fleet, seq, hash
     of a journal that is continued.  Each fleet's rows pass one task as a stream."""
-    start = events.select("fleet", "order", *MEMBERS, text_of(*MEMBERS).alias("text"))
-    if head is None:
-        start = start.withColumn("head_seq", F.lit(0).cast("bigint")).withColumn("head_hash", F.lit(ZERO))
-    else:
+    start = events.select("fleet", "order", *MEMBERS)
+    names = ["fleet", *MEMBERS]
+    if head is not None:
         start = start.join(head.select("fleet", F.col("seq").alias("head_seq"), F.col("hash").alias("head_hash")), "fleet", "left").fillna({"head_seq": 0, "head_hash": ZERO})
-    kept = ["fleet", *MEMBERS]
-    schema = start.select(*kept).schema.add("seq", "long").add("prev", "string").add("hash", "string")
+    # a row's text and the head are added behind the sort, which is the smaller for it
+    heads = ["head_seq", "head_hash"] if head is not None else [F.lit(0).cast("bigint").alias("head_seq"), F.lit(ZERO).alias("head_hash")]
+    schema = start.select(*names).schema.add("seq", "long").add("prev", "string").add("hash", "string")
 
     def chain(batches):
         fleet, seq, last = object(), 0, ZERO
@@ -65,9 +65,10 @@ def appended(events: DataFrame, head: DataFrame | None = None) -> DataFrame:
                 prevs.append(last)
                 last = hashlib.sha256(f"ENTRY/1\0{seq}\x1f{last}\x1f{text}".encode()).hexdigest()
                 seqs.append(seq), hashes.append(last)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(seqs, pa.int64()), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seqs, pa.int64()), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=schema.fieldNames())
 
-    return start.repartition("fleet").sortWithinPartitions("fleet", "order").mapInArrow(chain, schema)
+    ordered = start.repartition("fleet").sortWithinPartitions("fleet", "order")
+    return ordered.select(*names, text_of(*MEMBERS).alias("text"), *heads).mapInArrow(chain, schema)
 
 
 def unchained(journal: DataFrame) -> DataFrame:

@@ -153,19 +153,24 @@ res AS (SELECT r.*, man.hash AS manifest, sha256(encode('RESULT/1') || '\\x00'::
 
 
 class Run:
-    """The tables of one run; each is planned when it is first asked for.  keep: write the
-    accepted records and the cuts, which several detectors read, instead of planning them anew."""
+    """The tables of one run; each is planned when it is first asked for.  keep: write the ends of sources, the
+    first use of each usage id and the cuts, which several detectors read, instead of planning them anew."""
 
     def __init__(self, spark, d, keep=False, p=P):
         self.spark, self.p, self.all = spark, p, records(spark, d)
         self.configs, self.sources, self.subjects = configs(spark), sources(spark), T.subjects(spark)
         self.placed = V.in_force(self.all, self.configs, p)
-        self.rows = V.accepted(self.placed)
+        # a row to a source and to a usage id: where these are kept, the planner knows that they are few, and records aren't dealt out for them
+        ends, first = V.ends(self.placed), None
+        if keep:
+            ends = written(ends, "ends")
+            first = written(V.first_usage(V.before_end(self.placed, ends)), "usage")
+        self.standing = V.usage(V.before_end(self.placed, ends), first).where("coalesce(verdict, '') <> 'USAGE_CONFLICT'")
+        self.rows = V.unmarked(self.standing)
         self.windows = V.grid(self.configs, self.all.groupBy("fleet").agg(F.max("received_ms").alias("last_ms")), p)
-        stand = V.usage(V.before_end(self.placed)).where("coalesce(verdict, '') <> 'USAGE_CONFLICT'")
-        self.cuts = V.cuts(stand, self.windows, self.sources, p)
+        self.cuts = V.cuts(self.standing, self.windows, self.sources, p)
         if keep:
-            self.rows, self.cuts = written(self.rows, "rows"), written(self.cuts, "cuts")
+            self.cuts = written(self.cuts, "cuts")
 
     @property
     def spend_windows(self):
