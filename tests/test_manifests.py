@@ -52,3 +52,21 @@ def test_copied_events_have_the_manifests_of_the_sql(spark, tmp_path):
     want = c.execute(ORACLE["P05_manifest"])
     columns = [x[0] for x in want.description]
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_inputs_of_windows_that_are_not_there_are_left_out(spark):
+    """Whichever way the stream is cut into batches."""
+    made = spark.createDataFrame([(0, 1, t, 1, "COMPLETE", f"h{t}", f"t{t}") for t in (0, 20, 40)], "fleet long, epoch long, start_ms long, n_inputs long, quality string, head string, tail string")
+    inputs = spark.createDataFrame([(0, e, t, i, f'"{e}/{t}/{i}"') for e in (1, 2) for t in (0, 10, 40, 50) for i in range(5)], "fleet long, epoch long, start_ms long, idx long, head string")
+    history, want = [], {}
+    for t in (0, 20, 40):
+        ids = ",".join(f'"1/{t}/{i}"' for i in range(5)) if t != 20 else ""
+        names = ",".join(json.dumps(x) for x in history)
+        want[t] = hashlib.sha256(f'MANIFEST/1\0h{t},"history":[{names}],"inputs":[{ids}],t{t}'.encode()).hexdigest()
+        history = [*history, want[t]][-5:]
+    for size in ("1", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert {x.start_ms: x.hash for x in V._with_history(made, inputs, 5).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -140,3 +140,15 @@ def test_a_row_is_sorted_without_its_text(spark):
     assert 0 <= plan.index("concat_ws") < plan.index("RepartitionByExpression") and plan.count("concat_ws(") == 1
     head = spark.createDataFrame([(0, 7, "ab" * 32)], "fleet long, seq long, hash string")
     assert [(x.seq, x.prev) for x in L.appended(rows, head).collect()] == [(8, "ab" * 32)]
+
+
+def test_records_of_a_journal_are_computed_once(spark):
+    """Results and events read the written records, and the events table is read for them no more."""
+    from vigil.plans import ledger
+
+    d = "/root/testdata/sf0.001"
+    run = ledger.recorded(spark, d)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (run.standing, run.cuts, run.hashed, ledger.events(spark, d, ledger.positioned(spark, d)))]
+    assert not any("get_json_object" in p for p in plans) and all(p.count("Generate explode") < 3 for p in plans)
+    again = ledger.recorded(spark, d)
+    assert sorted(again.standing.inputFiles()) == sorted(run.standing.inputFiles())

@@ -58,6 +58,25 @@ def test_scans(many_ranges, seed):
     assert none.automata("l", machines, "w").count() == none.prefixes({"s": ("sum", F.col("v"))}).count() == 0
 
 
+def test_prefixes_within_a_key(many_ranges):
+    """What the rows before have to agree in beside their key: as by brute force."""
+    r = random.Random(5)
+    rows = [(r.choice([1, 1, 1, 2, None]), n, r.choice(["a", "b", None]), r.choice([None, r.randrange(100)])) for n in range(900)]
+    dealt = Dealt(many_ranges.createDataFrame(r.sample(rows, 900), "k long, n long, w string, v long"), ["k"], ["n"])
+    assert not dealt.apart
+    every = dealt.prefixes({"all": ("sum", F.col("v"))}, inclusive=True)
+    told = dealt.prefixes({"s": ("sum", F.col("v")), "m": ("max", F.struct("n", "v"))}, rows=every, within=("w",))
+    got = {x.n: (x["all"], x.s, x.m and x.m.n) for x in told.collect()}
+    sums, wholes, last = {}, {}, {}
+    for k, n, w, v in rows:
+        if v is not None:
+            wholes[k] = wholes.get(k, 0) + v
+        assert got[n] == (wholes.get(k), sums.get((k, w)), last.get((k, w)))
+        last[k, w] = n
+        if v is not None:
+            sums[k, w] = sums.get((k, w), 0) + v
+
+
 HASH = "{:064x}".format
 ZERO = "0" * 64
 EVENTS = "fleet long, seq long, at_ms long, kind string, key string, n1 long, n2 long, n3 long, s1 string, s2 string, s3 string, s4 string"

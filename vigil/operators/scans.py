@@ -50,25 +50,28 @@ class Dealt:
         on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in self.by]
         return per_part.alias("a").join(F.broadcast(self.spanning()).alias("b"), on, "left_semi")
 
-    def _with(self, rows: DataFrame, few: DataFrame, names: list[str]) -> DataFrame:
-        few = few.select(*[F.col(c).alias(f"_{c}") for c in (*self.by, "part")], *names)
-        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*self.by, "part")]
-        return rows.join(F.broadcast(few), on, "left").drop(*[f"_{c}" for c in (*self.by, "part")])
+    def _with(self, rows: DataFrame, few: DataFrame, names: list[str], within: tuple[str, ...] = ()) -> DataFrame:
+        keys = (*self.by, *within, "part")
+        few = few.select(*[F.col(c).alias(f"_{c}") for c in keys], *names)
+        on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+        return rows.join(F.broadcast(few), on, "left").drop(*[f"_{c}" for c in keys])
 
-    def prefixes(self, values: dict[str, tuple[str, Column]], inclusive: bool = False, rows: DataFrame | None = None) -> DataFrame:
+    def prefixes(self, values: dict[str, tuple[str, Column]], inclusive: bool = False, rows: DataFrame | None = None, within: tuple[str, ...] = ()) -> DataFrame:
         """Add to each row, by name, the ``sum``, ``min`` or ``max`` of a column over the rows of its key before it
         (and of itself, if inclusive); null where no row has a value.  rows: these rows with more columns
-        (among them ``part``), which the values may name; the result has ``part`` too."""
-        rows = self.rows if rows is None else rows
-        inside = Window.partitionBy(*self.by, "part").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        (among them ``part``), which the values may name; the result has ``part`` too.  within: columns in which the rows
+        before have to agree as well.  They have few values to a key, as what is broadcast has a row to each of a range's; in
+        return the rows lie where prefixes of the whole key have left them and aren't dealt out again."""
+        rows, by = self.rows if rows is None else rows, [*self.by, *within]
+        inside = Window.partitionBy(*by, "part").orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
         if self.apart:
             return rows.select("*", *(getattr(F, how)(c).over(inside).alias(n) for n, (how, c) in values.items()))
         agg = {n: getattr(F, how) for n, (how, _) in values.items()}
-        sums = self._earlier(rows.groupBy(*self.by, "part").agg(*(agg[n](c).alias(n) for n, (_, c) in values.items())))
-        before = Window.partitionBy(*self.by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        few = sums.select(*self.by, "part", *(agg[n](n).over(before).alias(f"_{n}") for n in values))
+        sums = self._earlier(rows.groupBy(*by, "part").agg(*(agg[n](c).alias(n) for n, (_, c) in values.items())))
+        before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        few = sums.select(*by, "part", *(agg[n](n).over(before).alias(f"_{n}") for n in values))
         join = {"sum": lambda a, b: F.when(a.isNull(), b).otherwise(a + F.coalesce(b, F.lit(0))), "max": F.greatest, "min": F.least}
-        names, rows = rows.columns, self._with(rows, few, [f"_{n}" for n in values])
+        names, rows = rows.columns, self._with(rows, few, [f"_{n}" for n in values], within)
         both = [join[how](agg[n](c).over(inside), F.col(f"_{n}")).alias(n) for n, (how, c) in values.items()]
         return rows.select(*names, *both)
 

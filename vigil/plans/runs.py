@@ -9,6 +9,8 @@ Fixed values: moduli and times that both sides state.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -154,23 +156,34 @@ res AS (SELECT r.*, man.hash AS manifest, sha256(encode('RESULT/1') || '\\x00'::
 
 class Run:
     """The tables of one run; each is planned when it is first asked for.  keep: write the ends of sources, the
-    first use of each usage id and the cuts, which several detectors read, instead of planning them anew."""
+    first use of each usage id, the windows and the cuts, which several detectors read, instead of planning them anew.
+    standing: the run's records that stand, where they are written already."""
 
-    def __init__(self, spark, d, keep=False, p=P):
-        self.spark, self.p, self.all = spark, p, records(spark, d)
+    def __init__(self, spark, d, keep=False, p=P, standing=None):
+        self.spark, self.p, self.keep, self.all = spark, p, keep, records(spark, d)
         self.configs, self.sources, self.subjects = configs(spark), sources(spark), T.subjects(spark)
         self.placed = V.in_force(self.all, self.configs, p)
+        self.standing = self._standing() if standing is None else standing
+        self.rows = V.unmarked(self.standing)
+
+    def _standing(self):
         # a row to a source and to a usage id: where these are kept, the planner knows that they are few, and records aren't dealt out for them
         ends, first = V.ends(self.placed), None
-        if keep:
+        if self.keep:
             ends = written(ends, "ends")
             first = written(V.first_usage(V.before_end(self.placed, ends)), "usage")
-        self.standing = V.usage(V.before_end(self.placed, ends), first).where("coalesce(verdict, '') <> 'USAGE_CONFLICT'")
-        self.rows = V.unmarked(self.standing)
-        self.windows = V.grid(self.configs, self.all.groupBy("fleet").agg(F.max("received_ms").alias("last_ms")), p)
-        self.cuts = V.cuts(self.standing, self.windows, self.sources, p)
-        if keep:
-            self.cuts = written(self.cuts, "cuts")
+        return V.usage(V.before_end(self.placed, ends), first).where("coalesce(verdict, '') <> 'USAGE_CONFLICT'")
+
+    def _kept(self, df, name):
+        return written(df, name) if self.keep else df
+
+    @cached_property
+    def windows(self):
+        return self._kept(V.grid(self.configs, self.all.groupBy("fleet").agg(F.max("received_ms").alias("last_ms")), self.p), "windows")
+
+    @cached_property
+    def cuts(self):
+        return self._kept(V.cuts(self.standing, self.windows, self.sources, self.p), "cuts")
 
     @property
     def spend_windows(self):
