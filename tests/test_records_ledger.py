@@ -152,3 +152,18 @@ def test_records_of_a_journal_are_computed_once(spark):
     assert not any("get_json_object" in p for p in plans) and all(p.count("Generate explode") < 3 for p in plans)
     again = ledger.recorded(spark, d)
     assert sorted(again.standing.inputFiles()) == sorted(run.standing.inputFiles())
+
+
+def test_fleets_have_tasks_of_their_own(spark):
+    """Fleets with numbers that follow one another lie in as many tasks, whatever their hashes; in any order of fleets each has its own chain."""
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        rows = [(f, t, "Tick", "tick", t, *[None] * 6) for t in range(30) for f in range(8)]
+        made = L.appended(spark.createDataFrame(rows, EVENTS).withColumn("order", F.struct("at_ms", "n1")))
+        assert made.select(F.spark_partition_id().alias("p"), "fleet").distinct().groupBy("p").count().where("count > 1").count() == 0
+        assert L.unchained(made).count() == 0 and {(x.fleet, x.seq) for x in made.where("seq = at_ms + 1").collect()} == {(f, t + 1) for f in range(8) for t in range(30)}
+        few = L.appended(made.where("fleet is null or at_ms < 3").select(F.when(F.col("fleet") > 4, F.col("fleet")).alias("fleet"), *L.MEMBERS, F.struct("at_ms", F.col("fleet").alias("of")).alias("order")))
+        assert {(x.fleet, x.n) for x in few.groupBy("fleet").agg(F.max("seq").alias("n")).collect()} == {(None, 15), (5, 3), (6, 3), (7, 3)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)

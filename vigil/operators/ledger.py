@@ -16,6 +16,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StructType
 
 from vigil.functions.params import DEFAULT, Params
 from vigil.operators.scans import Chain, Dealt, Machine
@@ -45,30 +46,35 @@ def appended(events: DataFrame, head: DataFrame | None = None) -> DataFrame:
     """Add seq, prev and hash, fleet by fleet in the order of ``order``.
 
     events: fleet, order (a column that sorts), and the members; head: fleet, seq, hash
-    of a journal that is continued.  Each fleet's rows pass one task as a stream."""
+    of a journal that is continued.  Each fleet's rows pass one task as a stream; the fleets of a task pass together, so that
+    rows are sorted by what tells them apart first, and numbers that follow one another deal them out evenly, which hashes of a few don't."""
     start = events.select("fleet", "order", *MEMBERS)
     names = ["fleet", *MEMBERS]
     if head is not None:
         start = start.join(head.select("fleet", F.col("seq").alias("head_seq"), F.col("hash").alias("head_hash")), "fleet", "left").fillna({"head_seq": 0, "head_hash": ZERO})
-    # a row's text and the head are added behind the sort, which is the smaller for it
-    heads = ["head_seq", "head_hash"] if head is not None else [F.lit(0).cast("bigint").alias("head_seq"), F.lit(ZERO).alias("head_hash")]
+    # a row's text is added behind the sort, which is the smaller for it
+    columns = ["fleet", "text", *(["head_seq", "head_hash"] if head is not None else [])]
     schema = start.select(*names).schema.add("seq", "long").add("prev", "string").add("hash", "string")
 
     def chain(batches):
-        fleet, seq, last = object(), 0, ZERO
+        heads = {}  # of each fleet of the task
         for batch in batches:
             seqs, prevs, hashes = [], [], []
-            for f, text, n, h in zip(*(batch.column(c).to_pylist() for c in ("fleet", "text", "head_seq", "head_hash"))):
-                if f != fleet:
-                    fleet, seq, last = f, n, h
+            for f, text, *given in zip(*(batch.column(c).to_pylist() for c in columns)):
+                seq, last = heads.get(f) or given or (0, ZERO)
                 seq += 1
                 prevs.append(last)
                 last = hashlib.sha256(f"ENTRY/1\0{seq}\x1f{last}\x1f{text}".encode()).hexdigest()
+                heads[f] = seq, last
                 seqs.append(seq), hashes.append(last)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seqs, pa.int64()), pa.array(prevs, pa.string()), pa.array(hashes, pa.string())], names=schema.fieldNames())
 
-    ordered = start.repartition("fleet").sortWithinPartitions("fleet", "order")
-    return ordered.select(*names, text_of(*MEMBERS).alias("text"), *heads).mapInArrow(chain, schema)
+    kind, n = start.schema["order"].dataType, int(start.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col("order")[c] for c in kind.names] if isinstance(kind, StructType) else ["order"]
+    numbered = isinstance(start.schema["fleet"].dataType, IntegralType)
+    dealt = start.repartitionById(n, F.coalesce(F.pmod("fleet", F.lit(n)), F.lit(0)).cast("int")) if numbered else start.repartition("fleet")
+    ordered = dealt.sortWithinPartitions(*by)
+    return ordered.select(*names, text_of(*MEMBERS).alias("text"), *columns[2:]).mapInArrow(chain, schema)
 
 
 def unchained(journal: DataFrame) -> DataFrame:
